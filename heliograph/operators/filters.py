@@ -78,7 +78,7 @@ def time_column(df: DataFrame) -> str:
 def in_range(
     df: DataFrame, time_range: TimeRange | None, column: str | None = None, closed: bool = False
 ) -> DataFrame:
-    """Half-open ``[start, end)``, or closed. On the event clock, day folders are pruned too."""
+    """Half-open ``[start, end)``, or closed. On the event clock, day and month folders are pruned too."""
     if time_range is None:
         return df
     event_clock = time_column(df)
@@ -89,6 +89,8 @@ def in_range(
     if column == event_clock and "event_date" in df.columns:
         first, last = (clocks.event_date(F.lit(b).cast("bigint")) for b in (start, end))
         kept = kept.filter(F.col("event_date").between(first, last))
+        if "event_month" in df.columns:
+            kept = kept.filter(F.col("event_month").between(F.trunc(first, "month"), last))
     return kept
 
 

@@ -49,7 +49,7 @@ def _flatten_spans(t):
     return _flat_spans(envelopes.flatten_spans(envelopes.parse_requests(requests.span_requests(t.spans), "traces")))
 
 
-_LOGS_SQL = """SELECT trace_id, span_id, time_ns, observed_ns, severity_number, body_text, service_name, namespace,
+_LOGS_SQL = """SELECT trace_id, span_id, time_ns, coalesce(observed_ns, 0) AS observed_ns, severity_number, body_text, service_name, namespace,
   'STRING' AS body_type, a_user_id AS user_id, a_span_name AS span_name FROM logs"""
 
 
@@ -58,7 +58,7 @@ def _flat_logs(logs):
         "trace_id",
         "span_id",
         "time_ns",
-        "observed_ns",
+        F.coalesce("observed_ns", F.lit(0)).alias("observed_ns"),
         "severity_number",
         "body_text",
         "service_name",
@@ -140,7 +140,7 @@ def _land(t, name: str, frame) -> str:
 def _ingested(t, name: str, signal: str, frame):
     landing = _land(t, name, frame)
     root = landing.removesuffix("/landing")
-    ingest.ingest(t.spark, signal, landing, f"{root}/facts", ingest.Stream(f"{root}/checkpoint")).awaitTermination()
+    ingest.ingest(t.spark, signal, landing, f"{root}/facts", ingest.Stream(f"{root}/checkpoint", grain="month")).awaitTermination()
     return storage.read_facts(t.spark, f"{root}/facts")
 
 
@@ -170,10 +170,9 @@ def _late_data(t):
 @query("append_facts", "SELECT trace_id, span_id, start_ns, kind FROM spans WHERE kind IN (0, 1, 2)")
 def _append(t):
     path = _scratch(t, "append")
-    # Partitions by month keep the number of files small here; ingest partitions by day.
-    rows = t.spans.select("trace_id", "span_id", "start_ns", "kind", F.trunc("event_date", "year").alias("event_date"))
+    rows = t.spans.select("trace_id", "span_id", "start_ns", "kind", "event_date")
     for batch_id, kind in ((0, 0), (1, 1), (1, 1), (2, 2)):  # batch 1 is replayed
-        storage.append_batch(rows.filter(F.col("kind") == kind), path, batch_id)
+        storage.append_batch(rows.filter(F.col("kind") == kind), path, batch_id, "month")
     return storage.read_facts(t.spark, path).select("trace_id", "span_id", "start_ns", "kind")
 
 
@@ -237,8 +236,7 @@ def _span_metrics_stream(t):
 )
 def _guard_stream(t):
     narrow = t.metrics.select("metric_name", "time_ns", "value", "event_date")
-    narrow = narrow.withColumn("event_date", F.trunc("event_date", "year"))
-    out = _stream(t, "guard", narrow, lambda out: ingest.guarded(f"{out}/points", f"{out}/names", 3), files=1)
+    out = _stream(t, "guard", narrow, lambda out: ingest.guarded(f"{out}/points", f"{out}/names", 3, "month"), files=1)
     return storage.read_facts(t.spark, f"{out}/points").select("metric_name", "time_ns", "value")
 
 
@@ -257,16 +255,7 @@ FROM spans WHERE start_ns >= {_NOW_NS - _LIVE_MINUTES * 60 * 10**9} AND start_ns
 )
 def _red_live(t):
     narrow = t.spans.select("service_name", "status_code", "start_ns", "end_ns")
-
-    def sink(out: str) -> ingest.Sink:
-        def by_year(batch, batch_id: int) -> None:
-            # A pane table by year: few folders here; the job itself keeps panes by day.
-            dated = live.panes(batch).withColumn("event_date", F.trunc(clocks.event_date(F.col("pane_ns")), "year"))
-            storage.append_batch(dated, out, batch_id)
-
-        return by_year
-
-    table = _stream(t, "live", narrow, sink)
+    table = _stream(t, "live", narrow, live.keep_panes)
     return live.red_window(t.spark, table, _NOW_NS, _LIVE_MINUTES)
 
 
@@ -276,13 +265,12 @@ def _red_live(t):
 UNION ALL SELECT 'calls', count(*) FROM spans UNION ALL SELECT 'service', count(DISTINCT service_name) FROM spans""",
 )
 def _fan_out(t):
-    rows = t.spans.withColumn("event_date", F.trunc("event_date", "year"))
     out = _stream(
         t,
         "fan",
-        rows,
+        t.spans,
         lambda out: ingest.fan_out(
-            ingest.append_to(f"{out}/facts"),
+            ingest.append_to(f"{out}/facts", "month"),
             ingest.keep_span_metrics(f"{out}/calls", MONTH_NS),
             ingest.keep_dimensions(f"{out}/dims"),
         ),
@@ -359,7 +347,7 @@ def _export(t):
 
 @query(
     "remote_write_to_metrics",
-    """SELECT 'events_' || event_type AS metric_name, 'svc-' || (user_id % 5) AS service_name, epoch_ms(ts) * 1000000 AS time_ns, value, CAST(user_id AS VARCHAR) AS user_label FROM events
+    """SELECT 'events_' || event_type AS metric_name, 'svc-' || (user_id % 5) AS service_name, epoch_us(ts) // 1000 * 1000000 AS time_ns, value, CAST(user_id AS VARCHAR) AS user_label FROM events
 UNION ALL SELECT metric_name, service_name, time_ns, value, a_user FROM points""",
 )
 def _remote_write(t):

@@ -139,10 +139,12 @@ _IDENTITY = "metric_name, metric_type, unit, temporality, is_monotonic"
 
 @query(
     "metric_dim",
-    f"SELECT {_IDENTITY}, description, min(time_ns) AS first_seen_ns, max(time_ns) AS last_seen_ns FROM points GROUP BY ALL",
+    f"""SELECT metric_name, metric_type, unit, temporality, coalesce(is_monotonic, false) AS is_monotonic, description,
+  min(time_ns) AS first_seen_ns, max(time_ns) AS last_seen_ns FROM points GROUP BY {_IDENTITY}, description""",
 )
 def _metric_dim(t):
-    return dimensions.metric_dim(t.metrics).drop("metric_hash", "identity_hash")
+    dim = dimensions.metric_dim(t.metrics).drop("metric_hash", "identity_hash")
+    return dim.withColumn("is_monotonic", F.coalesce("is_monotonic", F.lit(False)))
 
 
 @query(
@@ -367,7 +369,7 @@ def _key_join(t):
 
 @query(
     "promote_attribute",
-    """SELECT trace_id, span_id, CAST(http_status AS INT) AS promoted, kind IN (2, 3) AS was_there FROM spans
+    """SELECT trace_id, span_id, CAST(coalesce(http_status, -1) AS INT) AS promoted, kind IN (2, 3) AS was_there FROM spans
 WHERE http_status BETWEEN 400 AND 499 OR http_status IS NULL""",
 )
 def _promote(t):
@@ -376,7 +378,7 @@ def _promote(t):
     return filters.apply_filters(promoted, chosen).select(
         "trace_id",
         "span_id",
-        F.col("`http.status_code`").alias("promoted"),
+        F.coalesce(F.col("`http.status_code`"), F.lit(-1)).alias("promoted"),
         (F.map_contains_key("attributes", "http.method") & ~F.map_contains_key("attributes", "http.status_code")).alias(
             "was_there"
         ),

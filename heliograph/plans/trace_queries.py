@@ -42,12 +42,14 @@ def _filter_span(t):
 
 @query(
     "filter_http_status",
-    f"SELECT {_SPAN}, CAST(http_status AS INT) AS http_status FROM spans "
+    f"SELECT {_SPAN}, CAST(coalesce(http_status, -1) AS INT) AS http_status FROM spans "
     "WHERE http_status BETWEEN 400 AND 499 OR http_status IS NULL",
 )
 def _filter_http(t):
     chosen = [Filter("http_status", "eq", "4xx"), Filter("http_status", "eq", "unknown")]
-    return filters.apply_filters(t.spans, chosen).select(*_SPAN_COLUMNS, web.http_status(t.spans).alias("http_status"))
+    return filters.apply_filters(t.spans, chosen).select(
+        *_SPAN_COLUMNS, F.coalesce(web.http_status(t.spans), F.lit(-1)).alias("http_status")
+    )
 
 
 @query("filter_service", f"SELECT {_SPAN} FROM spans WHERE service_name = 'Supplier#000000003' AND contains(service_name, '003')")
@@ -101,16 +103,16 @@ def _relative(t):
   (SELECT CAST(count(*) AS INT) FROM (SELECT unnest([CAST(http_status AS VARCHAR), http_method, http_url, http_route, http_target,
      http_scheme, server_address, db_system, db_name, peer_service, messaging_system, messaging_destination,
      messaging_source, 'd', 'o']) AS a) WHERE a IS NOT NULL) AS attribute_count,
-  CASE WHEN status_code = 2 THEN 1 END AS event_count,
-  CASE WHEN kind IN (0, 5) AND seq > 1 THEN 1 END AS link_count,
+  CAST(CASE WHEN status_code = 2 THEN 1 ELSE 0 END AS INT) AS event_count,
+  CAST(CASE WHEN kind IN (0, 5) AND seq > 1 THEN 1 ELSE 0 END AS INT) AS link_count,
   status_code, status_message, namespace, service_name FROM spans""",
 )
 def _span_view(t):
     return traces.span_view(t.spans).select(
         "trace_id", "span_id", "parent_span_id", "name", "kind", "start_time", "end_time", "duration_seconds",
         F.size("attributes").alias("attribute_count"),
-        F.when(F.col("events").isNotNull(), F.size("events")).alias("event_count"),
-        F.when(F.col("links").isNotNull(), F.size("links")).alias("link_count"),
+        F.when(F.col("events").isNull(), 0).otherwise(F.size("events")).alias("event_count"),
+        F.when(F.col("links").isNull(), 0).otherwise(F.size("links")).alias("link_count"),
         F.col("status.code").alias("status_code"),
         F.col("status.message").alias("status_message"),
         values.any_text(F.col("resource")["service.namespace"]).alias("namespace"),
@@ -623,7 +625,7 @@ def _dim_resource(t):
 
 @query(
     "batch_dims",
-    f"""SELECT 'service' AS dim, service_name, NULL AS name, CAST(NULL AS INT) AS kind, min(start_ns) AS first_seen_ns,
+    f"""SELECT 'service' AS dim, service_name, NULL AS name, CAST(-1 AS INT) AS kind, min(start_ns) AS first_seen_ns,
   max(start_ns) AS last_seen_ns FROM spans WHERE {_IN} GROUP BY service_name
 UNION ALL SELECT 'operation', * FROM ({_DIM_OPERATION.replace("FROM spans", "FROM spans WHERE " + _IN)})""",
 )
@@ -631,4 +633,5 @@ def _batch_dims(t):
     dims = dimensions.batch_dims(filters.in_range(t.spans, WINDOW))
     named = [dims[d].withColumn("dim", F.lit(d)) for d in ("service", "operation")]
     columns = ["dim", "service_name", "name", "kind", "first_seen_ns", "last_seen_ns"]
-    return named[0].unionByName(named[1], allowMissingColumns=True).select(columns)
+    both = named[0].unionByName(named[1], allowMissingColumns=True)
+    return both.withColumn("kind", F.coalesce("kind", F.lit(-1))).select(columns)

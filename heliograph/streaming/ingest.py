@@ -26,6 +26,7 @@ class Stream:
     checkpoint: str
     once: bool = True
     pace: str = "gateway"
+    grain: str = "day"
 
 
 def read_landing(spark: SparkSession, signal: str, path: str, pace: str = "gateway") -> DataFrame:
@@ -44,11 +45,11 @@ def start(df: DataFrame, sink: Sink, options: Stream) -> StreamingQuery:
 def ingest(spark: SparkSession, signal: str, landing: str, table: str, options: Stream) -> StreamingQuery:
     """Flatten landed requests and append them; nothing is late, an empty batch adds no rows."""
     facts = envelopes.FLATTEN[signal](read_landing(spark, signal, landing, options.pace))
-    return start(facts, append_to(table), options)
+    return start(facts, append_to(table, options.grain), options)
 
 
-def append_to(table: str) -> Sink:
-    return lambda batch, batch_id: storage.append_batch(batch, table, batch_id)
+def append_to(table: str, grain: str = "day") -> Sink:
+    return lambda batch, batch_id: storage.append_batch(batch, table, batch_id, grain)
 
 
 def keep_dimensions(root: str) -> Sink:
@@ -121,7 +122,7 @@ def fan_out(*sinks: Sink) -> Sink:
     return sink
 
 
-def guarded(table: str, names: str, limit: int = metrics.MAX_METRIC_NAMES) -> Sink:
+def guarded(table: str, names: str, limit: int = metrics.MAX_METRIC_NAMES, grain: str = "day") -> Sink:
     """Append points of admitted metric names only.
 
     A name once admitted stays; room left goes to new names by first sight. Each batch lands the
@@ -137,7 +138,8 @@ def guarded(table: str, names: str, limit: int = metrics.MAX_METRIC_NAMES) -> Si
         fresh = metrics.admitted_names(batch.join(known, "metric_name", "left_anti"), max(room, 0))
         fresh.coalesce(1).write.mode("overwrite").parquet(f"{names}/batch_id={batch_id}")
         admitted = storage.read_facts(spark, names, schema + ", batch_id int").select("metric_name").limit(limit)
-        storage.append_batch(batch.join(F.broadcast(admitted), "metric_name", "left_semi"), table, batch_id)
+        kept = batch.join(F.broadcast(admitted), "metric_name", "left_semi")
+        storage.append_batch(kept, table, batch_id, grain)
 
     return sink
 
