@@ -44,8 +44,9 @@ def rfc3339(ns: Column) -> Column:
         secs=whole_div(ns, NANOS_PER_SECOND).cast("decimal(18,6)")
     )
     nanos = F.pmod(ns, F.lit(NANOS_PER_SECOND).cast("bigint")).cast("string")
+    # Text of a timestamp without time zone does not depend on the session's zone.
     return F.concat(
-        F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(nanos, 9, "0"), F.lit("Z")
+        F.replace(wall.cast("string"), F.lit(" "), F.lit("T")), F.lit("."), F.lpad(nanos, 9, "0"), F.lit("Z")
     )
 
 

@@ -30,5 +30,7 @@ def canonical_json(attributes: Column) -> Column:
     return F.to_json(F.map_from_entries(canonical_entries(attributes)))
 
 
-def attributes_hash(attributes: Column) -> Column:
-    return F.sha2(F.coalesce(canonical_json(attributes), F.lit("{}")), 256)
+def attributes_hash(attributes: Column, *within: Column) -> Column:
+    """Hash of an attribute set, optionally within the values of further columns."""
+    text = F.coalesce(F.to_json(canonical_entries(attributes)), F.lit("[]"))
+    return F.sha2(F.concat_ws("|", *[F.coalesce(w, F.lit("")) for w in within], text), 256)

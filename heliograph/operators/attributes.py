@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions import values
+from heliograph.operators.sides import broadcast_if_small
+from heliograph.sources.storage import checkpoint
 
 _VALUE_COLUMNS = {
     "str_value": lambda v: v["string_value"],
@@ -77,8 +79,12 @@ def key_registry(rows: DataFrame, indexed: tuple[str, ...] = (), approximate: bo
 
 
 def with_registry(rows: DataFrame, registry: DataFrame) -> DataFrame:
-    """Attribute rows with their key's registry entry; Spark sizes the registry side at run time."""
-    return rows.join(registry, ["key", "value_type"])
+    """Attribute rows with their key's registry entry.
+
+    The registry has a row per key. It is materialised and counted: broadcast while small, so that
+    rows of a hot key need no shuffle, joined by shuffle when not.
+    """
+    return rows.join(broadcast_if_small(checkpoint(registry)), ["key", "value_type"])
 
 
 def promote_attribute(df: DataFrame, key: str, data_type: str = "string", column: str = "attributes") -> DataFrame:

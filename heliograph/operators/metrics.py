@@ -20,10 +20,8 @@ NEWEST_POINT = [("time_ns", True), ("metric_name", False), ("service_name", Fals
 
 def series_key(merge_services: bool = False) -> Column:
     """Identity of a series: its attribute set, within its service unless merged."""
-    attributes = identifiers.attributes_hash(F.col("attributes"))
-    if merge_services:
-        return attributes
-    return F.sha2(F.concat_ws("|", F.coalesce("service_name", F.lit("")), attributes), 256)
+    within = [] if merge_services else [F.col("service_name")]
+    return identifiers.attributes_hash(F.col("attributes"), *within)
 
 
 def with_series(metrics: DataFrame, merge_services: bool = False) -> DataFrame:
@@ -56,18 +54,18 @@ def catalog(
     third of all points does not land in one task.
     """
     matching = flt.apply_filters(flt.metric_names(flt.in_range(metrics, time_range), names), filters)
-    described = F.struct("metric_type", "unit", "description")
+    described = ("metric_type", "unit", "description")
     series = (
         matching.withColumn("_resource", F.when(F.size("resource") > 0, identifiers.attributes_hash(F.col("resource"))))
         .withColumn("_attributes", F.when(F.size("attributes") > 0, identifiers.attributes_hash(F.col("attributes"))))
         .withColumn("_keys", F.array_sort(F.map_keys("attributes")))
-        .groupBy("metric_name", "_resource", "_attributes", "_keys")
-        .agg(F.min(F.struct(F.col("time_ns"), described.alias("d"))).alias("first"))
+        .groupBy("metric_name", "_resource", "_attributes", "_keys", *described)
+        .agg(F.min("time_ns").alias("first_ns"))
     )
     counts = series.groupBy("metric_name").agg(
         F.countDistinct("_resource").alias("resource_count"),
         F.countDistinct("_attributes").alias("attribute_combinations"),
-        F.min("first").alias("first"),
+        F.min(F.struct("first_ns", *described)).alias("first"),
     )
     labels = (
         series.select("metric_name", "_keys")
@@ -78,9 +76,9 @@ def catalog(
     )
     return counts.join(labels, "metric_name", "left").select(
         "metric_name",
-        "first.d.metric_type",
-        "first.d.unit",
-        "first.d.description",
+        "first.metric_type",
+        "first.unit",
+        "first.description",
         "resource_count",
         F.coalesce("label_count", F.lit(0)).alias("label_count"),
         "attribute_combinations",
@@ -161,9 +159,8 @@ def active_series(metrics: DataFrame, now: str | int, minutes: float = 60) -> Da
 
 def cardinality_analysis(metrics: DataFrame) -> DataFrame:
     """Series and labels per metric, and whether they are many; most series first."""
-    series = with_series(metrics).groupBy("metric_name", "series_key").agg(
-        F.min(F.array_sort(F.map_keys("attributes"))).alias("keys")
-    )
+    keys = F.array_sort(F.map_keys("attributes")).alias("keys")
+    series = with_series(metrics).select("metric_name", "series_key", keys).distinct()
     counts = series.groupBy("metric_name").agg(F.count("*").alias("series_count"))
     labels = (
         series.select("metric_name", "keys")

@@ -35,12 +35,18 @@ def page(
 ) -> DataFrame:
     """One page, with ``has_more`` on every row.
 
-    ``keys`` are (column, descending) pairs that order rows totally. One row more than asked for is
-    fetched as a top-k; only those at most 1001 rows are then numbered.
+    ``keys`` are (column, descending) pairs that order rows totally. A first pass over the leading
+    key alone finds how far the page reaches; that bound is pushed into the scan of the second pass,
+    which then reads all columns of few row groups. One row more than asked for is fetched; only
+    those at most 1001 rows are then numbered. The leading key must not be NULL.
     """
     check_limit(limit)
     source = df if cursor is None else df.filter(after(keys, cursor))
-    fetched = source.orderBy(*_orders(keys)).limit(limit + 1)
+    lead, descending = keys[0]
+    reach = source.select(lead).orderBy(*_orders(keys[:1])).limit(limit + 1)
+    bound = reach.agg(F.min(lead) if descending else F.max(lead)).scalar()
+    near = source.filter(F.col(lead) >= bound if descending else F.col(lead) <= bound)
+    fetched = near.orderBy(*_orders(keys)).limit(limit + 1)
     numbered = fetched.withColumn("_row", F.row_number().over(Window.orderBy(*_orders(keys)))).withColumn(
         "has_more", F.count("*").over(Window.partitionBy()) > limit
     )

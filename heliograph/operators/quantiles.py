@@ -63,7 +63,7 @@ def exact_quantiles(
 
     wanted = any_of([holds(end(rank(q)), "_before", "_n") for q in quantiles.values() for end in (F.floor, F.ceil)])
     needed = _renamed(ranked.filter(wanted), [*keys, "_bucket"], "_before", "_total")
-    needed = broadcast_if_small(needed, histogram)
+    needed = broadcast_if_small(needed)
     values = (
         bucketed.filter(F.col(value).isNotNull())
         .join(needed, _same([*keys, "_bucket"]))

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(side: DataFrame, counted: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a side for broadcast only when it holds few rows; otherwise Spark shuffles it.
 
-    ``counted`` is a materialised table that bounds the side, so that counting costs no rescan.
+    The side should come from something already materialised, so that counting costs no rescan.
     """
-    bound = side if counted is None else counted
-    return F.broadcast(side) if bound.limit(max_rows + 1).count() <= max_rows else side
+    return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliograph.functions import clocks, values, web
 from heliograph.operators import filters as flt
@@ -217,11 +218,21 @@ def dedup_spans(spans: DataFrame, by: tuple[str, ...] = ("trace_id", "span_id"),
     """
     rest = [c for c in spans.columns if c not in by]
     copy = F.struct(*rest)
-    order = F.struct("start_ns", "end_ns", F.to_json(copy).alias("text"))
+    # Maps have no order, so a row that holds any is compared by its text.
+    comparable = [F.col(c) for c in rest] if _orderable(spans.select(rest).schema) else [F.to_json(copy).alias("text")]
+    order = F.struct(F.col("start_ns").alias("first"), F.col("end_ns").alias("second"), *comparable)
     pick = F.min_by if keep == "first" else F.max_by
     return spans.groupBy(*by).agg(pick(copy, order).alias("copy")).select(*by, "copy.*").select(*spans.columns)
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(field.dataType) for field in kind)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def events(spans: DataFrame) -> DataFrame:
     """One row per span event."""
     return spans.select("trace_id", "span_id", F.posexplode("events").alias("event_index", "e")).select(

@@ -141,7 +141,7 @@ def _ingested(t, name: str, signal: str, frame):
     landing = _land(t, name, frame)
     root = landing.removesuffix("/landing")
     ingest.ingest(t.spark, signal, landing, f"{root}/facts", ingest.Stream(f"{root}/checkpoint", grain="month")).awaitTermination()
-    return storage.read_facts(t.spark, f"{root}/facts")
+    return t.spark.read.parquet(f"{root}/facts")
 
 
 @query("ingest_stream", _SPANS_SQL)

@@ -7,6 +7,8 @@ and column choices then reach the scan as they would on a real table.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +28,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str, name: str, derive) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _ready:
-        path = f"{shared_dir(spark)}/signals-{key[0]}/{abs(hash(sf_dir))}/{name}"
+        source = hashlib.md5(sf_dir.encode()).hexdigest()
+        path = f"{shared_dir(spark)}/signals-{key[0]}/{source}/{name}"
         rows = derive(spark, sf_dir)
-        clock = "event_date" if "event_date" in rows.columns else rows.columns[0]
-        rows.repartitionByRange(clock, "service_name").write.mode("overwrite").parquet(path)
+        order = ("time_ns", "service_name") if "time_ns" in rows.columns else ("start_ns", "span_id")
+        rows.repartitionByRange(*order).write.mode("overwrite").parquet(path)
         _ready[key] = path
     return spark.read.parquet(_ready[key])
 

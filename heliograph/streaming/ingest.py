@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from heliograph.functions import clocks
 from heliograph.operators import dimensions, metrics, spanmetrics
@@ -36,16 +36,29 @@ def read_landing(spark: SparkSession, signal: str, path: str, pace: str = "gatew
 
 
 def start(df: DataFrame, sink: Sink, options: Stream) -> StreamingQuery:
-    writer = df.writeStream.foreachBatch(sink).option("checkpointLocation", options.checkpoint)
+    """Feed every micro-batch of a stream to a sink."""
+    return _trigger(df.writeStream.foreachBatch(sink), options)
+
+
+def _trigger(writer: DataStreamWriter, options: Stream) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", options.checkpoint)
     if options.once:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{PACES[options.pace][0]} seconds").start()
 
 
 def ingest(spark: SparkSession, signal: str, landing: str, table: str, options: Stream) -> StreamingQuery:
-    """Flatten landed requests and append them; nothing is late, an empty batch adds no rows."""
+    """Flatten landed requests and append them; nothing is late, an empty batch adds no rows.
+
+    Spark's own file sink makes each batch visible as a whole and a replayed batch only once. Read
+    the table with ``spark.read.parquet``.
+    """
     facts = envelopes.FLATTEN[signal](read_landing(spark, signal, landing, options.pace))
-    return start(facts, append_to(table, options.grain), options)
+    column = storage.GRAINS[options.grain]
+    if options.grain == "month":
+        facts = facts.withColumn(column, F.trunc("event_date", "month"))
+    writer = facts.writeStream.format("parquet").option("path", table).partitionBy(column)
+    return _trigger(writer, options)
 
 
 def append_to(table: str, grain: str = "day") -> Sink:

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from heliograph.functions import clocks
 from heliograph.operators import sampling
 from heliograph.sources import storage
-from heliograph.streaming.ingest import Stream
+from heliograph.streaming.ingest import Stream, start
 
 _FLAGS = list(sampling.FLAGS)
 _STATE = "first_ms bigint, span_count bigint, " + ", ".join(f"{f} boolean" for f in _FLAGS)
@@ -69,10 +69,7 @@ def land_flags(flags: DataFrame, table: str, options: Stream) -> StreamingQuery:
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
-    writer = flags.writeStream.foreachBatch(sink).option("checkpointLocation", options.checkpoint)
-    if options.once:
-        return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime="1 second").start()
+    return start(flags, sink, options)
 
 
 def decisions(spark: SparkSession, table: str, policy: sampling.Policy) -> DataFrame:
