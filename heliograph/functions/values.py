@@ -51,7 +51,7 @@ def any_value(
 def attribute_map(pairs: dict[str, Column]) -> Column:
     """Attribute map of the given values; keys whose value is NULL are left out."""
     built = F.create_map(*[part for key, value in pairs.items() for part in (F.lit(key), value)])
-    return F.map_filter(built, lambda _, v: any_text(v).isNotNull())
+    return F.map_filter(built.cast(ATTRIBUTES), lambda _, v: any_text(v).isNotNull())
 
 
 def any_text(value: Column) -> Column:

@@ -142,12 +142,14 @@ def trace_documents(spans: DataFrame, part_size: int = 1000) -> DataFrame:
         spans.withColumn("span", F.struct(*spans.columns)), ["trace_id"], ["start_ns", "span_id"], "position"
     )
     part = clocks.whole_div(F.col("position") - 1, part_size).alias("part")
+    # Spans hold maps, which have no order: compare positions only.
+    in_order = F.array_sort(
+        F.collect_list(F.struct("position", "span")), lambda a, b: (a["position"] - b["position"]).cast("int")
+    )
     return numbered.groupBy("trace_id", part).agg(
         F.count("*").alias("span_count"),
         F.min("start_ns").alias("first_start_ns"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("position", "span"))), lambda numbered_span: numbered_span["span"]
-        ).alias("spans"),
+        F.transform(in_order, lambda item: item["span"]).alias("spans"),
     )
 
 

@@ -302,7 +302,7 @@ def _dedup_stream(t):
 @query(
     "tail_sampling_stream",
     f"""SELECT trace_id, span_count, is_kept FROM ({SAMPLING_SQL}) JOIN (SELECT trace_id AS t, min(start_ns) AS s FROM spans GROUP BY 1) ON t = trace_id
-WHERE s // 1000000 + 10000 < (SELECT max(start_ns) // 1000000 FROM spans)""",
+WHERE s // 1000000 + 10001 < (SELECT max(start_ns) // 1000000 FROM spans)""",
 )
 def _tail_stream(t):
     root = _scratch(t, "tail")

@@ -256,7 +256,7 @@ def _exponential(t):
 
 @query(
     "summary_quantiles",
-    """SELECT metric_name, service_name, time_ns, unnest([0.5, 0.9, 0.99]) AS quantile,
+    """SELECT metric_name, service_name, time_ns, CAST(unnest([0.5, 0.9, 0.99]) AS DOUBLE) AS quantile,
   unnest([value, value * 1.5, value * 2.0]) AS quantile_value FROM dists WHERE event_id % 3 = 2""",
 )
 def _summary(t):

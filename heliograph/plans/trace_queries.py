@@ -90,10 +90,10 @@ def _filter_multi(t):
 
 @query(
     "relative_window",
-    f"SELECT {_SPAN} FROM spans WHERE start_ns >= {WINDOW.end_ns - 24 * 3600 * 10**9} AND start_ns < {WINDOW.end_ns}",
+    f"SELECT {_SPAN} FROM spans WHERE start_ns >= {WINDOW.end_ns - 7 * 24 * 3600 * 10**9} AND start_ns < {WINDOW.end_ns}",
 )
 def _relative(t):
-    return filters.in_range(t.spans, TimeRange.last(24 * 60, WINDOW.end)).select(_SPAN_COLUMNS)
+    return filters.in_range(t.spans, TimeRange.last(7 * 24 * 60, WINDOW.end)).select(_SPAN_COLUMNS)
 
 
 @query(
@@ -542,8 +542,8 @@ def _tag(t):
 _TOKENS = """CASE WHEN family IN (0, 1) THEN CAST(asked + answered AS DOUBLE) END"""
 _CALLS = f"""SELECT trace_id, span_id, name, duration_seconds, service_name, model,
   CAST(asked AS DOUBLE) AS prompt_tokens, CAST(answered AS DOUBLE) AS completion_tokens, {_TOKENS} AS total_tokens,
-  CASE WHEN is_answer AND family = 0 THEN 0.5 END AS temperature,
-  CASE WHEN is_answer AND family = 1 THEN 256.0 END AS max_tokens, prompt, response
+  CASE WHEN is_answer AND family = 0 THEN CAST(0.5 AS DOUBLE) END AS temperature,
+  CASE WHEN is_answer AND family = 1 THEN CAST(256 AS DOUBLE) END AS max_tokens, prompt, response
 FROM genai"""
 _AI = f"SELECT * FROM ({_CALLS}) WHERE coalesce(model, prompt, response) IS NOT NULL OR coalesce(total_tokens, 0) <> 0"
 

@@ -1,8 +1,9 @@
 """Tail sampling on a stream.
 
-Spans are landed as they come. A second query keeps a few flags per trace and, ten seconds after a
-trace was first seen, emits its decision; kept spans are then a semi-join. So the state holds flags
-only, and a trace of any length costs the same.
+Spans are landed as they come. A second query keeps a few flags per trace and emits them once the
+stream has moved on ten seconds from the first span; kept spans are then a semi-join. So the state
+holds flags only, and a trace of any length costs the same. The watermark trails by the same ten
+seconds, so a span that comes out of order within the wait still counts.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ _STATE = "first_ms bigint, span_count bigint, " + ", ".join(f"{f} boolean" for f
 _OUTPUT = "trace_id string, span_count bigint, " + ", ".join(f"{f} boolean" for f in _FLAGS)
 
 
-def _collect_flags(wait_ms: int):
+def _collect_flags():
     def update(key: tuple[str], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             _, count, *flags = state.get
@@ -39,7 +40,7 @@ def _collect_flags(wait_ms: int):
             count += len(chunk)
             flags = [known or bool(chunk[name].any()) for known, name in zip(flags, _FLAGS)]
         state.update((first, count, *flags))
-        state.setTimeoutTimestamp(max(first + wait_ms, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(first, state.getCurrentWatermarkMs()) + 1)
 
     return update
 
@@ -55,11 +56,11 @@ def trace_flags(
             clocks.whole_div(F.col("start_ns"), 1_000_000).alias("event_ms"),
             *sampling.span_flags(spans, policy),
         )
-        .withWatermark("event_ts", "0 seconds")
+        .withWatermark("event_ts", f"{wait_seconds} seconds")
         .groupBy("trace_id")
     )
     return narrow.applyInPandasWithState(
-        _collect_flags(wait_seconds * 1000), _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+        _collect_flags(), _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
