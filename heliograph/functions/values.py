@@ -102,12 +102,13 @@ def body_type(value: Column) -> Column:
 def attribute_value(df: DataFrame, key: str, column: str = "attributes") -> Column:
     """Text of one attribute.
 
-    A key that :func:`heliograph.operators.attributes.promote_attribute` has moved into a column
-    of its own is read there, so filters on it reach the Parquet scan; others come from the map.
+    A key with a column of its own is read there, so that a query reads that column instead of the
+    map and filters reach the Parquet scan; other keys come from the map. Most keys are absent from
+    most maps, so that is tested first: each field of a missing value would be a lookup otherwise.
     """
     if key in df.columns:
         return F.col(f"`{key}`").cast("string")
-    return any_text(F.col(column)[key])
+    return F.when(F.map_contains_key(column, key), any_text(F.col(column)[key]))
 
 
 def first_attribute(df: DataFrame, *keys: str, column: str = "attributes") -> Column:

@@ -87,6 +87,41 @@ def with_registry(rows: DataFrame, registry: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(checkpoint(registry)), ["key", "value_type"])
 
 
+# Span attributes that the queries over spans read.
+SPAN_KEYS = (
+    "http.method",
+    "http.request.method",
+    "http.status_code",
+    "http.response.status_code",
+    "http.url",
+    "url.full",
+    "http.route",
+    "http.target",
+    "url.path",
+    "http.scheme",
+    "url.scheme",
+    "http.host",
+    "net.host.name",
+    "net.peer.name",
+    "server.address",
+    "peer.service",
+    "db.system",
+    "db.name",
+    "messaging.system",
+    "messaging.destination",
+    "messaging.destination.name",
+    "messaging.source.name",
+)
+
+
+def with_key_columns(df: DataFrame, keys: tuple[str, ...] = SPAN_KEYS, column: str = "attributes") -> DataFrame:
+    """Repeat well-known keys as text columns next to the map, as ingest does for its tables.
+
+    The map is most of a span's bytes; a query that needs a few keys then need not read it.
+    """
+    return df.withColumns({key: values.attribute_value(df, key, column) for key in keys})
+
+
 def promote_attribute(df: DataFrame, key: str, data_type: str = "string", column: str = "attributes") -> DataFrame:
     """Move one key out of the map into a typed column named like the key.
 

@@ -27,23 +27,14 @@ def _tally(source: Column, target: Column) -> list[Column]:
 
 
 def remote_calls(spans: DataFrame) -> DataFrame:
-    """Edges that a CLIENT, PRODUCER or CONSUMER span states by itself."""
+    """Edges that a CLIENT, PRODUCER or CONSUMER span states by itself; an unknown end is NULL."""
     service, kind = F.col("service_name"), F.col("kind")
-    ends = (
-        F.when(kind == enums.KIND_CLIENT, F.struct(service.alias("source"), web.client_target(spans).alias("target")))
-        .when(
-            kind == enums.KIND_PRODUCER,
-            F.struct(service.alias("source"), web.message_destination(spans).alias("target")),
-        )
-        .when(
-            kind == enums.KIND_CONSUMER,
-            F.struct(web.message_source(spans).alias("source"), service.alias("target")),
-        )
-    )
-    known = spans.filter(kind.isin(*_SELF_DESCRIBING)).withColumn("_ends", ends)
-    return known.filter("_ends.source is not null and _ends.target is not null").select(
-        *_tally(F.col("_ends.source"), F.col("_ends.target"))
+    target = F.when(kind == enums.KIND_CLIENT, web.client_target(spans)).when(
+        kind == enums.KIND_PRODUCER, web.message_destination(spans)
     )
+    source = F.when(kind == enums.KIND_CONSUMER, web.message_source(spans)).otherwise(service)
+    known = spans.filter(kind.isin(*_SELF_DESCRIBING))
+    return known.select(*_tally(source, F.when(kind == enums.KIND_CONSUMER, service).otherwise(target)))
 
 
 def parent_child(spans: DataFrame) -> DataFrame:
@@ -94,6 +85,7 @@ def edges(spans: DataFrame, time_range: flt.TimeRange | None = None) -> DataFram
             F.count("duration_ns").alias("duration_count"),
             F.sum("errors").alias("errors"),
         )
+        .filter("source is not null and target is not null")
     )
     return (
         remote.unionByName(_parent_child_tally(windowed))

@@ -298,15 +298,17 @@ def _dedup_stream(t):
     return t.spark.read.parquet(f"{root}/out").select("trace_id", "span_id", "start_ns")
 
 
-# Only traces whose wait is over by the end of the stream have a decision.
+# A second is landed once it is 10 s behind the newest span; a trace is decided 10 s after its first.
 @query(
     "tail_sampling_stream",
-    f"""SELECT trace_id, span_count, is_kept FROM ({SAMPLING_SQL}) JOIN (SELECT trace_id AS t, min(start_ns) AS s FROM spans GROUP BY 1) ON t = trace_id
-WHERE s // 1000000 + 10001 < (SELECT max(start_ns) // 1000000 FROM spans)""",
+    f"""SELECT trace_id, span_count, is_kept FROM ({SAMPLING_SQL})
+JOIN (SELECT trace_id AS t, min(start_ns) // 1000000000 AS first FROM spans GROUP BY 1) ON t = trace_id
+WHERE first + 10 <= (SELECT max(start_ns // 1000000000) + 1 FROM spans
+  WHERE (start_ns // 1000000000 + 1) * 1000 <= (SELECT max(start_ns) // 1000000 - 10000 FROM spans))""",
 )
 def _tail_stream(t):
     root = _scratch(t, "tail")
-    narrow = t.spans.select("trace_id", "service_name", "status_code", "start_ns", "attributes")
+    narrow = t.spans.select("trace_id", "service_name", "status_code", "start_ns", "`http.status_code`")
     narrow.write.parquet(f"{root}/in")
     source = t.spark.readStream.schema(narrow.schema).parquet(f"{root}/in")
     flags = stream_sampling.trace_flags(source, POLICY)

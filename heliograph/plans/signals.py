@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions import clocks, enums, values
+from heliograph.operators.attributes import with_key_columns
 from heliograph.operators.positions import number_rows
 from heliograph.sources.storage import shared_dir
 
@@ -173,7 +174,7 @@ def _derive_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
             "service.namespace": _text(F.concat(F.lit("ns-"), (c("l_suppkey") % 3).cast("string"))),
         }
     )
-    return placed.select(
+    rows = placed.select(
         "trace_id",
         "span_id",
         "parent_span_id",
@@ -192,6 +193,7 @@ def _derive_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         links.alias("links"),
         clocks.event_date(c("start_ns")).alias("event_date"),
     )
+    return with_key_columns(rows)
 
 
 _SEVERITY = {"error": 17, "signup": 13, "purchase": 9, "view": 5, "click": 1}

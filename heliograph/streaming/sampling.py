@@ -1,20 +1,17 @@
 """Tail sampling on a stream.
 
-Spans are landed as they come. A second query keeps a few flags per trace and emits them once the
-stream has moved on ten seconds from the first span; kept spans are then a semi-join. So the state
-holds flags only, and a trace of any length costs the same. The watermark trails by the same ten
-seconds, so a span that comes out of order within the wait still counts.
+Spans are landed as they come. A second query counts, per trace and second, the few flags that
+decide about a trace, and lands them once the watermark has passed that second. A trace is decided
+when its wait is over, from the flags of that wait; kept spans are then a semi-join, late ones
+included. State holds one small row per (trace, second), combined before the shuffle, so a trace of
+any length costs the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from heliograph.functions import clocks
 from heliograph.operators import sampling
@@ -22,50 +19,28 @@ from heliograph.sources import storage
 from heliograph.streaming.ingest import Stream, start
 
 _FLAGS = list(sampling.FLAGS)
-_STATE = "first_ms bigint, span_count bigint, " + ", ".join(f"{f} boolean" for f in _FLAGS)
-_OUTPUT = "trace_id string, span_count bigint, " + ", ".join(f"{f} boolean" for f in _FLAGS)
-
 
-def _collect_flags():
-    def update(key: tuple[str], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            _, count, *flags = state.get
-            state.remove()
-            yield pd.DataFrame([[key[0], count, *flags]], columns=["trace_id", "span_count", *_FLAGS])
-            return
-        first, count, *flags = state.get if state.exists else (None, 0, *[False] * len(_FLAGS))
-        for chunk in chunks:
-            earliest = int(chunk["event_ms"].min())
-            first = earliest if first is None else min(first, earliest)
-            count += len(chunk)
-            flags = [known or bool(chunk[name].any()) for known, name in zip(flags, _FLAGS)]
-        state.update((first, count, *flags))
-        state.setTimeoutTimestamp(max(first, state.getCurrentWatermarkMs()) + 1)
 
-    return update
+def _merged() -> list:
+    return [F.sum("span_count").alias("span_count"), *[F.bool_or(f).alias(f) for f in _FLAGS]]
 
 
-def trace_flags(
-    spans: DataFrame, policy: sampling.Policy, wait_seconds: int = sampling.DECISION_WAIT_SECONDS
-) -> DataFrame:
-    """Flags of each trace, emitted once its wait is over on the event clock."""
-    narrow = (
-        spans.select(
-            "trace_id",
-            clocks.to_timestamp(F.col("start_ns")).alias("event_ts"),
-            clocks.whole_div(F.col("start_ns"), 1_000_000).alias("event_ms"),
-            *sampling.span_flags(spans, policy),
-        )
-        .withWatermark("event_ts", f"{wait_seconds} seconds")
-        .groupBy("trace_id")
+def trace_flags(spans: DataFrame, policy: sampling.Policy, lateness: str = "10 seconds") -> DataFrame:
+    """Flags of each trace and second, for spans at most ``lateness`` behind the newest."""
+    timed = spans.select(
+        "trace_id",
+        clocks.to_timestamp(F.col("start_ns")).alias("event_ts"),
+        F.lit(1).cast("bigint").alias("span_count"),
+        *sampling.span_flags(spans, policy),
     )
-    return narrow.applyInPandasWithState(
-        _collect_flags(), _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    seconds = timed.withWatermark("event_ts", lateness).groupBy("trace_id", F.window("event_ts", "1 second"))
+    return seconds.agg(*_merged()).select(
+        "trace_id", F.unix_seconds("window.start").alias("second"), "span_count", *_FLAGS
     )
 
 
 def land_flags(flags: DataFrame, table: str, options: Stream) -> StreamingQuery:
-    """Land the flags each micro-batch completes."""
+    """Land the flags that each micro-batch completes."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
@@ -73,12 +48,19 @@ def land_flags(flags: DataFrame, table: str, options: Stream) -> StreamingQuery:
     return start(flags, sink, options)
 
 
-def decisions(spark: SparkSession, table: str, policy: sampling.Policy) -> DataFrame:
-    """Decisions so far. A trace heard from again after its wait has flags twice; one that was kept
-    stays kept."""
-    stored = storage.read_facts(spark, table).drop("batch_id").withColumn("is_kept", sampling.decide(policy))
-    return stored.groupBy("trace_id").agg(
-        F.sum("span_count").alias("span_count"),
-        *[F.bool_or(f).alias(f) for f in _FLAGS],
-        F.bool_or("is_kept").alias("is_kept"),
+def decisions(
+    spark: SparkSession,
+    table: str,
+    policy: sampling.Policy,
+    wait_seconds: int = sampling.DECISION_WAIT_SECONDS,
+) -> DataFrame:
+    """One row per trace whose wait is over. Flags after the wait change nothing."""
+    stored = storage.read_facts(spark, table).drop("batch_id")
+    horizon = stored.agg(F.max("second") + 1).scalar()
+    waits = (
+        stored.groupBy("trace_id")
+        .agg((F.min("second") + wait_seconds).alias("until"))
+        .filter(F.col("until") <= horizon)
     )
+    within = stored.join(waits, "trace_id").filter(F.col("second") < F.col("until"))
+    return within.groupBy("trace_id").agg(*_merged()).withColumn("is_kept", sampling.decide(policy))

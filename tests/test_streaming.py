@@ -120,8 +120,9 @@ def test_tail_sampling_waits_and_then_decides(spark, make_spans, tmp_path):
         return make_spans([{"trace": t, "id": f"{t}-{s}", "service": "own-x", "start": (3600 + s) * SECOND, "status": e} for t, s, e in rows]).select(columns)
 
     source, flags = str(tmp_path / "in"), str(tmp_path / "flags")
-    # "bad" fails in a span that comes after newer ones.
-    batches = [batch(("bad", 0, 0), ("good", 1, 0)), batch(("good", 8, 0), ("open", 9, 0)), batch(("bad", 5, 2), ("late", 30, 0)), batch(("later", 100, 0))]
+    # "bad" fails in a span that comes after newer ones, "good" after its wait.
+    batches = [batch(("bad", 0, 0), ("good", 1, 0)), batch(("good", 8, 0), ("open", 9, 0)), batch(("bad", 5, 2), ("late", 30, 0)),
+               batch(("good", 25, 2), ("later", 100, 0)), batch(("last", 200, 0))]
     decided = []
     for rows in batches:
         rows.coalesce(1).write.mode("append").parquet(source)
@@ -130,5 +131,6 @@ def test_tail_sampling_waits_and_then_decides(spark, make_spans, tmp_path):
         found = stream_sampling.decisions(spark, flags, policy).collect() if storage.committed_batches(spark, flags) else []
         decided.append({r.trace_id: (r.is_kept, r.span_count) for r in found})
     assert decided[0] == {} and decided[1] == {}
-    assert decided[2] == {"bad": (True, 2), "good": (False, 2), "open": (False, 1)}
-    assert decided[3] == {**decided[2], "late": (False, 1)}
+    assert decided[2] == {"bad": (True, 2)}
+    assert decided[3] == {**decided[2], "good": (False, 2), "open": (False, 1)}
+    assert decided[4] == {**decided[3], "late": (False, 1)}
