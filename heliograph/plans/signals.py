@@ -31,9 +31,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, derive) -> DataFrame:
     if key not in _ready:
         source = hashlib.md5(sf_dir.encode()).hexdigest()
         path = f"{shared_dir(spark)}/signals-{key[0]}/{source}/{name}"
-        rows = derive(spark, sf_dir)
-        order = ("time_ns", "service_name") if "time_ns" in rows.columns else ("start_ns", "span_id")
-        rows.repartitionByRange(*order).write.mode("overwrite").parquet(path)
+        derive(spark, sf_dir).write.mode("overwrite").parquet(path)
         _ready[key] = path
     return spark.read.parquet(_ready[key])
 
@@ -92,7 +90,7 @@ def _derive_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     duration = F.when(c("l_discount") == 0, 0).otherwise(
         c("l_quantity").cast("bigint") * 1_000_000 + c("l_suppkey") % 1000
     )
-    placed = joined.select(
+    keyed = joined.select(
         "*",
         F.md5(c("l_orderkey").cast("string")).alias("trace_id"),
         _span_id(c("l_orderkey"), c("seq")).alias("span_id"),
@@ -103,6 +101,8 @@ def _derive_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         start_ns.alias("start_ns"),
         (start_ns + duration).alias("end_ns"),
     )
+    # Put in time order while rows are narrow; finding the ranges reads its input twice.
+    placed = keyed.repartitionByRange("start_ns", "span_id")
     line, is_http = c("l_linenumber"), c("kind").isin(2, 3)
     is_root, is_client, is_queue = c("seq") == 1, c("kind") == 3, c("kind").isin(4, 5)
     http_status = (
@@ -232,7 +232,7 @@ def _derive_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("attributes"),
         )
     )
-    rows = from_events.unionByName(from_spans)
+    rows = from_events.unionByName(from_spans).repartitionByRange("time_ns", "service_name")
     return rows.select(
         "trace_id",
         "span_id",
@@ -283,7 +283,7 @@ def _metric_rows(events: DataFrame, **columns: Column) -> DataFrame:
         "quantile_values": "array<struct<quantile:double,value:double>>",
     }
     service = F.concat(F.lit("svc-"), (c("user_id") % 5).cast("string"))
-    return events.select(
+    return events.repartitionByRange("ts", "event_id").select(
         columns["metric_name"].alias("metric_name"),
         columns["metric_type"].alias("metric_type"),
         F.when(c("event_type") == "purchase", "USD").otherwise("1").alias("unit"),
@@ -393,7 +393,7 @@ def _derive_genai(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     name = F.when(is_answer, "chat").when(c("role") == "system", "Tool setup").otherwise("ask")
-    return joined.select(
+    return joined.repartitionByRange("conv_id", "turn").select(
         F.md5(F.concat(F.lit("conv-"), conv)).alias("trace_id"),
         _span_id(F.lit("conv"), conv, c("turn")).alias("span_id"),
         F.when(c("turn") > 0, _span_id(F.lit("conv"), conv, F.lit(0))).alias("parent_span_id"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,15 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="heliograph-")
         spark.conf.set(_CHECKPOINT_DIR, configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise and cut lineage; lost executors reread it from shared storage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise and cut lineage; lost executors reread it from shared storage.
+
+    A written table instead of an RDD checkpoint: it is read by column, and its size is known to
+    the optimizer when it picks joins.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _batch_dir(path: str, batch_id: int) -> str:
