@@ -49,38 +49,50 @@ def catalog(
 ) -> DataFrame:
     """Per metric: description of its earliest point, distinct resources, label keys, attribute sets.
 
-    Points are first reduced to one row per (metric, resource, attribute set) on the map side. The
-    distinct counts then run over series, each split by the value counted, so one metric with a
-    third of all points does not land in one task.
+    One scan. Points are first reduced on the map side to one row per (metric, resource, attribute
+    set); those become one row per distinct thing to count, which spreads a metric that holds a
+    third of all points over its series; what is left per metric is then a plain count.
     """
     matching = flt.apply_filters(flt.metric_names(flt.in_range(metrics, time_range), names), filters)
     described = ("metric_type", "unit", "description")
     series = (
         matching.withColumn("_resource", F.when(F.size("resource") > 0, identifiers.attributes_hash(F.col("resource"))))
         .withColumn("_attributes", F.when(F.size("attributes") > 0, identifiers.attributes_hash(F.col("attributes"))))
-        .withColumn("_keys", F.array_sort(F.map_keys("attributes")))
+        .withColumn("_keys", F.map_keys("attributes"))
         .groupBy("metric_name", "_resource", "_attributes", "_keys", *described)
         .agg(F.min("time_ns").alias("first_ns"))
     )
-    counts = series.groupBy("metric_name").agg(
-        F.countDistinct("_resource").alias("resource_count"),
-        F.countDistinct("_attributes").alias("attribute_combinations"),
-        F.min(F.struct("first_ns", *described)).alias("first"),
+
+    def thing(kind: str, value: Column) -> Column:
+        return F.named_struct(F.lit("kind"), F.lit(kind), F.lit("value"), value)
+
+    things = F.concat(
+        F.array(thing("resource", F.col("_resource")), thing("attributes", F.col("_attributes"))),
+        F.transform("_keys", lambda key: thing("label", key)),
     )
-    labels = (
-        series.select("metric_name", "_keys")
-        .distinct()
-        .select("metric_name", F.explode("_keys").alias("key"))
-        .groupBy("metric_name")
-        .agg(F.countDistinct("key").alias("label_count"))
+    first = F.struct("first_ns", *described)
+    distinct = (
+        series.select("metric_name", first.alias("first"), F.explode(things).alias("t"))
+        .groupBy("metric_name", "t.kind", "t.value")
+        .agg(F.min("first").alias("first"))
+    )
+
+    def counted(kind: str, name: str) -> Column:
+        return F.count(F.when(F.col("kind") == kind, F.col("value"))).alias(name)
+
+    counts = distinct.groupBy("metric_name").agg(
+        F.min("first").alias("first"),
+        counted("resource", "resource_count"),
+        counted("label", "label_count"),
+        counted("attributes", "attribute_combinations"),
     )
-    return counts.join(labels, "metric_name", "left").select(
+    return counts.select(
         "metric_name",
         "first.metric_type",
         "first.unit",
         "first.description",
         "resource_count",
-        F.coalesce("label_count", F.lit(0)).alias("label_count"),
+        "label_count",
         "attribute_combinations",
     )
 
@@ -137,8 +149,13 @@ def top_label_values(metrics: DataFrame, k: int = 5) -> DataFrame:
 
 
 def label_cardinality(metrics: DataFrame, k: int = 5) -> DataFrame:
-    """Per metric and label: distinct values, and the top ``k`` joined with commas."""
-    counts = label_values(metrics).groupBy("metric_name", "label").agg(F.count("*").alias("distinct_values"))
+    """Per metric and label: points, distinct values, and the top ``k`` values joined with commas.
+
+    Both sides use all of the counted values, so Spark scans and counts once and reuses the shuffle.
+    """
+    counts = label_values(metrics).groupBy("metric_name", "label").agg(
+        F.sum("point_count").alias("point_count"), F.count("label_value").alias("distinct_values")
+    )
     ranked = F.array_sort(F.collect_list(F.struct("value_rank", "label_value")))
     top = (
         top_label_values(metrics, k)
@@ -158,24 +175,29 @@ def active_series(metrics: DataFrame, now: str | int, minutes: float = 60) -> Da
 
 
 def cardinality_analysis(metrics: DataFrame) -> DataFrame:
-    """Series and labels per metric, and whether they are many; most series first."""
+    """Series and labels per metric, and whether they are many; most series first.
+
+    Series are reduced to (metric, label set) counts, which both halves read in full and so share.
+    """
     keys = F.array_sort(F.map_keys("attributes")).alias("keys")
     series = with_series(metrics).select("metric_name", "series_key", keys).distinct()
-    counts = series.groupBy("metric_name").agg(F.count("*").alias("series_count"))
+    sets = series.groupBy("metric_name", "keys").agg(F.count("*").alias("n"))
+    counts = sets.groupBy("metric_name").agg(
+        F.sum("n").alias("series_count"), F.max(F.size("keys")).alias("widest_label_set")
+    )
     labels = (
-        series.select("metric_name", "keys")
-        .distinct()
-        .select("metric_name", F.explode("keys").alias("key"))
-        .distinct()
+        sets.select("metric_name", "n", F.explode_outer("keys").alias("key"))
+        .groupBy("metric_name", "key")
+        .agg(F.sum("n").alias("labelled_series"))
         .groupBy("metric_name")
         .agg(
-            F.count("*").alias("label_count"),
+            F.count("key").alias("label_count"),
+            F.coalesce(F.max(F.when(F.col("key").isNotNull(), F.col("labelled_series"))), F.lit(0)).alias("most_labelled"),
             F.array_join(F.array_sort(F.collect_list("key")), ",").alias("labels"),
         )
     )
-    labelled = counts.join(labels, "metric_name", "left").withColumn(
-        "label_count", F.coalesce("label_count", F.lit(0))
-    )
+    # Metrics without labels have a NULL key above, so the inner join keeps them.
+    labelled = counts.join(labels, "metric_name")
     high = (F.col("series_count") > HIGH_SERIES) | (F.col("label_count") > HIGH_LABELS)
     return labelled.withColumn("is_high_cardinality", high).orderBy(F.desc("series_count"), "metric_name")
 

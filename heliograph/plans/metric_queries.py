@@ -65,7 +65,7 @@ _TOP = f"""SELECT *, row_number() OVER (PARTITION BY metric_name, label ORDER BY
 
 @query(
     "label_cardinality",
-    f"""SELECT metric_name, label, CAST(count(*) AS BIGINT) AS distinct_values,
+    f"""SELECT metric_name, label, CAST(sum(n) AS BIGINT) AS point_count, CAST(count(*) AS BIGINT) AS distinct_values,
   string_agg(label_value, ',' ORDER BY value_rank) FILTER (value_rank <= 5) AS top_values FROM ({_TOP}) GROUP BY metric_name, label""",
 )
 def _labels(t):
@@ -95,7 +95,7 @@ def _active(t):
 @query(
     "cardinality_analysis",
     f"""SELECT metric_name, CAST(count(*) AS BIGINT) AS series_count, CAST(2 AS BIGINT) AS label_count, 'k,user' AS labels,
-  count(*) > 100 AS is_high_cardinality FROM ({_SERIES}) GROUP BY metric_name ORDER BY series_count DESC""",
+  CAST(2 AS INT) AS widest_label_set, CAST(count(*) AS BIGINT) AS most_labelled, count(*) > 100 AS is_high_cardinality FROM ({_SERIES}) GROUP BY metric_name ORDER BY series_count DESC""",
 )
 def _analysis(t):
     return metrics.cardinality_analysis(t.metrics)
