@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from heliograph.functions import clocks, identifiers, values
 from heliograph.operators import filters as flt
 from heliograph.operators import paging
+from heliograph.operators.positions import number_rows
+from heliograph.operators.sides import bounded
 
 MAX_METRIC_NAMES = 1000
 HIGH_SERIES, HIGH_LABELS = 100, 5
@@ -120,6 +122,30 @@ def detail(
     )
 
 
+def series_documents(
+    metrics: DataFrame,
+    metric_name: str,
+    time_range: flt.TimeRange | None = None,
+    merge_services: bool = False,
+    part_size: int = 1000,
+) -> DataFrame:
+    """Series of a metric as nested records of at most ``part_size`` points in time order."""
+    chosen = metrics.filter((F.col("metric_name") == metric_name) & F.col("service_name").isNotNull())
+    keyed = with_series(flt.in_range(chosen, time_range, closed=True), merge_services).select(
+        "series_key",
+        values.series_label(F.col("attributes"), F.col("service_name")).alias("label"),
+        F.to_json(identifiers.canonical_entries(F.col("attributes"))).alias("attributes"),
+        F.to_json(identifiers.canonical_entries(F.col("resource"))).alias("resource"),
+        "time_ns",
+        "value",
+    )
+    numbered = number_rows(keyed, ["series_key"], ["time_ns", "value", "resource"], "position")
+    part = clocks.whole_div(F.col("position") - 1, part_size).alias("part")
+    points = F.array_sort(F.collect_list(F.struct("time_ns", "value"))).alias("datapoints")
+    first = F.min_by("resource", F.struct("time_ns", "value", "resource")).alias("resource")
+    return numbered.groupBy("series_key", "label", "attributes", part).agg(first, points)
+
+
 def attribute_sets(metrics: DataFrame, metric_name: str | None = None) -> DataFrame:
     """Distinct attribute sets of a metric, whatever their time."""
     chosen = metrics if metric_name is None else metrics.filter(F.col("metric_name") == metric_name)
@@ -212,8 +238,8 @@ def admitted_names(metrics: DataFrame, limit: int = MAX_METRIC_NAMES) -> DataFra
 
 
 def guard_cardinality(metrics: DataFrame, limit: int = MAX_METRIC_NAMES) -> DataFrame:
-    """Points of admitted names. The names are at most ``limit`` rows, small enough to broadcast."""
-    return metrics.join(F.broadcast(admitted_names(metrics, limit)), "metric_name", "left_semi")
+    """Points of admitted names, of which there are at most ``limit``."""
+    return metrics.join(bounded(admitted_names(metrics, limit), limit), "metric_name", "left_semi")
 
 
 def usage_level(names: Column, limit: int = MAX_METRIC_NAMES) -> Column:
@@ -224,8 +250,8 @@ def usage_level(names: Column, limit: int = MAX_METRIC_NAMES) -> Column:
 def guard_report(metrics: DataFrame, limit: int = MAX_METRIC_NAMES) -> DataFrame:
     """Names and points kept and dropped by the guard, and how full it is."""
     names = first_seen_names(metrics)
-    kept = F.broadcast(names.orderBy("first_ns", "metric_name").limit(limit).select("metric_name", F.lit(1).alias("kept")))
-    flagged = names.join(kept, "metric_name", "left").withColumn("is_kept", F.col("kept").isNotNull())
+    kept = names.orderBy("first_ns", "metric_name").limit(limit).select("metric_name", F.lit(1).alias("kept"))
+    flagged = names.join(bounded(kept, limit), "metric_name", "left").withColumn("is_kept", F.col("kept").isNotNull())
     totals = flagged.agg(
         F.count(F.when(F.col("is_kept"), 1)).alias("kept_names"),
         F.count(F.when(~F.col("is_kept"), 1)).alias("dropped_names"),

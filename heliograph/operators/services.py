@@ -67,6 +67,8 @@ SORT_COLUMNS = {
 
 
 def sort_services(services: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
+    if by == "namespace" and by not in services.columns:
+        services = services.withColumn("namespace", F.lit(None).cast("string"))
     key = SORT_COLUMNS[by]()
     return services.orderBy(key.desc() if descending else key.asc(), "service_name")
 

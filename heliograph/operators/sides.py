@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def bounded(side: DataFrame, rows: int) -> DataFrame:
+    """Mark a side for broadcast when its limit, known beforehand, is small enough."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+
+
 def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a side for broadcast only when it holds few rows; otherwise Spark shuffles it.
 

@@ -297,11 +297,16 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def waterfall(spans: DataFrame) -> DataFrame:
-    """Per span: depth, offset from the trace start, duration, position in the drawn tree, trace duration.
+    """Per span: depth, offset from the trace start, duration, position in the drawn tree, trace duration,
+    and where its bar starts and how wide it is as a share of the trace.
 
     Children follow their parent in start order. Offsets count from the earliest span of the trace,
     drawn or not; the trace duration covers drawn spans only.
     """
+
+    def share(part: str) -> Column:
+        return F.round(F.col(part) / F.nullif(F.col("trace_duration_ns"), F.lit(0).cast("bigint")), 6)
+
     drawn = span_tree(spans, carry=("name", "service_name", "start_ns", "end_ns"))
     starts = spans.groupBy("trace_id").agg(F.min("start_ns").alias("_start"))
     ends = drawn.groupBy("trace_id").agg(F.max("end_ns").alias("_end"))
@@ -320,4 +325,5 @@ def waterfall(spans: DataFrame) -> DataFrame:
             (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"),
             (F.col("_end") - F.col("_start")).alias("trace_duration_ns"),
         )
+        .withColumns({"left_fraction": share("offset_ns"), "width_fraction": share("duration_ns")})
     )

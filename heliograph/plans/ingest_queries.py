@@ -301,9 +301,10 @@ def _dedup_stream(t):
 # A second is landed once it is 10 s behind the newest span; a trace is decided 10 s after its first.
 @query(
     "tail_sampling_stream",
-    f"""SELECT trace_id, span_count, is_kept FROM ({SAMPLING_SQL})
-JOIN (SELECT trace_id AS t, min(start_ns) // 1000000000 AS first FROM spans GROUP BY 1) ON t = trace_id
-WHERE first + 10 <= (SELECT max(start_ns // 1000000000) + 1 FROM spans
+    f""", waits AS (SELECT trace_id, min(start_ns) // 1000000000 + 10 AS until FROM spans GROUP BY trace_id),
+heard AS (SELECT spans.* FROM spans JOIN waits USING (trace_id) WHERE start_ns // 1000000000 < until)
+SELECT trace_id, span_count, is_kept FROM ({SAMPLING_SQL.replace("FROM spans", "FROM heard")}) JOIN waits USING (trace_id)
+WHERE until <= (SELECT max(start_ns // 1000000000) + 1 FROM spans
   WHERE (start_ns // 1000000000 + 1) * 1000 <= (SELECT max(start_ns) // 1000000 - 10000 FROM spans))""",
 )
 def _tail_stream(t):

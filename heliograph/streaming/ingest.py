@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from heliograph.functions import clocks
 from heliograph.operators import dimensions, metrics, spanmetrics
+from heliograph.operators.sides import bounded
 from heliograph.sources import envelopes, storage
 
 # Micro-batch pace of the collector pipelines: seconds between batches, and files taken per batch.
@@ -146,12 +147,12 @@ def guarded(table: str, names: str, limit: int = metrics.MAX_METRIC_NAMES, grain
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = storage.read_facts(spark, names, schema + ", batch_id int").filter(F.col("batch_id") < batch_id)
-        known = F.broadcast(stored.select("metric_name").limit(limit))
+        known = bounded(stored.select("metric_name").limit(limit), limit)
         room = limit - stored.count()
         fresh = metrics.admitted_names(batch.join(known, "metric_name", "left_anti"), max(room, 0))
         fresh.coalesce(1).write.mode("overwrite").parquet(f"{names}/batch_id={batch_id}")
         admitted = storage.read_facts(spark, names, schema + ", batch_id int").select("metric_name").limit(limit)
-        kept = batch.join(F.broadcast(admitted), "metric_name", "left_semi")
+        kept = batch.join(bounded(admitted, limit), "metric_name", "left_semi")
         storage.append_batch(kept, table, batch_id, grain)
 
     return sink

@@ -276,6 +276,26 @@ def test_metric_series(spark):
     assert (latest.latest_value, latest.domain_low, latest.domain_high) == (2.0, 0.6, 5.4)
 
 
+def test_series_documents_split_a_long_series(spark):
+    rows = [("m", f"svc{i % 2}", i, float(i), {"x": "1"}) for i in range(25)] + [("m", "svc0", 99, 1.0, {}), ("other", "a", 1, 1.0, {})]
+    got = metrics.series_documents(metric_rows(spark, rows), "m", merge_services=True, part_size=10).collect()
+    parts = sorted((r.label, r.part, [p.time_ns for p in r.datapoints]) for r in got)
+    assert parts == [("svc0", 0, [99]), ("x=1", 0, list(range(10))), ("x=1", 1, list(range(10, 20))), ("x=1", 2, list(range(20, 25)))]
+
+
+def test_sorting_services(make_spans):
+    spans = make_spans([{"id": "1", "service": "b"}, {"id": "2", "service": "A"}, {"id": "3", "service": "c", "status": 2}])
+    table = services.red(spans)
+
+    def names(by, descending=False):
+        return [r.service_name for r in services.sort_services(table, by, descending).collect()]
+
+    assert names("name") == ["A", "b", "c"] and names("error_rate", True)[0] == "c"
+    assert all(len(names(by)) == 3 for by in services.SORT_COLUMNS)
+    failing = filters.apply_filters(table, [Filter("metrics.error_rate", "gt", 50), Filter("metrics.request_count", "gte", 1)])
+    assert [r.service_name for r in failing.collect()] == ["c"]
+
+
 def test_guard_keeps_first_names(spark):
     rows = [(f"m{i}", "a", 100 - i, 0.0, {}) for i in range(5)] * 2
     df = metric_rows(spark, rows)
