@@ -30,23 +30,36 @@ def after(keys: list[tuple[str, bool]], cursor: tuple) -> Column:
     return any_of(steps)
 
 
+def near_page(df: DataFrame, keys: list[tuple[str, bool]], limit: int) -> DataFrame:
+    """Rows of a table that may be on its first page, found by the leading key alone.
+
+    A first pass over that one column tells how far the page reaches. The bound is pushed into the
+    scan of what follows, which then reads all columns of few row groups. The key must not be NULL.
+    """
+    lead, descending = keys[0]
+    reach = df.select(lead).orderBy(*_orders(keys[:1])).limit(limit + 1)
+    bound = reach.agg(F.min(lead) if descending else F.max(lead)).scalar()
+    return df.filter(F.col(lead) >= bound if descending else F.col(lead) <= bound)
+
+
 def page(
-    df: DataFrame, keys: list[tuple[str, bool]], limit: int = DEFAULT_LIMIT, cursor: tuple | None = None
+    df: DataFrame,
+    keys: list[tuple[str, bool]],
+    limit: int = DEFAULT_LIMIT,
+    cursor: tuple | None = None,
+    wide: bool = True,
 ) -> DataFrame:
     """One page, with ``has_more`` on every row.
 
-    ``keys`` are (column, descending) pairs that order rows totally. A first pass over the leading
-    key alone finds how far the page reaches; that bound is pushed into the scan of the second pass,
-    which then reads all columns of few row groups. One row more than asked for is fetched; only
-    those at most 1001 rows are then numbered. The leading key must not be NULL.
+    ``keys`` are (column, descending) pairs that order rows totally. ``wide`` is for rows scanned
+    from a table, see :func:`near_page`; for narrow, computed rows it would compute them twice. One
+    row more than asked for is fetched; only those at most 1001 rows are then numbered.
     """
     check_limit(limit)
     source = df if cursor is None else df.filter(after(keys, cursor))
-    lead, descending = keys[0]
-    reach = source.select(lead).orderBy(*_orders(keys[:1])).limit(limit + 1)
-    bound = reach.agg(F.min(lead) if descending else F.max(lead)).scalar()
-    near = source.filter(F.col(lead) >= bound if descending else F.col(lead) <= bound)
-    fetched = near.orderBy(*_orders(keys)).limit(limit + 1)
+    if wide:
+        source = near_page(source, keys, limit)
+    fetched = source.orderBy(*_orders(keys)).limit(limit + 1)
     numbered = fetched.withColumn("_row", F.row_number().over(Window.orderBy(*_orders(keys)))).withColumn(
         "has_more", F.count("*").over(Window.partitionBy()) > limit
     )

@@ -32,7 +32,7 @@ def matching_traces(
     """Traces with a matching span, newest first by their earliest matching span."""
     matching = flt.apply_filters(flt.in_range(spans, time_range), filters)
     earliest = matching.groupBy("trace_id").agg(F.min("start_ns").alias("earliest_ns"))
-    return paging.page(earliest, _NEWEST_TRACE, limit, cursor)
+    return paging.page(earliest, _NEWEST_TRACE, limit, cursor, wide=False)
 
 
 def spans_of(spans: DataFrame, traces: DataFrame) -> DataFrame:
@@ -47,8 +47,8 @@ def search_traces(
     limit: int = paging.DEFAULT_LIMIT,
     cursor: tuple | None = None,
 ) -> DataFrame:
-    """Summaries of the matching traces, in search order."""
-    found = matching_traces(spans, time_range, filters, limit, cursor)
+    """Summaries of the matching traces, in search order. The page of ids is kept, as it is read twice."""
+    found = checkpoint(matching_traces(spans, time_range, filters, limit, cursor))
     summaries = trace_summaries(spans_of(spans, found))
     return summaries.join(F.broadcast(found), "trace_id").orderBy(F.desc("earliest_ns"), "trace_id")
 

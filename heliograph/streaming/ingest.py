@@ -74,10 +74,10 @@ def keep_dimensions(root: str) -> Sink:
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        for name, rows in dimensions.batch_dims(batch).items():
+        needed = batch.select("service_name", "name", "kind", "resource", "start_ns").persist()
+        for name, rows in dimensions.batch_dims(needed).items():
             rows.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
-        batch.unpersist()
+        needed.unpersist()
 
     return sink
 
