@@ -124,11 +124,12 @@ def _span_view(t):
 
 
 def _services(t):
-    return t.table("supplier").select(F.col("s_suppkey").alias("service_id"), F.col("s_name").alias("dim_name"))
+    known = t.table("supplier").filter("s_acctbal >= 0")
+    return known.select(F.col("s_suppkey").alias("service_id"), F.col("s_name").alias("dim_name"))
 
 
-# Every fifth service is left out of the dimension, so that some facts find none.
-_DIM = "(SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 5 <> 0)"
+# Services in debt are not in the dimension, so that some facts find none.
+_DIM = "(SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal >= 0)"
 
 
 @query(
@@ -136,8 +137,8 @@ _DIM = "(SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 5 <> 0)"
     f"SELECT trace_id, span_id, service_id, s_name AS dim_name FROM spans LEFT JOIN {_DIM} ON service_id = s_suppkey",
 )
 def _service_outer(t):
-    known = _services(t).filter("service_id % 5 <> 0")
-    return dimensions.with_service(t.spans.select(*_KEYS, "service_id"), known).select(*_KEYS, "service_id", "dim_name")
+    joined = dimensions.with_service(t.spans.select(*_KEYS, "service_id"), _services(t))
+    return joined.select(*_KEYS, "service_id", "dim_name")
 
 
 @query(
@@ -145,8 +146,7 @@ def _service_outer(t):
     f"SELECT trace_id, span_id, service_id, s_name AS dim_name FROM spans JOIN {_DIM} ON service_id = s_suppkey",
 )
 def _service_inner(t):
-    known = _services(t).filter("service_id % 5 <> 0")
-    joined = dimensions.with_service(t.spans.select(*_KEYS, "service_id"), known, "inner")
+    joined = dimensions.with_service(t.spans.select(*_KEYS, "service_id"), _services(t), "inner")
     return joined.select(*_KEYS, "service_id", "dim_name")
 
 
@@ -186,15 +186,15 @@ def _links(t):
     )
 
 
-# The parents of the fixture are all there, so spans that start below 4 are taken out first.
+# The parents of the derived spans are all there, so PRODUCER spans count as not delivered.
 @query(
     "orphan_spans",
     """SELECT c.trace_id, c.span_id, c.parent_span_id FROM spans c
-WHERE c.span_id >= '4' AND c.parent_span_id IS NOT NULL AND NOT EXISTS (
-  SELECT 1 FROM spans p WHERE p.span_id >= '4' AND p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)""",
+WHERE c.kind <> 4 AND c.parent_span_id IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM spans p WHERE p.kind <> 4 AND p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)""",
 )
 def _orphan_spans(t):
-    return correlate.orphan_spans(t.spans.filter("span_id >= '4'")).select(*_KEYS, "parent_span_id")
+    return correlate.orphan_spans(t.spans.filter("kind <> 4")).select(*_KEYS, "parent_span_id")
 
 
 _KIND_SQL = "CASE kind " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enums.SPAN_KINDS.items()) + " END"
@@ -446,18 +446,16 @@ def _span_links(t):
     return found.withColumn("link_kind", values.attribute_value(found, "link.kind")).drop("attributes")
 
 
-# Spans that start below 2 are taken out, so subtrees under a missing parent have to vanish.
 @query(
     "trace_waterfall",
-    """, kept AS (SELECT * FROM spans WHERE span_id >= '2'),
-starts AS (SELECT trace_id, min(start_ns) AS t0 FROM kept GROUP BY trace_id),
+    """, starts AS (SELECT trace_id, min(start_ns) AS t0 FROM spans GROUP BY trace_id),
 tree AS (
   SELECT trace_id, span_id, start_ns, end_ns, name, service_name, 0 AS depth, [(start_ns, span_id)] AS path
-  FROM kept WHERE parent_span_id IS NULL
+  FROM spans WHERE parent_span_id IS NULL
   UNION ALL
   SELECT k.trace_id, k.span_id, k.start_ns, k.end_ns, k.name, k.service_name, t.depth + 1,
     list_append(t.path, (k.start_ns, k.span_id))
-  FROM kept k JOIN tree t ON k.trace_id = t.trace_id AND k.parent_span_id = t.span_id)
+  FROM spans k JOIN tree t ON k.trace_id = t.trace_id AND k.parent_span_id = t.span_id)
 SELECT trace_id, span_id, name, service_name, CAST(depth AS INT) AS depth,
   row_number() OVER (PARTITION BY trace_id ORDER BY path) AS position,
   start_ns - t0 AS offset_ns, end_ns - start_ns AS duration_ns,
@@ -467,7 +465,7 @@ SELECT trace_id, span_id, name, service_name, CAST(depth AS INT) AS depth,
 FROM tree JOIN starts USING (trace_id)""",
 )
 def _waterfall(t):
-    return traces.waterfall(t.spans.filter("span_id >= '2'"))
+    return traces.waterfall(t.spans)
 
 
 # -- collector -------------------------------------------------------------------------------
