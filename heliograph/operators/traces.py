@@ -305,7 +305,7 @@ def waterfall(spans: DataFrame) -> DataFrame:
     """
 
     def share(part: str) -> Column:
-        return F.round(F.col(part) / F.nullif(F.col("trace_duration_ns"), F.lit(0).cast("bigint")), 6)
+        return F.col(part) / F.nullif(F.col("trace_duration_ns"), F.lit(0).cast("bigint"))
 
     drawn = span_tree(spans, carry=("name", "service_name", "start_ns", "end_ns"))
     starts = spans.groupBy("trace_id").agg(F.min("start_ns").alias("_start"))

@@ -460,8 +460,8 @@ SELECT trace_id, span_id, name, service_name, CAST(depth AS INT) AS depth,
   row_number() OVER (PARTITION BY trace_id ORDER BY path) AS position,
   start_ns - t0 AS offset_ns, end_ns - start_ns AS duration_ns,
   max(end_ns - t0) OVER (PARTITION BY trace_id) AS trace_duration_ns,
-  round((start_ns - t0) / nullif(max(end_ns - t0) OVER (PARTITION BY trace_id), 0), 6) AS left_fraction,
-  round((end_ns - start_ns) / nullif(max(end_ns - t0) OVER (PARTITION BY trace_id), 0), 6) AS width_fraction
+  (start_ns - t0) / nullif(max(end_ns - t0) OVER (PARTITION BY trace_id), 0) AS left_fraction,
+  (end_ns - start_ns) / nullif(max(end_ns - t0) OVER (PARTITION BY trace_id), 0) AS width_fraction
 FROM tree JOIN starts USING (trace_id)""",
 )
 def _waterfall(t):
