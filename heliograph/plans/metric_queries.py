@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliograph.functions import enums
-from heliograph.operators import attributes, correlate, dimensions, distributions, filters, metrics
+from heliograph.operators import attributes, correlate, dimensions, distributions, filters, metrics, traces
 from heliograph.operators.filters import Filter, TimeRange
 from heliograph.plans.registry import query
 
@@ -330,8 +330,6 @@ UNION ALL SELECT 'datapoint', 'user', count(*), count(DISTINCT a_user) FROM poin
 UNION ALL SELECT 'log', 'event.type', count(*), count(DISTINCT a_event_type) FROM logs WHERE a_event_type IS NOT NULL""",
 )
 def _levels(t):
-    from heliograph.operators import traces
-
     owner = ["trace_id", "span_id"]
     parts = [
         attributes.attribute_rows(t.spans, "resource", owner, "resource").filter("key = 'service.name'"),

@@ -5,7 +5,6 @@ import json
 from pyspark.sql import functions as F
 
 from heliograph.operators import dimensions, sampling, services, spanmetrics
-from heliograph.operators.filters import TimeRange
 from heliograph.sources import storage
 from heliograph.streaming import ingest, live
 from heliograph.streaming import sampling as stream_sampling
