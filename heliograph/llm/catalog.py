@@ -1,6 +1,6 @@
 """All registered queries of this package."""
 
-from heliograph.llm import native_queries  # noqa: F401  (registers)
+from heliograph.llm import native_queries, token_queries  # noqa: F401  (registers)
 from heliograph.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
