@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliograph.llm import bpe, pieces, records, tables
+from heliograph.llm import bpe, packing, pieces, records, tables
 from heliograph.llm.registry import query
 
 
@@ -18,3 +18,8 @@ def op1_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(tables.read(spark, sf_dir, "documents"), pieces.vocabulary())
+
+
+@query()
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut(tables.read(spark, sf_dir, "documents"), pieces.vocabulary()))
