@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm import pieces
+from heliograph.llm import pieces, tables
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -193,6 +193,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     def row(doc_id, text, automaton, encoder):
         return doc_id.as_py(), np.frombuffer(encoder.ids(text), pieces.ID)
 
+    tables.ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     mapper = _mapper(path, row, ["doc_id", "ids"], [pa.int64(), pa.list_(pa.int32())])
     return rows.mapInArrow(mapper, "doc_id long, ids array<int>")
@@ -204,6 +205,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     def row(doc_id, ids, automaton, encoder):
         return doc_id.as_py(), automaton.decode(ids or ())
 
+    tables.ship(tokens.sparkSession)
     mapper = _mapper(path, row, ["doc_id", "text"], [pa.int64(), pa.string()])
     return tokens.select("doc_id", "ids").mapInArrow(mapper, "doc_id long, text string")
 
@@ -217,6 +219,7 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
         sums = hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
         return doc_id.as_py(), len(ids) // pieces.ID.itemsize, *sums
 
+    tables.ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     mapper = _mapper(path, row, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()])
     return rows.mapInArrow(mapper, DIGEST)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm import pieces
+from heliograph.llm import pieces, tables
 from heliograph.sources import storage
 
 LENGTH = 1024
@@ -66,6 +66,7 @@ def cut(
     text_column: str = "text",
 ) -> DataFrame:
     """Pieces of all documents; with their ids on request."""
+    tables.ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(_cutter(path, length, end_id, with_ids), PIECE + (", ids array<int>" if with_ids else ""))
 
@@ -198,6 +199,7 @@ def pack(parts: DataFrame, size: int = LENGTH, group: int = GROUP) -> DataFrame:
 
     ``parts`` is written once and numbered as stored, so a task that is run again deals alike.
     """
+    tables.ship(parts.sparkSession)
     stored = storage.checkpoint(parts)
     groups = max(1, -(-stored.count() // group))
     dealt = stored.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))

@@ -181,6 +181,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_column: s
 
     The text is dealt out, not the ids: the range bounds are sampled before anything is encoded.
     """
+    tables.ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     dealt.mapInArrow(_writer(f"{folder}/data", path, end_id), MANIFEST).write.parquet(f"{folder}/manifest")
@@ -212,6 +213,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
     Only the manifest, one row per file, is summed up in one place.
     """
+    tables.ship(spark)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     parts = max(1, manifest.count())

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,23 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACES = "[ \\x09-\\x0D]+"
 
 
+_PACKAGE = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application; tasks import them by name."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    archive = f"{tempfile.mkdtemp()}/{_PACKAGE.name}.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for source in sorted(_PACKAGE.rglob("*.py")):
+            packed.write(source, str(source.relative_to(_PACKAGE.parent)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
