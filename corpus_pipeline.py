@@ -4,18 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliograph.llm import exact_dedup, host_rules, tables
+from heliograph.llm import exact_dedup, folds, host_rules, line_crf, near_dup, packing, pieces, tables
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field predicts good; learned from labels outside the held-out fold."""
+    labels = tables.read(spark, sf_dir, "labels")
+    return line_crf.keep_good(docs, line_crf.fit(docs, labels, ~folds.in_fold("doc_id", 5, 0)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and whose source passes."""
     return host_rules.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of five-word shingle sets with a similarity of 0.8 or more."""
+    return near_dup.keep_one(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and place in it."""
+    return packing.pack(packing.cut(docs, pieces.vocabulary()))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("packing", packed),
+]
 
 # The classifier's scores have no SQL form; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
