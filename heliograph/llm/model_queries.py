@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import folds, langid, line_crf, tables
+from heliograph.llm import folds, langid, line_crf, pseudo_lm, tables
 from heliograph.llm.registry import query
 
 
@@ -21,3 +21,9 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = tables.read(spark, sf_dir, "documents"), folds.in_fold("doc_id", 5, 0)
     scored = line_crf.score(docs, line_crf.fit(docs, tables.read(spark, sf_dir, "labels"), ~held_out))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read(spark, sf_dir, "documents")
+    return pseudo_lm.score(docs, *pseudo_lm.fit(docs))
