@@ -52,7 +52,7 @@ def _span_buckets(points: np.ndarray) -> np.ndarray:
             break
         code = (code[:size] ^ (code[:size] >> np.uint32(15))) * np.uint32(0x85EBCA77) + hashed[n - 1 :]
         inner = inner[:size] & (letter[n - 2 : n - 2 + size] if n > 2 else True)
-        keep = inner & (letter[:size] | letter[n - 1 :])
+        keep = inner if n > 2 else letter[:size] | letter[1:]
         picked = code[keep] + np.uint32(n)
         out.append((picked ^ (picked >> np.uint32(13))) * np.uint32(0xC2B2AE3D) >> np.uint32(16))
     return np.concatenate(out) if out else np.empty(0, np.uint32)
