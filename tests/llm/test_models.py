@@ -17,7 +17,7 @@ def corpus(spark, prose):
     rows, labels = [], []
     for i in range(400):
         language = "xx" if i % 2 else "yy"
-        lines = [prose(language, int(random.integers(3, 20))).capitalize() + "." for _ in range(int(random.integers(1, 7)))]
+        lines = [prose(language, int(random.integers(8, 20))).capitalize() + "." for _ in range(int(random.integers(4, 9)))]
         good = i % 4 != 3
         if not good:
             lines = ["### ".join(x.upper().split()) + " $$$" for x in lines]
