@@ -1,7 +1,8 @@
 """Joins between signals, and the references that lead nowhere.
 
 All keys but the trace id alone include a span id, so a huge trace spreads over the join. Joins on
-the trace id have one row per trace on one side; the adaptive skew join splits the other.
+the trace id have one row per trace on one side, written beforehand, so that the adaptive skew join
+can split the other.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.operators import traces
+from heliograph.sources.storage import checkpoint
 
 _SPAN_KEY = ["trace_id", "span_id"]
 
 
 def trace_logs(logs: DataFrame, spans: DataFrame) -> DataFrame:
     """Logs of a trace written between its start and its end."""
-    bounds = traces.trace_bounds(spans).select("trace_id", "trace_start_ns", "trace_end_ns")
+    bounds = checkpoint(traces.trace_bounds(spans).select("trace_id", "trace_start_ns", "trace_end_ns"))
     return logs.filter(F.col("trace_id").isNotNull()).join(bounds, "trace_id").filter(
         F.col("time_ns").between(F.col("trace_start_ns"), F.col("trace_end_ns"))
     )

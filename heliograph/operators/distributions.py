@@ -13,10 +13,13 @@ def histogram_buckets(points: DataFrame, keys: list[str] | None = None) -> DataF
 
     The running count is folded inside each point's own array, so nothing is shuffled.
     """
-    running = F.transform(
-        F.sequence(F.lit(1), F.size("bucket_counts")),
-        lambda i: F.aggregate(F.slice("bucket_counts", 1, i), F.lit(0).cast("bigint"), lambda a, b: a + b),
-    )
+    start = F.struct(F.array().cast("array<bigint>").alias("sums"), F.lit(0).cast("bigint").alias("total"))
+
+    def add(so_far: Column, n: Column) -> Column:
+        total = so_far["total"] + n
+        return F.struct(F.array_append(so_far["sums"], total).alias("sums"), total.alias("total"))
+
+    running = F.aggregate("bucket_counts", start, add, lambda folded: folded["sums"])
     zipped = F.arrays_zip(
         F.col("bucket_counts").alias("n"), F.col("explicit_bounds").alias("le"), running.alias("c")
     )

@@ -281,10 +281,16 @@ def latest_and_domain(metrics: DataFrame) -> DataFrame:
 
 
 def series_selectors(metrics: DataFrame) -> DataFrame:
-    """Each series as ``{key="value", …}``."""
+    """Each series as ``{key="value", …}``; backslashes, quotes and line breaks in a value are escaped."""
+
+    def escaped(value):
+        for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+            value = F.replace(value, F.lit(plain), F.lit(written))
+        return value
+
     parts = F.transform(
         values.canonical_text_entries(F.col("attributes")),
-        lambda e: F.concat(e["key"], F.lit('="'), F.coalesce(e["value"], F.lit("")), F.lit('"')),
+        lambda e: F.concat(e["key"], F.lit('="'), escaped(F.coalesce(e["value"], F.lit(""))), F.lit('"')),
     )
     selector = F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
     return metrics.select("metric_name", selector.alias("selector")).distinct()

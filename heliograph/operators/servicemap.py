@@ -7,13 +7,40 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import enums, values, web
 from heliograph.operators import filters as flt
-from heliograph.operators import services
+from heliograph.operators import services, traces
+from heliograph.sources.storage import checkpoint
 
 # Highest wins when several spans describe the same node.
 NODE_TYPES = {3: "database", 2: "messaging", 1: "service"}
 _SELF_DESCRIBING = (enums.KIND_CLIENT, enums.KIND_PRODUCER, enums.KIND_CONSUMER)
 
 
+def span_calls(spans: DataFrame, time_range: flt.TimeRange | None = None) -> DataFrame:
+    """The latest copy of each span in the window, cut down to what the map needs.
+
+    A span that is sent again counts once. Copies collapse on narrow rows, before anything is joined.
+    """
+    kind = F.col("kind")
+    narrow = flt.in_range(spans, time_range).select(
+        "trace_id",
+        "span_id",
+        "parent_span_id",
+        "service_name",
+        "kind",
+        "status_code",
+        "start_ns",
+        "end_ns",
+        F.when(kind == enums.KIND_CLIENT, web.client_target(spans))
+        .when(kind == enums.KIND_PRODUCER, web.message_destination(spans))
+        .when(kind == enums.KIND_CONSUMER, web.message_source(spans))
+        .alias("remote"),
+        F.when(kind == enums.KIND_CLIENT, web.client_database(spans)).alias("database"),
+        values.first_attribute(spans, "db.system").alias("db_system"),
+        values.first_attribute(spans, "messaging.system").alias("messaging_system"),
+    )
+    return traces.dedup_spans(narrow, keep="last").filter(F.col("service_name").isNotNull())
+
+
 def _tally(source: Column, target: Column) -> list[Column]:
     """Inputs of the edge figures; zero durations stay out of the average."""
     duration = F.col("end_ns") - F.col("start_ns")
@@ -26,35 +53,36 @@ def _tally(source: Column, target: Column) -> list[Column]:
     ]
 
 
-def remote_calls(spans: DataFrame) -> DataFrame:
+def remote_calls(calls: DataFrame) -> DataFrame:
     """Edges that a CLIENT, PRODUCER or CONSUMER span states by itself; an unknown end is NULL."""
-    service, kind = F.col("service_name"), F.col("kind")
-    target = F.when(kind == enums.KIND_CLIENT, web.client_target(spans)).when(
-        kind == enums.KIND_PRODUCER, web.message_destination(spans)
+    service, remote = F.col("service_name"), F.col("remote")
+    receives = F.col("kind") == enums.KIND_CONSUMER
+    known = calls.filter(F.col("kind").isin(*_SELF_DESCRIBING))
+    return known.select(
+        *_tally(F.when(receives, remote).otherwise(service), F.when(receives, service).otherwise(remote))
     )
-    source = F.when(kind == enums.KIND_CONSUMER, web.message_source(spans)).otherwise(service)
-    known = spans.filter(kind.isin(*_SELF_DESCRIBING))
-    return known.select(*_tally(source, F.when(kind == enums.KIND_CONSUMER, service).otherwise(target)))
 
 
 def parent_child(spans: DataFrame) -> DataFrame:
-    """SERVER, INTERNAL and unspecified spans with a parent in another service that is not CLIENT.
+    """SERVER, INTERNAL and unspecified spans with a parent in another service that is not CLIENT, each span once.
 
     The key includes the span id, so a huge trace spreads over all tasks; children of one hot
     parent are split by the adaptive skew join.
     """
-    children = spans.filter(~F.col("kind").isin(*_SELF_DESCRIBING) & F.col("parent_span_id").isNotNull())
-    parents = spans.filter(F.col("kind") != enums.KIND_CLIENT).select(
+    narrow = spans.select("trace_id", "span_id", "parent_span_id", "service_name", "kind", "start_ns", "end_ns")
+    once = checkpoint(traces.dedup_spans(narrow, keep="last"))
+    children = once.filter(~F.col("kind").isin(*_SELF_DESCRIBING) & F.col("parent_span_id").isNotNull())
+    parents = once.filter(F.col("kind") != enums.KIND_CLIENT).select(
         "trace_id", F.col("span_id").alias("parent_span_id"), F.col("service_name").alias("parent_service")
     )
     return children.join(parents, ["trace_id", "parent_span_id"]).filter("parent_service <> service_name")
 
 
-def _parent_child_tally(spans: DataFrame) -> DataFrame:
+def _parent_child_tally(calls: DataFrame) -> DataFrame:
     """Parent-child edges, with children counted per (parent, service) before they meet the parent."""
     duration = F.col("end_ns") - F.col("start_ns")
     children = (
-        spans.filter(~F.col("kind").isin(*_SELF_DESCRIBING) & F.col("parent_span_id").isNotNull())
+        calls.filter(~F.col("kind").isin(*_SELF_DESCRIBING) & F.col("parent_span_id").isNotNull())
         .groupBy("trace_id", "parent_span_id", "service_name")
         .agg(
             F.count("*").alias("calls"),
@@ -63,7 +91,7 @@ def _parent_child_tally(spans: DataFrame) -> DataFrame:
             F.count(F.when(services.is_error(), 1)).alias("errors"),
         )
     )
-    parents = spans.filter(F.col("kind") != enums.KIND_CLIENT).select(
+    parents = calls.filter(F.col("kind") != enums.KIND_CLIENT).select(
         "trace_id", F.col("span_id").alias("parent_span_id"), F.col("service_name").alias("source")
     )
     return (
@@ -75,9 +103,12 @@ def _parent_child_tally(spans: DataFrame) -> DataFrame:
 
 def edges(spans: DataFrame, time_range: flt.TimeRange | None = None) -> DataFrame:
     """Calls, average non-zero duration and errors per (source, target)."""
-    windowed = flt.in_range(spans, time_range).filter(F.col("service_name").isNotNull())
+    return _edges(checkpoint(span_calls(spans, time_range)))
+
+
+def _edges(calls: DataFrame) -> DataFrame:
     remote = (
-        remote_calls(windowed)
+        remote_calls(calls)
         .groupBy("source", "target")
         .agg(
             F.sum("calls").alias("calls"),
@@ -88,7 +119,7 @@ def edges(spans: DataFrame, time_range: flt.TimeRange | None = None) -> DataFram
         .filter("source is not null and target is not null")
     )
     return (
-        remote.unionByName(_parent_child_tally(windowed))
+        remote.unionByName(_parent_child_tally(calls))
         .groupBy("source", "target")
         .agg(
             F.sum("calls").alias("call_count"),
@@ -105,14 +136,12 @@ def nodes(spans: DataFrame, time_range: flt.TimeRange | None = None) -> DataFram
 
     Each span names up to two nodes; they are exploded and grouped in one pass.
     """
-    windowed = flt.in_range(spans, time_range).filter(F.col("service_name").isNotNull())
-    kind = F.col("kind")
-    database = web.client_database(windowed)
-    queue = F.when(kind == enums.KIND_PRODUCER, web.message_destination(windowed)).when(
-        kind == enums.KIND_CONSUMER, web.message_source(windowed)
-    )
-    db_system = values.first_attribute(windowed, "db.system")
-    messaging_system = values.first_attribute(windowed, "messaging.system")
+    return _nodes(span_calls(spans, time_range))
+
+
+def _nodes(calls: DataFrame) -> DataFrame:
+    kind, database, db_system = F.col("kind"), F.col("database"), F.col("db_system")
+    queue, messaging_system = F.when(kind != enums.KIND_CLIENT, F.col("remote")), F.col("messaging_system")
 
     def node(node_id: Column, rank: int, database_system: Column, queue_system: Column) -> Column:
         return F.struct(
@@ -125,10 +154,10 @@ def nodes(spans: DataFrame, time_range: flt.TimeRange | None = None) -> DataFram
     none = F.lit(None).cast("string")
     remote = (
         F.when((kind == enums.KIND_CLIENT) & database.isNotNull(), node(database, 3, db_system, none))
-        .when(kind == enums.KIND_CLIENT, node(web.client_target(windowed), 1, none, none))
+        .when(kind == enums.KIND_CLIENT, node(F.col("remote"), 1, none, none))
         .when(queue.isNotNull(), node(queue, 2, none, messaging_system))
     )
-    named = windowed.select(F.explode(F.array(node(F.col("service_name"), 1, none, none), remote)).alias("n"))
+    named = calls.select(F.explode(F.array(node(F.col("service_name"), 1, none, none), remote)).alias("n"))
     grouped = (
         named.filter("n.id is not null")
         .groupBy(F.col("n.id").alias("id"))
@@ -147,17 +176,20 @@ def nodes(spans: DataFrame, time_range: flt.TimeRange | None = None) -> DataFram
 
 
 def node_metrics(spans: DataFrame, time_range: flt.TimeRange | None = None) -> DataFrame:
-    """Map nodes with their request figures and whether no edge touches them."""
-    windowed = flt.in_range(spans, time_range)
-    figures = services.red(windowed.filter(F.col("service_name").isNotNull()))
+    """Map nodes with their request figures and whether no edge touches them.
+
+    The narrow calls are written once and read by the figures, the edges and the nodes.
+    """
+    calls = checkpoint(span_calls(spans, time_range))
+    figures = services.red(calls)
     touched = (
-        edges(windowed)
+        _edges(calls)
         .select(F.explode(F.array("source", "target")).alias("id"))
         .distinct()
         .withColumn("linked", F.lit(True))
     )
     return (
-        nodes(windowed)
+        _nodes(calls)
         .join(figures.withColumnRenamed("service_name", "id"), "id", "left")
         .join(touched, "id", "left")
         .select(

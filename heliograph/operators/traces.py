@@ -122,10 +122,11 @@ def trace_bounds(spans: DataFrame) -> DataFrame:
 def with_trace_bounds(spans: DataFrame) -> DataFrame:
     """Every span with the bounds and span count of its trace.
 
-    Aggregated and joined back instead of windowed: the aggregate combines on the map side and
-    the join can split the spans of one huge trace over several tasks.
+    Aggregated and joined back instead of windowed: the aggregate combines on the map side. It is
+    written before the join: an aggregate that is itself dealt out by trace would keep the adaptive
+    skew join from splitting the spans of one huge trace.
     """
-    return spans.join(trace_bounds(spans), "trace_id")
+    return spans.join(checkpoint(trace_bounds(spans)), "trace_id")
 
 
 def trace_detail(spans: DataFrame, trace_ids: Iterable[str]) -> DataFrame:
@@ -310,7 +311,7 @@ def waterfall(spans: DataFrame) -> DataFrame:
     drawn = span_tree(spans, carry=("name", "service_name", "start_ns", "end_ns"))
     starts = spans.groupBy("trace_id").agg(F.min("start_ns").alias("_start"))
     ends = drawn.groupBy("trace_id").agg(F.max("end_ns").alias("_end"))
-    bounds = starts.join(ends, "trace_id")
+    bounds = checkpoint(starts.join(ends, "trace_id"))
     return (
         number_rows(drawn, ["trace_id"], ["path"], "position")
         .join(bounds, "trace_id")

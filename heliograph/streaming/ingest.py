@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from heliograph.functions import clocks
 from heliograph.operators import dimensions, metrics, spanmetrics
 from heliograph.operators.sides import bounded
 from heliograph.sources import envelopes, storage
@@ -51,15 +50,11 @@ def _trigger(writer: DataStreamWriter, options: Stream) -> StreamingQuery:
 def ingest(spark: SparkSession, signal: str, landing: str, table: str, options: Stream) -> StreamingQuery:
     """Flatten landed requests and append them; nothing is late, an empty batch adds no rows.
 
-    Spark's own file sink makes each batch visible as a whole and a replayed batch only once. Read
-    the table with ``spark.read.parquet``.
+    Each batch is rebalanced by its days and lands under its own id, visible as a whole and replaced
+    by a replay. Read the table with ``storage.read_facts``.
     """
     facts = envelopes.FLATTEN[signal](read_landing(spark, signal, landing, options.pace))
-    column = storage.GRAINS[options.grain]
-    if options.grain == "month":
-        facts = facts.withColumn(column, F.trunc("event_date", "month"))
-    writer = facts.writeStream.format("parquet").option("path", table).partitionBy(column)
-    return _trigger(writer, options)
+    return start(facts, append_to(table, options.grain), options)
 
 
 def append_to(table: str, grain: str = "day") -> Sink:
@@ -98,14 +93,16 @@ def keep_volume(root: str, signal: str) -> Sink:
 
 
 def read_volume(spark: SparkSession, root: str) -> DataFrame:
-    """Batches, rows and median batch size per signal; one row per batch goes in."""
+    """Batches, rows and the spread of batch sizes per signal; one row per batch goes in."""
     return (
         storage.read_facts(spark, root)
         .groupBy("signal")
         .agg(
             F.count("*").alias("batch_count"),
             F.sum("row_count").alias("row_count"),
-            F.percentile_approx("row_count", 0.5).alias("median_batch_size"),
+            F.min("row_count").alias("smallest_batch"),
+            F.percentile_approx("row_count", 0.5).alias("median_batch"),
+            F.max("row_count").alias("largest_batch"),
         )
     )
 
@@ -163,7 +160,26 @@ def tag_source(df: DataFrame, source: str = "browser") -> DataFrame:
     return envelopes.tag_resource(df, "telemetry.source", source)
 
 
-def dedup(spans: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Spans of a stream without copies that arrive within ``lateness`` of the first."""
-    timed = spans.withColumn("event_ts", clocks.to_timestamp(F.col("start_ns")))
-    return timed.withWatermark("event_ts", lateness).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
+def keep_first(table: str, grain: str = "day") -> Sink:
+    """Append spans that have not landed before, however late they or their copies come.
+
+    There is no state but the table: a batch collapses its own copies and leaves out those whose ids
+    earlier batches landed on the same days (a copy has the times of its original). Only the folders of
+    the batch's days are read, and of those only the ids. A replay sees the batches before it.
+    """
+    key = ["event_date", "trace_id", "span_id"]
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        days = [r[0] for r in rows.select("event_date").distinct().collect()]  # one row per day
+        column = storage.GRAINS[grain]
+        folders = {d.replace(day=1) for d in days} if grain == "month" else days
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
+        parts = "" if grain == "day" else f", {column} date"
+        stored = storage.read_facts(batch.sparkSession, table, f"{schema}{parts}, batch_id int")
+        landed = stored.filter((F.col("batch_id") < batch_id) & F.col(column).isin(list(folders))).select(key)
+        fresh = rows.dropDuplicates(key).join(landed, key, "left_anti")
+        storage.append_batch(fresh, table, batch_id, grain)
+        rows.unpersist()
+
+    return sink

@@ -57,7 +57,7 @@ def decisions(
     """One row per trace whose wait is over. Flags after the wait change nothing."""
     stored = storage.read_facts(spark, table).drop("batch_id")
     horizon = stored.agg(F.max("second") + 1).scalar()
-    waits = (
+    waits = storage.checkpoint(
         stored.groupBy("trace_id")
         .agg((F.min("second") + wait_seconds).alias("until"))
         .filter(F.col("until") <= horizon)

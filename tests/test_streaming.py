@@ -44,7 +44,7 @@ def test_landing_to_facts(spark, tmp_path):
     for name, ids in (("1.json", ["aa", "bb"]), ("2.json", []), ("3.json", ["cc"])):
         land(name, *ids)
         ingest.ingest(spark, "traces", str(landing), table, options).awaitTermination()
-    assert sorted(r.span_id for r in spark.read.parquet(table).collect()) == ["aa", "bb", "cc"]
+    assert sorted(r.span_id for r in storage.read_facts(spark, table).collect()) == ["aa", "bb", "cc"]
 
 
 def test_dimensions_equal_batch_and_survive_replay(spark, make_spans, tmp_path):
@@ -96,19 +96,20 @@ def test_volume(spark, make_spans, tmp_path):
     spans = some_spans(make_spans)
     root = str(tmp_path / "volume")
     feed(spark, [spans, spans.limit(20)], ingest.keep_volume(root, "spans"), tmp_path)
-    assert tuple(ingest.read_volume(spark, root).first())[:3] == ("spans", 2, 80)
-
-
-def test_dedup_drops_retries(spark, make_spans, tmp_path):
-    # A stream's first watermark is the epoch, so real times lie after it.
-    spans = some_spans(make_spans).select("trace_id", "span_id", (F.col("start_ns") + 3600 * SECOND).alias("start_ns"))
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for batch in (spans, spans.filter("start_ns > 10"), spans):
-        batch.write.mode("append").parquet(source)
-        stream = ingest.dedup(spark.readStream.schema(spans.schema).parquet(source), "1 hour")
-        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "checkpoint"))
-        writer.trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(out).count() == 60
+    assert tuple(ingest.read_volume(spark, root).first()) == ("spans", 2, 80, 20, 20, 60)
+
+
+def test_dedup_drops_retries_and_loses_nothing_late(spark, make_spans, tmp_path):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("start_ns") / (20 * SECOND)).cast("int"))
+    spans = some_spans(make_spans).select("trace_id", "span_id", "start_ns").withColumn("event_date", day)
+    table = str(tmp_path / "spans")
+    # Newest day first; then copies together with spans two days older; then everything again.
+    sink = ingest.keep_first(table)
+    feed(spark, [spans.filter(f"start_ns >= {40 * SECOND}"), spans.union(spans), spans], sink, tmp_path)
+    sink(spans, 2)  # a replay
+    landed = storage.read_facts(spark, table)
+    assert landed.count() == 60 and landed.select("span_id").distinct().count() == 60
+    assert {r.batch_id: r["count"] for r in landed.groupBy("batch_id").count().collect()} == {0: 20, 1: 40}
 
 
 def test_tail_sampling_waits_and_then_decides(spark, make_spans, tmp_path):
