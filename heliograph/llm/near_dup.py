@@ -24,12 +24,12 @@ document to the links. A null id is never linked. Null texts are empty; an empty
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,9 +43,10 @@ MISS = 1e-7
 BINS, BITS = 4096, 2048
 SIGMAS = 5.0
 BLOCK = 1024  # members of a bucket that are compared with one another in one task
-PARTNERS = 16  # best partners a document names in the first search; four times as many in each next one
+PARTNERS = 64  # best partners a document names in the first search; sixteen times as many in each next one
 _MEMO = 500_000
 _CHUNK = 8192
+_PAIRS = 1 << 16
 _SIGNATURE = "doc_id long, n_shingles long, class binary, bands array<long>, n_bins int, sketch binary"
 _U64 = np.uint64
 
@@ -120,19 +121,26 @@ def odd_sketch(hashes: np.ndarray) -> tuple[int, bytes]:
 
 
 def may_link(n_a, n_b, bins_a, bins_b, differing, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarity from the XOR's population count, and whether a link can be excluded by it."""
+    """Similarity estimated from the XOR's population count, and whether it leaves a link possible.
+
+    What is excluded is decided with the union that a pair at the bar would have; for the estimate itself
+    the union follows from the similarity, which a few rounds settle.
+    """
     bar = percent / 100
     n_a, n_b, bins_a, bins_b = (np.asarray(x, float) for x in (n_a, n_b, bins_a, bins_b))
     share = np.minimum(2 * np.asarray(differing, float) / BITS, 0.98)
     samples = -BITS / 2 * np.log1p(-share)
-    union = (n_a + n_b) / (1 + bar)  # at the bar
+    same = (bins_a + bins_b - samples) / 2
+    union = (n_a + n_b) / (1 + bar)
     filled = BINS * -np.expm1(-union / BINS)
-    estimate = (bins_a + bins_b - samples) / 2 / filled
     load = 4 * samples / BITS
     folding = BITS / 4 * (1 - np.exp(-load) * (1 + load)) * np.exp(load)
     sampling = bar * (1 - bar) / filled * np.maximum(1 - filled / union, 0)
     margin = SIGMAS * np.sqrt(sampling + folding / (2 * filled) ** 2) + 2 / filled
-    near = (estimate >= bar - margin) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+    near = (same / filled >= bar - margin) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+    estimate = same / filled
+    for _ in range(8):
+        estimate = np.clip(same / (BINS * -np.expm1(-(n_a + n_b) / (1 + estimate) / BINS)), 0, 1)
     return estimate, near
 
 
@@ -193,30 +201,69 @@ def _confirmer(percent: int):
     return confirm
 
 
+_SEARCHED = ("key", "lo", "hi", "id", "component", "size", "salt", "n_shingles", "n_bins")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns, sketches and group bounds of whole groups; the last group of a batch waits for the next one."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        column = {name: table.column(name).to_numpy() for name in _SEARCHED}
+        changed = np.zeros(table.num_rows - 1, bool)
+        for name in ("key", "lo", "hi"):
+            changed |= column[name][1:] != column[name][:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(changed) + 1, [table.num_rows] * (batch is None)]).astype(np.int64)
+        stop = int(bounds[-1])
+        held = table.slice(stop).to_batches() if batch is not None else []
+        if stop:
+            bits = np.frombuffer(b"".join(table.column("sketch").slice(0, stop).to_pylist()), _U64).reshape(stop, -1)
+            yield {name: values[:stop] for name, values in column.items()}, bits, bounds
+
+
 def _searcher(percent: int, partners: int):
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Of one pair of blocks of a bucket: each document's best partners in larger components."""
-        own, other = key[1], key[2]
-        left = rows[rows["salt"] == own]
-        right = left if own == other else rows[rows["salt"] == other]
+    def best(column: dict[str, np.ndarray], bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         found = []
-        for x, y in ((left, right),) if own == other else ((left, right), (right, left)):
-            bits_y = np.frombuffer(b"".join(y["sketch"]), _U64).reshape(-1, BITS // 64)
-            rank_y = list(zip(y["size"].tolist(), y["component"].tolist()))
-            ranks = {r: i for i, r in enumerate(sorted({*rank_y, *zip(x["size"].tolist(), x["component"].tolist())}))}
-            order_y = np.array([ranks[r] for r in rank_y])
-            ids_y, n_y, bins_y = (y[c].to_numpy() for c in ("id", "n_shingles", "n_bins"))
-            columns = zip(x["id"], x["n_shingles"], x["n_bins"], x["sketch"], x["size"], x["component"])
-            for i, n, bins, sketch, size, component in columns:
-                larger = np.flatnonzero(order_y > ranks[(size, component)])
-                if not len(larger):
-                    continue
-                differing = np.bitwise_count(bits_y[larger] ^ np.frombuffer(sketch, _U64)).sum(axis=1, dtype=np.int64)
-                estimate, near = may_link(n, n_y[larger], bins, bins_y[larger], differing, percent)
-                best = np.flatnonzero(near)
-                best = best[np.argsort(-estimate[best], kind="stable")]
-                found += [(min(i, j), max(i, j), len(best) > partners) for j in ids_y[larger][best[:partners]].tolist()]
-        return pd.DataFrame(found, columns=["a", "b", "more"])
+        for at in range(0, len(a), _PAIRS):
+            x, y = a[at : at + _PAIRS], b[at : at + _PAIRS]
+            differing = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            n, bins = column["n_shingles"], column["n_bins"]
+            estimate, near = may_link(n[x], n[y], bins[x], bins[y], differing, percent)
+            found.append((x[near], y[near], estimate[near]))
+        x, y, estimate = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((-estimate, x))
+        x, y = x[order], y[order]
+        first = np.searchsorted(x, x)
+        taken = np.arange(len(x)) - first < partners
+        more = np.searchsorted(x, x, "right") - first > partners
+        ids = column["id"]
+        return [np.minimum(ids[x], ids[y])[taken], np.maximum(ids[x], ids[y])[taken], more[taken]]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's best partners in larger components, per pair of blocks of a bucket."""
+        for column, bits, bounds in _groups(batches):
+            size, component, salt = column["size"], column["component"], column["salt"]
+            pairs_a, pairs_b, waiting = [], [], 0
+            for start, stop in itertools.chain(itertools.pairwise(bounds.tolist()), [(0, 0)]):
+                if stop > start and (component[start:stop] != component[start]).any():
+                    s, c = size[start:stop], component[start:stop]
+                    larger = (s[None, :] > s[:, None]) | ((s[None, :] == s[:, None]) & (c[None, :] > c[:, None]))
+                    if column["lo"][start] != column["hi"][start]:
+                        larger &= salt[start:stop][None, :] != salt[start:stop][:, None]
+                    a, b = np.nonzero(larger)
+                    pairs_a.append(a + start)
+                    pairs_b.append(b + start)
+                    waiting += len(a)
+                if waiting and (waiting >= _PAIRS or not stop):
+                    arrays = best(column, bits, np.concatenate(pairs_a), np.concatenate(pairs_b))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["a", "b", "more"])
+                    pairs_a, pairs_b, waiting = [], [], 0
 
     return search
 
@@ -302,7 +349,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column:
                 break
         else:
             tested = storage.checkpoint(tested.union(confirmed(fresh)))
-        partners *= 4
+        partners *= 16
     named = classes.join(found, classes["first"] == found["id"], "left")
     named = storage.checkpoint(named.select("class", F.coalesce("component", "first").alias("component_id")))
     return signed.join(named, "class", "left").select(
@@ -328,7 +375,10 @@ def _between(members: DataFrame, found: DataFrame, sketches: DataFrame, percent:
     dealt = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "id", "component", "size", "salt", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi")
     )
-    searched = dealt.join(sketches, "id").groupBy("key", "lo", "hi").applyInPandas(_searcher(percent, partners), "a long, b long, more boolean")
+    # A group is a pair of blocks, so it has a bound; groups are met one after the other in sorted partitions.
+    sketched = dealt.join(sketches, "id").select(*_SEARCHED, "sketch")
+    grouped = sketched.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    searched = grouped.mapInArrow(_searcher(percent, partners), "a long, b long, more boolean")
     pairs = storage.checkpoint(searched.groupBy("a", "b").agg(F.bool_or("more").alias("more")))
     return pairs.select("a", "b"), not pairs.filter("more").isEmpty()
 

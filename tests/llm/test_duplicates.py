@@ -179,8 +179,7 @@ def test_sketch_estimate_is_near_the_truth():
             differing = int(np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum())
             true = len(common) / (len(a) + len(b) - len(common))
             estimate, near = near_dup.may_link(len(a), len(b), bins_a, bins_b, differing, 85)
-            # The union is taken as at the bar, so far below it the estimate is only an upper one.
-            assert abs(float(estimate) - true) < (0.04 if share > 0.8 else 0.12)
+            assert abs(float(estimate) - true) < 0.04
             assert bool(near) == (share > 0.8)
 
 
