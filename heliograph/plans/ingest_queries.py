@@ -11,7 +11,7 @@ from heliograph.operators import sampling as batch_sampling
 from heliograph.operators import spanmetrics
 from heliograph.plans import requests
 from heliograph.plans.registry import query
-from heliograph.plans.trace_queries import MONTH_NS, POLICY, SAMPLING_SQL
+from heliograph.plans.trace_queries import DIMENSIONS_SQL, LE_SQL, MONTH_NS, POLICY, SAMPLING_SQL
 from heliograph.sources import envelopes, storage
 from heliograph.streaming import ingest, live
 from heliograph.streaming import sampling as stream_sampling
@@ -130,39 +130,42 @@ def _scratch(t, name: str) -> str:
     return f"{storage.shared_dir(t.spark)}/runs/{name}-{uuid.uuid4().hex}"
 
 
-def _land(t, name: str, frame) -> str:
-    """Land requests as JSON lines, as an exporter would."""
-    path = f"{_scratch(t, name)}/landing"
-    frame.write.text(path)
-    return path
+def _halves(frame, column: str):
+    """The newer and the older half of a table's time span: fed in this order, the second comes late."""
+    middle = frame.agg(clocks.whole_div(F.min(column) + F.max(column), 2)).scalar()
+    return [frame.filter(F.col(column) >= middle), frame.filter(F.col(column) < middle)]
 
 
-def _ingested(t, name: str, signal: str, frame):
-    landing = _land(t, name, frame)
-    root = landing.removesuffix("/landing")
-    ingest.ingest(t.spark, signal, landing, f"{root}/facts", ingest.Stream(f"{root}/checkpoint", grain="month")).awaitTermination()
-    return t.spark.read.parquet(f"{root}/facts")
+def _ingested(t, name: str, signal: str, waves):
+    """Land one wave of requests after the other; the job stops and starts again on its checkpoint between them."""
+    root = _scratch(t, name)
+    for wave in waves:
+        wave.write.mode("append").text(f"{root}/landing")
+        options = ingest.Stream(f"{root}/checkpoint", grain="month")
+        ingest.ingest(t.spark, signal, f"{root}/landing", f"{root}/facts", options).awaitTermination()
+    return storage.read_facts(t.spark, f"{root}/facts")
 
 
 @query("ingest_stream", _SPANS_SQL)
 def _ingest_stream(t):
-    return _flat_spans(_ingested(t, "spans", "traces", requests.span_requests(t.spans)))
+    waves = [requests.span_requests(half) for half in _halves(t.spans, "start_ns")]
+    return _flat_spans(_ingested(t, "spans", "traces", waves))
 
 
 @query("microbatch", _LOGS_SQL)
 def _microbatch(t):
-    return _flat_logs(_ingested(t, "logs", "logs", requests.log_requests(t.logs)))
+    waves = [requests.log_requests(t.logs.filter(f"time_ns % 3 = {n}")) for n in range(3)]
+    return _flat_logs(_ingested(t, "logs", "logs", waves))
 
 
-# Logs arrive newest first and before their spans: nothing is dropped as late.
+# The newer logs arrive first, and all before their spans: nothing is dropped as late.
 @query(
     "late_data",
     """SELECT l.trace_id, l.span_id, l.time_ns, s.name AS span_name FROM logs l
 JOIN spans s ON l.trace_id = s.trace_id AND l.span_id = s.span_id""",
 )
 def _late_data(t):
-    backwards = requests.log_requests(t.logs.orderBy(F.desc("time_ns")))
-    arrived = _ingested(t, "late", "logs", backwards)
+    arrived = _ingested(t, "late", "logs", [requests.log_requests(half) for half in _halves(t.logs, "time_ns")])
     owners = t.spans.select("trace_id", "span_id", F.col("name").alias("span_name"))
     return arrived.join(owners, ["trace_id", "span_id"]).select("trace_id", "span_id", "time_ns", "span_name")
 
@@ -176,12 +179,13 @@ def _append(t):
     return storage.read_facts(t.spark, path).select("trace_id", "span_id", "start_ns", "kind")
 
 
-def _stream(t, name: str, frame, sink, files: int = 4):
-    """Run a sink over a table replayed as a stream of files, a micro-batch per file."""
+def _stream(t, name: str, waves, sink):
+    """Run a sink over waves of a table in its own partitions, a micro-batch and a restart each."""
     root = _scratch(t, name)
-    frame.repartition(files).write.parquet(f"{root}/in")
-    source = t.spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
-    ingest.start(source, sink(f"{root}/out"), ingest.Stream(f"{root}/checkpoint")).awaitTermination()
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{root}/in")
+        source = t.spark.readStream.schema(wave.schema).parquet(f"{root}/in")
+        ingest.start(source, sink(f"{root}/out"), ingest.Stream(f"{root}/checkpoint")).awaitTermination()
     return f"{root}/out"
 
 
@@ -192,7 +196,7 @@ UNION ALL SELECT 'operation', service_name, name || kind, min(start_ns), max(sta
 )
 def _dims_stream(t):
     narrow = t.spans.select("service_name", "name", "kind", "resource", "start_ns")
-    root = _stream(t, "dims", narrow, ingest.keep_dimensions)
+    root = _stream(t, "dims", _halves(narrow, "start_ns"), ingest.keep_dimensions)
     columns = ["dim", "service_name", "name", "first_seen_ns", "last_seen_ns"]
     none = F.lit(None).cast("string")
     service = ingest.read_dimension(t.spark, root, "service").select("*", F.lit("service").alias("dim"), none.alias("name"))
@@ -203,32 +207,49 @@ def _dims_stream(t):
     return service.select(columns).unionByName(operation.select(columns))
 
 
-@query("ingest_volume", "SELECT 'spans' AS signal, CAST(2 AS BIGINT) AS batch_count, CAST(count(*) AS BIGINT) AS row_count FROM spans")
+_WAVES = {"spans": "kind < 3", "logs": "severity_number < 9", "points": "metric_type = 'gauge'"}
+
+
+@query(
+    "ingest_volume",
+    " UNION ALL ".join(
+        f"""SELECT '{signal}' AS signal, CAST(2 AS BIGINT) AS batch_count, CAST(a + b AS BIGINT) AS row_count,
+  CAST(least(a, b) AS BIGINT) AS smallest_batch, CAST(least(a, b) AS BIGINT) AS median_batch, CAST(greatest(a, b) AS BIGINT) AS largest_batch
+FROM (SELECT count(*) FILTER ({wave}) AS a, count(*) FILTER (NOT ({wave})) AS b FROM {signal})"""
+        for signal, wave in _WAVES.items()
+    ),
+)
 def _volume(t):
-    root = _stream(t, "volume", t.spans.select("trace_id"), lambda out: ingest.keep_volume(out, "spans"))
-    return ingest.read_volume(t.spark, root).drop("median_batch_size")
+    parts = []
+    for (signal, wave), table in zip(_WAVES.items(), (t.spans, t.logs, t.metrics)):
+        narrow = table.select("service_name", F.expr(f"{wave}").alias("first"))
+        waves = [narrow.filter("first"), narrow.filter("NOT first")]
+        root = _stream(t, "volume", waves, lambda out, signal=signal: ingest.keep_volume(out, signal))
+        parts.append(ingest.read_volume(t.spark, root))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_SERIES = ", ".join(spanmetrics.DIMENSIONS)
+_FIGURES = ", ".join(f"CAST(sum({c}) OVER r AS BIGINT) AS {c}" for c in spanmetrics.FIGURES)
 
 
 @query(
     "span_metrics_stream",
-    f"""SELECT service_name, kind, flush_ns, CAST(sum(n) OVER w AS BIGINT) AS calls, CAST(sum(total) OVER w AS BIGINT) AS duration_sum_ns FROM (
-  SELECT service_name, kind, (end_ns // {MONTH_NS} + 1) * {MONTH_NS} AS flush_ns, count(*) AS n, sum(end_ns - start_ns) AS total
-  FROM (SELECT * REPLACE ('op' AS name, 0 AS status_code, NULL AS http_status, NULL AS http_method) FROM spans) GROUP BY ALL)
-WINDOW w AS (PARTITION BY service_name, kind ORDER BY flush_ns)""",
+    f""", counted AS (SELECT {DIMENSIONS_SQL}, (end_ns // {spanmetrics.FLUSH_NS} + 1) * {spanmetrics.FLUSH_NS} AS flush_ns,
+  count(*) AS calls, sum(end_ns - start_ns) AS duration_sum_ns, {LE_SQL} FROM spans GROUP BY ALL),
+idle AS (SELECT *, CASE WHEN flush_ns - lag(flush_ns) OVER (PARTITION BY {_SERIES} ORDER BY flush_ns) > {spanmetrics.EXPIRE_NS} THEN 1 ELSE 0 END AS restart FROM counted),
+lives AS (SELECT *, sum(restart) OVER (PARTITION BY {_SERIES} ORDER BY flush_ns) AS life FROM idle)
+SELECT {_SERIES}, flush_ns, {_FIGURES} FROM lives WINDOW r AS (PARTITION BY {_SERIES}, life ORDER BY flush_ns)""",
 )
 def _span_metrics_stream(t):
     narrow = t.spans.select(
-        "service_name", F.lit("op").alias("name"), "kind", F.lit(0).alias("status_code"), "start_ns", "end_ns",
-        F.create_map().cast(values.ATTRIBUTES).alias("attributes"),
-    )
-    table = _stream(t, "spanmetrics", narrow, lambda out: ingest.keep_span_metrics(out, MONTH_NS))
-    kinds = F.create_map(*[F.lit(x) for number, name in spanmetrics.enums.SPAN_KINDS.items() for x in (name, number)])
-    return ingest.read_span_metrics(t.spark, table).select(
-        "service_name", kinds[F.col("span_kind")].alias("kind"), "flush_ns", "calls", "duration_sum_ns"
+        "service_name", "name", "kind", "status_code", "start_ns", "end_ns", "attributes", "`http.method`", "`http.status_code`"
     )
+    table = _stream(t, "spanmetrics", _halves(narrow, "start_ns"), ingest.keep_span_metrics)
+    return ingest.read_span_metrics(t.spark, table, spanmetrics.EXPIRE_NS)
 
 
-# The names of one micro-batch are ranked by first sight, so the stream is fed one file.
+# Names are admitted by first sight, within a micro-batch and between them, so points come in time order.
 @query(
     "cardinality_guard_stream",
     """SELECT metric_name, time_ns, value FROM points WHERE metric_name IN (
@@ -236,7 +257,8 @@ def _span_metrics_stream(t):
 )
 def _guard_stream(t):
     narrow = t.metrics.select("metric_name", "time_ns", "value", "event_date")
-    out = _stream(t, "guard", narrow, lambda out: ingest.guarded(f"{out}/points", f"{out}/names", 3, "month"), files=1)
+    waves = reversed(_halves(narrow, "time_ns"))
+    out = _stream(t, "guard", waves, lambda out: ingest.guarded(f"{out}/points", f"{out}/names", 3, "month"))
     return storage.read_facts(t.spark, f"{out}/points").select("metric_name", "time_ns", "value")
 
 
@@ -255,20 +277,25 @@ FROM spans WHERE start_ns >= {_NOW_NS - _LIVE_MINUTES * 60 * 10**9} AND start_ns
 )
 def _red_live(t):
     narrow = t.spans.select("service_name", "status_code", "start_ns", "end_ns")
-    table = _stream(t, "live", narrow, live.keep_panes)
+    table = _stream(t, "live", _halves(narrow, "start_ns"), live.keep_panes)
     return live.red_window(t.spark, table, _NOW_NS, _LIVE_MINUTES)
 
 
 @query(
     "fan_out",
-    """SELECT 'fact' AS target, CAST(count(*) AS BIGINT) AS row_count FROM spans
-UNION ALL SELECT 'calls', count(*) FROM spans UNION ALL SELECT 'service', count(DISTINCT service_name) FROM spans""",
+    """SELECT 'fact' AS target, trace_id || '/' || span_id AS id, start_ns AS figure FROM spans
+UNION ALL SELECT 'calls', service_name, count(*) FROM spans GROUP BY service_name
+UNION ALL SELECT 'service', service_name, min(start_ns) FROM spans GROUP BY service_name""",
 )
 def _fan_out(t):
+    narrow = t.spans.select(
+        "trace_id", "span_id", "service_name", "name", "kind", "status_code", "start_ns", "end_ns", "event_date", "resource",
+        F.create_map().cast(values.ATTRIBUTES).alias("attributes"), "`http.method`", "`http.status_code`",
+    )
     out = _stream(
         t,
         "fan",
-        t.spans,
+        _halves(narrow, "start_ns"),
         lambda out: ingest.fan_out(
             ingest.append_to(f"{out}/facts", "month"),
             ingest.keep_span_metrics(f"{out}/calls", MONTH_NS),
@@ -276,26 +303,22 @@ def _fan_out(t):
         ),
     )
 
-    def counted(target: str, frame, count=None):
-        return frame.agg((F.count("*") if count is None else count).alias("row_count")).select(F.lit(target).alias("target"), "row_count")
+    def rows(target: str, frame, figure):
+        return frame.select(F.lit(target).alias("target"), "id", F.col(figure).cast("bigint").alias("figure"))
 
-    calls = storage.read_facts(t.spark, f"{out}/calls")
-    return (
-        counted("fact", storage.read_facts(t.spark, f"{out}/facts"))
-        .unionByName(counted("calls", calls, F.sum("calls")))
-        .unionByName(counted("service", ingest.read_dimension(t.spark, f"{out}/dims", "service")))
-    )
+    facts = storage.read_facts(t.spark, f"{out}/facts").withColumn("id", F.concat("trace_id", F.lit("/"), "span_id"))
+    calls = storage.read_facts(t.spark, f"{out}/calls").groupBy(F.col("service_name").alias("id")).agg(F.sum("calls").alias("n"))
+    known = ingest.read_dimension(t.spark, f"{out}/dims", "service").withColumnRenamed("service_name", "id")
+    return rows("fact", facts, "start_ns").unionByName(rows("calls", calls, "n")).unionByName(rows("service", known, "first_seen_ns"))
 
 
+# The newer half comes first; then everything, so that half is a resend and the rest is late by years.
 @query("dedup_stream", "SELECT trace_id, span_id, start_ns FROM spans")
 def _dedup_stream(t):
-    root = _scratch(t, "dedup")
-    narrow = t.spans.select("trace_id", "span_id", "start_ns")
-    narrow.unionByName(narrow).repartition(4, "start_ns").write.parquet(f"{root}/in")
-    source = t.spark.readStream.schema(narrow.schema).parquet(f"{root}/in")
-    writer = ingest.dedup(source, "4000 days").writeStream.format("parquet").option("path", f"{root}/out")
-    writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").select("trace_id", "span_id", "start_ns")
+    narrow = t.spans.select("trace_id", "span_id", "start_ns", "event_date")
+    waves = [_halves(narrow, "start_ns")[0], narrow, narrow.filter("start_ns % 2 = 0")]
+    out = _stream(t, "dedup", waves, lambda out: ingest.keep_first(out, "month"))
+    return storage.read_facts(t.spark, out).select("trace_id", "span_id", "start_ns")
 
 
 # A second is landed once it is 10 s behind the newest span; a trace is decided 10 s after its first.
@@ -317,24 +340,33 @@ def _tail_stream(t):
     return stream_sampling.decisions(t.spark, f"{root}/flags", POLICY).select("trace_id", "span_count", "is_kept")
 
 
+_HORIZON, _KEEP_DAYS = "1998-08-01", 90
+
+
 @query(
     "retention",
-    f"SELECT trace_id, span_id, start_ns FROM spans WHERE start_ns >= (SELECT max(start_ns) FROM spans) - {90 * 86_400 * 10**9}",
+    f"""SELECT trace_id, span_id, start_ns FROM spans
+WHERE date_trunc('month', make_timestamp(start_ns // 1000)) + INTERVAL 1 MONTH > DATE '{_HORIZON}' - {_KEEP_DAYS}""",
 )
 def _retention(t):
-    return storage.retain(t.spans, 90 * 86_400 * 10**9, "start_ns").select("trace_id", "span_id", "start_ns")
+    path = _scratch(t, "retention")
+    storage.append_batch(t.spans.select("trace_id", "span_id", "start_ns", "event_date"), path, 0, "month")
+    storage.drop_expired(t.spark, path, _HORIZON, _KEEP_DAYS, "month")
+    return storage.read_facts(t.spark, path).select("trace_id", "span_id", "start_ns")
 
 
-_DAYS = "SELECT CAST(make_timestamp(start_ns // 1000) AS DATE) AS d, count(*) AS n FROM spans GROUP BY 1"
+_MONTHS = "SELECT CAST(date_trunc('month', make_timestamp(start_ns // 1000)) AS DATE) AS d, count(*) AS n FROM spans GROUP BY 1"
 
 
 @query(
     "partition_inventory",
-    f"""SELECT CAST(count(*) AS BIGINT) AS partition_count, CAST(sum(n) AS BIGINT) AS row_count, CAST(min(d) AS VARCHAR) AS oldest_partition,
-  CAST(max(d) - min(d) AS INT) AS oldest_age_days FROM ({_DAYS})""",
+    f"""SELECT d AS partition_date, CAST(n AS BIGINT) AS row_count, CAST(max(d) OVER () - d AS INT) AS age_days, true AS has_size FROM ({_MONTHS})""",
 )
 def _inventory(t):
-    return storage.inventory_summary(t.spans)
+    path = _scratch(t, "inventory")
+    storage.append_batch(t.spans.select("trace_id", "span_id", "start_ns", "event_date"), path, 0, "month")
+    found = storage.partition_inventory(storage.read_facts(t.spark, path), "event_month")
+    return found.select(F.col("event_month").alias("partition_date"), "row_count", "age_days", (F.col("total_bytes") > 0).alias("has_size"))
 
 
 @query(

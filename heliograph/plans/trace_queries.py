@@ -471,16 +471,16 @@ def _waterfall(t):
 
 # -- collector -------------------------------------------------------------------------------
 
-_DIMENSIONS = f"""service_name, name AS span_name, {_KIND_SQL} AS span_kind, {_STATUS_SQL} AS status, http_method,
+DIMENSIONS_SQL = f"""service_name, name AS span_name, {_KIND_SQL} AS span_kind, {_STATUS_SQL} AS status, http_method,
   CAST(http_status AS VARCHAR) AS http_status_code"""
-_LE = ", ".join(
+LE_SQL = ", ".join(
     f"CAST(count(*) FILTER (end_ns - start_ns <= {b * 1_000_000}) AS BIGINT) AS le_{b}" for b in spanmetrics.BUCKETS_MS
 )
 
 
 @query(
     "span_metrics",
-    f"""SELECT {_DIMENSIONS}, CAST(count(*) AS BIGINT) AS calls, CAST(sum(end_ns - start_ns) AS BIGINT) AS duration_sum_ns, {_LE}
+    f"""SELECT {DIMENSIONS_SQL}, CAST(count(*) AS BIGINT) AS calls, CAST(sum(end_ns - start_ns) AS BIGINT) AS duration_sum_ns, {LE_SQL}
 FROM spans GROUP BY ALL""",
 )
 def _span_metrics(t):
@@ -494,7 +494,7 @@ MONTH_NS = 30 * 86_400 * 10**9
     "span_metrics_cumulative",
     f"""SELECT service_name, span_kind, status, flush_ns, CAST(sum(n) OVER w AS BIGINT) AS calls, CAST(sum(le) OVER w AS BIGINT) AS le_20,
   span_name, http_method, http_status_code
-FROM (SELECT {_DIMENSIONS}, (end_ns // {MONTH_NS} + 1) * {MONTH_NS} AS flush_ns, count(*) AS n,
+FROM (SELECT {DIMENSIONS_SQL}, (end_ns // {MONTH_NS} + 1) * {MONTH_NS} AS flush_ns, count(*) AS n,
     count(*) FILTER (end_ns - start_ns <= 20000000) AS le FROM spans GROUP BY ALL)
 WINDOW w AS (PARTITION BY service_name, span_name, span_kind, status, http_method, http_status_code ORDER BY flush_ns)""",
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import clocks
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}  # by application, for local sessions that name none
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,19 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     if configured is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="heliograph-")
-        spark.conf.set(_CHECKPOINT_DIR, configured)
+        application = spark.sparkContext.applicationId
+        if application not in _local_dirs:
+            _local_dirs[application] = tempfile.mkdtemp(prefix="heliograph-")
+        configured = _local_dirs[application]
     return configured.rstrip("/")
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise and cut lineage; lost executors reread it from shared storage.
 
     A written table instead of an RDD checkpoint: it is read by column, and its size is known to
-    the optimizer when it picks joins.
+    the optimizer when it picks joins. :func:`release` removes them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -102,19 +110,56 @@ def retain_by_clock(df: DataFrame, now: str | int, keep_ns: int, time_column: st
     return kept.filter(F.col("event_date") >= clocks.event_date(F.lit(oldest).cast("bigint")))
 
 
-def partition_inventory(df: DataFrame) -> DataFrame:
-    """Rows per day partition, and its age in days behind the newest day."""
-    days = df.groupBy("event_date").agg(F.count("*").alias("row_count"))
-    newest = days.agg(F.max("event_date")).scalar()
-    return days.withColumn("age_days", F.date_diff(newest, "event_date"))
+def drop_expired(spark: SparkSession, path: str, now: str, keep_days: int, grain: str = "day") -> list[str]:
+    """Remove the partitions of a table that end ``keep_days`` or more before ``now`` (a date); returns them.
+
+    Only folders are listed and deleted, no row is read. A day or month that reaches into the kept time
+    stays whole.
+    """
+    horizon = date.fromisoformat(now) - timedelta(days=keep_days)
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/{GRAINS[grain]}=*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dropped = []
+    for status in fs.globStatus(pattern) or []:
+        value = status.getPath().getName().partition("=")[2]
+        if not value[:4].isdigit():
+            continue
+        first = date.fromisoformat(value)
+        after = first + timedelta(days=1) if grain == "day" else (first + timedelta(days=31)).replace(day=1)
+        if after <= horizon and fs.delete(status.getPath(), True):
+            dropped.append(status.getPath().toString())
+    return dropped
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what :func:`checkpoint` has written in this application; its results can't be read after that."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def partition_inventory(df: DataFrame, column: str = "event_date") -> DataFrame:
+    """Rows, files and bytes per partition of a stored table, and its age in days behind the newest one.
+
+    Rows are counted from the files' footers, sizes come with the file listing: no column is read.
+    """
+    files = df.groupBy(column, F.col("_metadata.file_path").alias("file")).agg(
+        F.count("*").alias("n"), F.max("_metadata.file_size").alias("size")
+    )
+    days = files.groupBy(column).agg(
+        F.sum("n").alias("row_count"), F.count("*").alias("file_count"), F.sum("size").alias("total_bytes")
+    )
+    newest = days.agg(F.max(column)).scalar()
+    return days.withColumn("age_days", F.date_diff(newest, column))
 
 
-def inventory_summary(df: DataFrame) -> DataFrame:
-    """Partition count, total rows, oldest day and its age."""
-    return partition_inventory(df).agg(
+def inventory_summary(df: DataFrame, column: str = "event_date") -> DataFrame:
+    """Partition count, total rows and bytes, oldest partition and its age."""
+    return partition_inventory(df, column).agg(
         F.count("*").alias("partition_count"),
         F.sum("row_count").alias("row_count"),
-        F.min("event_date").cast("string").alias("oldest_partition"),
+        F.sum("total_bytes").alias("total_bytes"),
+        F.min(column).cast("string").alias("oldest_partition"),
         F.max("age_days").alias("oldest_age_days"),
     )
 

@@ -41,11 +41,36 @@ def test_missing_table(spark, tmp_path):
     assert storage.read_facts(spark, str(tmp_path / "none"), "a int").count() == 0
 
 
-def test_retention_and_inventory(spark):
+def test_retention_and_inventory(spark, tmp_path):
     df = facts(spark, 0, DAY, 5 * DAY, 5 * DAY + 1)
     assert storage.retain(df, 4 * DAY + 1).count() == 3
     assert storage.retain_by_clock(df, 6 * DAY, 2 * DAY).count() == 2
-    assert tuple(storage.inventory_summary(df).first()) == (3, 4, "1970-01-01", 5)
+    path = str(tmp_path / "facts")
+    storage.append_batch(df, path, 0)
+    storage.append_batch(facts(spark, 0), path, 1)
+    days = {str(r.event_date): (r.row_count, r.file_count, r.age_days) for r in storage.partition_inventory(storage.read_facts(spark, path)).collect()}
+    assert days == {"1970-01-01": (2, 2, 5), "1970-01-02": (1, 1, 4), "1970-01-06": (2, 1, 0)}
+    summary = storage.inventory_summary(storage.read_facts(spark, path)).first()
+    written = sum(f.stat().st_size for f in (tmp_path / "facts").rglob("part-*.parquet"))
+    assert tuple(summary) == (3, 5, written, "1970-01-01", 5)
+    assert len(storage.drop_expired(spark, path, "1970-01-05", 3)) == 2
+    assert sorted(r.time_ns for r in storage.read_facts(spark, path).collect()) == [DAY, 5 * DAY, 5 * DAY + 1]
+    assert not storage.drop_expired(spark, path, "1970-01-05", 3)
+
+
+def test_months_that_reach_into_the_kept_time_stay(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    storage.append_batch(facts(spark, 0, 40 * DAY, 70 * DAY), path, 0, "month")
+    assert len(storage.drop_expired(spark, path, "1970-03-10", 30, "month")) == 1
+    assert sorted(r.time_ns for r in storage.read_facts(spark, path).collect()) == [40 * DAY, 70 * DAY]
+
+
+def test_release_removes_materialised_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
+    kept = storage.checkpoint(spark.range(3).toDF("a"))
+    assert kept.count() == 3 and list(tmp_path.glob("tables-*/*"))
+    storage.release(spark)
+    assert not list(tmp_path.glob("tables-*"))
 
 
 @pytest.mark.parametrize("file_format", ["json", "csv", "parquet"])
