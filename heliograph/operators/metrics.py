@@ -99,6 +99,18 @@ def catalog(
     )
 
 
+def catalog_page(
+    metrics: DataFrame,
+    time_range: flt.TimeRange | None = None,
+    names: Iterable[str] = (),
+    filters: Iterable[flt.Filter] = (),
+    limit: int = paging.DEFAULT_LIMIT,
+    cursor: tuple | None = None,
+) -> DataFrame:
+    """A page of the catalogue by name, with ``has_more``."""
+    return paging.page(catalog(metrics, time_range, names, filters), [("metric_name", False)], limit, cursor, wide=False)
+
+
 def detail(
     metrics: DataFrame,
     metric_name: str | None,
@@ -124,14 +136,16 @@ def detail(
 
 def series_documents(
     metrics: DataFrame,
-    metric_name: str,
+    metric_name: str | None,
     time_range: flt.TimeRange | None = None,
     merge_services: bool = False,
     part_size: int = 1000,
 ) -> DataFrame:
-    """Series of a metric as nested records of at most ``part_size`` points in time order."""
-    chosen = metrics.filter((F.col("metric_name") == metric_name) & F.col("service_name").isNotNull())
+    """Series of a metric (all metrics when None) as nested records of at most ``part_size`` points in time order."""
+    named = metrics if metric_name is None else metrics.filter(F.col("metric_name") == metric_name)
+    chosen = named.filter(F.col("service_name").isNotNull())
     keyed = with_series(flt.in_range(chosen, time_range, closed=True), merge_services).select(
+        "metric_name",
         "series_key",
         values.series_label(F.col("attributes"), F.col("service_name")).alias("label"),
         F.to_json(identifiers.canonical_entries(F.col("attributes"))).alias("attributes"),
@@ -139,11 +153,11 @@ def series_documents(
         "time_ns",
         "value",
     )
-    numbered = number_rows(keyed, ["series_key"], ["time_ns", "value", "resource"], "position")
+    numbered = number_rows(keyed, ["metric_name", "series_key"], ["time_ns", "value", "resource"], "position")
     part = clocks.whole_div(F.col("position") - 1, part_size).alias("part")
     points = F.array_sort(F.collect_list(F.struct("time_ns", "value"))).alias("datapoints")
     first = F.min_by("resource", F.struct("time_ns", "value", "resource")).alias("resource")
-    return numbered.groupBy("series_key", "label", "attributes", part).agg(first, points)
+    return numbered.groupBy("metric_name", "series_key", "label", "attributes", part).agg(first, points)
 
 
 def attribute_sets(metrics: DataFrame, metric_name: str | None = None) -> DataFrame:

@@ -108,8 +108,8 @@ def _span_logs(t):
 
 @query(
     "orphan_logs",
-    """SELECT l.trace_id, l.span_id, l.time_ns FROM logs l WHERE l.span_id IS NOT NULL
-AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.trace_id = l.trace_id AND s.span_id = l.span_id)""",
+    """SELECT l.trace_id, l.span_id, l.time_ns FROM (SELECT * FROM logs WHERE span_id IS NOT NULL) l
+ANTI JOIN spans s ON s.trace_id = l.trace_id AND s.span_id = l.span_id""",
 )
 def _orphans(t):
     return correlate.orphan_logs(t.logs, t.spans).select("trace_id", "span_id", "time_ns")

@@ -48,9 +48,40 @@ def _catalog(t):
     return metrics.catalog(t.metrics, WINDOW)
 
 
-@query("metric_detail", f"SELECT metric_name, service_name, label, time_ns, value FROM points WHERE time_ns BETWEEN {WINDOW.start_ns} AND {WINDOW.end_ns}")
+@query(
+    "metric_catalog_page",
+    f"""SELECT metric_name, CAST(count(DISTINCT service_name) AS BIGINT) AS resource_count, true AS has_more
+FROM points WHERE {_IN} GROUP BY metric_name ORDER BY metric_name LIMIT 3""",
+)
+def _catalog_page(t):
+    return metrics.catalog_page(t.metrics, WINDOW, limit=3).select("metric_name", "resource_count", "has_more")
+
+
+_ATTRIBUTES = """'[{"key":"k","value":{"string_value":"' || a_k || '"}},{"key":"user","value":{"int_value":"' || a_user || '"}}]'"""
+_SERIES_KEY = f"sha256(service_name || '|' || {_ATTRIBUTES})"
+
+
+@query(
+    "metric_detail",
+    f"""SELECT metric_name, {_SERIES_KEY} AS series_key, service_name, label, time_ns, value FROM points
+WHERE time_ns BETWEEN {WINDOW.start_ns} AND {WINDOW.end_ns}""",
+)
 def _detail(t):
-    return metrics.detail(t.metrics, None, WINDOW).drop("series_key")
+    return metrics.detail(t.metrics, None, WINDOW)
+
+
+@query(
+    "metric_series_documents",
+    f"""SELECT metric_name, {_SERIES_KEY} AS series_key, label, {_ATTRIBUTES} AS attributes,
+  '[{{"key":"service.name","value":{{"string_value":"' || service_name || '"}}}}]' AS resource, CAST(0 AS BIGINT) AS part,
+  CAST(count(*) AS INT) AS point_count, min(time_ns) AS first_ns, max(time_ns) AS last_ns FROM points GROUP BY ALL""",
+)
+def _documents(t):
+    points = F.col("datapoints")
+    return metrics.series_documents(t.metrics, None).select(
+        "metric_name", "series_key", "label", "attributes", "resource", "part", F.size(points).alias("point_count"),
+        F.element_at(points, 1)["time_ns"].alias("first_ns"), F.element_at(points, -1)["time_ns"].alias("last_ns"),
+    )
 
 
 @query("metric_attribute_sets", "SELECT DISTINCT metric_name, label AS attribute_set FROM points")
@@ -139,11 +170,13 @@ _IDENTITY = "metric_name, metric_type, unit, temporality, is_monotonic"
 
 @query(
     "metric_dim",
-    f"""SELECT metric_name, metric_type, unit, temporality, coalesce(is_monotonic, false) AS is_monotonic, description,
-  min(time_ns) AS first_seen_ns, max(time_ns) AS last_seen_ns FROM points GROUP BY {_IDENTITY}, description""",
+    f"""SELECT sha256('{{' || j || ',"description":"' || description || '"}}') AS metric_hash, sha256('{{' || j || '}}') AS identity_hash, * EXCLUDE (j) FROM (
+SELECT '"metric_name":"' || metric_name || '","metric_type":"' || metric_type || '","unit":"' || unit || '","temporality":'
+  || coalesce('"' || temporality || '"', 'null') || ',"is_monotonic":' || coalesce(CAST(is_monotonic AS VARCHAR), 'null') AS j, metric_name, metric_type, unit, temporality, coalesce(is_monotonic, false) AS is_monotonic, description,
+  min(time_ns) AS first_seen_ns, max(time_ns) AS last_seen_ns FROM points GROUP BY {_IDENTITY}, description)""",
 )
 def _metric_dim(t):
-    dim = dimensions.metric_dim(t.metrics).drop("metric_hash", "identity_hash")
+    dim = dimensions.metric_dim(t.metrics)
     return dim.withColumn("is_monotonic", F.coalesce("is_monotonic", F.lit(False)))
 
 
@@ -237,20 +270,23 @@ def _histogram(t):
     return distributions.histogram_buckets(t.distributions)
 
 
-# scale is 1 throughout, so the base is sqrt(2)
+# Scales run from -2 to 2: bases from 16 down to the fourth root of 2.
+_SCALED = "pow(2.0, -(event_id % 5 - 2))"
+
+
 @query(
     "exp_histogram_buckets",
-    """SELECT metric_name, service_name, time_ns, round(lower, 9) AS lower, round(upper, 9) AS upper, bucket_count FROM (
+    f"""SELECT metric_name, service_name, time_ns, round(lower, 6) AS lower, round(upper, 6) AS upper, bucket_count FROM (
   SELECT metric_name, service_name, time_ns, unnest([
-    {'lower': -pow(2, 0.5 * 2), 'upper': -pow(2, 0.5 * 1), 'bucket_count': event_id % 2},
-    {'lower': 0.0, 'upper': 0.0, 'bucket_count': event_id % 7},
-    {'lower': pow(2, 0.5 * (user_id % 5)), 'upper': pow(2, 0.5 * (user_id % 5 + 1)), 'bucket_count': event_id % 4},
-    {'lower': pow(2, 0.5 * (user_id % 5 + 1)), 'upper': pow(2, 0.5 * (user_id % 5 + 2)), 'bucket_count': event_id % 5}
+    {{'lower': -pow(2, {_SCALED} * 2), 'upper': -pow(2, {_SCALED} * 1), 'bucket_count': event_id % 2}},
+    {{'lower': 0.0, 'upper': 0.0, 'bucket_count': event_id % 7}},
+    {{'lower': pow(2, {_SCALED} * (user_id % 5)), 'upper': pow(2, {_SCALED} * (user_id % 5 + 1)), 'bucket_count': event_id % 4}},
+    {{'lower': pow(2, {_SCALED} * (user_id % 5 + 1)), 'upper': pow(2, {_SCALED} * (user_id % 5 + 2)), 'bucket_count': event_id % 5}}
   ], recursive := true) FROM dists WHERE event_id % 3 = 1)""",
 )
 def _exponential(t):
     return distributions.exponential_buckets(t.distributions).withColumns(
-        {"lower": F.round("lower", 9), "upper": F.round("upper", 9)}
+        {"lower": F.round("lower", 6), "upper": F.round("upper", 6)}
     )
 
 
@@ -272,7 +308,7 @@ def _exemplars(t):
 @query(
     "orphan_exemplars",
     """SELECT metric_name, trace_id, span_id, time_ns FROM exemplars e
-WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.trace_id = e.trace_id AND s.span_id = e.span_id)""",
+ANTI JOIN spans s ON s.trace_id = e.trace_id AND s.span_id = e.span_id""",
 )
 def _orphan_exemplars(t):
     return correlate.orphan_exemplars(t.metrics, t.spans).select("metric_name", "trace_id", "span_id", "time_ns")
@@ -324,19 +360,23 @@ def _unify(t):
 @query(
     "attribute_levels",
     """SELECT 'resource' AS level, 'service.name' AS key, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT service_name) AS BIGINT) AS distinct_values FROM spans
+UNION ALL SELECT 'resource', 'service.namespace', count(*), count(DISTINCT namespace) FROM spans
 UNION ALL SELECT 'event', 'exception.type', count(*), count(DISTINCT name) FROM spans WHERE status_code = 2
 UNION ALL SELECT 'link', 'link.kind', count(*), 1 FROM spans WHERE kind IN (0, 5) AND seq > 1
 UNION ALL SELECT 'datapoint', 'user', count(*), count(DISTINCT a_user) FROM points
-UNION ALL SELECT 'log', 'event.type', count(*), count(DISTINCT a_event_type) FROM logs WHERE a_event_type IS NOT NULL""",
+UNION ALL SELECT 'datapoint', 'k', count(*), count(DISTINCT a_k) FROM points
+UNION ALL SELECT 'log', k, count(*), count(DISTINCT v) FROM (
+  SELECT unnest(['user.id', 'event.type', 'attributes.span.kind', 'span.name', 'z.last']) AS k,
+    unnest([a_user_id, a_event_type, a_span_kind, a_span_name, a_last]) AS v FROM logs) WHERE v IS NOT NULL GROUP BY k""",
 )
 def _levels(t):
     owner = ["trace_id", "span_id"]
     parts = [
-        attributes.attribute_rows(t.spans, "resource", owner, "resource").filter("key = 'service.name'"),
+        attributes.attribute_rows(t.spans, "resource", owner, "resource"),
         attributes.attribute_rows(traces.events(t.spans), "event", [*owner, "event_index"]),
         attributes.attribute_rows(traces.links(t.spans), "link", [*owner, "link_index"]),
-        attributes.attribute_rows(t.metrics, "datapoint", ["metric_name", "time_ns"]).filter("key = 'user'"),
-        attributes.attribute_rows(t.logs, "log", ["time_ns"]).filter("key = 'event.type'"),
+        attributes.attribute_rows(t.metrics, "datapoint", ["metric_name", "time_ns"]),
+        attributes.attribute_rows(t.logs, "log", ["time_ns"]),
     ]
     whole = parts[0]
     for part in parts[1:]:
@@ -356,24 +396,20 @@ def _keys(t):
 
 @query(
     "attr_key_join",
-    f"""SELECT owner_id, key, value_type, count(*) OVER (PARTITION BY key, value_type) AS occurrences FROM ({_EAV})
-WHERE key LIKE 'http.%'""",
+    f"SELECT owner_id, key, value_type, count(*) OVER (PARTITION BY key, value_type) AS occurrences FROM ({_EAV})",
 )
 def _key_join(t):
-    rows = _rows(t).filter(F.col("key").startswith("http."))
+    rows = _rows(t)
     joined = attributes.with_registry(rows, attributes.key_registry(rows))
     return joined.select("owner_id", "key", "value_type", "occurrences")
 
 
 @query(
     "promote_attribute",
-    """SELECT trace_id, span_id, CAST(coalesce(http_status, -1) AS INT) AS promoted, kind IN (2, 3) AS was_there FROM spans
-WHERE http_status BETWEEN 400 AND 499 OR http_status IS NULL""",
+    """SELECT trace_id, span_id, CAST(coalesce(http_status, -1) AS INT) AS promoted, kind IN (2, 3) AS was_there FROM spans""",
 )
 def _promote(t):
-    promoted = attributes.promote_attribute(t.spans, "http.status_code", "int")
-    chosen = [Filter("http_status", "eq", "4xx"), Filter("http_status", "eq", "unknown")]
-    return filters.apply_filters(promoted, chosen).select(
+    return attributes.promote_attribute(t.spans, "http.status_code", "int").select(
         "trace_id",
         "span_id",
         F.coalesce(F.col("`http.status_code`"), F.lit(-1)).alias("promoted"),

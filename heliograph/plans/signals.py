@@ -337,7 +337,7 @@ def _derive_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
         dp_sum=value,
         bucket_counts=F.when(is_histogram, counts),
         explicit_bounds=F.when(is_histogram, F.array(*[F.lit(b) for b in _BOUNDS])),
-        scale=F.when(is_exponential, number % 3),
+        scale=F.when(is_exponential, number % 5 - 2),
         zero_count=F.when(is_exponential, number % 7),
         positive_offset=F.when(is_exponential, F.col("user_id") % 5),
         positive_counts=F.when(is_exponential, F.array(number % 4, number % 5)),

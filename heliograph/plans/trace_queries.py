@@ -8,7 +8,7 @@ from heliograph.functions import enums, values, web
 from heliograph.operators import correlate, dimensions, filters, genai, sampling, servicemap, services, spanmetrics, traces
 from heliograph.operators.filters import Filter, TimeRange
 from heliograph.plans.registry import query
-from heliograph.plans.tables_sql import rfc3339_sql
+from heliograph.plans.tables_sql import TABLES, rfc3339_sql
 from heliograph.streaming.ingest import tag_source
 
 WINDOW = TimeRange("1996-01-01T00:00:00Z", "1998-01-01T00:00:00Z")
@@ -124,30 +124,35 @@ def _span_view(t):
 # -- joins -----------------------------------------------------------------------------------
 
 
+# PRODUCER spans name a service that the dimension does not hold.
+_SERVICE_ID = "CASE WHEN kind = 4 THEN -service_id ELSE service_id END"
+
+
 def _services(t):
-    known = t.table("supplier").filter("s_acctbal >= 0")
-    return known.select(F.col("s_suppkey").alias("service_id"), F.col("s_name").alias("dim_name"))
+    return t.table("supplier").select(F.col("s_suppkey").alias("service_id"), F.col("s_name").alias("dim_name"))
 
 
-# Services in debt are not in the dimension, so that some facts find none.
-_DIM = "(SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal >= 0)"
+def _facts(t):
+    return t.spans.select(*_KEYS, F.expr(_SERVICE_ID).alias("service_id"))
 
 
 @query(
     "span_service_outer",
-    f"SELECT trace_id, span_id, service_id, s_name AS dim_name FROM spans LEFT JOIN {_DIM} ON service_id = s_suppkey",
+    f"""SELECT trace_id, span_id, {_SERVICE_ID} AS service_id, s_name AS dim_name
+FROM spans LEFT JOIN supplier ON {_SERVICE_ID} = s_suppkey""",
 )
 def _service_outer(t):
-    joined = dimensions.with_service(t.spans.select(*_KEYS, "service_id"), _services(t))
+    joined = dimensions.with_service(_facts(t), _services(t))
     return joined.select(*_KEYS, "service_id", "dim_name")
 
 
 @query(
     "span_service_inner",
-    f"SELECT trace_id, span_id, service_id, s_name AS dim_name FROM spans JOIN {_DIM} ON service_id = s_suppkey",
+    f"""SELECT trace_id, span_id, {_SERVICE_ID} AS service_id, s_name AS dim_name
+FROM spans JOIN supplier ON {_SERVICE_ID} = s_suppkey""",
 )
 def _service_inner(t):
-    joined = dimensions.with_service(t.spans.select(*_KEYS, "service_id"), _services(t), "inner")
+    joined = dimensions.with_service(_facts(t), _services(t), "inner")
     return joined.select(*_KEYS, "service_id", "dim_name")
 
 
@@ -162,6 +167,11 @@ def _trace_semi(t):
     return traces.spans_of(t.spans, found).select(*_KEYS, "start_ns")
 
 
+def _resent(spans):
+    """Every span twice, as after a retry."""
+    return spans.unionByName(spans)
+
+
 @query(
     "parent_child",
     """SELECT c.trace_id, c.span_id, c.parent_span_id, c.service_name, p.service_name AS parent_service
@@ -169,7 +179,7 @@ FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.sp
 WHERE c.kind NOT IN (3, 4, 5) AND p.kind <> 3 AND c.service_name <> p.service_name""",
 )
 def _parent_child(t):
-    return servicemap.parent_child(t.spans).select(*_KEYS, "parent_span_id", "service_name", "parent_service")
+    return servicemap.parent_child(_resent(t.spans)).select(*_KEYS, "parent_span_id", "service_name", "parent_service")
 
 
 @query(
@@ -187,15 +197,21 @@ def _links(t):
     )
 
 
-# The parents of the derived spans are all there, so PRODUCER spans count as not delivered.
+# The parents of the derived spans are all there, so each PRODUCER span gets a child whose parent is not.
+_WITH_ORPHANS = """SELECT trace_id, span_id, parent_span_id FROM spans
+UNION ALL SELECT trace_id, reverse(span_id), {missing} FROM spans WHERE kind = 4"""
+
+
 @query(
     "orphan_spans",
-    """SELECT c.trace_id, c.span_id, c.parent_span_id FROM spans c
-WHERE c.kind <> 4 AND c.parent_span_id IS NOT NULL AND NOT EXISTS (
-  SELECT 1 FROM spans p WHERE p.kind <> 4 AND p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)""",
+    f""", whole AS ({_WITH_ORPHANS.format(missing="repeat('d', 16)")})
+SELECT c.trace_id, c.span_id, c.parent_span_id FROM (SELECT * FROM whole WHERE parent_span_id IS NOT NULL) c
+ANTI JOIN whole p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id""",
 )
 def _orphan_spans(t):
-    return correlate.orphan_spans(t.spans.filter("kind <> 4")).select(*_KEYS, "parent_span_id")
+    narrow = t.spans.select(*_KEYS, "parent_span_id", "kind")
+    added = narrow.filter("kind = 4").withColumns({"span_id": F.reverse("span_id"), "parent_span_id": F.lit("d" * 16)})
+    return correlate.orphan_spans(narrow.unionByName(added)).select(*_KEYS, "parent_span_id")
 
 
 _KIND_SQL = "CASE kind " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enums.SPAN_KINDS.items()) + " END"
@@ -262,12 +278,23 @@ def _health(t):
 
 @query("service_map_edges", "SELECT * FROM map_edges")
 def _edges(t):
-    return servicemap.edges(t.spans)
+    return servicemap.edges(_resent(t.spans))
+
+
+# Both ends of a call must lie in the window.
+@query(
+    "service_map_window",
+    f""", w AS (SELECT * FROM spans WHERE {_IN}), w_remote AS ({TABLES["remote_edges"].replace("FROM spans", "FROM w")}),
+w_child AS ({TABLES["child_edges"].replace("FROM spans c JOIN spans p", "FROM w c JOIN w p")})
+{TABLES["map_edges"].replace("remote_edges", "w_remote").replace("child_edges", "w_child")}""",
+)
+def _edges_in_window(t):
+    return servicemap.edges(t.spans, WINDOW)
 
 
 @query("service_map_nodes", "SELECT * FROM map_nodes")
 def _nodes(t):
-    return servicemap.nodes(t.spans)
+    return servicemap.nodes(_resent(t.spans))
 
 
 @query(
@@ -612,25 +639,31 @@ def _dim_operation(t):
     return dimensions.operation_dim(t.spans)
 
 
+_DIM_RESOURCE = """SELECT sha256('[{"key":"service.name","value":{"string_value":"' || service_name
+    || '"}},{"key":"service.namespace","value":{"string_value":"' || namespace || '"}}]') AS resource_hash,
+  '{"service.name":{"string_value":"' || service_name || '"},"service.namespace":{"string_value":"' || namespace || '"}}' AS attributes_json,
+  min(start_ns) AS first_seen_ns, max(start_ns) AS last_seen_ns FROM spans GROUP BY service_name, namespace"""
+
+
 @query(
     "dim_resource",
-    """SELECT resource_json AS attributes_json, min(start_ns) AS first_seen_ns, max(start_ns) AS last_seen_ns FROM (
-  SELECT *, '{"service.name":{"string_value":"' || service_name || '"},"service.namespace":{"string_value":"' || namespace
-    || '"}}' AS resource_json FROM spans) GROUP BY resource_json""",
+    _DIM_RESOURCE,
 )
 def _dim_resource(t):
-    return dimensions.resource_dim(t.spans).drop("resource_hash")
+    return dimensions.resource_dim(t.spans)
 
 
 @query(
     "batch_dims",
     f"""SELECT 'service' AS dim, service_name, NULL AS name, CAST(-1 AS INT) AS kind, min(start_ns) AS first_seen_ns,
-  max(start_ns) AS last_seen_ns FROM spans WHERE {_IN} GROUP BY service_name
-UNION ALL SELECT 'operation', * FROM ({_DIM_OPERATION.replace("FROM spans", "FROM spans WHERE " + _IN)})""",
+  max(start_ns) AS last_seen_ns FROM spans GROUP BY service_name
+UNION ALL SELECT 'operation', * FROM ({_DIM_OPERATION})
+UNION ALL SELECT 'resource', resource_hash, attributes_json, -1, first_seen_ns, last_seen_ns FROM ({_DIM_RESOURCE})""",
 )
 def _batch_dims(t):
-    dims = dimensions.batch_dims(filters.in_range(t.spans, WINDOW))
-    named = [dims[d].withColumn("dim", F.lit(d)) for d in ("service", "operation")]
+    dims = dimensions.batch_dims(t.spans)
+    resource = dims["resource"].withColumnsRenamed({"resource_hash": "service_name", "attributes_json": "name"})
+    named = [rows.withColumn("dim", F.lit(d)) for d, rows in (("operation", dims["operation"]), ("service", dims["service"]), ("resource", resource))]
     columns = ["dim", "service_name", "name", "kind", "first_seen_ns", "last_seen_ns"]
-    both = named[0].unionByName(named[1], allowMissingColumns=True)
-    return both.withColumn("kind", F.coalesce("kind", F.lit(-1))).select(columns)
+    whole = named[0].unionByName(named[1], allowMissingColumns=True).unionByName(named[2], allowMissingColumns=True)
+    return whole.withColumn("kind", F.coalesce("kind", F.lit(-1))).select(columns)

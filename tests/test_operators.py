@@ -323,6 +323,53 @@ def test_orphans_need_both_ids(spark, make_spans):
     assert sorted(r.time_ns for r in correlate.orphan_logs(found, spans).collect()) == [2, 3]
 
 
+def test_map_counts_resent_spans_once(make_spans):
+    rows = [
+        {"id": "a", "service": "web", "kind": 2, "start": 1, "end": 9},
+        {"id": "b", "parent": "a", "service": "api", "kind": 2, "start": 2, "end": 6},
+        {"id": "c", "parent": "b", "service": "api", "kind": 3, "start": 3, "end": 5, "tags": {"peer.service": "pay"}},
+    ]
+    once, thrice = make_spans(rows), make_spans(rows * 3)
+    want = {("web", "api", 1), ("api", "pay", 1)}
+    for spans in (once, thrice):
+        assert {(r.source, r.target, r.call_count) for r in servicemap.edges(spans).collect()} == want
+        assert servicemap.parent_child(spans).count() == 1
+    figures = {r.id: r.request_count for r in servicemap.node_metrics(thrice).collect()}
+    assert figures == {"web": 1, "api": 2, "pay": 0}
+
+
+def test_hot_trace_is_split(spark):
+    """A third of the rows on one trace: the final plan holds a skewed join, whichever operator asks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k) for k in settings if k != "spark.sql.adaptive.advisoryPartitionSizeInBytes"}
+    hot = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
+    spans = spark.range(0, 120_000, numPartitions=6).select(
+        hot.alias("trace_id"), F.md5(F.col("id").cast("string")).alias("span_id"), F.col("id").alias("start_ns"),
+        (F.col("id") + 5).alias("end_ns"), F.lit("own").alias("service_name"), F.lit(0).alias("status_code"),
+        F.lit("200").alias("http.status_code"),
+    )
+    logs = spans.select("trace_id", "span_id", F.col("start_ns").alias("time_ns"))
+    policy = sampling.Policy(own_services="^own", percentage=100.0)
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        for joined in (traces.with_trace_bounds(spans), correlate.trace_logs(logs, spans), sampling.tail_sample(spans, policy)):
+            assert joined.count() == 120_000
+            joined.write.format("noop").mode("overwrite").save()
+            joined.collect()
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_dedup_keeps_one_copy(make_spans):
     rows = [{"id": "a", "start": 1, "name": "first"}] + [{"id": "a", "start": 2, "name": f"n{i}"} for i in range(50)] + [{"id": "b", "start": 3}]
     spans = make_spans(rows)
