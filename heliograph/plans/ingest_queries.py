@@ -197,6 +197,7 @@ UNION ALL SELECT 'operation', service_name, name || kind, min(start_ns), max(sta
 def _dims_stream(t):
     narrow = t.spans.select("service_name", "name", "kind", "resource", "start_ns")
     root = _stream(t, "dims", _halves(narrow, "start_ns"), ingest.keep_dimensions)
+    ingest.compact_dimensions(t.spark, root)
     columns = ["dim", "service_name", "name", "first_seen_ns", "last_seen_ns"]
     none = F.lit(None).cast("string")
     service = ingest.read_dimension(t.spark, root, "service").select("*", F.lit("service").alias("dim"), none.alias("name"))
@@ -246,6 +247,7 @@ def _span_metrics_stream(t):
         "service_name", "name", "kind", "status_code", "start_ns", "end_ns", "attributes", "`http.method`", "`http.status_code`"
     )
     table = _stream(t, "spanmetrics", _halves(narrow, "start_ns"), ingest.keep_span_metrics)
+    ingest.compact_span_metrics(t.spark, table)
     return ingest.read_span_metrics(t.spark, table, spanmetrics.EXPIRE_NS)
 
 
@@ -278,6 +280,7 @@ FROM spans WHERE start_ns >= {_NOW_NS - _LIVE_MINUTES * 60 * 10**9} AND start_ns
 def _red_live(t):
     narrow = t.spans.select("service_name", "status_code", "start_ns", "end_ns")
     table = _stream(t, "live", _halves(narrow, "start_ns"), live.keep_panes)
+    live.compact_panes(t.spark, table)
     return live.red_window(t.spark, table, _NOW_NS, _LIVE_MINUTES)
 
 

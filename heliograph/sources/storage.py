@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,24 +78,85 @@ def append_batch(df: DataFrame, path: str, batch_id: int, grain: str = "day") ->
     balanced.write.mode("overwrite").partitionBy(column).parquet(_batch_dir(path, batch_id))
 
 
+def _filesystem(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _finished(spark: SparkSession, path: str) -> dict[int, str]:
+    """Folders of finished writes by the number of their batch."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/_SUCCESS")
+    found = [s.getPath().getParent() for s in (_filesystem(spark, path).globStatus(pattern) or [])]
+    numbered = ((folder.getName().partition("=")[2], folder.toString()) for folder in found)
+    # Batches of several writers are named, not numbered; those are not compacted.
+    return {(int(name) if name.isdigit() else name): folder for name, folder in numbered}
+
+
+def _layout(spark: SparkSession, path: str) -> tuple[int, str | None, list[str]]:
+    """Last batch in the compacted folder (-1 without one), that folder, and the batches after it."""
+    rolled = _finished(spark, f"{path}/compacted")
+    last = max(rolled, default=-1)
+    tail = {n: folder for n, folder in _finished(spark, path).items() if not isinstance(n, int) or n > last}
+    return last, rolled.get(last), [tail[n] for n in sorted(tail, key=lambda n: (isinstance(n, str), n))]
+
+
 def committed_batches(spark: SparkSession, path: str) -> list[str]:
-    """Batch folders whose write has finished. One entry per batch, no file listing below it."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/_SUCCESS"))
-    return sorted(status.getPath().getParent().toString() for status in (found or []))
+    """Folders to read: the compacted one, if any, and the batches after it. No file listing below them."""
+    _, rolled, tail = _layout(spark, path)
+    return [*([rolled] if rolled else []), *tail]
 
 
 def read_facts(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """All committed batches; a filter on ``event_date`` prunes folders."""
-    batches = committed_batches(spark, path)
-    if not batches:
+    _, rolled, tail = _layout(spark, path)
+    parts = [(f"{path}/compacted", [rolled])] if rolled else []
+    parts += [(path, tail)] if tail else []
+    if not parts:
         if schema is None:
             raise FileNotFoundError(f"no committed batch under {path}")
         return spark.createDataFrame([], schema)
-    reader = spark.read.option("basePath", path)
-    return (reader.schema(schema) if schema else reader).parquet(*batches)
+    read = []
+    for base, folders in parts:
+        reader = spark.read.option("basePath", base)
+        read.append((reader.schema(schema) if schema else reader).parquet(*folders))
+    return read[0] if len(read) == 1 else read[0].unionByName(read[1])
+
+
+def compact(
+    spark: SparkSession,
+    path: str,
+    grain: str | None = None,
+    merge: Callable[[DataFrame], DataFrame] | None = None,
+    upto: int | None = None,
+) -> int | None:
+    """Roll batch folders into one, so that readers open a few files instead of one folder per batch.
+
+    Without ``upto`` the newest batch stays out, as a stream that is restarted may write it again. Rows may
+    be merged on the way (counts added up, first and last sight taken). Readers see either the old folders
+    or, once its marker is there, the new one; old folders are removed after that. Call it from one process
+    while no reader holds the old paths. Returns the last batch that was rolled in.
+    """
+    last, rolled, _ = _layout(spark, path)
+    numbers = sorted(n for n in _finished(spark, path) if isinstance(n, int) and n > last)
+    until = upto if upto is not None else (numbers[-2] if len(numbers) > 1 else None)
+    chosen = [n for n in numbers if until is not None and n <= until]
+    if not chosen:
+        return None
+    rows = read_facts(spark, path).filter(F.col("batch_id") <= chosen[-1]).drop("batch_id")
+    rows = merge(rows) if merge else rows
+    target = f"{path}/compacted/batch_id={chosen[-1]}"
+    if grain:
+        column = GRAINS[grain]
+        rows.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(target)
+    else:
+        rows.hint("rebalance").write.mode("overwrite").parquet(target)
+    fs, make = _filesystem(spark, path), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for number, folder in _finished(spark, path).items():
+        if isinstance(number, int) and number <= chosen[-1]:
+            fs.delete(make(folder), True)
+    if rolled:
+        fs.delete(make(rolled), True)
+    return chosen[-1]
 
 
 def retain(df: DataFrame, keep_ns: int, time_column: str = "time_ns") -> DataFrame:
@@ -118,10 +180,9 @@ def drop_expired(spark: SparkSession, path: str, now: str, keep_days: int, grain
     """
     horizon = date.fromisoformat(now) - timedelta(days=keep_days)
     jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/{GRAINS[grain]}=*")
-    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    dropped = []
-    for status in fs.globStatus(pattern) or []:
+    fs, dropped = _filesystem(spark, path), []
+    patterns = [f"{base}/batch_id=*/{GRAINS[grain]}=*" for base in (path, f"{path}/compacted")]
+    for status in [s for p in patterns for s in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(p)) or [])]:
         value = status.getPath().getName().partition("=")[2]
         if not value[:4].isdigit():
             continue
@@ -134,8 +195,8 @@ def drop_expired(spark: SparkSession, path: str, now: str, keep_days: int, grain
 
 def release(spark: SparkSession) -> None:
     """Remove what :func:`checkpoint` has written in this application; its results can't be read after that."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    folder = _tables_dir(spark)
+    _filesystem(spark, folder).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def partition_inventory(df: DataFrame, column: str = "event_date") -> DataFrame:

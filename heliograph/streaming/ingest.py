@@ -77,6 +77,12 @@ def keep_dimensions(root: str) -> Sink:
     return sink
 
 
+def compact_dimensions(spark: SparkSession, root: str) -> None:
+    """Roll each dimension's batches into one merged folder."""
+    for name, keys in dimensions.DIMENSIONS.items():
+        storage.compact(spark, f"{root}/{name}", merge=lambda rows, keys=keys: dimensions.merge_dim(rows, rows.limit(0), keys))
+
+
 def read_dimension(spark: SparkSession, root: str, name: str) -> DataFrame:
     rows = storage.read_facts(spark, f"{root}/{name}").drop("batch_id")
     return dimensions.merge_dim(rows, rows.limit(0), dimensions.DIMENSIONS[name])
@@ -117,6 +123,11 @@ def keep_span_metrics(table: str, every_ns: int = spanmetrics.FLUSH_NS) -> Sink:
     return sink
 
 
+def compact_span_metrics(spark: SparkSession, table: str) -> None:
+    """Add up the batches' counts per series and flush interval in one folder."""
+    storage.compact(spark, table, merge=spanmetrics.added)
+
+
 def read_span_metrics(spark: SparkSession, table: str, expire_ns: int | None = None) -> DataFrame:
     return spanmetrics.cumulative(storage.read_facts(spark, table).drop("batch_id"), expire_ns)
 

@@ -17,6 +17,8 @@ PANE_NS = 60 * clocks.NANOS_PER_SECOND
 def panes(spans: DataFrame) -> DataFrame:
     """Spans counted per (minute, service, duration, status): exact, and additive over batches.
 
+    A narrow copy of the spans rather than a summary: exact durations seldom repeat.
+
     Sliding windows share panes, so a span is counted once rather than once per window that holds
     it, and percentiles of any window come from the durations in its panes.
     """
@@ -39,6 +41,17 @@ def keep_panes(table: str) -> Sink:
     return sink
 
 
+def compact_panes(spark: SparkSession, table: str) -> None:
+    """Roll closed batches into one folder, equal panes added up."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        keys = [c for c in rows.columns if c not in ("calls", "first_ns", "last_ns")]
+        figures = F.sum("calls").alias("calls"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns")
+        return rows.groupBy(*keys).agg(*figures).sortWithinPartitions("pane_ns")
+
+    storage.compact(spark, table, merge=merge)
+
+
 def red_window(spark: SparkSession, table: str, now: str | int, minutes: float = 30) -> DataFrame:
     """Service figures of the window that ends now, on whole minutes."""
     window = flt.TimeRange.last(minutes, now)

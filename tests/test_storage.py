@@ -65,6 +65,25 @@ def test_months_that_reach_into_the_kept_time_stay(spark, tmp_path):
     assert sorted(r.time_ns for r in storage.read_facts(spark, path).collect()) == [40 * DAY, 70 * DAY]
 
 
+@pytest.mark.parametrize("grain", ["day", "month"])
+def test_compaction_keeps_rows_and_order_of_batches(spark, tmp_path, grain):
+    path = str(tmp_path / "facts")
+    for number, days in enumerate(((0,), (1, 2), (2, 40), (41,))):
+        storage.append_batch(facts(spark, *[d * DAY for d in days]), path, number, grain)
+    want = sorted(r.time_ns for r in storage.read_facts(spark, path).collect())
+    assert storage.compact(spark, path, grain) == 2
+    assert len(storage.committed_batches(spark, path)) == 2
+    assert sorted(r.time_ns for r in storage.read_facts(spark, path).collect()) == want
+    assert {r.batch_id for r in storage.read_facts(spark, path).select("batch_id").distinct().collect()} == {2, 3}
+    storage.append_batch(facts(spark, 41 * DAY), path, 3, grain)  # the newest batch once more
+    assert sorted(r.time_ns for r in storage.read_facts(spark, path).collect()) == want
+    storage.append_batch(facts(spark, 50 * DAY), path, 4, grain)
+    assert storage.compact(spark, path, grain) == 3 and storage.compact(spark, path, grain) is None
+    assert sorted(r.time_ns for r in storage.read_facts(spark, path).collect()) == [*want, 50 * DAY]
+    window = filters.in_range(storage.read_facts(spark, path), TimeRange(40 * DAY, 51 * DAY))
+    assert sorted(r.time_ns for r in window.collect()) == [40 * DAY, 41 * DAY, 50 * DAY]
+
+
 def test_release_removes_materialised_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
     kept = storage.checkpoint(spark.range(3).toDF("a"))
