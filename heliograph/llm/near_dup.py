@@ -43,7 +43,7 @@ MISS = 1e-7
 BINS, BITS = 4096, 2048
 SIGMAS = 5.0
 BLOCK = 1024  # members of a bucket that are compared with one another in one task
-PARTNERS = 64  # best partners a document names in the first search; sixteen times as many in each next one
+PARTNERS = 8  # best partners a document names in the first search; eight times as many in each next one
 _MEMO = 500_000
 _CHUNK = 8192
 _PAIRS = 1 << 16
@@ -352,7 +352,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column:
                 break
         else:
             tested = storage.checkpoint(tested.union(confirmed(fresh)))
-        partners *= 16
+        partners *= 8
     named = classes.join(found, classes["first"] == found["id"], "left")
     named = storage.checkpoint(named.select("class", F.coalesce("component", "first").alias("component_id")))
     return signed.join(named, "class", "left").select(
