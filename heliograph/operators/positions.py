@@ -17,22 +17,44 @@ def number_rows(df: DataFrame, group: list[str], order: list[str | Column], name
     ``row_number()`` would sort a whole group in one task. Here rows are range partitioned on
     (group, order), so a group holding a third of the table is sorted by a third of the tasks;
     what is windowed afterwards is one row per (group, partition). The order must be total.
-    The sorted rows are checkpointed, because both uses below must see the same partitions.
+    The sorted rows are checkpointed, because both uses must see the same partitions.
     """
+    placed, runs = _placed(df, group, order, F.lit(1).cast("bigint"))
+    return (
+        placed.join(runs, [*group, "_part"])
+        .withColumn(name, (F.col("_before") + F.col("_id") - F.col("_first") + 1))
+        .drop("_id", "_part", "_first", "_before", "_value")
+    )
+
+
+def sum_before(df: DataFrame, group: list[str], order: list[str | Column], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows before each row in its group, in the same way.
+
+    Inside a partition the sum runs over that partition's part of a group only.
+    """
+    placed, runs = _placed(df, group, order, F.col(value))
+    inside = Window.partitionBy(*group, "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+        .join(runs, [*group, "_part"])
+        .withColumn(name, F.col("_before") + F.col("_inside"))
+        .drop("_id", "_part", "_first", "_before", "_inside", "_value")
+    )
+
+
+def _placed(df: DataFrame, group: list[str], order: list[str | Column], value: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows sorted over range partitions, and per (group, partition) what the partitions before it hold."""
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = checkpoint(
-        df.repartitionByRange(*group, *keys)
+        df.withColumn("_value", value)
+        .repartitionByRange(*group, *keys)
         .sortWithinPartitions(*group, *keys)
         .withColumn("_id", F.monotonically_increasing_id())
     )
     placed = placed.withColumn("_part", F.shiftright("_id", _ROW_BITS))
-    runs = placed.groupBy(*group, "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
+    runs = placed.groupBy(*group, "_part").agg(F.min("_id").alias("_first"), F.sum("_value").alias("_held"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(
-        *group, "_part", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
-    )
-    return (
-        placed.join(runs, [*group, "_part"])
-        .withColumn(name, (F.col("_before") + F.col("_id") - F.col("_first") + 1))
-        .drop("_id", "_part", "_first", "_before")
+        *group, "_part", "_first", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before")
     )
+    return placed, runs

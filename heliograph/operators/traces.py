@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from heliograph.functions import clocks, values, web
 from heliograph.operators import filters as flt
 from heliograph.operators import paging
-from heliograph.operators.positions import number_rows
+from heliograph.operators.positions import number_rows, sum_before
 from heliograph.sources.storage import checkpoint
 
 ROOT_RULES = ("earliest", "parentless")
@@ -256,38 +256,59 @@ def links(spans: DataFrame) -> DataFrame:
 
 
 def span_tree(spans: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Depth and root-to-span path of every span that a root reaches.
+    """Depth of every span that a root reaches, and its place in its trace with children after their parent.
 
     Pointer doubling: each round replaces a span's pointer by its target's pointer, so a tree of
-    depth d is resolved in log2(d) joins rather than d. A round moves open rows only; resolved rows
-    are set aside. Spans under a missing parent find no target and drop out. A pointer that comes
-    back into its own path is on or under a cycle, which no root reaches, and drops out too.
+    depth d is resolved in log2(d) rounds rather than d, and a row stays as narrow as it began. The same
+    rounds add up subtree sizes: what points to a span after k rounds lies 2^k below it and brings the
+    spans up to 2^k further down. Siblings are in start order; what stands before a span is the sizes of
+    its earlier siblings and, once more by doubling, what stands before its parent. Spans under a missing
+    parent find no target and drop out; those on or under a cycle are open after as many rounds as the
+    longest trace could need, and drop out too.
     """
     wanted = ["trace_id", "span_id", "parent_span_id", "start_ns", "end_ns", *carry]
     nodes = checkpoint(
-        dedup_spans(spans.select(*dict.fromkeys(wanted))).select(
-            "trace_id",
-            "span_id",
-            F.when(~_is_parentless(), F.col("parent_span_id")).alias("up"),
-            F.array(F.struct("start_ns", "span_id")).alias("path"),
-            *carry,
+        dedup_spans(spans.select(*dict.fromkeys(wanted))).withColumn(
+            "up", F.when(~_is_parentless(), F.col("parent_span_id"))
         )
     )
-    resolved = [nodes.filter("up is null")]
-    open_rows = nodes.filter("up is not null")
+    longest = nodes.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    hops = F.when(F.col("up").isNull(), 0).otherwise(1).cast("int").alias("depth")
+    state = nodes.select("trace_id", "span_id", "up", hops, F.lit(1).cast("bigint").alias("size"))
+    for _ in range(longest.bit_length()):
+        open_rows = state.filter("up is not null")
+        if open_rows.isEmpty():
+            break
+        added = open_rows.groupBy("trace_id", F.col("up").alias("span_id")).agg(F.sum("size").alias("more"))
+        targets = state.select(
+            "trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("further")
+        )
+        stepped = open_rows.join(targets, ["trace_id", "up"]).select(
+            "trace_id", "span_id", F.col("next").alias("up"), (F.col("depth") + F.col("further")).alias("depth"), "size"
+        )
+        grown = state.filter("up is null").unionByName(stepped).join(added, ["trace_id", "span_id"], "left")
+        state = checkpoint(
+            grown.select("trace_id", "span_id", "up", "depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        )
+    # The right number of rounds may end on a state in which the last pointers have just closed.
+    reached = state.filter("up is null").drop("up").join(nodes, ["trace_id", "span_id"])
+    family = reached.withColumn("family", F.coalesce("up", F.lit("")))
+    placed = checkpoint(sum_before(family, ["trace_id", "family"], ["start_ns", "span_id"], "size", "earlier"))
+    resolved = [placed.filter("up is null").select("trace_id", "span_id", "up", (F.col("earlier") + 1).alias("position"))]
+    open_rows = placed.filter("up is not null").select("trace_id", "span_id", "up", (F.col("earlier") + 1).alias("position"))
     while not open_rows.isEmpty():
         targets = _union([open_rows, *resolved]).select(
-            "trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head")
+            "trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("position").alias("above")
         )
-        seen = F.transform("path", lambda step: step["span_id"])
         stepped = checkpoint(
-            open_rows.join(targets, ["trace_id", "up"])
-            .select("trace_id", "span_id", F.col("next").alias("up"), F.concat("head", "path").alias("path"), *carry)
-            .filter(F.col("up").isNull() | ~F.array_contains(seen, F.col("up")))
+            open_rows.join(targets, ["trace_id", "up"]).select(
+                "trace_id", "span_id", F.col("next").alias("up"), (F.col("position") + F.col("above")).alias("position")
+            )
         )
         resolved.append(stepped.filter("up is null"))
         open_rows = stepped.filter("up is not null")
-    return _union(resolved).select("trace_id", "span_id", (F.size("path") - 1).alias("depth"), "path", *carry)
+    positions = _union(resolved).select("trace_id", "span_id", "position")
+    return placed.join(positions, ["trace_id", "span_id"]).select("trace_id", "span_id", "depth", "position", *carry)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -308,13 +329,12 @@ def waterfall(spans: DataFrame) -> DataFrame:
     def share(part: str) -> Column:
         return F.col(part) / F.nullif(F.col("trace_duration_ns"), F.lit(0).cast("bigint"))
 
-    drawn = span_tree(spans, carry=("name", "service_name", "start_ns", "end_ns"))
+    drawn = checkpoint(span_tree(spans, carry=("name", "service_name", "start_ns", "end_ns")))
     starts = spans.groupBy("trace_id").agg(F.min("start_ns").alias("_start"))
     ends = drawn.groupBy("trace_id").agg(F.max("end_ns").alias("_end"))
     bounds = checkpoint(starts.join(ends, "trace_id"))
     return (
-        number_rows(drawn, ["trace_id"], ["path"], "position")
-        .join(bounds, "trace_id")
+        drawn.join(bounds, "trace_id")
         .select(
             "trace_id",
             "span_id",

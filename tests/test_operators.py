@@ -79,6 +79,28 @@ def test_tree_of_every_shape(make_spans):
     assert {k: d for k, d in depth.items() if k[0] in ("lost", "loop", "zero")} == {("lost", "r"): 0, ("zero", "z"): 0, ("zero", "y"): 1}
 
 
+def test_places_in_random_trees(make_spans):
+    import random
+
+    rnd = random.Random(3)
+    rows = [{"trace": "t", "id": f"s{i:03}", "parent": f"s{rnd.randrange(i):03}" if i and rnd.random() < 0.95 else None, "start": rnd.randrange(20)} for i in range(150)]
+    rows += chain(40, "line")
+    children = {}
+    for r in rows:
+        children.setdefault((r["trace"], r["parent"] if r.get("parent") else None), []).append(r)
+    places = {}
+
+    def walk(trace, parent, depth):
+        for r in sorted(children.get((trace, parent), []), key=lambda r: (r["start"], r["id"])):
+            places[r["trace"], r["id"]] = (depth, sum(k[0] == trace for k in places) + 1)
+            walk(trace, r["id"], depth + 1)
+
+    for trace in ("t", "line"):
+        walk(trace, None, 0)
+    got = {(r.trace_id, r.span_id): (r.depth, r.position) for r in traces.span_tree(make_spans(rows)).collect()}
+    assert got == places
+
+
 def test_waterfall_order_and_times(make_spans):
     rows = [
         {"id": "r", "start": 10, "end": 100},
