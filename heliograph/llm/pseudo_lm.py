@@ -2,7 +2,7 @@
 
 Tokens are words: the most frequent ones of the whole corpus by name, the others by the hash of their last
 characters. The network predicts every token from the two before and the two after it: embeddings, one hidden
-layer, and a softmax in two levels (class, then token in class). A document's score is the sum of the log
+layer of rectified units, and a softmax in two levels (class, then token in class). A document's score is the sum of the log
 probabilities of all its tokens, each given its neighbours; the mean per token compares texts of any length.
 
 Words are counted over all documents. Training goes over every document once, in ``ROUNDS`` rounds that take turns
@@ -75,23 +75,24 @@ class Words:
 
     def __init__(self, named: list[str]):
         self._named = {w.encode(): r for r, w in enumerate(named)}
-        self._memo: dict[bytes, int] = {}
+        self._memo: dict[bytes, bytes] = {}
 
-    def _number(self, word: bytes) -> int:
+    def _number(self, word: bytes) -> bytes:
         rank = self._named.get(word)
         if rank is None:
             rank = NAMED + zlib.crc32(word[-3:]) % (TOKENS - NAMED)
-        number = rank % CLASSES * MEMBERS + rank // CLASSES
+        number = (rank % CLASSES * MEMBERS + rank // CLASSES).to_bytes(2, "little")
         if len(self._memo) < _MEMO:
             self._memo[word] = number
         return number
 
     def tokens(self, text: str | None) -> np.ndarray:
+        """As numbers of two bytes, so that a text is one join and one view."""
         words = (text or "").lower().encode("utf-8", "replace").split()
         found = list(map(self._memo.get, words))
         if None in found:
             found = [self._number(w) if n is None else n for w, n in zip(words, found)]
-        return np.array(found, np.int64)
+        return np.frombuffer(b"".join(found), "<u2")
 
 
 @lru_cache(maxsize=2)
@@ -101,58 +102,95 @@ def _words(named: tuple[str, ...]) -> Words:
 
 def windows(tokens: np.ndarray) -> np.ndarray:
     """For every token the ``SIDE`` tokens before and after it."""
-    padded = np.concatenate([np.full(SIDE, _EDGE), tokens, np.full(SIDE, _EDGE)])
-    return np.stack([padded[i : i + len(tokens)] for i in range(2 * SIDE + 1) if i != SIDE], axis=1)
+    padded = np.full(len(tokens) + 2 * SIDE, _EDGE, np.uint16)
+    padded[SIDE : len(tokens) + SIDE] = tokens
+    out = np.empty((len(tokens), 2 * SIDE), np.uint16)
+    for i in range(SIDE):
+        out[:, i] = padded[i : i + len(tokens)]
+        out[:, SIDE + i] = padded[SIDE + 1 + i : SIDE + 1 + i + len(tokens)]
+    return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _bounded(scores: np.ndarray) -> np.ndarray:
+    """Far beyond any trained score, where the exponential of single precision still holds."""
+    return np.clip(scores, -80, 80, out=scores)
 
 
-def _by_class(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    classes = tokens // MEMBERS
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(_bounded(scores))
+    e /= (e @ np.ones(e.shape[1], e.dtype))[:, None]
+    return e
+
+
+def _picked(scores: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Log softmax of each row at one column."""
+    e = np.exp(_bounded(scores))
+    return scores[np.arange(len(scores)), columns] - np.log(e @ np.ones(e.shape[1], e.dtype))
+
+
+def _hidden(model: dict[str, np.ndarray], inputs: np.ndarray) -> np.ndarray:
+    out = inputs @ model["mix"]
+    out += model["mix_bias"]
+    return np.maximum(out, 0, out=out)
+
+
+def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts tokens of a class together, and where each class begins and ends in it."""
+    classes = (tokens // MEMBERS).astype(np.uint8)  # sorted by radix
     order = np.argsort(classes, kind="stable")
-    bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+    return order, np.searchsorted(classes[order], np.arange(CLASSES + 1))
+
+
+def _member_scores(model: dict[str, np.ndarray], hidden: np.ndarray, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Scores of the members of each row's class; rows lie together by class."""
+    out = model["member_bias"][classes]
     for c in range(CLASSES):
-        if bounds[c] < bounds[c + 1]:
-            yield c, order[bounds[c] : bounds[c + 1]]
+        rows = slice(bounds[c], bounds[c + 1])
+        out[rows] += hidden[rows] @ model["member"][c]
+    return out
 
 
 def log_probs(model: dict[str, np.ndarray], context: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Log probability of each token given its context."""
-    hidden = np.tanh(model["embed"][context].reshape(len(tokens), -1) @ model["mix"] + model["mix_bias"])
-    out = _log_softmax(hidden @ model["class"] + model["class_bias"])[np.arange(len(tokens)), tokens // MEMBERS]
-    for c, rows in _by_class(tokens):
-        inside = _log_softmax(hidden[rows] @ model["member"][c] + model["member_bias"][c])
-        out[rows] += inside[np.arange(len(rows)), tokens[rows] % MEMBERS]
+    hidden = _hidden(model, model["embed"][context].reshape(len(tokens), -1))
+    out = _picked(hidden @ model["class"] + model["class_bias"], tokens // MEMBERS)
+    order, bounds = _by_class(tokens)
+    placed = tokens[order]
+    out[order] += _picked(_member_scores(model, hidden[order], placed // MEMBERS, bounds), placed % MEMBERS)
     return out
 
 
 def gradient(model: dict[str, np.ndarray], context: np.ndarray, tokens: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log probability."""
-    n = len(tokens)
+    n, out = len(tokens), {}
+    # Rows by class from the start, so that each class is one slice.
+    order, bounds = _by_class(tokens)
+    context, tokens, rows = context[order], tokens[order], np.arange(n)
+    classes = tokens // MEMBERS
     inputs = model["embed"][context].reshape(n, -1)
-    hidden = np.tanh(inputs @ model["mix"] + model["mix_bias"])
-    out = {"member": np.zeros(_SHAPES["member"], np.float32), "member_bias": np.zeros(_SHAPES["member_bias"], np.float32)}
-    error = np.exp(_log_softmax(hidden @ model["class"] + model["class_bias"]))
-    error[np.arange(n), tokens // MEMBERS] -= 1
+    hidden = _hidden(model, inputs)
+    error = _softmax(hidden @ model["class"] + model["class_bias"])
+    error[rows, classes] -= 1
     error /= n
     out["class"], out["class_bias"] = hidden.T @ error, error.sum(axis=0)
     back = error @ model["class"].T
-    for c, rows in _by_class(tokens):
-        inner = np.exp(_log_softmax(hidden[rows] @ model["member"][c] + model["member_bias"][c]))
-        inner[np.arange(len(rows)), tokens[rows] % MEMBERS] -= 1
-        inner /= n
-        out["member"][c], out["member_bias"][c] = hidden[rows].T @ inner, inner.sum(axis=0)
-        back[rows] += inner @ model["member"][c].T
-    back *= 1 - hidden**2
+    inner = _softmax(_member_scores(model, hidden, classes, bounds))
+    inner[rows, tokens % MEMBERS] -= 1
+    inner /= n
+    out["member"], out["member_bias"] = np.zeros_like(model["member"]), np.zeros_like(model["member_bias"])
+    for c in range(CLASSES):
+        part = slice(bounds[c], bounds[c + 1])
+        out["member"][c] = hidden[part].T @ inner[part]
+        out["member_bias"][c] = inner[part].sum(axis=0)
+        back[part] += inner[part] @ model["member"][c].T
+    back *= hidden > 0
     out["mix"], out["mix_bias"] = inputs.T @ back, back.sum(axis=0)
     spread = (back @ model["mix"].T).reshape(-1, DIM)
-    order = np.argsort(context, axis=None, kind="stable")
-    ids = context.ravel()[order]
+    places = context.ravel()
+    order = np.argsort(places, kind="stable")
+    ids = places[order]
     first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    out["embed"] = np.zeros(_SHAPES["embed"], np.float32)
+    out["embed"] = np.zeros_like(model["embed"])
     out["embed"][ids[first]] = np.add.reduceat(spread[order], first, axis=0)
     return out
 
@@ -187,11 +225,12 @@ class Trainer:
 
     def _step(self, context: np.ndarray, tokens: np.ndarray) -> None:
         self._steps += 1
-        rate = RATE * np.sqrt(1 - 0.999**self._steps) / (1 - 0.9**self._steps) / (1 + self._steps / 500)
+        rate = np.float32(RATE * (1 - 0.999**self._steps) ** 0.5 / (1 - 0.9**self._steps) / (1 + self._steps / 500))
         for name, g in gradient(self.model, context, tokens).items():
-            self._first[name] += 0.1 * (g - self._first[name])
-            self._second[name] += 0.001 * (g * g - self._second[name])
-            self.model[name] -= (rate * self._first[name] / (np.sqrt(self._second[name]) + 1e-8)).astype(np.float32)
+            first, second = self._first[name], self._second[name]
+            first += np.float32(0.1) * (g - first)
+            second += np.float32(0.001) * (g * g - second)
+            self.model[name] -= rate * first / (np.sqrt(second) + np.float32(1e-8))
 
 
 def frequent_words(docs: DataFrame, text_column: str = "text") -> list[str]:
