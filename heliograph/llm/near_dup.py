@@ -14,8 +14,8 @@ nothing. Two documents are linked when 100 * intersection >= percent * union. Sh
 4. In each bucket everyone is paired with the smallest id; each document's best pair is confirmed on the sets,
    and what is linked becomes a component.
 5. Buckets that still hold several components are searched in blocks, all against all by sketch, but only
-   between components: each document of the smaller one names its best partners, which are confirmed. This
-   repeats, with more partners each time, until no unconfirmed pair is left between two components. So no pair
+   between components: each document of the smaller one names its best partners, which are confirmed; a pair
+   is named in the first bucket it shares. This repeats, with more partners each time, until no unconfirmed pair is left between two components. So no pair
    inside a component is ever made, and no link between components is passed over.
 
 Components are found by alternating large and small stars; nothing is collected. Rows that share an id are one
@@ -130,15 +130,15 @@ def may_link(n_a, n_b, bins_a, bins_b, differing, percent: int) -> tuple[np.ndar
     n_a, n_b, bins_a, bins_b, differing = (np.asarray(x, float) for x in (n_a, n_b, bins_a, bins_b, differing))
     union = (n_a + n_b) / (1 + bar)
     filled = BINS * -np.expm1(-union / BINS)
+    # Bins that the two sets fill beyond what is expected, their union fills as well: most shingles are common.
+    beyond = (bins_a + BINS * np.expm1(-n_a / BINS) + bins_b + BINS * np.expm1(-n_b / BINS)) / 2
+    filled = np.clip(filled + beyond, np.maximum(bins_a, bins_b), BINS)
     # Differing samples and differing bits of a pair at the bar, with their spread.
     samples = np.maximum(bins_a + bins_b - 2 * bar * filled, 0)
     slope, load = np.exp(-2 * samples / BITS), 4 * samples / BITS
-    # Bins that several shingles share make the samples vary; with a few in a hundred bins it is already a third
-    # of what independent samples would. The factor was measured at the bar, for sets of 3 to 25 000 shingles.
-    shared = np.minimum(8 * np.maximum(1 - filled / union, 0), 1)
-    sampling = 4 * filled * bar * (1 - bar) * shared
+    sampling = 4 * filled * bar * (1 - bar) * np.maximum(1 - filled / union, 0)
     folding = BITS / 4 * (1 - np.exp(-load) * (1 + load))
-    limit = BITS / 2 * (1 - slope) + SIGMAS * np.sqrt(slope**2 * sampling + folding) + 4
+    limit = BITS / 2 * (1 - slope) + SIGMAS * np.sqrt(slope**2 * sampling + folding) + 3
     near = (differing <= limit) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
     same = (bins_a + bins_b + BITS / 2 * np.log1p(-np.minimum(2 * differing / BITS, 0.98))) / 2
     estimate = same / filled
@@ -227,7 +227,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.nd
         held = table.slice(stop).to_batches() if batch is not None else []
         if stop:
             bits = np.frombuffer(b"".join(table.column("sketch").slice(0, stop).to_pylist()), _U64).reshape(stop, -1)
-            yield {name: values[:stop] for name, values in column.items()}, bits, bounds
+            bands = table.column("bands").slice(0, stop).combine_chunks().flatten().to_numpy().reshape(stop, -1)
+            yield {name: values[:stop] for name, values in column.items()} | {"bands": bands}, bits, bounds
 
 
 def _searcher(percent: int, partners: int):
@@ -238,7 +239,12 @@ def _searcher(percent: int, partners: int):
             differing = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             n, bins = column["n_shingles"], column["n_bins"]
             estimate, near = may_link(n[x], n[y], bins[x], bins[y], differing, percent)
-            found.append((x[near], y[near], estimate[near]))
+            x, y, estimate = x[near], y[near], estimate[near]
+            # A pair counts in the first of the buckets that it shares, and nowhere else.
+            bands = column["bands"]
+            first = (bands[x] == bands[y]).argmax(axis=1)
+            here = bands[x, first] == column["key"][x]
+            found.append((x[here], y[here], estimate[here]))
         x, y, estimate = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((-estimate, x))
         x, y = x[order], y[order]
@@ -275,7 +281,8 @@ def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id it reaches) of every id in ``edges`` (a, b).
 
     Large stars hang a node's larger neighbours on its smallest one, small stars the smaller ones; each step is
-    a minimum per node and a join back to its edges. The written steps cut the lineage.
+    a minimum per node and a join back to its edges, until every node that hangs on one has only that one and
+    nothing hangs on it. The written steps cut the lineage.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -289,17 +296,14 @@ def components(edges: DataFrame) -> DataFrame:
             out = out.union(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
         return storage.checkpoint(out.filter("a <> b").distinct())
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    def settled(edges: DataFrame) -> bool:
+        lower, upper = (edges.select(F.col(c).alias("node"), F.lit(c == "a").alias("hangs")) for c in ("a", "b"))
+        roles = lower.union(upper).groupBy("node").agg(F.count_if("hangs").alias("above"), F.count_if(~F.col("hangs")).alias("below"))
+        return roles.filter((F.col("above") > 1) | ((F.col("above") > 0) & (F.col("below") > 0))).isEmpty()
 
     current = storage.checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = state(current)
-    while before[0]:
+    while not settled(current):
         current = star(star(current, True), False)
-        now = state(current)
-        if now == before:
-            break
-        before = now
     roots = current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
@@ -321,7 +325,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column:
     ids = storage.checkpoint(members.select("id").distinct())
     sketches = storage.checkpoint(
         firsts.join(ids, firsts["doc_id"] == ids["id"], "left_semi").select(
-            F.col("doc_id").alias("id"), "n_shingles", "n_bins", "sketch"
+            F.col("doc_id").alias("id"), "n_shingles", "n_bins", "sketch", "bands"
         )
     )
     wanted = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi")
@@ -342,16 +346,21 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column:
     rated = stars.join(sketch_side("a"), "a").join(sketch_side("b"), "b").mapInArrow(_sketch_rater(percent), "a long, b long, estimate double")
     best = rated.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
     tested = confirmed(best)
+    found = storage.checkpoint(components(tested.filter("linked")))
     partners = PARTNERS
     while True:
-        found = storage.checkpoint(components(tested.filter("linked")))
         pairs, more = _between(members, found, sketches, percent, partners)
         fresh = storage.checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if not more:
-                break
-        else:
-            tested = storage.checkpoint(tested.union(confirmed(fresh)))
+        if fresh.isEmpty() and not more:
+            break
+        if not fresh.isEmpty():
+            added = confirmed(fresh)
+            tested = tested.union(added)
+            linked = added.filter("linked")
+            if not linked.isEmpty():
+                # Links join whole components, so these and the components so far are all the edges there are.
+                stars_so_far = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                found = storage.checkpoint(components(stars_so_far.union(linked.select("a", "b"))))
         partners *= 8
     named = classes.join(found, classes["first"] == found["id"], "left")
     named = storage.checkpoint(named.select("class", F.coalesce("component", "first").alias("component_id")))
@@ -379,7 +388,7 @@ def _between(members: DataFrame, found: DataFrame, sketches: DataFrame, percent:
         "key", "id", "component", "size", "salt", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi")
     )
     # A group is a pair of blocks, so it has a bound; groups are met one after the other in sorted partitions.
-    sketched = dealt.join(sketches, "id").select(*_SEARCHED, "sketch")
+    sketched = dealt.join(sketches, "id").select(*_SEARCHED, "sketch", "bands")
     grouped = sketched.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     searched = grouped.mapInArrow(_searcher(percent, partners), "a long, b long, more boolean")
     pairs = storage.checkpoint(searched.groupBy("a", "b").agg(F.bool_or("more").alias("more")))
