@@ -351,8 +351,6 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column:
     while True:
         pairs, more = _between(members, found, sketches, percent, partners)
         fresh = storage.checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty() and not more:
-            break
         if not fresh.isEmpty():
             added = confirmed(fresh)
             tested = tested.union(added)
@@ -361,6 +359,8 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column:
                 # Links join whole components, so these and the components so far are all the edges there are.
                 stars_so_far = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
                 found = storage.checkpoint(components(stars_so_far.union(linked.select("a", "b"))))
+        if not more:
+            break  # every pair between two components was named, and is confirmed by now
         partners *= 8
     named = classes.join(found, classes["first"] == found["id"], "left")
     named = storage.checkpoint(named.select("class", F.coalesce("component", "first").alias("component_id")))
