@@ -26,4 +26,4 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.read(spark, sf_dir, "documents")
-    return pseudo_lm.score(docs, *pseudo_lm.fit(docs))
+    return pseudo_lm.fit_and_score(docs)

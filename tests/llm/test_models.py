@@ -224,3 +224,45 @@ def test_stage_functions_keep_the_columns(spark, odd_docs, no_docs):
     for table in (odd_docs, no_docs):
         for keep in (host_rules.keep_good, exact_dedup.deduplicate, near_dup.keep_one):
             assert keep(table).columns == table.columns
+
+
+def test_vocabulary_follows_the_corpus(spark):
+    """Twice the distinct words are twice the words told apart, whatever slot they are in."""
+    found = {}
+    for size in (1500, 3000):
+        texts = [" ".join(f"w{(i * 50 + k) % size}zzz" for k in range(50)) for i in range(size * 6 // 50)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        named, model = pseudo_lm.fit(docs)
+        rows = model.words.collect()
+        assert len(rows) == size - len(named) and all(r.key == r.word and r.n == 6 for r in rows)
+        # All of them end alike, so they lie in one slot.
+        assert np.flatnonzero(model.slots).size == 1 and model.slots.max() == 6 * len(rows)
+        found[size] = model.vectors.count()
+        assert found[size] == len(rows)
+    assert found[3000] > 2 * found[1500]
+    word = rows[0].word
+    pair = spark.createDataFrame([(0, word), (1, "unseenzzz")], "doc_id long, text string")
+    known, unknown = (r.log_prob for r in pseudo_lm.score(pair, named, model).orderBy("doc_id").collect())
+    assert known - unknown == pytest.approx(math.log(6), rel=1e-4)
+
+
+def test_rare_words_share_growing_buckets(spark):
+    counts = spark.createDataFrame([(f"r{i}", 1) for i in range(800)] + [("often", 9)], "word string, n long")
+    words, slots = pseudo_lm.vocabulary(counts, ())
+    keys = {r.word: r.key for r in words.collect()}
+    brute = np.zeros_like(slots)
+    for r in counts.collect():
+        brute[pseudo_lm._slots(pseudo_lm.Words([]).tokens(r.word))[0]] += r.n
+    assert (slots == brute).all()
+    assert keys["often"] == "often" and 60 < len(set(keys.values())) - 1 <= 100 and slots.sum() == 809
+    for word, n in (("r1", 1), ("often", 9)):
+        token = pseudo_lm.Words([]).tokens(word)
+        assert pseudo_lm._shares(slots, token, np.array([n]))[0] == pytest.approx(math.log(n) - math.log1p(slots[pseudo_lm._slots(token)[0]]))
+
+
+def test_fit_and_score_at_once(corpus):
+    docs, _ = corpus
+    rows = {r.doc_id: r for r in pseudo_lm.fit_and_score(docs).collect()}
+    assert {i: r.n_tokens for i, r in rows.items()} == {r.doc_id: len(r.text.split()) for r in docs.collect()}
+    apart = {r.doc_id: r.mean_log_prob for r in pseudo_lm.score(docs, *pseudo_lm.fit(docs)).collect()}
+    assert np.mean([rows[i].mean_log_prob for i in rows]) == pytest.approx(np.mean(list(apart.values())), abs=0.05)
