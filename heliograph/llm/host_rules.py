@@ -5,6 +5,8 @@ Each document gets its counts in its own row: nothing is exploded, so no text or
 The share of failing documents of a host is shrunk by an empirical beta prior, fitted by moments to the
 rates of all hosts, so that a host with three documents is not judged by them alone; a host whose shrunk
 rate reaches the limit takes all its documents with it. Documents without a host are judged alone.
+``verdicts`` knows the base rule only, as its SQL does; ``keep_good`` also rejects by ``RULES``, document by
+document and host by host, with a prior for each rule and a limit relative to it.
 An empty table gives an empty result; ties and repeated rows are counted row by row.
 """
 
@@ -19,6 +21,11 @@ from heliograph.sources import storage
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 HOST_LIMIT = 0.5
+MAX_SYMBOL_PERCENT = 5  # of the characters of words
+MAX_DUP_LINE_PERCENT = 50  # of the lines that are not blank
+MIN_WORD_CHARS, MAX_WORD_CHARS = 3, 10  # on average
+HOST_ODDS = 4.0  # a host fails a rule when the odds of its shrunk rate are this many times the odds of all documents
+MIN_HOST_RATE = 0.2  # and its shrunk rate is at least this
 SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 3
 
@@ -28,7 +35,7 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def rule_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``docs`` without its text and with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+    """``docs`` without its text and with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     Windows of three words are compared by 64-bit hash inside one text. Only texts in which some window
     comes twice are sorted; the words that repeated windows cover are then counted from their positions.
@@ -47,12 +54,13 @@ def rule_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "n_symbols",
         F.size("_words").cast("long").alias("n_words"),
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.transform(
             starts, lambda w, i: F.xxhash64(w, *[F.get(F.col("_words"), i + F.lit(n)) for n in range(1, WINDOW)])
         ).alias("_windows"),
     )
-    counts = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    counts = [*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     ordered = hashed.select(
         *counts,
@@ -81,8 +89,15 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def host_rates(rows: DataFrame, host_column: str = "host") -> DataFrame:
-    """Per host: n_docs, n_failed and the failure rate shrunk by the beta prior of all hosts.
+RULES = {
+    "symbols_failed": f"100 * n_symbols > {MAX_SYMBOL_PERCENT} * word_chars",
+    "lines_failed": f"100 * n_dup_lines > {MAX_DUP_LINE_PERCENT} * n_lines",
+    "length_failed": f"word_chars < {MIN_WORD_CHARS} * n_words OR word_chars > {MAX_WORD_CHARS} * n_words",
+}
+
+
+def host_rates(rows: DataFrame, host_column: str = "host", failed: str = "base_failed") -> DataFrame:
+    """Per host: n_docs, n_failed, the mean rate of all hosts and the failure rate shrunk by the beta prior of all hosts.
 
     The prior has the documents' mean rate m and the variance v of host rates around it, each host
     weighted by its documents: strength k = m(1-m)/v - 1. Without spread (one host, or all alike) the
@@ -91,7 +106,7 @@ def host_rates(rows: DataFrame, host_column: str = "host") -> DataFrame:
     hosts = storage.checkpoint(
         rows.filter(F.col(host_column).isNotNull())
         .groupBy(host_column)
-        .agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
+        .agg(F.count("*").alias("n_docs"), F.count_if(failed).alias("n_failed"))
     )
     mean = hosts.agg((F.sum("n_failed") / F.sum("n_docs")).alias("m")).scalar()
     spread = hosts.withColumn("_m", mean).agg(
@@ -106,7 +121,7 @@ def host_rates(rows: DataFrame, host_column: str = "host") -> DataFrame:
     ).scalar()
     shrunk = hosts.withColumn("_prior", prior)
     rate = (F.col("n_failed") + F.col("_prior.m") * F.col("_prior.k")) / (F.col("n_docs") + F.col("_prior.k"))
-    return shrunk.withColumn("host_rate", F.coalesce(rate, F.col("_prior.m"))).drop("_prior")
+    return shrunk.withColumn("host_rate", F.coalesce(rate, F.col("_prior.m"))).withColumn("mean_rate", F.col("_prior.m")).drop("_prior")
 
 
 def verdicts(
@@ -127,8 +142,26 @@ def verdicts(
     return judged.withColumn("kept", kept)
 
 
+def stage_verdicts(docs: DataFrame, host_limit: float = HOST_LIMIT, **columns) -> DataFrame:
+    """``verdicts`` with a column for each of ``RULES``, the rules that the host fails, and passed: kept, and none of them."""
+    judged = verdicts(docs, host_limit=host_limit, **columns)
+    rows = storage.checkpoint(judged.withColumns({name: F.expr(rule) for name, rule in RULES.items()}))
+    bad = None
+    for name in ("base_failed", *RULES):
+        rates = host_rates(rows, failed=name)
+        # rate / (1 - rate) >= HOST_ODDS * mean / (1 - mean), without dividing.
+        apart = F.col("host_rate") * (1 - F.col("mean_rate")) >= HOST_ODDS * F.col("mean_rate") * (1 - F.col("host_rate"))
+        found = rates.filter(apart & (F.col("host_rate") >= MIN_HOST_RATE)).select("host", F.lit(name).alias("rule"))
+        bad = found if bad is None else bad.union(found)
+    hosts = storage.checkpoint(bad.groupBy("host").agg(F.sort_array(F.collect_list("rule")).alias("host_failed")))
+    passed = F.col("kept") & F.col("host_failed").isNull()
+    for name in RULES:
+        passed = passed & ~F.col(name)
+    return rows.join(hosts, "host", "left").withColumn("passed", passed)
+
+
 def keep_good(docs: DataFrame, **columns) -> DataFrame:
     """The documents that pass, with all their columns."""
     id_column = columns.get("id_column", "doc_id")
-    rejected = verdicts(docs, **columns).filter(~F.col("kept")).select(F.col("doc_id").alias("_rejected"))
+    rejected = stage_verdicts(docs, **columns).filter(~F.col("passed")).select(F.col("doc_id").alias("_rejected"))
     return docs.join(rejected, docs[id_column] == rejected["_rejected"], "left_anti")

@@ -85,6 +85,23 @@ def test_bad_host_takes_its_documents_with_it(spark, prose):
     assert host_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == sum(r.kept for r in verdict.values())
 
 
+def test_stage_rejects_by_symbols_lines_and_hosts(spark, prose):
+    good = prose("xx", 80)
+    marked = " ".join(f"#{w}" for w in good.split())
+    doubled = "\n".join([prose("xx", 12) for _ in range(8)] + ["same line here"] * 12)
+    rows = [(i, good, f"h{i % 8}") for i in range(400)]
+    rows += [(1000, marked, "h0"), (1001, doubled, "h1"), (1002, "x" * 30 + " " + " ".join(["y" * 20 + str(i) for i in range(60)]), "h2")]
+    rows += [(2000 + i, marked if i % 5 < 2 else good, "spam") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # The base rule finds nothing, as its SQL says.
+    assert host_rules.verdicts(docs).filter("NOT kept").count() == 0
+    found = {r.doc_id: r for r in host_rules.stage_verdicts(docs).collect()}
+    assert found[1000].symbols_failed and found[1001].lines_failed and found[1002].length_failed
+    assert all(found[i].passed for i in range(400)) and not any(found[i].passed for i in (1000, 1001, 1002))
+    assert found[2003].host_failed == ["symbols_failed"] and not found[2003].symbols_failed
+    assert {r.doc_id for r in host_rules.keep_good(docs).collect()} == set(range(400))
+
+
 def test_one_host_or_none(spark):
     rows = [(1, "short", "only"), (2, "short too", "only")]
     assert [r.kept for r in host_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()] == [False, False]
