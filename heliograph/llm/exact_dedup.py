@@ -6,7 +6,8 @@ and leads the sort, the bytes behind it keep texts apart that only share a hash.
 before the shuffle, so a group of copies of any size costs one row per task.
 
 Of equal texts the row with the most code points in the original stays, then the smallest id; a null
-id is only kept where no other is there. Rows that repeat an id with the same text share its verdict.
+id is only kept where no other is there. In ``verdicts``, rows that repeat an id with the same text share its
+verdict; ``deduplicate`` keeps one row of each group, whatever the ids are.
 Other columns are untouched. An empty table gives an empty result.
 """
 
@@ -23,18 +24,28 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, tables.SPACES, "")
 
 
-def verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept and the SHA-256 of its normalised text."""
+def _digests(docs: DataFrame, id_column: str, text_column: str, *others: str) -> DataFrame:
     original = tables.whole_text(text_column)
     read = docs.select(
         F.col(id_column).alias("doc_id"),
+        *others,
         normalised(original).alias("bytes"),
         F.char_length(original).alias("chars"),
     )
-    hashed = read.select(
-        "doc_id", "chars", "bytes", F.unhex(F.md5("bytes")).alias("hash"), F.unhex(F.sha2("bytes", 256)).alias("sha")
+    return read.select(
+        "doc_id", *others, "chars", "bytes", F.unhex(F.md5("bytes")).alias("hash"), F.unhex(F.sha2("bytes", 256)).alias("sha")
     )
-    best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id")))
+
+
+def _order() -> list[Column]:
+    """Of equal texts the smallest is the one that stays."""
+    return [(-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id")]
+
+
+def verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept and the SHA-256 of its normalised text."""
+    hashed = _digests(docs, id_column, text_column)
+    best = F.min(F.struct(*_order()))
     # The second digest only names a class for the join; the class itself is the group of equal bytes.
     classes = hashed.groupBy("hash", "bytes").agg(
         best.alias("best"), F.count("*").alias("group_size"), F.first("sha").alias("sha")
@@ -53,5 +64,8 @@ def verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    dropped = verdicts(docs, id_column, text_column).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs[id_column] == dropped["_dropped"], "left_anti")
+    keyed = tables.with_row_key(docs)
+    hashed = _digests(keyed, id_column, text_column, tables.ROW)
+    best = F.min(F.struct(*_order(), tables.ROW)).alias("best")
+    stay = storage.checkpoint(hashed.groupBy("hash", "bytes").agg(best).select(f"best.{tables.ROW}"))
+    return keyed.join(stay, tables.ROW, "left_semi").drop(tables.ROW)

@@ -162,6 +162,6 @@ def stage_verdicts(docs: DataFrame, host_limit: float = HOST_LIMIT, **columns) -
 
 def keep_good(docs: DataFrame, **columns) -> DataFrame:
     """The documents that pass, with all their columns."""
-    id_column = columns.get("id_column", "doc_id")
-    rejected = stage_verdicts(docs, **columns).filter(~F.col("passed")).select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected, docs[id_column] == rejected["_rejected"], "left_anti")
+    keyed = tables.with_row_key(docs)
+    judged = stage_verdicts(keyed, **(columns | {"id_column": tables.ROW}))
+    return tables.without_rows(keyed, judged.filter(~F.col("passed")).select(F.col("doc_id").alias(tables.ROW)))

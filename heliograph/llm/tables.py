@@ -39,6 +39,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROW = "_row_key"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs``, written once with a number for each row, whatever its id."""
+    return storage.checkpoint(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def without_rows(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``with_row_key`` but those whose number is in ``dropped``, with their own columns."""
+    return keyed.join(dropped.select(F.col(ROW)), ROW, "left_anti").drop(ROW)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(column), F.lit(""))

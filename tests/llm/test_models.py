@@ -266,3 +266,19 @@ def test_fit_and_score_at_once(corpus):
     assert {i: r.n_tokens for i, r in rows.items()} == {r.doc_id: len(r.text.split()) for r in docs.collect()}
     apart = {r.doc_id: r.mean_log_prob for r in pseudo_lm.score(docs, *pseudo_lm.fit(docs)).collect()}
     assert np.mean([rows[i].mean_log_prob for i in rows]) == pytest.approx(np.mean(list(apart.values())), abs=0.05)
+
+
+def test_rows_without_or_with_the_same_id(spark, prose):
+    """Rows are told apart by more than their id: counted, for null ids, shared ids and repeated rows."""
+    a, b, c = (prose("xx", 80) for _ in range(3))
+    schema = "doc_id long, text string, source string"
+
+    def left(keep, rows):
+        return sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in keep(spark.createDataFrame(rows, schema)).collect())
+
+    bad = [(None, "short", "s"), (1, "short", "s"), (1, a, "s"), (2, b, "s"), (2, b, "s"), (3, c, "t")]
+    assert left(host_rules.keep_good, bad) == sorted([(False, 1, a), (False, 2, b), (False, 2, b), (False, 3, c)])
+    near = a + " end"
+    for keep, copy in ((exact_dedup.deduplicate, a), (near_dup.keep_one, near)):
+        rows = [(1, a, "s"), (None, copy, "s"), (5, copy, "s"), (5, b, "s"), (5, b, "s"), (None, c, "s"), (None, c, "s")]
+        assert left(keep, rows) == sorted([(False, 1, a), (False, 5, b), (True, 0, c)])
