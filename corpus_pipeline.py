@@ -29,8 +29,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequence and place in it."""
-    return packing.pack(packing.cut(docs, pieces.vocabulary()))
+    """Pieces of the documents with their token ids, their sequence and place in it."""
+    return packing.pack(packing.cut(docs, pieces.vocabulary(), with_ids=True))
 
 
 STAGES = [

@@ -282,3 +282,13 @@ def test_rows_without_or_with_the_same_id(spark, prose):
     for keep, copy in ((exact_dedup.deduplicate, a), (near_dup.keep_one, near)):
         rows = [(1, a, "s"), (None, copy, "s"), (5, copy, "s"), (5, b, "s"), (5, b, "s"), (None, c, "s"), (None, c, "s")]
         assert left(keep, rows) == sorted([(False, 1, a), (False, 5, b), (True, 0, c)])
+
+
+def test_packed_pieces_carry_their_ids(spark, prose):
+    texts = {i: prose("xx", 40 * i) for i in range(1, 40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = corpus_pipeline.packed(spark, docs, "").collect()
+    encoder = pieces.library_encoder(pieces.vocabulary())
+    for i, text in texts.items():
+        held = [x for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece) for x in r.ids]
+        assert held == [*np.frombuffer(encoder.ids(text), pieces.ID).tolist(), packing.END_ID]
