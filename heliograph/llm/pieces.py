@@ -101,8 +101,9 @@ def special_tokens(shape: dict) -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> TextEncoder:
-    """One per Python worker; the ids of each word come from the tokenizers library."""
+def library_encoder(path: str, plain: bool = False) -> TextEncoder:
+    """One per Python worker; the ids of each word come from the tokenizers library. ``plain``: the strings of
+    special tokens are ordinary text."""
     from tokenizers import Tokenizer
 
     tokenize, stand_ins = Tokenizer.from_file(path).model.tokenize, byte_chars()
@@ -111,7 +112,7 @@ def library_encoder(path: str) -> TextEncoder:
         spelled = word.encode().decode("latin-1").translate(stand_ins)
         return np.array([token.id for token in tokenize(spelled)], ID).tobytes()
 
-    return TextEncoder(encode_word, special_tokens(settings(path)))
+    return TextEncoder(encode_word, {} if plain else special_tokens(settings(path)))
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
