@@ -315,11 +315,13 @@ def _fan_out(t):
     return rows("fact", facts, "start_ns").unionByName(rows("calls", calls, "n")).unionByName(rows("service", known, "first_seen_ns"))
 
 
-# The newer half comes first; then everything, so that half is a resend and the rest is late by years.
+# The newer half comes first; then everything, so that half is a resend and the rest is late by years. What comes
+# last are small batches of resends, which look their ids up.
 @query("dedup_stream", "SELECT trace_id, span_id, start_ns FROM spans")
 def _dedup_stream(t):
     narrow = t.spans.select("trace_id", "span_id", "start_ns", "event_date")
-    waves = [_halves(narrow, "start_ns")[0], narrow, narrow.filter("start_ns % 2 = 0")]
+    newest = narrow.join(F.broadcast(narrow.agg(F.max("event_date").alias("event_date"))), "event_date", "left_semi")
+    waves = [_halves(narrow, "start_ns")[0], narrow, narrow.filter("start_ns % 2 = 0"), newest]
     out = _stream(t, "dedup", waves, lambda out: ingest.keep_first(out, "month"))
     return storage.read_facts(t.spark, out).select("trace_id", "span_id", "start_ns")
 

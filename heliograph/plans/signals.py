@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import clocks, enums, values
 from heliograph.operators.attributes import with_key_columns
 from heliograph.operators.positions import number_rows
-from heliograph.sources.storage import shared_dir
+from heliograph.sources.storage import id_filters, shared_dir
 
 _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 _BOUNDS = [10.0, 50.0, 100.0, 250.0]
@@ -31,7 +31,8 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, derive) -> DataFrame:
     if key not in _ready:
         source = hashlib.md5(sf_dir.encode()).hexdigest()
         path = f"{shared_dir(spark)}/signals-{key[0]}/{source}/{name}"
-        derive(spark, sf_dir).write.mode("overwrite").parquet(path)
+        rows = derive(spark, sf_dir)
+        rows.write.mode("overwrite").options(**id_filters(rows.columns)).parquet(path)
         _ready[key] = path
     return spark.read.parquet(_ready[key])
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions import clocks
@@ -60,22 +62,59 @@ LOOKUP_KEYS = ("trace_id", "metric_name")
 GRAINS = {"day": "event_date", "month": "event_month"}
 
 
+# Ids that lookups and resends ask for. Their columns get Bloom filters, by which readers skip row groups.
+ID_COLUMNS = ("trace_id", "span_id")
+FALSE_POSITIVES = 1e-5
+_FILTER_BYTES = 8 << 20
+
+
+def id_filters(columns: list[str]) -> dict[str, str]:
+    """Writer options for a Bloom filter on each id column, as large as a row group's distinct ids need."""
+    ids = [c for c in ID_COLUMNS if c in columns]
+    options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ids}
+    options |= {f"parquet.bloom.filter.fpp#{c}": str(FALSE_POSITIVES) for c in ids}
+    sized = {"parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(_FILTER_BYTES)}
+    return options | sized if ids else {}
+
+
+# Lists of this length reach the Parquet reader as equalities; longer ones only as their least and greatest value.
+_PUSHED = 10
+
+
+def among(column: str, ids: list[str]) -> Column:
+    """Whether a column holds one of the ids, in a form that row groups' Bloom filters can answer.
+
+    A balanced tree of short lists: a flat list is pushed down as a range, a chain of equalities is too deep.
+    """
+    parts = [F.col(column).isin(ids[i : i + _PUSHED]) for i in range(0, len(ids), _PUSHED)] or [F.lit(False)]
+    while len(parts) > 1:
+        parts = [parts[i] | parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def _write(rows: DataFrame, folder: str, column: str | None) -> None:
+    """Rows rebalanced by partition, sorted by the key that lookups use, with Bloom filters on ids."""
+    balanced = rows.hint("rebalance", column) if column else rows.hint("rebalance")
+    lookup = next((c for c in LOOKUP_KEYS if c in rows.columns), None)
+    if column and lookup:
+        balanced = balanced.sortWithinPartitions(column, lookup)
+    writer = balanced.write.mode("overwrite").options(**id_filters(rows.columns))
+    (writer.partitionBy(column) if column else writer).parquet(folder)
+
+
 def append_batch(df: DataFrame, path: str, batch_id: int, grain: str = "day") -> None:
     """Land one batch of facts by day or month, all or nothing.
 
     A batch owns its folder: a replay replaces it, and readers skip it until the job's commit
     marker is there. Rows are rebalanced by partition: a small one is written by one task as one
     file, and one that holds much of the batch is split over several. Files are sorted by the key
-    that lookups use, so that a search for one trace or metric skips most row groups.
+    that lookups use and have Bloom filters on ids, so that a search for one trace, span or metric skips
+    most row groups.
     """
     column = GRAINS[grain]
     if grain == "month":
         df = df.withColumn(column, F.trunc("event_date", "month"))
-    balanced = df.hint("rebalance", column)
-    lookup = next((c for c in LOOKUP_KEYS if c in df.columns), None)
-    if lookup:
-        balanced = balanced.sortWithinPartitions(column, lookup)
-    balanced.write.mode("overwrite").partitionBy(column).parquet(_batch_dir(path, batch_id))
+    _write(df, _batch_dir(path, batch_id), column)
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -92,34 +131,55 @@ def _finished(spark: SparkSession, path: str) -> dict[int, str]:
     return {(int(name) if name.isdigit() else name): folder for name, folder in numbered}
 
 
-def _layout(spark: SparkSession, path: str) -> tuple[int, str | None, list[str]]:
-    """Last batch in the compacted folder (-1 without one), that folder, and the batches after it."""
-    rolled = _finished(spark, f"{path}/compacted")
-    last = max(rolled, default=-1)
+@dataclass(frozen=True)
+class _Layout:
+    """What readers of a table open."""
+
+    last: int  # newest batch that is rolled in, -1 without any
+    rolled: dict[str, str]  # compacted folders: newest by partition, or one under ""
+    superseded: list[str]  # older ones, which nobody reads any more
+    tail: dict[int | str, str]  # batches after ``last``
+
+
+def _layout(spark: SparkSession, path: str) -> _Layout:
+    versions = _finished(spark, f"{path}/compacted")
+    last = max(versions, default=-1)
+    everything = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/compacted/batch_id=*/*=*")
+    partitions = [s.getPath() for s in (_filesystem(spark, path).globStatus(everything) or [])] if versions else []
+    version_of = {folder: number for number, folder in versions.items()}
+    found = [(version_of[p.getParent().toString()], p.getName(), p.toString()) for p in partitions if p.getParent().toString() in version_of]
+    rolled = {name: folder for _, name, folder in sorted(found)}
+    superseded = [folder for _, name, folder in found if rolled[name] != folder]
+    if versions and not rolled:
+        rolled = {"": versions[last]}
+    superseded += [folder for folder in versions.values() if folder != versions[last] and not any(f.startswith(f"{folder}/") for f in rolled.values())]
     tail = {n: folder for n, folder in _finished(spark, path).items() if not isinstance(n, int) or n > last}
-    return last, rolled.get(last), [tail[n] for n in sorted(tail, key=lambda n: (isinstance(n, str), n))]
+    return _Layout(last, rolled, superseded, {n: tail[n] for n in sorted(tail, key=lambda n: (isinstance(n, str), n))})
 
 
 def committed_batches(spark: SparkSession, path: str) -> list[str]:
-    """Folders to read: the compacted one, if any, and the batches after it. No file listing below them."""
-    _, rolled, tail = _layout(spark, path)
-    return [*([rolled] if rolled else []), *tail]
+    """Folders of the batches that hold something to read, compacted ones first."""
+    layout = _layout(spark, path)
+    versions = (folder.rpartition("/")[0] if name else folder for name, folder in layout.rolled.items())
+    return [*dict.fromkeys(versions), *layout.tail.values()]
+
+
+def _read(spark: SparkSession, path: str, rolled: list[str], batches: list[str], schema: str | None = None) -> DataFrame | None:
+    read = []
+    for base, folders in ((f"{path}/compacted", rolled), (path, batches)):
+        if folders:
+            reader = spark.read.option("basePath", base)
+            read.append((reader.schema(schema) if schema else reader).parquet(*folders))
+    return reduce(DataFrame.unionByName, read) if read else None
 
 
 def read_facts(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """All committed batches; a filter on ``event_date`` prunes folders."""
-    _, rolled, tail = _layout(spark, path)
-    parts = [(f"{path}/compacted", [rolled])] if rolled else []
-    parts += [(path, tail)] if tail else []
-    if not parts:
-        if schema is None:
-            raise FileNotFoundError(f"no committed batch under {path}")
-        return spark.createDataFrame([], schema)
-    read = []
-    for base, folders in parts:
-        reader = spark.read.option("basePath", base)
-        read.append((reader.schema(schema) if schema else reader).parquet(*folders))
-    return read[0] if len(read) == 1 else read[0].unionByName(read[1])
+    layout = _layout(spark, path)
+    rows = _read(spark, path, list(layout.rolled.values()), list(layout.tail.values()), schema)
+    if rows is None and schema is None:
+        raise FileNotFoundError(f"no committed batch under {path}")
+    return spark.createDataFrame([], schema) if rows is None else rows
 
 
 def compact(
@@ -129,33 +189,43 @@ def compact(
     merge: Callable[[DataFrame], DataFrame] | None = None,
     upto: int | None = None,
 ) -> int | None:
-    """Roll batch folders into one, so that readers open a few files instead of one folder per batch.
-
-    Without ``upto`` the newest batch stays out, as a stream that is restarted may write it again. Rows may
-    be merged on the way (counts added up, first and last sight taken). Readers see either the old folders
-    or, once its marker is there, the new one; old folders are removed after that. Call it from one process
-    while no reader holds the old paths. Returns the last batch that was rolled in.
+    """Roll batch folders together, so that readers open a few files instead of one folder per batch.
+
+    Of a table by day or month only the partitions that the batches touch are rewritten, as new versions under
+    the number of the last batch; the others stay in the version that they are in, and readers take the newest
+    of each. Versions count once their marker is there, so a crash at any point leaves either the old state or the
+    new one, and doing it again is harmless. (Overwriting partitions in place would replace them one after the
+    other, with rows read twice or not at all between.) Without ``upto`` the newest batch stays out, as a stream that
+    is restarted may write it again. Rows may be merged on the way (counts added up, first and last sight taken).
+    What is superseded is removed at the end; call it from one process while no reader holds the old paths.
+    Returns the last batch that was rolled in.
     """
-    last, rolled, _ = _layout(spark, path)
-    numbers = sorted(n for n in _finished(spark, path) if isinstance(n, int) and n > last)
+    fs, make = _filesystem(spark, path), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    layout = _layout(spark, path)
+    numbers = sorted(n for n in layout.tail if isinstance(n, int))
     until = upto if upto is not None else (numbers[-2] if len(numbers) > 1 else None)
     chosen = [n for n in numbers if until is not None and n <= until]
     if not chosen:
         return None
-    rows = read_facts(spark, path).filter(F.col("batch_id") <= chosen[-1]).drop("batch_id")
-    rows = merge(rows) if merge else rows
-    target = f"{path}/compacted/batch_id={chosen[-1]}"
-    if grain:
-        column = GRAINS[grain]
-        rows.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(target)
+    target, column = f"{path}/compacted/batch_id={chosen[-1]}", GRAINS[grain] if grain else None
+    if column:
+        patterns = [make(f"{layout.tail[n]}/{column}=*") for n in chosen]
+        parts = [s.getPath() for p in patterns for s in (fs.globStatus(p) or [])]
+        touched = {p.getName() for p in parts}
+        new, old = [p.toString() for p in parts], [f for name, f in layout.rolled.items() if name in touched]
     else:
-        rows.hint("rebalance").write.mode("overwrite").parquet(target)
-    fs, make = _filesystem(spark, path), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        new, old = [layout.tail[n] for n in chosen], list(layout.rolled.values())
+    rows = _read(spark, path, old, new)
+    if rows is not None:
+        rows = rows.drop("batch_id")
+        _write(merge(rows) if merge else rows, target, column)
+    else:  # the batches were empty
+        fs.create(make(f"{target}/_SUCCESS")).close()
     for number, folder in _finished(spark, path).items():
         if isinstance(number, int) and number <= chosen[-1]:
             fs.delete(make(folder), True)
-    if rolled:
-        fs.delete(make(rolled), True)
+    for folder in _layout(spark, path).superseded:
+        fs.delete(make(folder), True)
     return chosen[-1]
 
 

@@ -171,12 +171,30 @@ def tag_source(df: DataFrame, source: str = "browser") -> DataFrame:
     return envelopes.tag_resource(df, "telemetry.source", source)
 
 
-def keep_first(table: str, grain: str = "day") -> Sink:
+# A batch of at most so many spans asks for its ids one by one: the items of the largest pace.
+MAX_IDS = max(items for _, items in PACES.values())
+
+
+def landed_keys(stored: DataFrame, batch: DataFrame, key: list[str], most_ids: int = MAX_IDS) -> DataFrame:
+    """Keys of stored spans that may be in the batch.
+
+    A batch of at most ``most_ids`` spans, the bound of its pace, hands its ids to the scan. Row groups whose
+    Bloom filters know none of them are not read, so what is read follows from the batch and its resends, not from
+    how much has landed. A larger batch reads the keys of its days. ``batch`` must be persisted.
+    """
+    ids = batch.select("trace_id", "span_id").limit(most_ids + 1).collect()
+    if len(ids) <= most_ids:
+        for column, values in (("trace_id", {r[0] for r in ids}), ("span_id", {r[1] for r in ids})):
+            stored = stored.filter(storage.among(column, sorted(values - {None})))
+    return stored.select(key)
+
+
+def keep_first(table: str, grain: str = "day", most_ids: int = MAX_IDS) -> Sink:
     """Append spans that have not landed before, however late they or their copies come.
 
     There is no state but the table: a batch collapses its own copies and leaves out those whose ids
     earlier batches landed on the same days (a copy has the times of its original). Only the folders of
-    the batch's days are read, and of those only the ids. A replay sees the batches before it.
+    the batch's days are opened, and there :func:`landed_keys`. A replay sees the batches before it.
     """
     key = ["event_date", "trace_id", "span_id"]
 
@@ -188,8 +206,8 @@ def keep_first(table: str, grain: str = "day") -> Sink:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
         parts = "" if grain == "day" else f", {column} date"
         stored = storage.read_facts(batch.sparkSession, table, f"{schema}{parts}, batch_id int")
-        landed = stored.filter((F.col("batch_id") < batch_id) & F.col(column).isin(list(folders))).select(key)
-        fresh = rows.dropDuplicates(key).join(landed, key, "left_anti")
+        earlier = stored.filter((F.col("batch_id") < batch_id) & F.col(column).isin(list(folders)))
+        fresh = rows.dropDuplicates(key).join(landed_keys(earlier, rows, key, most_ids), key, "left_anti")
         storage.append_batch(fresh, table, batch_id, grain)
         rows.unpersist()
 

@@ -67,3 +67,25 @@ def make_spans(spark):
         return df.withColumn("attributes", attributes).withColumn("status_message", F.lit(None).cast("string")).drop("tags")
 
     return make
+
+
+@pytest.fixture(scope="session")
+def scanned_rows():
+    """Rows that each file scan of a query hands on, once it has run."""
+
+    def scans(node):
+        name = node.nodeName()
+        if name.startswith("Scan parquet"):
+            return [node.metrics().apply("numOutputRows").value()]
+        if name.startswith("AdaptiveSparkPlan"):
+            return scans(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return scans(node.plan())
+        children = node.children()
+        return [n for i in range(children.size()) for n in scans(children.apply(i))]
+
+    def run(df):
+        df.collect()
+        return scans(df._jdf.queryExecution().executedPlan())
+
+    return run

@@ -84,6 +84,83 @@ def test_compaction_keeps_rows_and_order_of_batches(spark, tmp_path, grain):
     assert sorted(r.time_ns for r in window.collect()) == [40 * DAY, 41 * DAY, 50 * DAY]
 
 
+def test_compaction_rewrites_touched_days_only(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    for number, days in enumerate(((0, 1, 2), (3,), (1, 4), (5,))):
+        storage.append_batch(facts(spark, *[d * DAY for d in days]), path, number)
+
+    def files():
+        return {f.relative_to(path).parts[-2:]: f.parent.parent.name for f in tmp_path.rglob("compacted/batch_id=*/*/*.parquet")}
+
+    assert storage.compact(spark, path, "day", upto=1) == 1
+    before = files()
+    assert storage.compact(spark, path, "day", upto=2) == 2
+    untouched = {name: version for name, version in before.items() if name[0] != "event_date=1970-01-02"}
+    after = files()
+    assert len(untouched) == 3 and untouched.items() <= after.items()
+    assert {name[0]: version for name, version in after.items() if version == "batch_id=2"}.keys() == {"event_date=1970-01-02", "event_date=1970-01-05"}
+    assert sorted(r.time_ns // DAY for r in storage.read_facts(spark, path).collect()) == [0, 1, 1, 2, 3, 4, 5]
+
+
+def test_compaction_that_stops_before_it_cleans_up(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "facts")
+    for number, days in enumerate(((0, 1), (1, 2), (2,), (3,))):
+        storage.append_batch(facts(spark, *[d * DAY for d in days]), path, number)
+    storage.compact(spark, path, "day", upto=0)
+    want = sorted(r.time_ns for r in storage.read_facts(spark, path).collect())
+    real = storage._finished
+    calls = []
+
+    def broken(spark, path):  # the first listing after the write fails
+        calls.append(path)
+        if len(calls) == 3:
+            raise OSError("lost")
+        return real(spark, path)
+
+    monkeypatch.setattr(storage, "_finished", broken)
+    with pytest.raises(OSError):
+        storage.compact(spark, path, "day", upto=2)
+    monkeypatch.setattr(storage, "_finished", real)
+    assert (tmp_path / "facts" / "batch_id=1").exists() and (tmp_path / "facts" / "compacted" / "batch_id=2").exists()
+    assert sorted(r.time_ns for r in storage.read_facts(spark, path).collect()) == want
+    storage.append_batch(facts(spark, 9 * DAY), path, 4)
+    assert storage.compact(spark, path, "day") == 3
+    assert sorted(r.time_ns for r in storage.read_facts(spark, path).collect()) == [*want, 9 * DAY]
+    assert not (tmp_path / "facts" / "batch_id=1").exists()
+
+
+def test_empty_batches_are_rolled_in(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    for number, days in enumerate(((), (0,), ())):
+        storage.append_batch(facts(spark, *[d * DAY for d in (*days, 7)]).filter(f"time_ns < {7 * DAY}"), path, number)
+    assert storage.compact(spark, path, "day", upto=0) == 0
+    assert storage.compact(spark, path, "day", upto=2) == 2
+    assert [r.time_ns for r in storage.read_facts(spark, path).collect()] == [0]
+
+
+def test_lookups_by_id_skip_row_groups(spark, tmp_path, scanned_rows):
+    path = str(tmp_path / "spans")
+
+    def part(lo, hi):
+        ids = spark.range(lo, hi)
+        return ids.select(
+            F.md5((F.col("id") % 7).cast("string")).alias("trace_id"), F.md5(F.col("id").cast("string")).alias("span_id"),
+            F.lit("2024-01-01").cast("date").alias("event_date"),
+        )
+
+    for number in range(3):
+        storage.append_batch(part(number * 500, number * 500 + 500), path, number)
+    one = part(600, 601).first()
+    stored = storage.read_facts(spark, path)
+    assert scanned_rows(filters.apply_filters(stored, [Filter("span_id", "eq", one.span_id)])) == [500]
+    assert scanned_rows(filters.apply_filters(stored, [Filter("trace_id", "eq", "0" * 32)])) == [0]
+    ids = [r.span_id for r in part(10**6, 10**6 + 300).collect()]
+    assert scanned_rows(stored.filter(storage.among("span_id", ids))) == [0]
+    found = stored.filter(storage.among("span_id", [*ids, one.span_id]))
+    assert [r.span_id for r in found.collect()] == [one.span_id] and scanned_rows(found) == [500]
+    assert stored.filter(storage.among("span_id", [])).count() == 0
+
+
 def test_release_removes_materialised_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
     kept = storage.checkpoint(spark.range(3).toDF("a"))

@@ -112,6 +112,30 @@ def test_dedup_drops_retries_and_loses_nothing_late(spark, make_spans, tmp_path)
     assert {r.batch_id: r["count"] for r in landed.groupBy("batch_id").count().collect()} == {0: 20, 1: 40}
 
 
+def test_dedup_reads_what_the_batch_may_hold(spark, tmp_path, scanned_rows):
+    """Rows read for a batch do not grow with what has landed on its day, one trace with all spans included."""
+    key = ["event_date", "trace_id", "span_id"]
+
+    def part(lo, hi):
+        trace = F.md5((F.col("id") % 2).cast("string")).alias("trace_id")
+        span = F.md5(F.col("id").cast("string")).alias("span_id")
+        return spark.range(lo, hi).select(trace, span, F.lit("2024-01-01").cast("date").alias("event_date"))
+
+    table = str(tmp_path / "spans")
+    sink, read = ingest.keep_first(table), []
+    for number in range(4):
+        sink(part(number * 800, number * 800 + 800), number)
+        stored = storage.read_facts(spark, table)
+        probes = part(10**6, 10**6 + 900), part(790, 810)
+        read.append([scanned_rows(ingest.landed_keys(stored, p.persist(), key)) for p in probes])
+    assert read == [[[0], [800]], [[0], [1600]], [[0], [1600]], [[0], [1600]]]
+    sink(part(700, 900).union(part(5000, 5010)), 4)
+    sink(part(0, 3300), 5)  # more than a pace's items
+    assert {r.batch_id: r["count"] for r in storage.read_facts(spark, table).groupBy("batch_id").count().collect()} == {
+        0: 800, 1: 800, 2: 800, 3: 800, 4: 10, 5: 100,
+    }
+
+
 def test_tail_sampling_waits_and_then_decides(spark, make_spans, tmp_path):
     policy = sampling.Policy(own_services="^own", percentage=0.0)
     columns = ["trace_id", "service_name", "status_code", "start_ns", "attributes"]
