@@ -34,6 +34,7 @@ from heliograph.sources import storage
 
 _CHARS = 1 << 20
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+SUMMED = "doc_id long, n_a long, n_b long, groups_sha256 string, a_links array<int>, b_links array<int>"
 COUNTS = "a int, b int, n long"
 FIGURES = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -156,19 +157,24 @@ def _aligned(ids: list[int | None], texts: list[str], a: ByteSide, b: PieceSide)
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes"])
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document the ids of both sides, and how many of each are in every group."""
+def _over_texts(docs: DataFrame, path_a: str, path_b: str, id_column: str, text_column: str, then, schema: str) -> DataFrame:
+    """``then`` of the alignment of every some texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides(path_a, path_b)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for begin, end in grouped(list(map(len, texts)), _CHARS):
-                yield _aligned(ids[begin:end], texts[begin:end], *both)
+                yield then(_aligned(ids[begin:end], texts[begin:end], *both))
 
     tables.ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, ALIGNED)
+    return rows.mapInArrow(run, schema)
+
+
+def align(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per document the ids of both sides, and how many of each are in every group."""
+    return _over_texts(docs, path_a, path_b, id_column, text_column, lambda batch: batch, ALIGNED)
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,32 +184,6 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return values, bounds - bounds[0]
 
 
-def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Of every group the key of its last ids, ``a`` in the high half; and each row's bounds in them."""
-    (a, _), (b, _) = _flat(batch.column("a_ids")), _flat(batch.column("b_ids"))
-    (a_sizes, bounds), (b_sizes, _) = _flat(batch.column("a_sizes")), _flat(batch.column("b_sizes"))
-    last_a, last_b = np.cumsum(a_sizes) - 1, np.cumsum(b_sizes) - 1
-    return a[last_a].astype(np.int64) << 32 | b[last_b], bounds
-
-
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """How many links hold each pair of ids, over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            new, n = np.unique(_links(batch)[0], return_counts=True)
-            keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-        if len(keys):
-            columns = pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts)
-            yield pa.RecordBatch.from_arrays(list(columns), names=["a", "b", "n"])
-
-    tables.ship(aligned.sparkSession)
-    partial = aligned.select("a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(run, COUNTS)
-    return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
 @lru_cache(maxsize=4)
 def _spellings(a_count: int, b_count: int) -> list[str]:
     """Decimal ids with what follows them: of the first side inside and at the end of a group, then of the second."""
@@ -229,13 +209,55 @@ def group_texts(batch: pa.RecordBatch) -> Iterator[str]:
         yield "".join(map(spell.__getitem__, codes[begin:end].tolist()))[:-1]
 
 
-def figures(aligned: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per document its tokens, groups and links, the links that are the most frequent of their second id, the sum of
-    their counts, and the digest of its groups.
+def _summed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Per row its tokens of both sides, the digest of its groups, and the last ids of every group."""
+    (a, a_bounds), (b, b_bounds) = _flat(batch.column("a_ids")), _flat(batch.column("b_ids"))
+    (a_sizes, bounds), (b_sizes, _) = _flat(batch.column("a_sizes")), _flat(batch.column("b_sizes"))
+    digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in group_texts(batch)]
+    columns = [batch.column("doc_id"), *(pa.array(np.diff(x), pa.int64()) for x in (a_bounds, b_bounds)), pa.array(digests, pa.string())]
+    columns += [_lists(ids[np.cumsum(sizes) - 1], bounds) for ids, sizes in ((a, a_sizes), (b, b_sizes))]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SUMMED.split(", ")])
+
+
+def summed(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per document its tokens of both sides, the digest of its groups, and the links: the last ids of every group."""
+    return _over_texts(docs, path_a, path_b, id_column, text_column, _summed, SUMMED)
+
+
+def _links(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The rows, some at a time, with their links as one key each, ``a`` in the high half, and each row's bounds in them."""
+    sizes = np.diff(batch.column("a_links").offsets.to_numpy()).tolist()
+    for begin, end in grouped(sizes, _CHARS):
+        part = batch.slice(begin, end - begin)
+        (a, bounds), (b, _) = _flat(part.column("a_links")), _flat(part.column("b_links"))
+        yield part, a.astype(np.int64) << 32 | b, bounds
+
+
+def pair_counts(links: DataFrame) -> DataFrame:
+    """How many links hold each pair of ids, over all documents of :func:`summed`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for _, found, _ in (part for batch in batches for part in _links(batch)):
+            new, n = np.unique(found, return_counts=True)
+            keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+        if len(keys):
+            columns = pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts)
+            yield pa.RecordBatch.from_arrays(list(columns), names=["a", "b", "n"])
+
+    tables.ship(links.sparkSession)
+    partial = links.select("a_links", "b_links").mapInArrow(run, COUNTS)
+    return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def figures(links: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per document of :func:`summed` its tokens, groups and links, the links that are the most frequent of their second
+    id, the sum of their counts, and the digest of its groups.
 
     ``counts`` has a bound that the vocabularies set (see above), so it is broadcast to the tasks.
     """
-    spark = aligned.sparkSession
+    spark = links.sparkSession
     table = counts.select((F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("key"), "n").orderBy("key").toArrow()
     keys, n = table["key"].to_numpy(), table["n"].to_numpy()
     top = np.zeros(int((keys & 0xFFFFFFFF).max()) + 1 if len(keys) else 0, np.int64)
@@ -244,22 +266,18 @@ def figures(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, best = known.value
-        for batch in batches:
-            links, bounds = _links(batch)
-            at = np.searchsorted(keys, links)
-            sums = [np.concatenate([[0], np.cumsum(x[at])])[bounds] for x in (n, best.astype(np.int64))]
-            sizes = [np.diff(_flat(batch.column(c))[1]) for c in ("a_ids", "b_ids", "a_sizes")]
-            digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in group_texts(batch)]
-            columns = [*sizes, sizes[2], np.diff(sums[1]), np.diff(sums[0])]
-            names = [c.split()[0] for c in FIGURES.split(", ")]
-            arrays = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for part, found, bounds in (part for batch in batches for part in _links(batch)):
+            at, groups = np.searchsorted(keys, found), np.diff(bounds)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x[at])])[bounds]) for x in (best.astype(np.int64), n)]
+            figures = [pa.array(x, pa.int64()) for x in (groups, groups, *sums)]
+            arrays = [*(part.column(c) for c in ("doc_id", "n_a", "n_b")), *figures, part.column("groups_sha256")]
+            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in FIGURES.split(", ")])
 
     tables.ship(spark)
-    return aligned.mapInArrow(run, FIGURES)
+    return links.mapInArrow(run, FIGURES)
 
 
 def align_and_count(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """:func:`figures` of all documents; the alignment is written once and read for the counts and the figures."""
-    aligned = storage.checkpoint(align(docs, path_a, path_b, id_column, text_column))
-    return figures(aligned, storage.checkpoint(pair_counts(aligned)))
+    """:func:`figures` of all documents; the links are written once and read for the counts and the figures."""
+    links = storage.checkpoint(summed(docs, path_a, path_b, id_column, text_column))
+    return figures(links, storage.checkpoint(pair_counts(links)))
