@@ -326,23 +326,47 @@ def _dedup_stream(t):
     return storage.read_facts(t.spark, out).select("trace_id", "span_id", "start_ns")
 
 
-# A second is landed once it is 10 s behind the newest span; a trace is decided 10 s after its first.
-@query(
-    "tail_sampling_stream",
-    f""", waits AS (SELECT trace_id, min(start_ns) // 1000000000 + 10 AS until FROM spans GROUP BY trace_id),
-heard AS (SELECT spans.* FROM spans JOIN waits USING (trace_id) WHERE start_ns // 1000000000 < until)
-SELECT trace_id, span_count, is_kept FROM ({SAMPLING_SQL.replace("FROM spans", "FROM heard")}) JOIN waits USING (trace_id)
-WHERE until <= (SELECT max(start_ns // 1000000000) + 1 FROM spans
-  WHERE (start_ns // 1000000000 + 1) * 1000 <= (SELECT max(start_ns) // 1000000 - 10000 FROM spans))""",
-)
+# A trace is decided once the watermark, 10 s behind the newest span, is 10 s past its first second.
+_DECIDED_SQL = f""", waits AS (SELECT trace_id, min(start_ns) // 1000000000 + 10 AS until FROM spans GROUP BY trace_id),
+heard AS (SELECT spans.* FROM spans JOIN waits USING (trace_id) WHERE start_ns // 1000000000 < until),
+decided AS (SELECT trace_id, span_count, is_kept FROM ({SAMPLING_SQL.replace("FROM spans", "FROM heard")}) JOIN waits USING (trace_id)
+WHERE until * 1000 <= (SELECT max(start_ns) // 1000000 - 10000 FROM spans))"""
+
+
+def _tail_wave(t, root: str, wave) -> None:
+    """Land the decisions that a wave of spans brings, by a restart of the job."""
+    wave.write.mode("append").parquet(f"{root}/in")
+    source = t.spark.readStream.schema(wave.schema).parquet(f"{root}/in")
+    decided = stream_sampling.decisions(stream_sampling.trace_flags(source, POLICY), POLICY)
+    options = ingest.Stream(f"{root}/checkpoint", grain="month")
+    stream_sampling.land_decisions(decided, f"{root}/decided", options).awaitTermination()
+
+
+def _tail_spans(t):
+    return t.spans.select("trace_id", "span_id", "service_name", "status_code", "start_ns", "`http.status_code`", "event_date")
+
+
+@query("tail_sampling_stream", f"{_DECIDED_SQL} SELECT trace_id, span_count, is_kept FROM decided")
 def _tail_stream(t):
     root = _scratch(t, "tail")
-    narrow = t.spans.select("trace_id", "service_name", "status_code", "start_ns", "`http.status_code`")
-    narrow.write.parquet(f"{root}/in")
-    source = t.spark.readStream.schema(narrow.schema).parquet(f"{root}/in")
-    flags = stream_sampling.trace_flags(source, POLICY)
-    stream_sampling.land_flags(flags, f"{root}/flags", ingest.Stream(f"{root}/checkpoint")).awaitTermination()
-    return stream_sampling.decisions(t.spark, f"{root}/flags", POLICY).select("trace_id", "span_count", "is_kept")
+    for wave in reversed(_halves(_tail_spans(t), "start_ns")):
+        _tail_wave(t, root, wave)
+    return storage.read_facts(t.spark, f"{root}/decided").select("trace_id", "span_count", "is_kept")
+
+
+# Each wave lands decisions and then the spans they keep; spans of decided traces that land later follow.
+@query(
+    "tail_sampling_landed",
+    f"{_DECIDED_SQL} SELECT trace_id, span_id, start_ns FROM spans WHERE trace_id IN (SELECT trace_id FROM decided WHERE is_kept)",
+)
+def _tail_landed(t):
+    root, (newer, older) = _scratch(t, "tail"), _halves(_tail_spans(t), "start_ns")
+    late = older.filter("span_id >= 'c'")  # lands with the second wave, though decided with the first
+    for number, (heard, landed) in enumerate(((older, older.filter("span_id < 'c'")), (newer, newer.unionByName(late)))):
+        _tail_wave(t, root, heard)
+        storage.append_batch(landed, f"{root}/landed", number, "month")
+        stream_sampling.land_kept(t.spark, f"{root}/landed", f"{root}/decided", f"{root}/kept", "month")
+    return storage.read_facts(t.spark, f"{root}/kept").select("trace_id", "span_id", "start_ns")
 
 
 _HORIZON, _KEEP_DAYS = "1998-08-01", 90

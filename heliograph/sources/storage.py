@@ -164,6 +164,12 @@ def committed_batches(spark: SparkSession, path: str) -> list[str]:
     return [*dict.fromkeys(versions), *layout.tail.values()]
 
 
+def last_batch(spark: SparkSession, path: str) -> int:
+    """Number of the newest batch, -1 where none has landed."""
+    layout = _layout(spark, path)
+    return max((n for n in layout.tail if isinstance(n, int)), default=layout.last)
+
+
 def _read(spark: SparkSession, path: str, rolled: list[str], batches: list[str], schema: str | None = None) -> DataFrame | None:
     read = []
     for base, folders in ((f"{path}/compacted", rolled), (path, batches)):

@@ -136,25 +136,67 @@ def test_dedup_reads_what_the_batch_may_hold(spark, tmp_path, scanned_rows):
     }
 
 
-def test_tail_sampling_waits_and_then_decides(spark, make_spans, tmp_path):
-    policy = sampling.Policy(own_services="^own", percentage=0.0)
-    columns = ["trace_id", "service_name", "status_code", "start_ns", "attributes"]
+TAIL = ["trace_id", "span_id", "service_name", "status_code", "start_ns", "attributes"]
+
+
+def tail_batch(make_spans, *rows):
+    day = F.lit("1970-01-01").cast("date")
+    made = [{"trace": t, "id": f"{t}-{s}-{i}", "service": "own-x", "start": (3600 + s) * SECOND, "status": e} for i, (t, s, e) in enumerate(rows)]
+    return make_spans(made).select(*TAIL).withColumn("event_date", day)
+
+
+def tail_wave(spark, rows, tmp_path, policy, **times):
+    """One restart of the job over one more file; rows that its state holds at the end."""
+    source, table = str(tmp_path / "in"), str(tmp_path / "decided")
+    rows.coalesce(1).write.mode("append").parquet(source)
+    flags = stream_sampling.trace_flags(spark.readStream.schema(rows.schema).parquet(source), policy)
+    decided = stream_sampling.decisions(flags, policy, **times)
+    query = stream_sampling.land_decisions(decided, table, ingest.Stream(str(tmp_path / "checkpoint")))
+    query.awaitTermination()
+    return sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"] if op["operatorName"].startswith("transformWithState"))
+
 
-    def batch(*rows):
-        return make_spans([{"trace": t, "id": f"{t}-{s}", "service": "own-x", "start": (3600 + s) * SECOND, "status": e} for t, s, e in rows]).select(columns)
+def decided_so_far(spark, tmp_path):
+    return {r.trace_id: (r.is_kept, r.span_count) for r in storage.read_facts(spark, str(tmp_path / "decided"), "trace_id string, is_kept boolean, span_count bigint").collect()}
 
-    source, flags = str(tmp_path / "in"), str(tmp_path / "flags")
-    # "bad" fails in a span that comes after newer ones, "good" after its wait.
-    batches = [batch(("bad", 0, 0), ("good", 1, 0)), batch(("good", 8, 0), ("open", 9, 0)), batch(("bad", 5, 2), ("late", 30, 0)),
-               batch(("good", 25, 2), ("later", 100, 0)), batch(("last", 200, 0))]
-    decided = []
+
+def test_tail_sampling_waits_and_then_decides(spark, make_spans, tmp_path):
+    policy = sampling.Policy(own_services="^own", percentage=0.0)
+    # "bad" fails in a span that comes after newer ones, "good" after its wait; "hot" has most spans, in one second.
+    hot = [("hot", 2, 0)] * 300
+    batches = [[("bad", 0, 0), ("good", 1, 0), *hot], [("good", 8, 0), ("open", 9, 0)], [("bad", 5, 2), ("late", 30, 0)],
+               [("good", 25, 2), ("later", 100, 0)], [("last", 1000, 0)]]
+    decided, held = [], []
     for rows in batches:
-        rows.coalesce(1).write.mode("append").parquet(source)
-        stream = stream_sampling.trace_flags(spark.readStream.schema(batches[0].schema).parquet(source), policy)
-        stream_sampling.land_flags(stream, flags, ingest.Stream(str(tmp_path / "checkpoint"))).awaitTermination()
-        found = stream_sampling.decisions(spark, flags, policy).collect() if storage.committed_batches(spark, flags) else []
-        decided.append({r.trace_id: (r.is_kept, r.span_count) for r in found})
+        held.append(tail_wave(spark, tail_batch(make_spans, *rows), tmp_path, policy, remember_seconds=60))
+        decided.append(decided_so_far(spark, tmp_path))
     assert decided[0] == {} and decided[1] == {}
-    assert decided[2] == {"bad": (True, 2)}
-    assert decided[3] == {**decided[2], "good": (False, 2), "open": (False, 1)}
-    assert decided[4] == {**decided[3], "late": (False, 1)}
+    assert decided[2] == {"bad": (True, 2), "hot": (False, 300), "good": (False, 2), "open": (False, 1)}
+    assert decided[3] == {**decided[2], "late": (False, 1)}
+    assert decided[4] == {**decided[3], "later": (False, 1)}
+    assert held[-1] == 0  # flags and markers are gone; "last" is still counted by its second
+
+
+def test_kept_spans_follow_their_decision(spark, make_spans, tmp_path):
+    """Spans that land before, with and after the decision are copied once, whenever runs come or are repeated."""
+    policy = sampling.Policy(own_services="^own", percentage=0.0)
+    spans, decided, kept = (str(tmp_path / n) for n in ("spans", "decided", "kept"))
+    waves = [[("bad", 0, 2), ("good", 0, 0)], [("bad", 5, 0), ("next", 40, 2)], [("bad", 50, 0), ("x", 90, 0)], [("bad", 200, 2), ("y", 300, 0)]]
+    found = []
+    for number, rows in enumerate(waves):
+        wave = tail_batch(make_spans, *rows)
+        storage.append_batch(wave, spans, number)
+        tail_wave(spark, wave, tmp_path, policy, remember_seconds=60)
+        stream_sampling.land_kept(spark, spans, decided, kept)
+        assert stream_sampling.land_kept(spark, spans, decided, kept) is None
+        found.append(sorted((r.trace_id, r.start_ns // SECOND - 3600) for r in storage.read_facts(spark, kept, "trace_id string, start_ns bigint").collect()))
+    assert found[0] == []
+    assert found[1] == [("bad", 0), ("bad", 5)]
+    assert found[2] == [("bad", 0), ("bad", 5), ("bad", 50), ("next", 40)]
+    assert found[3] == [("bad", 0), ("bad", 5), ("bad", 50), ("bad", 200), ("next", 40)]
+    storage.append_batch(tail_batch(make_spans, ("next", 41, 0)), spans, 4)
+    (tmp_path / "kept" / "batch_id=4").mkdir()  # a run that wrote down its reach and then stopped
+    spark.createDataFrame([(4, storage.last_batch(spark, decided))], "spans int, decided int").write.parquet(f"{kept}-reach/batch_id=4")
+    storage.append_batch(tail_batch(make_spans, ("next", 42, 0)), spans, 5)
+    assert [stream_sampling.land_kept(spark, spans, decided, kept) for _ in range(3)] == [4, 5, None]
+    assert storage.read_facts(spark, kept).count() == len(found[3]) + 2
