@@ -20,8 +20,11 @@ table gives an empty result. A text of any length is one row's arrays; texts are
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ from heliograph.llm.byte_bpe import grouped
 from heliograph.sources import storage
 
 _CHARS = 1 << 20
+MEMO = 300_000  # words of the second side that a worker keeps; it changes no result
+_WORDS = re.compile(" +[^ ]+| +")
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
 SUMMED = "doc_id long, n_a long, n_b long, groups_sha256 string, a_links array<int>, b_links array<int>"
 COUNTS = "a int, b int, n long"
@@ -40,24 +45,34 @@ FIGURES = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 
 
 class ByteSide:
-    """Byte-level BPE of a space and the text; the strings of special tokens are plain text."""
+    """Byte-level BPE of a space and the text; the strings of special tokens are plain text. It spells every text."""
 
     def __init__(self, path: str):
         bytes_of = {c: bytes([b]) for b, c in pieces.byte_chars().items()}
         shape = pieces.settings(path)
-        self._encoder = pieces.library_encoder(path, plain=True)
         entries = shape["model"]["vocab"] | pieces.special_tokens(shape)
+        if not bytes_of.keys() <= entries.keys():
+            raise ValueError(f"{path} lacks single bytes")
+        self._encoder = pieces.library_encoder(path, plain=True)
         self.labels = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.labels[i] = b"".join(bytes_of.get(c, c.encode()) for c in entry)
         self.widths = np.array(list(map(len, self.labels)))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(self._encoder.ids(f" {t}"), pieces.ID).astype(np.int32) for t in texts]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [self._encoder.ids(f" {t}") for t in texts]
 
 
 class PieceSide:
-    """A sentencepiece model, which puts the space before the text itself."""
+    """A sentencepiece model, which puts the space before the text itself.
+
+    Where no piece has a space after another character, nothing is merged over that seam, and a text is the
+    sequence of its words, each with the spaces before it. Words are then encoded once per worker, up to ``MEMO`` of
+    them; those that are new in some texts go to the library together. Other models encode whole texts.
+    """
+
+    _MARK = "\u2581"
+    _PROBE = " a  b\tc\nd   \u00e9 \ufb01 \u3000x  "  # spelled otherwise by models that normalise
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -65,12 +80,53 @@ class PieceSide:
         self._model = model = SentencePieceProcessor(model_file=path)
         spelled = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.labels = [
-            bytes([int(piece[3:-1], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode() for i, piece in enumerate(spelled)
+            bytes([int(piece[3:-1], 16)]) if model.is_byte(i) else piece.replace(self._MARK, " ").encode() for i, piece in enumerate(spelled)
         ]
         self.widths = np.array(list(map(len, self.labels)))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int32) for ids in self._model.encode(texts, num_threads=1)]
+        self._memo: dict[str, bytes] = {}  # nothing where the ids spell something else
+        self._unlike = False  # whether there was such a word
+        seam = any(self._MARK in piece.lstrip(self._MARK) for piece in spelled)
+        self._by_words = not seam and self._spelled(self._model.encode(self._PROBE), self._PROBE) is not None
+
+    def _spelled(self, ids: list[int], text: str) -> bytes | None:
+        """The ids as bytes, or None where they spell something else than a space and the text."""
+        if b"".join(map(self.labels.__getitem__, ids)) != f" {text}".encode():
+            return None
+        return array("I", ids).tobytes()
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words and the space before each. Words that are spaces alone are encoded behind a letter."""
+        first = len(self._model.encode("a"))
+        encoded = self._model.encode([word if word.strip(" ") else f"a {word}" for word in words], num_threads=1)
+        found = {word: self._spelled(ids if word.strip(" ") else ids[first:], word) or b"" for word, ids in zip(words, encoded)}
+        self._unlike |= b"" in found.values()
+        self._memo |= islice(found.items(), max(MEMO - len(self._memo), 0))
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each text, None where they do not spell it."""
+        if not self._by_words:
+            return [self._spelled(ids, text) for ids, text in zip(self._model.encode(texts, num_threads=1), texts)]
+        words = [_words(text) for text in texts]
+        get = self._memo.get
+        found = [list(map(get, listed)) for listed in words]
+        new = {word for listed, ids in zip(words, found) if None in ids for word, known in zip(listed, ids) if known is None}
+        learnt = self._learn(list(new)) if new else {}
+        out = []
+        for text, listed, ids in zip(texts, words, found):
+            if None in ids:
+                ids = [known if known is not None else learnt[word] for word, known in zip(listed, ids)]
+            spelled = self._MARK not in text and not (self._unlike and b"" in ids)
+            out.append(b"".join(ids) if spelled else None)
+        return out
+
+
+def _words(text: str) -> list[str]:
+    """The words of a space and the text without that space before each: spaces before a word belong to it, those at the
+    end are one of their own."""
+    if "  " in text or text[:1] == " " or text[-1:] == " ":
+        return [word[1:] for word in _WORDS.findall(f" {text}")]
+    return text.split(" ")
 
 
 @lru_cache(maxsize=2)
@@ -102,7 +158,8 @@ def _nearest(ends_a: np.ndarray, ends_b: np.ndarray, low: np.ndarray, high: np.n
             tried, owner = m, np.arange(len(m))
         at = np.searchsorted(ends_b, ends_a[tried])
         hits = np.flatnonzero(ends_b[at] == ends_a[tried])
-        hits = hits[np.argsort(-np.abs(tried[hits] - m[owner[hits]]), kind="stable")]  # the nearest is written last
+        if reach:
+            hits = hits[np.argsort(-np.abs(tried[hits] - m[owner[hits]]), kind="stable")]  # the nearest is written last
         best[open_[owner[hits]]], match[open_[owner[hits]]] = tried[hits], at[hits]
         reach = 2 * reach or 1
         open_ = open_[(best[open_] < 0) & ((m - reach >= lo) | (m + reach < hi))]
@@ -128,31 +185,32 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, last_a: np.ndarray, last
         at, match, low, high, b_low, b_high = at[cut], match[cut], low[cut], high[cut], b_low[cut], b_high[cut]
         cuts_a.append(at)
         cuts_b.append(match)
-        low, high = np.concatenate([low, at + 1]), np.concatenate([at, high])
-        b_low, b_high = np.concatenate([b_low, match + 1]), np.concatenate([match, b_high])
+        # The halves stay in the order of the text, in which look-ups are quick.
+        low, high = np.stack([low, at + 1], 1).ravel(), np.stack([at, high], 1).ravel()
+        b_low, b_high = np.stack([b_low, match + 1], 1).ravel(), np.stack([match, b_high], 1).ravel()
     return np.sort(np.concatenate(cuts_a)), np.sort(np.concatenate(cuts_b))
 
 
-def _lists(parts: list[np.ndarray] | np.ndarray, bounds: np.ndarray) -> pa.ListArray:
-    values = np.concatenate(parts) if isinstance(parts, list) else parts
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
 
 
 def _aligned(ids: list[int | None], texts: list[str], a: ByteSide, b: PieceSide) -> pa.RecordBatch:
-    none = np.empty(0, np.int32)
-    a_ids, b_ids = a.encode(texts), b.encode(texts)
-    for i, text in enumerate(texts):
-        spelled = f" {text}".encode()
-        if not text or any(b"".join(map(s.labels.__getitem__, x[i].tolist())) != spelled for s, x in ((a, a_ids), (b, b_ids))):
-            a_ids[i] = b_ids[i] = none
+    b_packed = [packed if text else None for text, packed in zip(texts, b.encode(texts))]
+    a_packed = a.encode(texts)
+    packed = [(x, y) for x, y in zip(a_packed, b_packed) if y is not None]
+    sides_ids = [np.frombuffer(b"".join(x), pieces.ID).astype(np.int32) for x in (zip(*packed) if packed else ((), ()))]
+    filled = np.array([y is not None for y in b_packed], bool)
     bounds, ends = [], []
-    for side, parts in ((a, a_ids), (b, b_ids)):
-        bounds.append(np.cumsum([0, *map(len, parts)]))
-        ends.append(np.cumsum(side.widths[np.concatenate([*parts, none])]))
-    filled = np.flatnonzero(np.diff(bounds[0]))
-    cuts = shared_cuts(*ends, bounds[0][filled + 1] - 1, bounds[1][filled + 1] - 1) if len(filled) else (none, none)
+    for side, values, parts in zip((a, b), sides_ids, (a_packed, b_packed)):
+        sizes = [len(x) // pieces.ID.itemsize if y is not None else 0 for x, y in zip(parts, b_packed)]
+        bounds.append(np.cumsum([0, *sizes]))
+        ends.append(np.cumsum(side.widths[values]))
+    places = np.flatnonzero(filled)
+    none = np.empty(0, np.int64)
+    cuts = shared_cuts(*ends, bounds[0][places + 1] - 1, bounds[1][places + 1] - 1) if len(places) else (none, none)
     of_doc = np.searchsorted(cuts[0], bounds[0])
-    columns = [_lists([*a_ids, none], bounds[0]), _lists([*b_ids, none], bounds[1])]
+    columns = [_lists(values, bound) for values, bound in zip(sides_ids, bounds)]
     columns += [_lists(np.diff(c, prepend=-1), of_doc) for c in cuts]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes"])
 
