@@ -35,11 +35,12 @@ from heliograph.llm import pieces, tables
 from heliograph.llm.byte_bpe import grouped
 from heliograph.sources import storage
 
-_CHARS = 1 << 20
-MEMO = 300_000  # words of the second side that a worker keeps; it changes no result
+_CHARS = 1 << 19
+# Words that a worker keeps of either side; they change no result.
+_MEMO_A, MEMO = 500_000, 300_000
 _WORDS = re.compile(" +[^ ]+| +")
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
-SUMMED = "doc_id long, n_a long, n_b long, groups_sha256 string, a_links array<int>, b_links array<int>"
+SUMMED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 COUNTS = "a int, b int, n long"
 FIGURES = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -53,7 +54,7 @@ class ByteSide:
         entries = shape["model"]["vocab"] | pieces.special_tokens(shape)
         if not bytes_of.keys() <= entries.keys():
             raise ValueError(f"{path} lacks single bytes")
-        self._encoder = pieces.library_encoder(path, plain=True)
+        self._encoder = pieces.library_encoder(path, plain=True, memo=_MEMO_A)
         self.labels = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.labels[i] = b"".join(bytes_of.get(c, c.encode()) for c in entry)
@@ -267,28 +268,37 @@ def group_texts(batch: pa.RecordBatch) -> Iterator[str]:
         yield "".join(map(spell.__getitem__, codes[begin:end].tolist()))[:-1]
 
 
-def _summed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Per row its tokens of both sides, the digest of its groups, and the last ids of every group."""
+def _summed(batch: pa.RecordBatch, narrow: bool) -> pa.RecordBatch:
+    """Per row its tokens of both sides, its groups and their digest, and the links: pairs of unsigned 16-bit ids where
+    all are narrow, else of 32 bits."""
     (a, a_bounds), (b, b_bounds) = _flat(batch.column("a_ids")), _flat(batch.column("b_ids"))
     (a_sizes, bounds), (b_sizes, _) = _flat(batch.column("a_sizes")), _flat(batch.column("b_sizes"))
     digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in group_texts(batch)]
-    columns = [batch.column("doc_id"), *(pa.array(np.diff(x), pa.int64()) for x in (a_bounds, b_bounds)), pa.array(digests, pa.string())]
-    columns += [_lists(ids[np.cumsum(sizes) - 1], bounds) for ids, sizes in ((a, a_sizes), (b, b_sizes))]
+    links = np.stack([ids[np.cumsum(sizes) - 1] for ids, sizes in ((a, a_sizes), (b, b_sizes))], 1).astype("<u2" if narrow else "<u4")
+    places = (bounds * links.strides[0]).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(links))])
+    counts = [pa.array(np.diff(x), pa.int64()) for x in (a_bounds, b_bounds, bounds)]
+    columns = [batch.column("doc_id"), *counts, pa.array(digests, pa.string()), packed]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SUMMED.split(", ")])
 
 
 def summed(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document its tokens of both sides, the digest of its groups, and the links: the last ids of every group."""
-    return _over_texts(docs, path_a, path_b, id_column, text_column, _summed, SUMMED)
+    """Per document its tokens of both sides, its groups and their digest, and the links: the last ids of every group."""
+
+    def then(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _summed(batch, max(len(side.labels) for side in sides(path_a, path_b)) <= 1 << 16)
+
+    return _over_texts(docs, path_a, path_b, id_column, text_column, then, SUMMED)
 
 
 def _links(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The rows, some at a time, with their links as one key each, ``a`` in the high half, and each row's bounds in them."""
-    sizes = np.diff(batch.column("a_links").offsets.to_numpy()).tolist()
-    for begin, end in grouped(sizes, _CHARS):
+    for begin, end in grouped(batch.column("n_groups").to_pylist(), _CHARS):
         part = batch.slice(begin, end - begin)
-        (a, bounds), (b, _) = _flat(part.column("a_links")), _flat(part.column("b_links"))
-        yield part, a.astype(np.int64) << 32 | b, bounds
+        bounds = np.concatenate([[0], np.cumsum(part.column("n_groups").to_numpy())])
+        data = b"".join(part.column("links").to_pylist())
+        pairs = np.frombuffer(data, "<u2" if len(data) == 4 * bounds[-1] else "<u4").reshape(-1, 2).astype(np.int64)
+        yield part, pairs[:, 0] << 32 | pairs[:, 1], bounds
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -305,7 +315,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns), names=["a", "b", "n"])
 
     tables.ship(links.sparkSession)
-    partial = links.select("a_links", "b_links").mapInArrow(run, COUNTS)
+    partial = links.select("n_groups", "links").mapInArrow(run, COUNTS)
     return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -325,7 +335,7 @@ def figures(links: DataFrame, counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, best = known.value
         for part, found, bounds in (part for batch in batches for part in _links(batch)):
-            at, groups = np.searchsorted(keys, found), np.diff(bounds)
+            at, groups = np.searchsorted(keys, found), part.column("n_groups").to_numpy()
             sums = [np.diff(np.concatenate([[0], np.cumsum(x[at])])[bounds]) for x in (best.astype(np.int64), n)]
             figures = [pa.array(x, pa.int64()) for x in (groups, groups, *sums)]
             arrays = [*(part.column(c) for c in ("doc_id", "n_a", "n_b")), *figures, part.column("groups_sha256")]

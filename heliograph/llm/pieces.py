@@ -39,8 +39,9 @@ def byte_chars() -> dict[int, str]:
 class TextEncoder:
     """``encode_word`` gives the ids of one word as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, encode_word: Callable[[str], bytes], special: dict[str, int]):
+    def __init__(self, encode_word: Callable[[str], bytes], special: dict[str, int], memo: int | None = None):
         self._encode_word = encode_word
+        self._most = memo
         self._special = {s: np.array([i], ID).tobytes() for s, i in special.items()}
         self._cut = re.compile("|".join(map(re.escape, special))) if special else None
         self._words = regex.compile(PATTERN).findall
@@ -48,7 +49,7 @@ class TextEncoder:
         self._bare: dict[str, bytes] = {}  # a word without a space before it
 
     def _keep(self, memo: dict[str, bytes], key: str, ids: bytes) -> bytes:
-        if len(self._memo) + len(self._bare) < MEMO:
+        if len(self._memo) + len(self._bare) < (self._most or MEMO):
             memo[key] = ids
         return ids
 
@@ -101,9 +102,9 @@ def special_tokens(shape: dict) -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str, plain: bool = False) -> TextEncoder:
+def library_encoder(path: str, plain: bool = False, memo: int | None = None) -> TextEncoder:
     """One per Python worker; the ids of each word come from the tokenizers library. ``plain``: the strings of
-    special tokens are ordinary text."""
+    special tokens are ordinary text. ``memo``: a bound of its own, instead of ``MEMO``."""
     from tokenizers import Tokenizer
 
     tokenize, stand_ins = Tokenizer.from_file(path).model.tokenize, byte_chars()
@@ -112,7 +113,7 @@ def library_encoder(path: str, plain: bool = False) -> TextEncoder:
         spelled = word.encode().decode("latin-1").translate(stand_ins)
         return np.array([token.id for token in tokenize(spelled)], ID).tobytes()
 
-    return TextEncoder(encode_word, {} if plain else special_tokens(settings(path)))
+    return TextEncoder(encode_word, {} if plain else special_tokens(settings(path)), memo)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
