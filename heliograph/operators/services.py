@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import clocks, enums
 from heliograph.operators import filters as flt
-from heliograph.operators.quantiles import exact_quantiles
+from heliograph.operators.quantiles import Summary, bucket_counts, exact_quantiles, merged_counts, select_ranks
 
 QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -16,18 +16,43 @@ def is_error() -> Column:
     return F.col("status_code") == enums.STATUS_ERROR
 
 
-def red(spans: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """Requests, errors, exact latency percentiles in ms and first / last start per group."""
-    keys = keys or ["service_name"]
+def _summary(weight: str | None = None) -> Summary:
+    """Requests, errors, first and last start: of rows, and of parts already summed up."""
     ones = F.col(weight) if weight else F.lit(1).cast("bigint")
-    measured = spans.withColumn("_duration", F.col("end_ns") - F.col("start_ns"))
-    summary = {
+    return {
         "request_count": (F.sum(ones), F.sum("request_count")),
         "error_count": (F.sum(F.when(is_error(), ones).otherwise(0)), F.sum("error_count")),
         "first_seen": (F.min("start_ns"), F.min("first_seen")),
         "last_seen": (F.max("start_ns"), F.max("last_seen")),
     }
-    figures = exact_quantiles(measured, keys, "_duration", QUANTILES, summary, weight)
+
+
+def with_duration(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("_duration", F.col("end_ns") - F.col("start_ns"))
+
+
+def red(spans: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Requests, errors, exact latency percentiles in ms and first / last start per group."""
+    keys = keys or ["service_name"]
+    figures = exact_quantiles(with_duration(spans), keys, "_duration", QUANTILES, _summary(weight), weight)
+    return _red(figures, keys)
+
+
+def red_sketch(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The counts and the latency sketch of a part of the spans, to be kept and merged."""
+    return bucket_counts(with_duration(spans), keys, "_duration", _summary())
+
+
+def merged_red_sketch(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    return merged_counts(sketches, keys, _summary())
+
+
+def red_of_sketch(sketch: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`red` from the merged sketch of all spans, and of the spans only those in the buckets of the percentiles."""
+    return _red(select_ranks(sketch, with_duration(spans), keys, "_duration", QUANTILES, _summary()), keys)
+
+
+def _red(figures: DataFrame, keys: list[str]) -> DataFrame:
     return figures.select(
         *keys,
         "request_count",

@@ -278,10 +278,11 @@ _LIVE_MINUTES = 30 * 24 * 60
 FROM spans WHERE start_ns >= {_NOW_NS - _LIVE_MINUTES * 60 * 10**9} AND start_ns < {_NOW_NS} GROUP BY service_name""",
 )
 def _red_live(t):
-    narrow = t.spans.select("service_name", "status_code", "start_ns", "end_ns")
-    table = _stream(t, "live", _halves(narrow, "start_ns"), live.keep_panes)
-    live.compact_panes(t.spark, table)
-    return live.red_window(t.spark, table, _NOW_NS, _LIVE_MINUTES)
+    narrow = t.spans.select("span_id", "service_name", "status_code", "start_ns", "end_ns", "event_date")
+    sinks = lambda out: ingest.fan_out(ingest.append_to(f"{out}/spans", "month"), live.keep_panes(f"{out}/panes", "month"))
+    out = _stream(t, "live", _halves(narrow, "start_ns"), sinks)
+    live.compact_panes(t.spark, f"{out}/panes", "month")
+    return live.red_window(t.spark, f"{out}/panes", f"{out}/spans", _NOW_NS, _LIVE_MINUTES)
 
 
 @query(

@@ -12,55 +12,51 @@ from heliograph.sources import storage
 from heliograph.streaming.ingest import Sink
 
 PANE_NS = 60 * clocks.NANOS_PER_SECOND
+_KEYS = ["service_name"]
 
 
 def panes(spans: DataFrame) -> DataFrame:
-    """Spans counted per (minute, service, duration, status): exact, and additive over batches.
+    """Per minute and service the spans, errors and a latency sketch: one row for each bucket of durations.
 
-    A narrow copy of the spans rather than a summary: exact durations seldom repeat.
-
-    Sliding windows share panes, so a span is counted once rather than once per window that holds
-    it, and percentiles of any window come from the durations in its panes.
+    A pane has at most as many rows as there are buckets, whatever it counts, and panes of several batches add up.
+    Sliding windows share panes, so a span is counted once rather than once per window that holds it.
     """
     pane = (clocks.whole_div(F.col("start_ns"), PANE_NS) * F.lit(PANE_NS).cast("bigint")).alias("pane_ns")
-    return spans.groupBy(
-        pane, "service_name", (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"), "status_code"
-    ).agg(F.count("*").alias("calls"), F.min("start_ns").alias("first_ns"), F.max("start_ns").alias("last_ns"))
+    counted = services.red_sketch(spans.filter(F.col("service_name").isNotNull()).select("*", pane), ["pane_ns", *_KEYS])
+    return counted.withColumn("event_date", clocks.event_date(F.col("pane_ns")))
 
 
-def keep_panes(table: str) -> Sink:
-    """Land each batch's panes under its batch id; late spans simply add to old panes.
+def keep_panes(table: str, grain: str = "day") -> Sink:
+    """Land each batch's panes under its batch id; late spans simply add to old panes."""
+    return lambda batch, batch_id: storage.append_batch(panes(batch), table, batch_id, grain)
 
-    Files are sorted by pane, so a window reads only the row groups it overlaps.
-    """
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        ordered = panes(batch).sortWithinPartitions("pane_ns")
-        ordered.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+def _merged(rows: DataFrame) -> DataFrame:
+    days = [c for c in storage.GRAINS.values() if c in rows.columns]
+    return services.merged_red_sketch(rows, ["pane_ns", *_KEYS, *days])
 
-    return sink
 
+def compact_panes(spark: SparkSession, table: str, grain: str = "day") -> None:
+    """Add up the panes of closed batches, on the days they touch."""
+    storage.compact(spark, table, grain, merge=_merged)
 
-def compact_panes(spark: SparkSession, table: str) -> None:
-    """Roll closed batches into one folder, equal panes added up."""
 
-    def merge(rows: DataFrame) -> DataFrame:
-        keys = [c for c in rows.columns if c not in ("calls", "first_ns", "last_ns")]
-        figures = F.sum("calls").alias("calls"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns")
-        return rows.groupBy(*keys).agg(*figures).sortWithinPartitions("pane_ns")
+def red_window(spark: SparkSession, table: str, spans: str, now: str | int, minutes: float = 30) -> DataFrame:
+    """Service figures of the window that ends now, on whole minutes.
 
-    storage.compact(spark, table, merge=merge)
+    Counts come from the panes. Percentiles are exact: the merged sketch tells which durations the ranks lie
+    between, and only spans of those are read from the table that the same batches landed in. Batches count
+    once both tables have them.
+    """
+    window = flt.TimeRange.last(minutes, now)
+    both = min(storage.last_batch(spark, table), storage.last_batch(spark, spans))
+    kept = flt.in_range(_upto(storage.read_facts(spark, table), both).withColumnRenamed("pane_ns", "time_ns"), window)
+    sketch = storage.checkpoint(services.merged_red_sketch(kept, _KEYS))
+    landed = _upto(storage.read_facts(spark, spans), both).withColumnRenamed("start_ns", "time_ns")
+    landed = flt.in_range(landed, window).withColumnRenamed("time_ns", "start_ns").filter(F.col("service_name").isNotNull())
+    narrow = landed.select(*_KEYS, "status_code", "start_ns", "end_ns")
+    return services.red_of_sketch(sketch, narrow, _KEYS).drop("last_seen")
 
 
-def red_window(spark: SparkSession, table: str, now: str | int, minutes: float = 30) -> DataFrame:
-    """Service figures of the window that ends now, on whole minutes."""
-    window = flt.TimeRange.last(minutes, now)
-    counted = flt.in_range(storage.read_facts(spark, table), window, "pane_ns")
-    weighted = counted.filter(F.col("service_name").isNotNull()).select(
-        "service_name",
-        "status_code",
-        "calls",
-        F.col("first_ns").alias("start_ns"),
-        (F.col("first_ns") + F.col("duration_ns")).alias("end_ns"),
-    )
-    return services.red(weighted, weight="calls").drop("last_seen")
+def _upto(rows: DataFrame, batch: int) -> DataFrame:
+    return rows.filter(F.col("batch_id") <= batch)

@@ -1,5 +1,6 @@
 """Operators against brute force, on fixtures in which one key holds most of the rows."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from heliograph.operators import correlate, filters, genai, logs, metrics, paging, sampling, servicemap, services, spanmetrics, traces
 from heliograph.operators.filters import Filter, TimeRange
 from heliograph.operators.positions import number_rows
+from heliograph.operators import quantiles
 from heliograph.operators.quantiles import exact_quantiles, magnitude_bucket
 
 
@@ -46,6 +48,44 @@ def test_weighted_quantiles(spark, skewed):
     assert exact_quantiles(grouped, ["k"], "v", {"p": 0.9}, weight="w").orderBy("k").collect() == plain
 
 
+@pytest.mark.parametrize("few", [1, 40, 1000])
+def test_wide_ranges_are_divided_until_few_values_are_left(spark, few):
+    """One group of distinct minute-long values, all in one or two buckets: no task orders more than ``few`` of them."""
+    rng = random.Random(3)
+    rows = [("hot", 60 * 10**9 + rng.randrange(10**9)) for _ in range(9000)] + [("hot", 60 * 10**9 + 7)] * 3000 + [(None, v) for v in range(50)]
+    rows += [("far", s * (2**62 + i * 10**15)) for i in range(400) for s in (-1, 1)]
+    df = spark.createDataFrame(rows, "k string, v bigint").repartition(5)
+    wanted = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    histogram = quantiles.bucket_counts(df, ["k"], "v").cache()
+    bound = []
+    real = quantiles.narrowed
+
+    def watched(*args):
+        found = real(*args)
+        bound.extend(min(r._n, r._hi - r._lo + 1) for r in found.collect())
+        return found
+
+    quantiles.narrowed = watched
+    try:
+        got = {r.k: r for r in quantiles.select_ranks(histogram, df, ["k"], "v", wanted, few=few).collect()}
+    finally:
+        quantiles.narrowed = real
+    assert max(bound) <= few
+    for k in ("hot", None, "far"):
+        values = sorted(v for g, v in rows if g == k)
+        for name, q in wanted.items():
+            at = q * (len(values) - 1)
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            assert got[k][name] == pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-12)
+
+
+def test_sketches_of_parts_add_up(spark, skewed):
+    df = spark.createDataFrame(skewed, "k string, v bigint")
+    parts = [quantiles.bucket_counts(df.filter(f"pmod(hash(v, k), 3) = {n}"), ["k"], "v") for n in range(3)]
+    whole = quantiles.merged_counts(parts[0].union(parts[1]).union(parts[2]), ["k"])
+    assert sorted(map(str, whole.collect())) == sorted(map(str, quantiles.bucket_counts(df, ["k"], "v").collect()))
+
+
 def test_bucket_never_decreases(spark):
     values = sorted({s * (2**e + d) for e in range(62) for d in (-1, 0, 1) for s in (-1, 1)})
     df = spark.createDataFrame([(v,) for v in values], "v bigint")

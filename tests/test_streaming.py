@@ -69,14 +69,43 @@ def test_span_metrics_equal_batch(spark, make_spans, tmp_path):
     assert sorted(map(str, ingest.read_span_metrics(spark, table).collect())) == sorted(map(str, want))
 
 
+def live_sinks(tmp_path):
+    spans, panes = str(tmp_path / "spans"), str(tmp_path / "panes")
+    return spans, panes, ingest.fan_out(ingest.append_to(spans), live.keep_panes(panes))
+
+
 def test_live_window_equals_batch(spark, make_spans, tmp_path):
-    spans = some_spans(make_spans)
-    table = str(tmp_path / "panes")
-    feed(spark, [spans.filter(f"start_ns >= {30 * SECOND}"), spans.filter(f"start_ns < {30 * SECOND}")], live.keep_panes(table), tmp_path)
-    got = live.red_window(spark, table, 60 * SECOND, 30)
+    spans = some_spans(make_spans).withColumn("event_date", F.lit("1970-01-01").cast("date"))
+    landed, panes, sink = live_sinks(tmp_path)
+    feed(spark, [spans.filter(f"start_ns >= {30 * SECOND}"), spans.filter(f"start_ns < {30 * SECOND}")], sink, tmp_path)
     want = services.red(spans.filter(f"start_ns < {60 * SECOND}")).drop("last_seen")
-    assert sorted(got.collect()) == sorted(want.collect())
-    assert live.red_window(spark, table, 3 * 3600 * SECOND, 30).count() == 0
+    assert sorted(live.red_window(spark, panes, landed, 60 * SECOND, 30).collect()) == sorted(want.collect())
+    live.compact_panes(spark, panes)
+    storage.compact(spark, landed, "day")
+    assert sorted(live.red_window(spark, panes, landed, 60 * SECOND, 30).collect()) == sorted(want.collect())
+    assert live.red_window(spark, panes, landed, 3 * 3600 * SECOND, 30).count() == 0
+    sink(spans, 2)  # everything once more, of which one table lacks a batch
+    storage.append_batch(spans, landed, 3)
+    want = services.red(spans.union(spans)).drop("last_seen")
+    assert sorted(live.red_window(spark, panes, landed, 60 * SECOND, 30).collect()) == sorted(want.collect())
+
+
+def test_panes_are_bounded_and_few_spans_are_read(spark, tmp_path):
+    """A pane's rows follow from the spread of durations, not from the spans; the percentiles are exact."""
+    def spans(n):
+        duration = 10**9 + F.pmod(F.xxhash64("id"), F.lit(2 * 10**9))
+        return spark.range(n).select(
+            F.lit("hot").alias("service_name"), (F.col("id") % 3).cast("int").alias("status_code"), (F.col("id") % 50 * SECOND).alias("start_ns"),
+            (F.col("id") % 50 * SECOND + duration).alias("end_ns"), F.lit("1970-01-01").cast("date").alias("event_date"),
+        )
+
+    rows = [live.panes(spans(n)).count() for n in (20_000, 80_000)]
+    assert rows[0] == rows[1] < 60
+    landed, panes, sink = live_sinks(tmp_path)
+    sink(spans(20_000), 0)
+    got = live.red_window(spark, panes, landed, 60 * SECOND, 30).first()
+    want = spans(20_000).agg(*[F.round(F.percentile(F.col("end_ns") - F.col("start_ns"), q) / 1e6, 2) for q in (0.5, 0.95, 0.99)]).first()
+    assert (got.p50_latency_ms, got.p95_latency_ms, got.p99_latency_ms) == tuple(want)
 
 
 def test_guard_remembers_names_between_batches(spark, tmp_path):
