@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
@@ -36,8 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+_scopes: list[str] = []
+
+
 def _tables_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    return "/".join([f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}", *_scopes])
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables that :func:`checkpoint` writes inside belong to ``name``, and those of its last use are removed first.
+
+    For steps that follow each other and read only what the step before has written out: each holds its own tables
+    until the next one begins.
+    """
+    _scopes.append(name)
+    try:
+        release(spark)
+        yield
+    finally:
+        _scopes.pop()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -270,7 +289,8 @@ def drop_expired(spark: SparkSession, path: str, now: str, keep_days: int, grain
 
 
 def release(spark: SparkSession) -> None:
-    """Remove what :func:`checkpoint` has written in this application; its results can't be read after that."""
+    """Remove what :func:`checkpoint` has written in this application (inside :func:`scope`: in that scope); its
+    results can't be read after that."""
     folder = _tables_dir(spark)
     _filesystem(spark, folder).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
 
