@@ -24,7 +24,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, tables.SPACES, "")
 
 
-def _digests(docs: DataFrame, id_column: str, text_column: str, *others: str) -> DataFrame:
+def _digests(docs: DataFrame, id_column: str, text_column: str, *others: Column) -> DataFrame:
     original = tables.whole_text(text_column)
     read = docs.select(
         F.col(id_column).alias("doc_id"),
@@ -32,8 +32,9 @@ def _digests(docs: DataFrame, id_column: str, text_column: str, *others: str) ->
         normalised(original).alias("bytes"),
         F.char_length(original).alias("chars"),
     )
+    named = [c for c in read.columns if c not in ("bytes", "chars")]
     return read.select(
-        "doc_id", *others, "chars", "bytes", F.unhex(F.md5("bytes")).alias("hash"), F.unhex(F.sha2("bytes", 256)).alias("sha")
+        *named, "chars", "bytes", F.unhex(F.md5("bytes")).alias("hash"), F.unhex(F.sha2("bytes", 256)).alias("sha")
     )
 
 
@@ -64,8 +65,8 @@ def verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    keyed = tables.with_row_key(docs)
-    hashed = _digests(keyed, id_column, text_column, tables.ROW)
-    best = F.min(F.struct(*_order(), tables.ROW)).alias("best")
-    stay = storage.checkpoint(hashed.groupBy("hash", "bytes").agg(best).select(f"best.{tables.ROW}"))
-    return keyed.join(stay, tables.ROW, "left_semi").drop(tables.ROW)
+    keyed, row = tables.with_row_key(docs, id_column)
+    hashed = _digests(keyed, id_column, text_column, F.col(row).alias("row"))
+    best = F.min(F.struct(*_order(), "row")).alias("best")
+    stay = storage.checkpoint(hashed.groupBy("hash", "bytes").agg(best).select(F.col("best.row").alias(row)))
+    return keyed.join(stay, row, "left_semi").drop(row)

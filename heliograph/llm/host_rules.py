@@ -2,12 +2,12 @@
 
 Only DataFrame functions. Words are runs of characters other than white space; a null text has none.
 Each document gets its counts in its own row: nothing is exploded, so no text or word is shuffled.
-The share of failing documents of a host is shrunk by an empirical beta prior, fitted by moments to the
-rates of all hosts, so that a host with three documents is not judged by them alone; a host whose shrunk
-rate reaches the limit takes all its documents with it. Documents without a host are judged alone.
-``verdicts`` knows the base rule only, as its SQL does; ``keep_good`` also rejects by ``RULES``, document by
-document and host by host, with a prior for each rule and a limit relative to it.
-An empty table gives an empty result; ties and repeated rows are counted row by row.
+For each rule the share of failing documents of a host is shrunk by an empirical beta prior, fitted by moments to
+the rates of all hosts, so that a host with three documents is not judged by them alone; a host whose shrunk
+rate stands out from that of all documents takes all its documents with it. Documents without a host are judged alone.
+``keep_good`` also rejects each document that breaks a rule itself.
+A text of any length is counted in one row. An empty table gives an empty result; ties and repeated rows are
+counted row by row; a null id is carried along; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from heliograph.sources import storage
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-HOST_LIMIT = 0.5
 MAX_SYMBOL_PERCENT = 5  # of the characters of words
 MAX_DUP_LINE_PERCENT = 50  # of the lines that are not blank
 MIN_WORD_CHARS, MAX_WORD_CHARS = 3, 10  # on average
@@ -124,44 +123,39 @@ def host_rates(rows: DataFrame, host_column: str = "host", failed: str = "base_f
     return shrunk.withColumn("host_rate", F.coalesce(rate, F.col("_prior.m"))).withColumn("mean_rate", F.col("_prior.m")).drop("_prior")
 
 
-def verdicts(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    host_column: str = "source",
-    host_limit: float = HOST_LIMIT,
-) -> DataFrame:
-    """One row per document: its counts, base_failed, its host's shrunk rate and whether it is kept."""
+def verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
+    """One row per document: its counts, a column for each rule, the rules that its host fails, and whether it is kept.
+
+    A host fails a rule when the odds of its shrunk rate are ``HOST_ODDS`` times the odds of all documents and the
+    rate is ``MIN_HOST_RATE`` at least. A document is kept when it passes the base rule and its host fails none.
+    """
     narrow = docs.select(
         F.col(id_column).alias("doc_id"), F.col(host_column).alias("host"), F.col(text_column).alias("text")
     )
-    rows = storage.checkpoint(rule_counts(narrow).withColumn("base_failed", base_failed()))
-    hosts = storage.checkpoint(host_rates(rows).select("host", "host_rate"))
-    judged = rows.join(hosts, "host", "left")
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) < host_limit)
-    return judged.withColumn("kept", kept)
-
-
-def stage_verdicts(docs: DataFrame, host_limit: float = HOST_LIMIT, **columns) -> DataFrame:
-    """``verdicts`` with a column for each of ``RULES``, the rules that the host fails, and passed: kept, and none of them."""
-    judged = verdicts(docs, host_limit=host_limit, **columns)
-    rows = storage.checkpoint(judged.withColumns({name: F.expr(rule) for name, rule in RULES.items()}))
+    rules = {"base_failed": base_failed()} | {name: F.expr(rule) for name, rule in RULES.items()}
+    rows = storage.checkpoint(rule_counts(narrow).withColumns(rules))
     bad = None
-    for name in ("base_failed", *RULES):
+    for name in rules:
         rates = host_rates(rows, failed=name)
         # rate / (1 - rate) >= HOST_ODDS * mean / (1 - mean), without dividing.
         apart = F.col("host_rate") * (1 - F.col("mean_rate")) >= HOST_ODDS * F.col("mean_rate") * (1 - F.col("host_rate"))
         found = rates.filter(apart & (F.col("host_rate") >= MIN_HOST_RATE)).select("host", F.lit(name).alias("rule"))
         bad = found if bad is None else bad.union(found)
     hosts = storage.checkpoint(bad.groupBy("host").agg(F.sort_array(F.collect_list("rule")).alias("host_failed")))
-    passed = F.col("kept") & F.col("host_failed").isNull()
+    judged = rows.join(hosts, "host", "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("host_failed").isNull())
+
+
+def passed() -> Column:
+    """Kept, and no rule broken by the document itself: what the pipeline asks for."""
+    good = F.col("kept")
     for name in RULES:
-        passed = passed & ~F.col(name)
-    return rows.join(hosts, "host", "left").withColumn("passed", passed)
+        good = good & ~F.col(name)
+    return good
 
 
 def keep_good(docs: DataFrame, **columns) -> DataFrame:
     """The documents that pass, with all their columns."""
-    keyed = tables.with_row_key(docs)
-    judged = stage_verdicts(keyed, **(columns | {"id_column": tables.ROW}))
-    return tables.without_rows(keyed, judged.filter(~F.col("passed")).select(F.col("doc_id").alias(tables.ROW)))
+    keyed, row = tables.with_row_key(docs, columns.get("id_column", "doc_id"))
+    judged = verdicts(keyed, **(columns | {"id_column": row}))
+    return tables.without_rows(keyed, row, judged.filter(~passed()).select(F.col("doc_id").alias(row)))

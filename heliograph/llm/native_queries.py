@@ -42,24 +42,32 @@ WITH lists AS (
 ), counts AS (
   SELECT l.doc_id, l.source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
          length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
   FROM lists l LEFT JOIN covered c USING (doc_id)
 ), judged AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
-), hosts AS (
-  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM judged WHERE source IS NOT NULL GROUP BY source
-), moments AS (
-  SELECT m, sum(n * pow(f / n - m, 2)) / sum(n) AS v
-  FROM hosts, (SELECT sum(f) / sum(n) AS m FROM hosts) GROUP BY m
+  SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         100 * n_symbols > 5 * word_chars AS symbols_failed, 100 * n_dup_lines > 50 * n_lines AS lines_failed,
+         word_chars < 3 * n_words OR word_chars > 10 * n_words AS length_failed
+  FROM counts c
+), rules AS (
+  SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS f
+  FROM (UNPIVOT (SELECT source, base_failed, symbols_failed, lines_failed, length_failed FROM judged WHERE source IS NOT NULL)
+        ON base_failed, symbols_failed, lines_failed, length_failed INTO NAME rule VALUE failed)
+  GROUP BY source, rule
+), means AS (
+  SELECT rule, sum(f) / sum(n) AS m FROM rules GROUP BY rule
 ), prior AS (
-  SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) END AS k FROM moments
+  SELECT rule, m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) END AS k
+  FROM (SELECT rule, m, sum(n * pow(f / n - m, 2)) / sum(n) AS v FROM rules JOIN means USING (rule) GROUP BY rule, m)
 ), rates AS (
-  SELECT source, coalesce((f + m * k) / (n + k), m) AS rate FROM hosts, prior
+  SELECT source, m, coalesce((f + m * k) / (n + k), m) AS rate FROM rules JOIN prior USING (rule)
+), bad AS (
+  SELECT DISTINCT source FROM rates WHERE rate * (1 - m) >= 4 * m * (1 - rate) AND rate >= 0.2
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(rate, 0) < 0.5 AS kept
-FROM judged LEFT JOIN rates USING (source)
+       NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept
+FROM judged
 """
 
 

@@ -401,11 +401,11 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, **colu
     Components are those of rows, so rows that share an id, or have none, are told apart.
     """
     id_column = columns.get("id_column", "doc_id")
-    keyed = tables.with_row_key(docs)
-    linked = link(keyed, words, percent, **(columns | {"id_column": tables.ROW}))
-    ids = keyed.select(F.col(tables.ROW).alias("doc_id"), F.col(id_column).alias("id"))
+    keyed, row = tables.with_row_key(docs, id_column)
+    linked = link(keyed, words, percent, **(columns | {"id_column": row}))
+    ids = keyed.select(F.col(row).alias("doc_id"), F.col(id_column).alias("id"))
     rows = storage.checkpoint(linked.select("doc_id", "component_id").join(ids, "doc_id"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("doc_id").alias("row")))
     stay = storage.checkpoint(rows.groupBy("component_id").agg(best.alias("best")).select("component_id", F.col("best.row").alias("row")))
-    dropped = rows.join(stay, "component_id").filter(F.col("doc_id") != F.col("row")).select(F.col("doc_id").alias(tables.ROW))
-    return tables.without_rows(keyed, dropped)
+    dropped = rows.join(stay, "component_id").filter(F.col("doc_id") != F.col("row")).select(F.col("doc_id").alias(row))
+    return tables.without_rows(keyed, row, dropped)

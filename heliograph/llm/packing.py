@@ -6,7 +6,9 @@ document or source, and each group is packed by itself. First every piece, longe
 bin it fits. Then the emptiest bins give away pieces: a piece moves to another underfull bin, or one or two
 pieces change places with a shorter one there. Only changes that increase the sum of squared fills are made,
 which drains the emptiest bins until they are gone; a group stops when its pieces need every bin it has left
-or ``PATIENCE`` bins in a row could not be emptied. Nothing is dropped or reordered inside a document.
+or ``PATIENCE`` bins in a row could not be emptied. The pieces of each group's ``AGAIN`` emptiest bins are dealt out
+and packed anew, round after round, until they are one group: a bin too many is left once, not once in every group.
+Nothing is dropped or reordered inside a document.
 
 Null and empty texts are a piece of one end id. Rows that share an id are separate documents to the packing.
 An empty table gives an empty result.
@@ -28,11 +30,13 @@ from heliograph.sources import storage
 
 LENGTH = 1024
 END_ID = 2
-GROUP = 4096  # pieces packed together; a group leaves at most about one bin more than it must
+GROUP = 16_384  # pieces packed together
+AGAIN = 64  # emptiest bins of each group whose pieces are packed once more, with those of other groups
 PATIENCE = 32  # emptiest bins in a row that could not be emptied, after which a group stops
 ROUNDS = 4  # passes over the other bins for one of them
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PLACE = "sequence_id long, offset long"
+_PLACED = "piece_key long, length long, sequence_id long, offset long, again boolean"
+_MOST_ROUNDS = 64  # each leaves a hundredth of the pieces open
 
 
 def _cutter(path: str, length: int, end_id: int, with_ids: bool):
@@ -194,23 +198,44 @@ def pack_lengths(lengths: list[int], size: int = LENGTH) -> tuple[list[int], lis
     return place, offset
 
 
-def pack(parts: DataFrame, size: int = LENGTH, group: int = GROUP) -> DataFrame:
+def pack(parts: DataFrame, size: int = LENGTH, group: int = GROUP, again: int = AGAIN) -> DataFrame:
     """``parts`` with sequence_id and offset; needs a column ``length`` of at most ``size``.
 
-    ``parts`` is written once and numbered as stored, so a task that is run again deals alike.
+    ``parts`` is written once with a number for each piece. Numbers and lengths alone are packed, and what they get is
+    joined to the pieces. Columns named as the new ones are replaced.
     """
-    tables.ship(parts.sparkSession)
-    stored = storage.checkpoint(parts)
-    groups = max(1, -(-stored.count() // group))
-    dealt = stored.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    spark = parts.sparkSession
+    tables.ship(spark)
+    parts = parts.drop("sequence_id", "offset")
+    key = tables.free_name(parts, "_piece_key")
+    stored = storage.checkpoint(parts.withColumn(key, F.monotonically_increasing_id()))
+    open_, placed, number = stored.select(F.col(key).alias("piece_key"), F.col("length").cast("long").alias("length")), [], 0
+    while True:
+        groups = max(1, -(-open_.count() // group))
+        # Which group a piece is in follows from its number and the round.
+        dealt = open_.withColumn("group", F.pmod(F.xxhash64("piece_key", F.lit(number)), F.lit(groups)))
+        rounds = storage.checkpoint(dealt.groupBy("group").applyInPandas(_packer(size, groups, number, again if groups > 1 else 0), _PLACED))
+        placed.append(rounds.filter("NOT again").drop("again", "length"))
+        if groups == 1:
+            break
+        open_, number = rounds.filter("again").select("piece_key", "length"), number + 1
+    places = placed[0]
+    for more in placed[1:]:
+        places = places.unionByName(more)
+    return stored.join(places.withColumnRenamed("piece_key", key), key).select(*parts.columns, "sequence_id", "offset")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_group")
-        place, offset = pack_lengths(rows["length"].tolist(), size)
-        return rows.assign(sequence_id=np.array(place, np.int64) * groups + key[0], offset=np.array(offset, np.int64))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields)
-    return dealt.groupBy("_group").applyInPandas(run, f"{schema}, {_PLACE}")
+def _packer(size: int, groups: int, number: int, again: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lengths = rows["length"].to_numpy()
+        place, offset = (np.array(x, np.int64) for x in pack_lengths(lengths.tolist(), size))
+        room = size - np.bincount(place, lengths)
+        emptiest = np.argsort(-room, kind="stable")[:again]
+        return rows.assign(
+            sequence_id=(place * groups + key[0]) * _MOST_ROUNDS + number, offset=offset, again=np.isin(place, emptiest[room[emptiest] > 0])
+        )[["piece_key", "length", "sequence_id", "offset", "again"]]
+
+    return run
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -408,7 +408,7 @@ def vocabulary(counts: DataFrame, named: tuple[str, ...]) -> tuple[DataFrame, np
 
 
 def _by_block(rows: DataFrame) -> str:
-    path = f"{storage.shared_dir(rows.sparkSession)}/pseudo-lm-{uuid.uuid4().hex}"
+    path = tables.scratch_dir(rows.sparkSession, "pseudo-lm")
     rows.repartition("block").write.partitionBy("block").parquet(path)
     return path
 

@@ -8,7 +8,8 @@ length), so record k of a file is found by one seek, in any order.
 Files are in ascending id order across and within: documents are dealt out by range of their id, and each
 task writes one file. A task that is run again writes a file of its own; only files named in the manifest,
 which Spark commits, belong to the set. Null texts are empty (a record with just the end id); rows with a null
-id come first; rows that share an id are neighbours in any order. An empty table gives an empty set.
+id come first; rows that share an id are neighbours in any order. A long text is one record, checked block by block. Other
+columns are ignored. An empty table gives an empty set.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm import pieces, tables
+from heliograph.llm.byte_bpe import grouped
 
 _LENGTH = struct.Struct("<Q")
 _CRC = struct.Struct("<I")
@@ -33,6 +35,7 @@ _HEAD = struct.Struct("<Bq")
 _WIDE, _NO_ID = 1, 2
 _FRAME = _LENGTH.size + 2 * _CRC.size
 _READ = 8 << 20
+_CHARS = 1 << 20  # of texts whose records are framed together
 _ROWS = 4096
 
 MANIFEST = "part int, file string, n_records long, n_tokens long"
@@ -73,12 +76,65 @@ def crc32c(data: bytes) -> int:
     return state ^ 0xFFFFFFFF
 
 
-def masked(checksum: int) -> int:
+def masked(checksum):
+    """Of one checksum, or an array of them."""
+    if isinstance(checksum, np.ndarray):
+        return ((checksum >> 15) | (checksum << 17)) + np.uint32(_MASK_DELTA)
     return (((checksum >> 15) | (checksum << 17)) + _MASK_DELTA) & 0xFFFFFFFF
 
 
-def _checked(data: bytes) -> bytes:
-    return _CRC.pack(masked(crc32c(data)))
+def checksums(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Masked checksums of ascending parts of ``data`` that do not overlap.
+
+    What each byte adds follows from its distance to the end of its part, so all parts of at most a block are looked up
+    together and folded part by part. Longer and very short ones go by :func:`crc32c`.
+    """
+    rows, _ = _crc_tables()
+    sums = np.empty(len(begins), np.uint32)
+    sizes = ends - begins
+    together = (sizes >= _CRC.size) & (sizes <= _BLOCK)
+    for i in np.flatnonzero(~together).tolist():
+        sums[i] = crc32c(data[begins[i] : ends[i]].tobytes())
+    first, size = begins[together], sizes[together]
+    if len(first):
+        folds = np.cumsum(size) - size
+        at = np.arange(int(size.sum()), dtype=np.int32)
+        values = data[at + np.repeat((first - folds).astype(np.int32), size)]
+        values[(folds[:, None] + np.arange(_CRC.size)).ravel()] ^= 0xFF  # the state that a checksum begins with
+        places = (at + np.repeat((_BLOCK - size - folds).astype(np.int32), size)) << 8 | values
+        sums[together] = np.bitwise_xor.reduceat(rows.take(places), folds) ^ np.uint32(0xFFFFFFFF)
+    return masked(sums)
+
+
+def frame_all(payloads: list[bytes]) -> tuple[bytearray, np.ndarray]:
+    """The framed records one after the other, and their index entries counted from the first."""
+    sizes = np.array(list(map(len, payloads)), np.int64)
+    begins = np.cumsum(sizes + _FRAME) - sizes - _FRAME
+    blank = bytes(_CRC.size)
+    data = bytearray(b"".join(part for p in payloads for part in (_LENGTH.pack(len(p)), blank, p, blank)))
+    view = np.frombuffer(data, np.uint8)
+    for part in (np.stack([begins, begins + _LENGTH.size], 1), np.stack([begins + _LENGTH.size + _CRC.size, begins + _FRAME - _CRC.size + sizes], 1)):
+        sums = checksums(view, part[:, 0], part[:, 1]).astype("<u4").view(np.uint8).reshape(-1, _CRC.size)
+        view[part[:, 1, None] + np.arange(_CRC.size)] = sums
+    index = np.empty(len(payloads), _INDEX)
+    index["offset"], index["length"] = begins, sizes
+    return data, index
+
+
+def unframe_all(data: bytes, entries: np.ndarray) -> list[bytes]:
+    """The payloads of framed records that follow each other; raises where a length or checksum does not hold."""
+    view, sizes = np.frombuffer(data, np.uint8), entries["length"].astype(np.int64)
+    begins = entries["offset"].astype(np.int64) - int(entries["offset"][0])
+    bodies = begins + _LENGTH.size + _CRC.size
+    ends = bodies + sizes
+    lengths = view[begins[:, None] + np.arange(_LENGTH.size)].view("<u8").ravel()
+    fits = len(data) == ends[-1] + _CRC.size and (lengths == sizes).all()
+    for start, end in ((begins, begins + _LENGTH.size), (bodies, ends)) if fits else ():
+        stored = view[end[:, None] + np.arange(_CRC.size)].view("<u4").ravel()
+        fits = fits and (stored == checksums(view, start, end)).all()
+    if not fits:
+        raise ValueError("damaged record")
+    return [data[a:b] for a, b in zip(bodies.tolist(), ends.tolist())]
 
 
 def payload(doc_id: int | None, ids: bytes) -> bytes:
@@ -96,17 +152,12 @@ def parse(data: bytes) -> tuple[int | None, np.ndarray]:
 
 
 def frame(data: bytes) -> bytes:
-    length = _LENGTH.pack(len(data))
-    return b"".join((length, _checked(length), data, _checked(data)))
+    return bytes(frame_all([data])[0])
 
 
 def unframe(framed: bytes) -> bytes:
     """The payload of one framed record; raises where a length or checksum does not hold."""
-    length, data = framed[: _LENGTH.size], framed[_LENGTH.size + _CRC.size : -_CRC.size]
-    sums = framed[_LENGTH.size : _LENGTH.size + _CRC.size], framed[-_CRC.size :]
-    if _LENGTH.unpack(length)[0] != len(data) or sums != (_checked(length), _checked(data)):
-        raise ValueError("damaged record")
-    return data
+    return unframe_all(framed, np.array([(0, max(len(framed) - _FRAME, 0))], _INDEX))[0]
 
 
 class RecordFile:
@@ -127,8 +178,9 @@ class RecordFile:
     def __getitem__(self, k: int) -> tuple[int | None, np.ndarray]:
         if not 0 <= k < self._count:
             raise IndexError(k)
-        entry = self._entries(k, 1)[0]
-        return parse(unframe(self._data.read_at(int(entry["length"]) + _FRAME, int(entry["offset"]))))
+        entry = self._entries(k, 1)
+        data = self._data.read_at(int(entry["length"][0]) + _FRAME, int(entry["offset"][0]))
+        return parse(unframe_all(data, entry)[0])
 
     def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """In file order, by large reads."""
@@ -139,8 +191,7 @@ class RecordFile:
             while at < len(entries):
                 stop = max(at + 1, int(np.searchsorted(ends, begin + _READ, "right")))
                 block = self._data.read_at(int(ends[stop - 1]) - begin, begin)
-                for entry, end in zip(entries["offset"][at:stop].tolist(), ends[at:stop].tolist()):
-                    yield parse(unframe(block[entry - begin : end - begin]))
+                yield from map(parse, unframe_all(block, entries[at:stop]))
                 at, begin = stop, int(ends[stop - 1])
 
     def close(self) -> None:
@@ -161,13 +212,15 @@ def _writer(folder: str, path: str, end_id: int):
         records = tokens = offset = 0
         with files.open_output_stream(f"{place}/{name}") as data, files.open_output_stream(f"{place}/{name}.index") as index:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = encoder.ids(text.as_py()) + end
-                    body = payload(doc_id, ids)
-                    framed = frame(body)
+                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for first, last in grouped([len(t or "") for t in texts], _CHARS):
+                    packed = [encoder.ids(text) + end for text in texts[first:last]]
+                    framed, entries = frame_all(list(map(payload, doc_ids[first:last], packed)))
+                    entries["offset"] += np.uint64(offset)
                     data.write(framed)
-                    index.write(np.array([(offset, len(body))], _INDEX).tobytes())
-                    records, tokens, offset = records + 1, tokens + len(ids) // pieces.ID.itemsize, offset + len(framed)
+                    index.write(entries.tobytes())
+                    records, offset = records + len(packed), offset + len(framed)
+                    tokens += sum(map(len, packed)) // pieces.ID.itemsize
         if records:
             row = {"part": [part], "file": [f"{folder}/{name}"], "n_records": [records], "n_tokens": [tokens]}
             types = {"part": pa.int32(), "file": pa.string(), "n_records": pa.int64(), "n_tokens": pa.int64()}

@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 
-from heliograph.llm import catalog, exact_dedup, host_rules, near_dup, tables, warc
+from heliograph.llm import catalog, exact_dedup, host_rules, native_queries, near_dup, tables, warc
 
 DATA = Path("/root/testdata/sf0.001")
 SPACE = "[ \\x09-\\x0D]+"
@@ -52,7 +53,7 @@ def test_exact_keeps_texts_apart_that_share_a_hash(spark, monkeypatch):
 def brute_counts(text):
     words = [w for w in re.split(SPACE, text or "") if w]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    times = {w: windows.count(w) for w in set(windows)} if len(words) < 500 else {w: 2 for w in set(windows)}
+    times = Counter(windows)
     covered = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
     lines = [x for x in (text or "").split("\n") if re.sub(SPACE, "", x)]
     symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
@@ -69,37 +70,45 @@ def test_rule_counts(odd_docs, no_docs, spark):
     assert host_rules.verdicts(no_docs).count() == 0
 
 
-def test_bad_host_takes_its_documents_with_it(spark, prose):
-    good, bad = prose("xx", 80), "too short"
-    rows = [(i, good if i % 10 else bad, "clean") for i in range(200)]
-    rows += [(i, bad if i % 10 else good, "spam") for i in range(200, 400)]
-    rows += [(400, bad, "tiny"), (401, good, "tiny"), (402, good, None), (403, None, None), (404, good, "new")]
-    verdict = {r.doc_id: r for r in host_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert [d for d in range(200) if not verdict[d].kept] == list(range(0, 200, 10))
-    assert not any(verdict[d].kept for d in range(200, 400)) and not verdict[200].base_failed
-    assert verdict[402].kept and not verdict[403].kept and not verdict[400].kept
-    # One failure of two is pulled towards all hosts' mean rate, and so is a host without failures.
-    mean = sum(r.base_failed for d, r in verdict.items() if d not in (402, 403)) / 403
-    assert min(mean, 0.5) < verdict[401].host_rate < max(mean, 0.5) or verdict[401].host_rate == pytest.approx(0.5, abs=0.01)
-    assert 0 < verdict[404].host_rate < mean
-    assert host_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == sum(r.kept for r in verdict.values())
-
-
-def test_stage_rejects_by_symbols_lines_and_hosts(spark, prose):
+HOST_DOCS = "doc_id long, text string, source string"
+
+
+def host_docs(prose):
     good = prose("xx", 80)
     marked = " ".join(f"#{w}" for w in good.split())
     doubled = "\n".join([prose("xx", 12) for _ in range(8)] + ["same line here"] * 12)
-    rows = [(i, good, f"h{i % 8}") for i in range(400)]
+    rows = [(i, good if i % 10 else "too short", f"h{i % 8}") for i in range(400)]
     rows += [(1000, marked, "h0"), (1001, doubled, "h1"), (1002, "x" * 30 + " " + " ".join(["y" * 20 + str(i) for i in range(60)]), "h2")]
-    rows += [(2000 + i, marked if i % 5 < 2 else good, "spam") for i in range(50)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    # The base rule finds nothing, as its SQL says.
-    assert host_rules.verdicts(docs).filter("NOT kept").count() == 0
-    found = {r.doc_id: r for r in host_rules.stage_verdicts(docs).collect()}
+    rows += [(2000 + i, marked if i % 5 < 2 else good, "marks") for i in range(50)]
+    rows += [(3000 + i, "too short" if i % 5 else good, "short") for i in range(50)]
+    return rows + [(4000, "too short", "tiny"), (4001, good, "tiny"), (4002, good, None), (4003, None, None), (4004, good, "new")]
+
+
+def test_bad_host_takes_its_documents_with_it(spark, prose):
+    docs = spark.createDataFrame(host_docs(prose), HOST_DOCS)
+    found = {r.doc_id: r for r in host_rules.verdicts(docs).collect()}
     assert found[1000].symbols_failed and found[1001].lines_failed and found[1002].length_failed
-    assert all(found[i].passed for i in range(400)) and not any(found[i].passed for i in (1000, 1001, 1002))
     assert found[2003].host_failed == ["symbols_failed"] and not found[2003].symbols_failed
-    assert {r.doc_id for r in host_rules.keep_good(docs).collect()} == set(range(400))
+    assert found[3000].host_failed == ["base_failed"] and not found[3000].base_failed
+    # A host of two is pulled towards all hosts; a document's own marks are the host's verdict only.
+    assert {i for i, r in found.items() if r.kept} == {*(i for i in range(400) if i % 10), 1000, 1001, 1002, 4001, 4002, 4004}
+    assert {r.doc_id for r in host_rules.keep_good(docs).collect()} == {i for i, r in found.items() if r.kept} - {1000, 1001, 1002}
+    rates = {r.host: r.host_rate for r in host_rules.host_rates(host_rules.rule_counts(docs.withColumnRenamed("source", "host")).withColumn("base_failed", host_rules.base_failed())).collect()}
+    mean = sum(r.base_failed for d, r in found.items() if d not in (4002, 4003)) / (len(found) - 2)
+    assert min(mean, 0.5) < rates["tiny"] < max(mean, 0.5) and 0 < rates["new"] < mean
+
+
+def test_host_sql_follows_the_same_verdicts(spark, prose):
+    """Some host's verdict changes documents, in the SQL and in the query."""
+    import pandas as pd
+
+    rows = host_docs(prose)
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])  # noqa: F841  (read by name)
+    want = duckdb.sql(native_queries.HOST_SQL)
+    docs = spark.createDataFrame(rows, HOST_DOCS)
+    got = sorted(tuple(r) for r in host_rules.verdicts(docs).select(want.columns).collect())
+    assert got == sorted(want.fetchall())
+    assert any(not r[-1] and not r[-2] for r in got)
 
 
 def test_one_host_or_none(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from heliograph.llm import exact_dedup, folds, host_rules, langid, line_crf, near_dup, packing, pieces, pseudo_lm
+from heliograph.sources import storage
 
 
 @pytest.fixture(scope="module")
@@ -220,6 +221,36 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert len({r.sequence_id for r in out}) <= -(-tokens // packing.LENGTH) + 1
 
 
+def test_stages_hold_their_own_tables_only(spark, corpus, tmp_path, monkeypatch):
+    """Each stage begins by removing what the one before it kept; rows are not copied to be told apart."""
+    docs, labels = corpus
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path / "shared"))
+    table, held = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for number, (_, step) in enumerate(corpus_pipeline.STAGES):
+        step(spark, table, str(tmp_path)).write.parquet(f"{tmp_path}/{number}")
+        table = spark.read.parquet(f"{tmp_path}/{number}")
+        held.append({p.name for p in tmp_path.glob("shared/tables-*/pipeline/*")})
+    assert all(not a & b for a, b in zip(held, held[1:])) and held[1] and held[3]
+    texts = sum(len(r.text or "") for r in docs.collect())
+    assert all("text" not in spark.read.parquet(str(p)).columns for p in tmp_path.glob("shared/tables-*/pipeline/*"))
+    assert texts > 0
+
+
+def test_pipeline_on_nothing_and_on_repeated_ids(spark, corpus, prose, tmp_path):
+    docs, labels = corpus
+    good = [r for r in docs.orderBy("doc_id").collect() if len(r.text.split()) >= 60][:2]
+    repeated = [(None, good[0].text, "xx", "s0", 0)] * 2 + [(7, good[1].text, "xx", "s0", 0)] * 3 + [(7, None, None, None, None)]
+    for name, rows in (("none", []), ("repeated", repeated)):
+        folder = tmp_path / name
+        table = spark.createDataFrame(rows, docs.schema)
+        (table if name == "none" else docs.union(table)).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        assert (out == []) if name == "none" else (len({(r.doc_id, r.piece, r.ids_crc32) for r in out}) == len(out) > 0)
+
+
 def test_stage_functions_keep_the_columns(spark, odd_docs, no_docs):
     for table in (odd_docs, no_docs):
         for keep in (host_rules.keep_good, exact_dedup.deduplicate, near_dup.keep_one):

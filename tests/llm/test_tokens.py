@@ -154,6 +154,57 @@ def test_packing(odd_docs, no_docs, library):
     assert packing.pack(packing.cut(no_docs, PATH)).count() == 0
 
 
+def test_bins_of_all_groups_meet_again(spark, library):
+    """The surplus does not grow with the number of groups."""
+    rnd = random.Random(6)
+    rows = [(i, rnd.randint(250, 420)) for i in range(4000)]
+    parts = spark.createDataFrame(rows, "doc_id long, length long").repartition(5)
+    least = -(-sum(n for _, n in rows) // packing.LENGTH)
+    used = {}
+    for again in (0, packing.AGAIN):
+        packed = packing.pack(parts, group=250, again=again).collect()
+        fills = {}
+        for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == fills.get(r.sequence_id, 0)
+            fills[r.sequence_id] = r.offset + r.length
+        assert sorted((r.doc_id, r.length) for r in packed) == rows and max(fills.values()) <= packing.LENGTH
+        used[again] = len(fills)
+    one = len({r.sequence_id for r in packing.pack(parts, group=4000).collect()})
+    assert least <= used[packing.AGAIN] <= one + 2 and used[packing.AGAIN] < used[0]
+
+
+def test_clashing_columns_are_kept_or_replaced(spark):
+    rows = [(i, 100 + i, "a", "b") for i in range(20)]
+    parts = spark.createDataFrame(rows, "doc_id long, length long, _group string, _piece_key string")
+    packed = packing.pack(parts.selectExpr("*", "'x' AS offset"))
+    assert packed.columns == ["doc_id", "length", "_group", "_piece_key", "sequence_id", "offset"]
+    assert {(r._group, r._piece_key) for r in packed.collect()} == {("a", "b")} and packed.count() == 20
+
+
+def test_checksums_of_many_parts():
+    rnd = random.Random(3)
+    payloads = [rnd.randbytes(n) for n in (0, 1, 3, 4, 5, 9, 4095, 4096, 4097, 9000, *range(10, 60))]
+    framed, index = records.frame_all(payloads)
+    for p, entry in zip(payloads, index):
+        body = bytes(framed[entry["offset"] : entry["offset"] + len(p) + 16])
+        length = len(p).to_bytes(8, "little")
+        want = length + records.masked(records.crc32c(length)).to_bytes(4, "little") + p + records.masked(records.crc32c(p)).to_bytes(4, "little")
+        assert body == want
+    assert records.unframe_all(bytes(framed), index) == payloads
+    for at in (0, 9, len(framed) - 1, len(framed) // 2):
+        broken = bytearray(framed)
+        broken[at] ^= 1
+        with pytest.raises(ValueError):
+            records.unframe_all(bytes(broken), index)
+
+
+def test_shared_files_need_a_file_system(spark, tmp_path):
+    assert tables.qualified(spark, str(tmp_path)).startswith("file:/")
+    assert tables.shared_files(tables.qualified(spark, str(tmp_path)))[1] == str(tmp_path)
+    with pytest.raises(ValueError):
+        tables.shared_files("/user/x")
+
+
 def test_sequences_hold_the_ids(odd_docs, library):
     packed = packing.pack(packing.cut(odd_docs, PATH, with_ids=True))
     rows, filled = packed.collect(), {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
