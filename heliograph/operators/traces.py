@@ -12,6 +12,7 @@ from heliograph.functions import clocks, values, web
 from heliograph.operators import filters as flt
 from heliograph.operators import paging
 from heliograph.operators.positions import number_rows, sum_before
+from heliograph.operators.sides import broadcast_if_small
 from heliograph.sources.storage import checkpoint
 
 ROOT_RULES = ("earliest", "parentless")
@@ -215,10 +216,23 @@ def span_view(spans: DataFrame) -> DataFrame:
 
 
 def dedup_spans(spans: DataFrame, by: tuple[str, ...] = ("trace_id", "span_id"), keep: str = "first") -> DataFrame:
-    """One row per span. Copies collapse on the map side, so many copies of one span shuffle as few rows.
+    """One row per span: of copies the first or last by (start, end, rest of the row as text).
 
-    The copy kept is the first or last by (start, end, rest of the row as text).
+    Few spans are sent again, so keys that come twice are found first, by a hash aggregate over a number made of the
+    key; no other column is read for that. Only rows with such a number are collapsed, which takes a sort as rows have
+    no fixed width; the others, and a table without copies, stay as they are. Copies collapse on the map side, so many
+    copies of one span shuffle as few rows.
     """
+    number = F.xxhash64(*by).alias("_number")
+    repeated = checkpoint(spans.groupBy(number).agg(F.count("*").alias("_n")).filter("_n > 1").select("_number"))
+    if repeated.isEmpty():
+        return spans
+    side, numbered = broadcast_if_small(repeated), spans.select("*", number)
+    once, copies = (numbered.join(side, "_number", how).drop("_number") for how in ("left_anti", "left_semi"))
+    return once.unionByName(_collapsed(copies, by, keep))
+
+
+def _collapsed(spans: DataFrame, by: tuple[str, ...], keep: str) -> DataFrame:
     rest = [c for c in spans.columns if c not in by]
     copy = F.struct(*rest)
     # Maps have no order, so a row that holds any is compared by its text.
@@ -264,7 +278,7 @@ def span_tree(spans: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     spans up to 2^k further down. Siblings are in start order; what stands before a span is the sizes of
     its earlier siblings and, once more by doubling, what stands before its parent. Spans under a missing
     parent find no target and drop out; those on or under a cycle are open after as many rounds as the
-    longest trace could need, and drop out too.
+    longest trace could need, and drop out too. A round writes the rows that are still open, no others.
     """
     wanted = ["trace_id", "span_id", "parent_span_id", "start_ns", "end_ns", *carry]
     nodes = checkpoint(
@@ -273,25 +287,35 @@ def span_tree(spans: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         )
     )
     longest = nodes.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    hops = F.when(F.col("up").isNull(), 0).otherwise(1).cast("int").alias("depth")
-    state = nodes.select("trace_id", "span_id", "up", hops, F.lit(1).cast("bigint").alias("size"))
+    at, none = ["trace_id", "span_id"], F.lit(None).cast("string")
+    one = F.lit(1).cast("bigint")
+    closed = [nodes.filter("up is null").select(*at, none.alias("up"), F.lit(0).alias("depth"), one.alias("size"))]
+    open_rows = nodes.filter("up is not null").select(*at, "up", F.lit(1).alias("depth"), one.alias("size"))
+    additions = []
     for _ in range(longest.bit_length()):
-        open_rows = state.filter("up is not null")
         if open_rows.isEmpty():
             break
         added = open_rows.groupBy("trace_id", F.col("up").alias("span_id")).agg(F.sum("size").alias("more"))
-        targets = state.select(
+        additions.append(added)
+        targets = _union([open_rows, *closed]).select(
             "trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("further")
         )
         stepped = open_rows.join(targets, ["trace_id", "up"]).select(
-            "trace_id", "span_id", F.col("next").alias("up"), (F.col("depth") + F.col("further")).alias("depth"), "size"
+            *at, F.col("next").alias("up"), (F.col("depth") + F.col("further")).alias("depth"), "size"
         )
-        grown = state.filter("up is null").unionByName(stepped).join(added, ["trace_id", "span_id"], "left")
-        state = checkpoint(
-            grown.select("trace_id", "span_id", "up", "depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        grown = stepped.join(added, at, "left").select(
+            *at, "up", "depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")
         )
-    # The right number of rounds may end on a state in which the last pointers have just closed.
-    reached = state.filter("up is null").drop("up").join(nodes, ["trace_id", "span_id"])
+        state = checkpoint(grown)
+        closed.append(state.filter("up is null"))
+        # What a round adds to rows that were open then is in their size; to others it is added at the end.
+        additions[-1] = added.join(open_rows.select(at), at, "left_anti")
+        open_rows = state.filter("up is not null")
+    roots = _union(closed).select(*at, "depth", "size")
+    if additions:
+        late = _union(additions).groupBy(*at).agg(F.sum("more").alias("more"))
+        roots = roots.join(late, at, "left").select(*at, "depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+    reached = roots.join(nodes, at)
     family = reached.withColumn("family", F.coalesce("up", F.lit("")))
     placed = checkpoint(sum_before(family, ["trace_id", "family"], ["start_ns", "span_id"], "size", "earlier"))
     resolved = [placed.filter("up is null").select("trace_id", "span_id", "up", (F.col("earlier") + 1).alias("position"))]
