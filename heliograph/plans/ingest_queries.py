@@ -13,7 +13,7 @@ from heliograph.plans import requests
 from heliograph.plans.registry import query
 from heliograph.plans.trace_queries import DIMENSIONS_SQL, LE_SQL, MONTH_NS, POLICY, SAMPLING_SQL
 from heliograph.sources import envelopes, storage
-from heliograph.streaming import ingest, live
+from heliograph.streaming import counters, ingest, live
 from heliograph.streaming import sampling as stream_sampling
 
 _SPANS_SQL = """SELECT trace_id, span_id, parent_span_id, name, kind, status_code, status_message, start_ns, end_ns,
@@ -251,6 +251,26 @@ def _span_metrics_stream(t):
     return ingest.read_span_metrics(t.spark, table, spanmetrics.EXPIRE_NS)
 
 
+_SINCE_NS, _YEAR_NS = clocks.parse_bound("1997-03-01T00:00:00Z"), 365 * counters.DAY_NS
+
+
+# The newer half lands first, so the older one corrects its snapshots.
+@query(
+    "span_metrics_since",
+    f""", counted AS (SELECT {DIMENSIONS_SQL}, (end_ns // {spanmetrics.FLUSH_NS} + 1) * {spanmetrics.FLUSH_NS} AS flush_ns,
+  count(*) AS calls, sum(end_ns - start_ns) AS duration_sum_ns, {LE_SQL} FROM spans GROUP BY ALL),
+running AS (SELECT {_SERIES}, flush_ns, {_FIGURES} FROM counted WINDOW r AS (PARTITION BY {_SERIES} ORDER BY flush_ns))
+SELECT * FROM running WHERE flush_ns >= {_SINCE_NS}""",
+)
+def _span_metrics_since(t):
+    narrow = t.spans.select(
+        "service_name", "name", "kind", "status_code", "start_ns", "end_ns", "attributes", "`http.method`", "`http.status_code`"
+    )
+    sink = lambda out: counters.keep_counters(out, None, apart_ns=_YEAR_NS, grain="month")
+    table = _stream(t, "counters", _halves(narrow, "start_ns"), sink)
+    return counters.read_since(t.spark, table, _SINCE_NS, None, _YEAR_NS)
+
+
 # Names are admitted by first sight, within a micro-batch and between them, so points come in time order.
 @query(
     "cardinality_guard_stream",

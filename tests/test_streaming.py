@@ -1,12 +1,14 @@
 """Streams against the batch result over the same rows, fed in several micro-batches."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from heliograph.operators import dimensions, sampling, services, spanmetrics
 from heliograph.sources import storage
-from heliograph.streaming import ingest, live
+from heliograph.streaming import counters, ingest, live
 from heliograph.streaming import sampling as stream_sampling
 
 SECOND = 10**9
@@ -69,6 +71,40 @@ def test_span_metrics_equal_batch(spark, make_spans, tmp_path):
     assert sorted(map(str, ingest.read_span_metrics(spark, table).collect())) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("expire", [None, 40 * SECOND])
+def test_counters_from_snapshots_equal_all_history(spark, make_spans, tmp_path, expire):
+    """Batches in any order, with late counts that join two lives: every read equals the one over all counts."""
+    rnd = random.Random(4)
+    rows = [
+        {"trace": f"t{i}", "id": f"s{i}", "name": f"op{i % 3}", "service": f"svc{i % 2}", "start": t * SECOND, "end": t * SECOND + i}
+        for i, t in enumerate(sorted(rnd.choice([0, 300, 700]) + rnd.randrange(150) for _ in range(90)))
+    ]
+    order = [rows[40:], rows[:20], rows[20:40], rows[5:8]]
+    table, apart, every = str(tmp_path / "calls"), 100 * SECOND, 5 * SECOND
+    sink, everything = counters.keep_counters(table, expire, every, apart), None
+    for number, part in enumerate(order):
+        spans = make_spans(part)
+        sink(spans, number)
+        everything = spans if everything is None else everything.union(spans)
+        if number == 2:
+            sink(spans, number)  # a replay
+            counters.compact(spark, table)
+        whole = spanmetrics.cumulative(spanmetrics.interval_deltas(everything, every), expire).collect()
+        for since in (0, 150, 400, 800, 2000):
+            got = counters.read_since(spark, table, since * SECOND, expire, apart).collect()
+            assert sorted(map(str, got)) == sorted(str(r) for r in whole if r.flush_ns >= since * SECOND)
+
+
+def test_a_read_opens_the_last_snapshot_and_what_came_after(spark, make_spans, tmp_path, scanned_rows):
+    day, read = 24 * 3600, []
+    table = str(tmp_path / "calls")
+    sink = counters.keep_counters(table, 60 * SECOND)
+    for number in range(3):
+        sink(make_spans([{"id": f"{number}-{i}", "start": (number * day + 60 * i) * SECOND} for i in range(400)]), number)
+        read.append(sum(scanned_rows(counters.read_since(spark, table, (number * day + 3600) * SECOND, 60 * SECOND))))
+    assert read == [400, 400, 400]
+
+
 def live_sinks(tmp_path):
     spans, panes = str(tmp_path / "spans"), str(tmp_path / "panes")
     return spans, panes, ingest.fan_out(ingest.append_to(spans), live.keep_panes(panes))
