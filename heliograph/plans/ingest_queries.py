@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import clocks, values
 from heliograph.operators import sampling as batch_sampling
-from heliograph.operators import spanmetrics
+from heliograph.operators import metrics, spanmetrics
 from heliograph.plans import requests
 from heliograph.plans.registry import query
 from heliograph.plans.trace_queries import DIMENSIONS_SQL, LE_SQL, MONTH_NS, POLICY, SAMPLING_SQL
 from heliograph.sources import envelopes, storage
-from heliograph.streaming import counters, ingest, live
+from heliograph.streaming import catalogue, correlation, counters, ingest, live
 from heliograph.streaming import sampling as stream_sampling
 
 _SPANS_SQL = """SELECT trace_id, span_id, parent_span_id, name, kind, status_code, status_message, start_ns, end_ns,
@@ -170,6 +170,31 @@ def _late_data(t):
     return arrived.join(owners, ["trace_id", "span_id"]).select("trace_id", "span_id", "time_ns", "span_name")
 
 
+# Half of the logs come before their spans, half after them. No wait is over while this runs.
+@query(
+    "log_span_stream",
+    """SELECT l.trace_id, l.span_id, l.time_ns, s.name AS span_name, s.service_name AS span_service FROM logs l
+JOIN spans s ON l.trace_id = s.trace_id AND l.span_id = s.span_id""",
+)
+def _log_span_stream(t):
+    root = _scratch(t, "correlated")
+    logs = t.logs.select("trace_id", "span_id", "time_ns", "body_text", "event_date")
+    spans = t.spans.select("trace_id", "span_id", "name", "service_name")
+    early, late = _halves(logs, "time_ns")
+    none = logs.limit(0), spans.limit(0)
+    for wave in ((early, none[1]), (none[0], spans), (late, spans.filter("span_id < '4'"))):  # some spans are sent again
+        for rows, name in zip(wave, ("logs", "spans")):
+            rows.write.mode("append").parquet(f"{root}/{name}")
+        streams = [
+            correlation.with_arrival(t.spark.readStream.schema(rows.schema).parquet(f"{root}/{name}"))
+            for rows, name in ((logs, "logs"), (spans, "spans"))
+        ]
+        joined = correlation.match_logs(*streams)
+        sink = correlation.land_matches(f"{root}/matched", f"{root}/unmatched", "month")
+        correlation.start_matching(joined, sink, ingest.Stream(f"{root}/checkpoint")).awaitTermination()
+    return storage.read_facts(t.spark, f"{root}/matched").select("trace_id", "span_id", "time_ns", "span_name", "span_service")
+
+
 @query("append_facts", "SELECT trace_id, span_id, start_ns, kind FROM spans")
 def _append(t):
     path = _scratch(t, "append")
@@ -284,6 +309,31 @@ def _guard_stream(t):
     return storage.read_facts(t.spark, f"{out}/points").select("metric_name", "time_ns", "value")
 
 
+# Sketches are held against the exact counts: three standard errors, or one where counts are small.
+@query(
+    "cardinality_sketches",
+    """SELECT metric_name, label, CAST(count(*) AS BIGINT) AS point_count, min(time_ns) AS first_ns, max(time_ns) AS last_ns,
+  CAST(count(DISTINCT label_value) AS BIGINT) AS exact_values, true AS is_within_bound
+FROM (SELECT metric_name, time_ns, unnest(['user', 'k']) AS label, unnest([a_user, a_k]) AS label_value FROM points) GROUP BY ALL
+UNION ALL SELECT metric_name, NULL, sum(n), min(first_ns), max(last_ns), count(*), true
+FROM (SELECT metric_name, service_name, label, count(*) AS n, min(time_ns) AS first_ns, max(time_ns) AS last_ns FROM points GROUP BY ALL) GROUP BY metric_name""",
+)
+def _sketches(t):
+    narrow = t.metrics.select("metric_name", "service_name", "attributes", "time_ns", "event_date")
+    table = _stream(t, "sketches", _halves(narrow, "time_ns"), lambda out: catalogue.keep_sketches(out, "month"))
+    catalogue.compact(t.spark, table, "month")
+    labels = metrics.label_cardinality(t.metrics).select("metric_name", "label", F.col("distinct_values").alias("exact_values"))
+    series = metrics.active_series(t.metrics, _NOW_NS).select(
+        "metric_name", F.lit(None).cast("string").alias("label"), F.col("total_series").alias("exact_values")
+    )
+    exact = labels.unionByName(series).withColumnsRenamed({"metric_name": "_metric", "label": "_label"})
+    same = (F.col("metric_name") == F.col("_metric")) & F.col("label").eqNullSafe(F.col("_label"))
+    off = F.abs(F.col("distinct_values") - F.col("exact_values"))
+    within = off <= F.greatest(F.lit(1.0), 3 * catalogue.ERROR * F.col("exact_values"))
+    kept = catalogue.cardinalities(t.spark, table).join(exact, same).withColumn("is_within_bound", within)
+    return kept.select("metric_name", "label", "point_count", "first_ns", "last_ns", "exact_values", "is_within_bound")
+
+
 _NOW_NS = clocks.parse_bound("1998-07-01T00:00:00Z")
 _LIVE_MINUTES = 30 * 24 * 60
 

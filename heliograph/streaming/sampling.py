@@ -106,7 +106,7 @@ def decisions(
 
 
 @contextmanager
-def _state_on_disk(spark: SparkSession):
+def state_on_disk(spark: SparkSession):
     """Queries started inside keep their state in RocksDB, which timers need."""
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKSDB)
@@ -122,7 +122,7 @@ def _state_on_disk(spark: SparkSession):
 def land_decisions(decided: DataFrame, table: str, options: Stream) -> StreamingQuery:
     """Land each micro-batch's decisions by the day on which the trace began. Read them with ``storage.read_facts``."""
     day = clocks.event_date(F.col("first_second") * clocks.NANOS_PER_SECOND)
-    with _state_on_disk(decided.sparkSession):
+    with state_on_disk(decided.sparkSession):
         return start(decided.withColumn("event_date", day), append_to(table, options.grain), options)
 
 

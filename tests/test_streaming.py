@@ -1,14 +1,17 @@
 """Streams against the batch result over the same rows, fed in several micro-batches."""
 
+import datetime
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from heliograph.functions import values
 from heliograph.operators import dimensions, sampling, services, spanmetrics
+from heliograph.operators.filters import TimeRange
 from heliograph.sources import storage
-from heliograph.streaming import counters, ingest, live
+from heliograph.streaming import catalogue, correlation, counters, ingest, live
 from heliograph.streaming import sampling as stream_sampling
 
 SECOND = 10**9
@@ -50,8 +53,6 @@ def test_landing_to_facts(spark, tmp_path):
 
 
 def test_dimensions_equal_batch_and_survive_replay(spark, make_spans, tmp_path):
-    from heliograph.functions import values
-
     spans = some_spans(make_spans).withColumn("resource", F.create_map(F.lit("a"), values.any_value(string=F.col("service_name"))))
     sink = ingest.keep_dimensions(str(tmp_path / "dims"))
     late = spans.filter(f"start_ns < {20 * SECOND}")
@@ -105,6 +106,69 @@ def test_a_read_opens_the_last_snapshot_and_what_came_after(spark, make_spans, t
     assert read == [400, 400, 400]
 
 
+def test_sketches_merge_over_batches_and_days(spark, tmp_path):
+    def points(lo, hi, day):
+        label = F.create_map(F.lit("user"), values.any_value(string=F.col("id").cast("string")), F.lit("k"), values.any_value(string=(F.col("id") % 7).cast("string")))
+        return spark.range(lo, hi).select(
+            F.lit("m").alias("metric_name"), F.lit("svc").alias("service_name"), label.alias("attributes"),
+            (F.lit(day * 86400 * SECOND) + F.col("id")).alias("time_ns"), F.date_add(F.lit("1970-01-01").cast("date"), day).alias("event_date"),
+        )
+
+    table = str(tmp_path / "sketches")
+    batches = [points(0, 30_000, 3), points(20_000, 40_000, 4), points(0, 10_000, 3), points(0, 5, 9)]
+    for number, batch in enumerate(batches):
+        catalogue.keep_sketches(table)(batch, number)
+    wanted = {"user": 40_000, "k": 7, None: 40_000}
+    for compacted in (False, True):
+        if compacted:
+            catalogue.compact(spark, table)
+            days = {r.event_date.day: r["count"] for r in storage.read_facts(spark, table).groupBy("event_date").count().collect()}
+            assert days == {4: 3, 5: 3, 10: 3}
+        got = {r.label: r for r in catalogue.cardinalities(spark, table).collect()}
+        for label, exact in wanted.items():
+            assert abs(got[label].distinct_values - exact) <= 3 * catalogue.ERROR * exact
+            assert got[label].point_count == 60_005
+    month = TimeRange(9 * 86400 * SECOND, 10 * 86400 * SECOND)
+    assert {r.label: r.distinct_values for r in catalogue.cardinalities(spark, table, month).collect()} == {"user": 5, "k": 5, None: 5}
+
+
+def test_logs_meet_their_span_as_either_comes(spark, tmp_path):
+    """Logs before, with and after their span, one span with most of them, a resent span, and spans that come too late."""
+    root, minute = str(tmp_path), 60
+    log_schema = "trace_id string, span_id string, time_ns bigint, body_text string, arrived timestamp, event_date date"
+    span_schema = "trace_id string, span_id string, name string, service_name string, arrived timestamp"
+
+    def at(seconds):
+        return datetime.datetime.fromtimestamp(10**9 + seconds)
+
+    def logs(*rows):
+        return spark.createDataFrame([("t", s, i, b, at(a), datetime.date(2001, 9, 9)) for i, (s, b, a) in enumerate(rows)], log_schema)
+
+    def spans(*rows):
+        return spark.createDataFrame([("t", s, f"op-{s}", "svc", at(a)) for s, a in rows], span_schema)
+
+    waves = [
+        (logs(("early", "e", 0), ("never", "n", 0), (None, "no id", 0), *[("hot", f"h{i}", 1) for i in range(50)]), spans(("old", 0))),
+        (logs(("old", "o", 5 * minute)), spans(("early", 5 * minute), ("hot", 5 * minute), ("old", 5 * minute))),
+        (logs(("hot", "after", 9 * minute), ("gone", "g", 9 * minute)), spans(("x", 9 * minute))),
+        (logs(("y", "y", 100 * minute)), spans(("gone", 100 * minute), ("z", 100 * minute))),
+        (logs(("y", "yy", 200 * minute)), spans(("z2", 200 * minute))),
+    ]
+    for wave in waves:
+        for rows, name in zip(wave, ("logs", "spans")):
+            rows.coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+        streams = [spark.readStream.schema(rows.schema).parquet(f"{root}/{name}") for rows, name in zip(wave, ("logs", "spans"))]
+        sink = correlation.land_matches(f"{root}/matched", f"{root}/unmatched")
+        joined = correlation.match_logs(*streams, wait="10 minutes", salts=3)
+        correlation.start_matching(joined, sink, ingest.Stream(f"{root}/checkpoint")).awaitTermination()
+    matched = storage.read_facts(spark, f"{root}/matched").collect()
+    assert sorted(r.body_text for r in matched) == sorted(["e", "o", "after", *[f"h{i}" for i in range(50)]])
+    assert all(r.span_name == f"op-{r.span_id}" for r in matched)
+    assert sorted(r.body_text for r in storage.read_facts(spark, f"{root}/unmatched").collect()) == ["g", "n", "no id", "y"]
+    settled = correlation.settle(spark, f"{root}/unmatched", spark.read.parquet(f"{root}/spans").dropDuplicates(["trace_id", "span_id"]))
+    assert {r.body_text: r.span_name for r in settled.collect()} == {"g": "op-gone", "n": None, "no id": None, "y": None}
+
+
 def live_sinks(tmp_path):
     spans, panes = str(tmp_path / "spans"), str(tmp_path / "panes")
     return spans, panes, ingest.fan_out(ingest.append_to(spans), live.keep_panes(panes))
