@@ -248,10 +248,13 @@ FROM (SELECT count(*) FILTER ({wave}) AS a, count(*) FILTER (NOT ({wave})) AS b
 def _volume(t):
     parts = []
     for (signal, wave), table in zip(_WAVES.items(), (t.spans, t.logs, t.metrics)):
-        narrow = table.select("service_name", F.expr(f"{wave}").alias("first"))
+        narrow = table.select("service_name", "event_date", F.expr(f"{wave}").alias("first"))
         waves = [narrow.filter("first"), narrow.filter("NOT first")]
-        root = _stream(t, "volume", waves, lambda out, signal=signal: ingest.keep_volume(out, signal))
-        parts.append(ingest.read_volume(t.spark, root))
+
+        def sink(out, signal=signal):
+            return ingest.keep_volume(f"{out}/volume", signal, ingest.append_to(f"{out}/facts", "month"))
+
+        parts.append(ingest.read_volume(t.spark, f"{_stream(t, 'volume', waves, sink)}/volume"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -364,7 +367,7 @@ UNION ALL SELECT 'service', service_name, min(start_ns) FROM spans GROUP BY serv
 def _fan_out(t):
     narrow = t.spans.select(
         "trace_id", "span_id", "service_name", "name", "kind", "status_code", "start_ns", "end_ns", "event_date", "resource",
-        F.create_map().cast(values.ATTRIBUTES).alias("attributes"), "`http.method`", "`http.status_code`",
+        "attributes", "`http.method`", "`http.status_code`",
     )
     out = _stream(
         t,

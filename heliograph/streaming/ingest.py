@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -88,14 +89,28 @@ def read_dimension(spark: SparkSession, root: str, name: str) -> DataFrame:
     return dimensions.merge_dim(rows, rows.limit(0), dimensions.DIMENSIONS[name])
 
 
-def keep_volume(root: str, signal: str) -> Sink:
-    """Record how many rows each batch brought."""
+def keep_volume(root: str, signal: str, sink: Sink | None = None) -> Sink:
+    """Record how many rows each batch brought.
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        counted = batch.agg(F.count("*").alias("row_count")).withColumn("signal", F.lit(signal))
-        counted.write.mode("overwrite").parquet(f"{root}/batch_id={signal}-{batch_id}")
+    Around another sink the rows are counted as that sink writes them, by a metric observed on the way; a batch is
+    not read again for it. ``sink`` must begin by running the whole batch.
+    """
 
-    return sink
+    def run(batch: DataFrame, batch_id: int) -> None:
+        counted = F.count(F.lit(1)).alias("row_count")
+        if sink is None:
+            rows = batch.agg(counted).first()[0]
+        else:
+            seen = Observation()
+            sink(batch.observe(seen, counted), batch_id)
+            try:
+                rows = seen.get["row_count"]
+            except Py4JJavaError:  # the sink's plan lost the metric, which happens to batches found empty as they run
+                rows = batch.agg(counted).first()[0]
+        row = batch.sparkSession.createDataFrame([(rows, signal)], "row_count bigint, signal string")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{root}/batch_id={signal}-{batch_id}")
+
+    return run
 
 
 def read_volume(spark: SparkSession, root: str) -> DataFrame:

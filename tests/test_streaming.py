@@ -228,6 +228,17 @@ def test_volume(spark, make_spans, tmp_path):
     assert tuple(ingest.read_volume(spark, root).first()) == ("spans", 2, 80, 20, 20, 60)
 
 
+def test_volume_is_observed_as_a_sink_writes(spark, make_spans, tmp_path):
+    spans = some_spans(make_spans).withColumn("event_date", F.lit("1970-01-01").cast("date"))
+    root, table = str(tmp_path / "volume"), str(tmp_path / "facts")
+    sink = ingest.keep_volume(root, "spans", ingest.append_to(table))
+    feed(spark, [spans, spans.limit(20), spans.limit(0)], sink, tmp_path)
+    assert tuple(ingest.read_volume(spark, root).first())[:3] == ("spans", 3, 80)
+    assert storage.read_facts(spark, table).count() == 80
+    sink(spans.limit(7), 2)  # a replay of the last batch, now with rows
+    assert tuple(ingest.read_volume(spark, root).first())[:3] == ("spans", 3, 87)
+
+
 def test_dedup_drops_retries_and_loses_nothing_late(spark, make_spans, tmp_path):
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("start_ns") / (20 * SECOND)).cast("int"))
     spans = some_spans(make_spans).select("trace_id", "span_id", "start_ns").withColumn("event_date", day)
