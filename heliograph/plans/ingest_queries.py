@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from heliograph.functions import clocks, values
+from heliograph.functions import clocks, nested, values
 from heliograph.operators import sampling as batch_sampling
 from heliograph.operators import metrics, spanmetrics
 from heliograph.plans import requests
@@ -74,6 +74,37 @@ def _flatten_logs(t):
     return _flat_logs(envelopes.flatten_logs(envelopes.parse_requests(requests.log_requests(t.logs), "logs")))
 
 
+# Several records to a request; every part keeps its type.
+@query(
+    "nested_values",
+    """SELECT event_id, ['KVLIST', 'ARRAY', 'BYTES'][event_id % 3 + 1] AS body_type, CASE WHEN event_id % 3 = 0 THEN user_id END AS user_id,
+  CASE WHEN event_id % 3 < 2 THEN event_type END AS tag, CASE WHEN event_id % 3 < 2 THEN event_id % 2 = 0 END AS is_even,
+  CASE WHEN event_id % 3 < 2 THEN value END AS amount, CASE WHEN event_id % 3 <> 1 THEN event_type END AS raw,
+  value AS attribute_amount, CAST(NULL AS BIGINT) AS wrong_type FROM events""",
+)
+def _nested(t):
+    logs = envelopes.flatten_logs(envelopes.parse_requests(requests.nested_log_requests(t.table("events")), "logs"))
+    body = logs.withColumn("v", nested.as_variant(F.col("body")))
+
+    def part(in_pairs: str, in_array: str, kind: str):
+        found = [nested.at_path(F.col("v"), path, kind) for path in (in_pairs, in_array)]
+        return F.when(F.col("body_type") == "KVLIST", found[0]).when(F.col("body_type") == "ARRAY", found[1])
+
+    raw = F.when(F.col("body_type") == "KVLIST", nested.at_path(F.col("v"), "$.raw", "string"))
+    raw = raw.when(F.col("body_type") == "BYTES", nested.at_path(F.col("v"), "$", "string"))
+    return body.select(
+        values.attribute_value(logs, "event.id").cast("bigint").alias("event_id"),
+        "body_type",
+        F.when(F.col("body_type") == "KVLIST", nested.at_path(F.col("v"), "$.user", "bigint")).alias("user_id"),
+        part("$.tags[0]", "$[0]", "string").alias("tag"),
+        part("$.tags[1]", "$[1]", "boolean").alias("is_even"),
+        part("$.tags[2]", "$[2]", "double").alias("amount"),
+        F.decode(F.unbase64(raw), "utf-8").alias("raw"),
+        nested.nested_attribute(logs, "event.tags", "$[2]", "double").alias("attribute_amount"),
+        nested.nested_attribute(logs, "event.tags", "$[0].no", "bigint").alias("wrong_type"),
+    )
+
+
 _METRICS_SQL = """SELECT metric_name, metric_type, unit, description, temporality,
   coalesce(is_monotonic, false) AS is_monotonic, service_name, time_ns, value, a_user, a_k FROM points"""
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from heliograph.functions import clocks, enums, identifiers, values, web
+from heliograph.functions import clocks, enums, identifiers, nested, values, web
 
 
 def column(spark, inputs, kind, expression):
@@ -118,3 +118,31 @@ def test_targets(make_spans):
     ])
     found = [r[0] for r in df.orderBy("span_id").select(web.client_target(df)).collect()]
     assert found == ["shop", "x", None, "h", "n", "u.example", None]
+
+
+def test_nested_values_keep_their_types(spark):
+    leaf = '{"stringValue":"a \\"quoted\\" é"}'
+    deep = leaf
+    for _ in range(6):
+        deep = f'{{"arrayValue":{{"values":[{deep}]}}}}'
+    rows = [
+        ("array", '{"values":[{"intValue":"5"},{"boolValue":false},{"double_value":2.5},{"bytesValue":"AQI="},{},%s]}' % leaf, None),
+        ("kvlist", None, '{"values":[{"key":"k","value":{"int_value":"1"}},{"key":"k","value":{"int_value":"2"}},{"key":"in.ner","value":{"kvlist_value":{"values":[{"key":"x","value":{"intValue":7}}]}}}]}'),
+        ("deep", '{"values":[%s]}' % deep, None),
+        ("broken", "not json", None),
+        ("empty", '{"values":[]}', None),
+    ]
+    df = spark.createDataFrame(rows, "name string, a string, p string")
+    value = F.struct(*[F.lit(None).cast(k).alias(n) for n, k in (("string_value", "string"), ("int_value", "string"), ("double_value", "double"), ("bool_value", "boolean"))],
+                     F.col("a").alias("array_value"), F.col("p").alias("kvlist_value"), F.lit(None).cast("string").alias("bytes_value"))
+    v = nested.as_variant(value)
+    got = {r.name: r for r in df.select("name", F.to_json(v).alias("json"),
+           nested.at_path(v, "$[0]", "bigint").alias("whole"), nested.at_path(v, "$['in.ner'].x", "int").alias("inner"),
+           nested.at_path(v, "$[0][0][0][0].values[0].arrayValue.values[0].arrayValue.values[0].stringValue", "string").alias("tagged")).collect()}
+    assert got["array"].json == '[5,false,2.5,"AQI=",null,"a \\"quoted\\" é"]' and got["array"].whole == 5
+    assert got["kvlist"].json == '{"in.ner":{"x":7},"k":2}' and got["kvlist"].inner == 7
+    assert got["deep"].tagged == 'a "quoted" é'
+    assert got["broken"].json is None and got["empty"].json == "[]"
+    scalars = [values.any_value(string=F.lit('x"y')), values.any_value(integer=F.lit(3)), values.any_value(double=F.lit(float("nan"))), values.any_value(boolean=F.lit(True)), values.any_value()]
+    row = spark.range(1).select(*[F.to_json(nested.as_variant(v)).alias(f"c{i}") for i, v in enumerate(scalars)]).first()
+    assert tuple(row) == ('"x\\"y"', "3", '"NaN"', "true", None)
