@@ -10,7 +10,9 @@ sorted intervals, made when the state is first entered; the transition is a sear
 
 Every prefix of a word has one accepted sequence, so encoding goes over the bytes once: from each position
 that was reached, follow the vocabulary's trie and take the arcs that the state has. Decoding joins the byte
-labels of the arcs. Null and empty texts have no ids; special tokens are single arcs of their own.
+labels of the arcs. Null and empty texts have no ids; special tokens are single arcs of their own. A text of any
+length is one row, encoded word by word. Rows with a null id, rows that share one and repeated rows are encoded each for
+itself; other columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ before the shuffle, so a group of copies of any size costs one row per task.
 Of equal texts the row with the most code points in the original stays, then the smallest id; a null
 id is only kept where no other is there. In ``verdicts``, rows that repeat an id with the same text share its
 verdict; ``deduplicate`` keeps one row of each group, whatever the ids are.
-Other columns are untouched. An empty table gives an empty result.
+Texts of any length are shuffled whole, once for each task that holds one. Other columns are untouched. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ a prediction is marked as rejected.
 
 Every text is scored whole. Since the model is linear in the mean, embeddings and layer are multiplied out into one
 score per bucket and language, and a text's scores are a mean of table rows. Null texts and texts without a letter
-get ``und`` and score 0; so does every text when there was nothing to learn from. Other columns are never read.
+get ``und`` and score 0. An exit, where there was nothing to learn from (no usable row, an empty table): every text
+gets ``und``. Rows with a null id, rows that share one and repeated rows are scored each for itself; learning takes one
+text of each id and none without an id. Other columns are never read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -158,11 +160,18 @@ def fit(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column:
     tables.ship(docs.sparkSession)
     rows = docs.filter(usable & F.col(label_column).isNotNull() & F.col(text_column).isNotNull())
     narrow = rows.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"))
+    # Of a frequent label only ids with a small hash compete: about four times as many as are wanted, in one task.
+    counts = narrow.groupBy("label").agg(F.count("*").alias("n")).withColumnRenamed("label", "_label")
+    share = F.xxhash64("id") / F.lit(2.0**64) + F.lit(0.5)
+    competing = narrow.join(counts, F.col("label") == F.col("_label")).filter(share * F.col("n") < 4.0 * PER_LANGUAGE)
     by_hash = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    ranked = narrow.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= PER_LANGUAGE)
-    chosen = F.broadcast(ranked.orderBy("rank", F.xxhash64("id")).limit(SAMPLE).select("id", "label"))  # at most SAMPLE rows
+    ranked = competing.select("id", "label", F.row_number().over(by_hash).alias("rank")).filter(F.col("rank") <= PER_LANGUAGE)
+    first = ranked.orderBy("rank", F.xxhash64("id")).limit(SAMPLE).select("id", "label").distinct()
+    chosen = F.broadcast(first)  # at most SAMPLE rows
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    crops = texts.join(chosen, "id").select(F.col("id").cast("long").alias("id"), "text", "label").mapInArrow(_cropper, "label string, crop array<int>")
+    # One text for each chosen id, however often it is in the table.
+    sampled = texts.join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    crops = sampled.select(F.col("id").cast("long").alias("id"), "text", "label").mapInArrow(_cropper, "label string, crop array<int>")
     found = crops.toArrow().to_pydict()
     pairs = sorted(zip(found["label"], found["crop"]))
     return train([np.array(c, np.int64) for _, c in pairs], [label for label, _ in pairs])

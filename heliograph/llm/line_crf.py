@@ -9,6 +9,8 @@ executors, so what comes to the driver has a fixed size.
 A document's score is the mean probability of "good" of its lines by forward-backward, weighted by their length.
 Every line of every text counts. Null and empty texts, and texts without a word, get the share of good documents in
 the sample. Without labels to learn from every score is 0.5. Labels, language, source and id are never inputs.
+Rows with a null id, rows that share one and repeated rows are scored each for itself; learning takes one text of each
+labelled id. Other columns are carried along by ``keep_good`` and not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -188,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "do
     present = marked.join(docs.select(F.col(id_column).alias("id")), "id", "left_semi")
     chosen = F.broadcast(folds.sample(present, "id", SAMPLE))  # at most SAMPLE rows
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    rows = texts.join(chosen, "id").select(F.col("id").cast("long").alias("id"), "text", "label")
+    # One text for each chosen label, however often its id is in the table.
+    sampled = texts.join(chosen, "id").groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = sampled.select(F.col("id").cast("long").alias("id"), "text", "label")
     found = rows.mapInArrow(_windows, "bins binary, label int").toArrow().to_pydict()
     pairs = sorted(zip(found["label"], found["bins"]))
     return train([np.frombuffer(b, np.int16).reshape(-1, MEASURES) for _, b in pairs], [y for y, _ in pairs])

@@ -19,7 +19,8 @@ nothing. Two documents are linked when 100 * intersection >= percent * union. Sh
    inside a component is ever made, and no link between components is passed over.
 
 Components are found by alternating large and small stars; nothing is collected. Rows that share an id are one
-document to the links. A null id is never linked. Null texts are empty; an empty table gives an empty result.
+document to the links. A null id is never linked. Null texts are empty, and long ones are one row's set; ``link``
+ignores other columns, ``keep_one`` carries them along. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ or ``PATIENCE`` bins in a row could not be emptied. The pieces of each group's `
 and packed anew, round after round, until they are one group: a bin too many is left once, not once in every group.
 Nothing is dropped or reordered inside a document.
 
-Null and empty texts are a piece of one end id. Rows that share an id are separate documents to the packing.
+Null and empty texts are a piece of one end id; a text of any length is cut in one row. Rows that share an id, have
+none or are repeated are separate documents to the packing. ``cut`` ignores other columns, ``pack`` carries them along.
 An empty table gives an empty result.
 """
 

@@ -18,7 +18,8 @@ weights are averaged by the number of tokens, summed up in ``GROUPS`` groups bef
 averaged word by word, by how often a block trained them. What the driver holds has a fixed size, the tables grow with
 the distinct words. Scores depend a little on how rows are dealt to tasks, as any averaged training does.
 
-Null and empty texts have no tokens, the sum 0 and no mean. An empty table gives an empty result.
+Null and empty texts have no tokens, the sum 0 and no mean. Rows with a null id, rows that share one and repeated rows
+count and are scored each for itself; other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

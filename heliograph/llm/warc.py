@@ -11,7 +11,7 @@ range of one archive. Lookups are dealt out in key order, so a task meets each b
 A null payload is empty, a null URL has the empty key. Each row gets a record of its own, also rows that repeat
 an id or a URL; revisits never name a null id. One payload may be that of most rows: the table of first
 holders is written before it is joined, so that Spark can split the common digest or broadcast by size.
-An empty table gives empty archives.
+A payload of any length is one record; other columns are ignored. An empty table gives empty archives.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from heliograph.sources import storage
 BLOCK = 1000  # lines of an index block
 DATE = "1970-01-01T00:00:00Z"  # the capture time of tables that have none
 _BATCH = 512
+_TASK_RECORDS, _TASK_BYTES = 8192, 32 << 20  # what a task of the index or of a lookup covers
 _CAPTURE = "key string, page_id long, file string, offset long, length long"
 _PART = "first_key string, file string, n_blocks long, n_lines long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -209,10 +210,16 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
     kept = captures(pages, least_bytes)
     kept.mapInArrow(_archive_writer(f"{folder}/archive"), _CAPTURE).write.parquet(f"{folder}/captures")
     found = spark.read.schema(_CAPTURE).parquet(f"{folder}/captures")
-    ordered = found.repartitionByRange("key").sortWithinPartitions("key")
+    ordered = found.repartitionByRange(_tasks(found), "key").sortWithinPartitions("key")
     ordered.mapInArrow(_index_writer(f"{folder}/index"), _PART).write.parquet(f"{folder}/parts")
 
 
+def _tasks(captures: DataFrame) -> int:
+    """Tasks by what they read from the archive: keys alone look small, and would be joined into few."""
+    records, size = captures.agg(F.count("*"), F.sum("length")).first()
+    return max(1, -(-records // _TASK_RECORDS), -(-(size or 0) // _TASK_BYTES))
+
+
 class Index:
     """Reads an index from inside a task; holds the parts' first keys and the last few files it touched."""
 
@@ -283,6 +290,6 @@ def lookup(spark: SparkSession, folder: str, wanted: DataFrame, with_payload: bo
     """The records of the captures that ``wanted`` (page_id, url) names, each once."""
     tables.ship(spark)
     keys = wanted.select(_sort_key(url_key(F.col("url")), F.col("page_id").cast("long")).alias("key"))
-    dealt = keys.repartitionByRange("key").sortWithinPartitions("key")
+    dealt = keys.repartitionByRange(_tasks(spark.read.schema(_CAPTURE).parquet(f"{folder}/captures")), "key").sortWithinPartitions("key")
     schema = RECORD if with_payload else RECORD.removesuffix(", payload binary")
     return dealt.mapInArrow(_looker(folder, with_payload), schema)

@@ -221,6 +221,21 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert len({r.sequence_id for r in out}) <= -(-tokens // packing.LENGTH) + 1
 
 
+def test_samples_are_bounded_where_ids_repeat(spark, prose, monkeypatch):
+    """Many rows with few ids bring one text of each id to the driver."""
+    text = "\n".join(prose("xx", 8) for _ in range(3))
+    rows = [(i % 5, f"{text} {i}", "xx" if i % 5 else "yy", "s", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i % 5, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    sizes = {}
+    for module in (langid, line_crf):
+        real = module.train
+        monkeypatch.setattr(module, "train", lambda *args, real=real, name=module.__name__: sizes.update({name: len(args[0])}) or real(*args))
+    langid.fit(docs, F.lit(True))
+    line_crf.fit(docs, labels, F.lit(True))
+    assert sizes["heliograph.llm.langid"] <= 5 * langid.CROPS and sizes["heliograph.llm.line_crf"] <= 10
+
+
 def test_stages_hold_their_own_tables_only(spark, corpus, tmp_path, monkeypatch):
     """Each stage begins by removing what the one before it kept; rows are not copied to be told apart."""
     docs, labels = corpus
