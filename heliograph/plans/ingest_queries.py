@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from heliograph.functions import clocks, nested, values
+from heliograph.functions import clocks, identifiers, nested, values
 from heliograph.operators import sampling as batch_sampling
+from heliograph.operators.filters import TimeRange, in_range
 from heliograph.operators import metrics, spanmetrics
 from heliograph.plans import requests
 from heliograph.plans.registry import query
@@ -489,6 +490,67 @@ def _retention(t):
     return storage.read_facts(t.spark, path).select("trace_id", "span_id", "start_ns")
 
 
+# A window over a table by month, part of it rolled in twice: folders outside the window are not opened.
+_LANDED = TimeRange("1995-03-10T00:00:00Z", "1995-07-02T00:00:00Z")
+
+
+@query("time_range_landed", f"SELECT trace_id, span_id, start_ns FROM spans WHERE start_ns >= {_LANDED.start_ns} AND start_ns < {_LANDED.end_ns}")
+def _time_range_landed(t):
+    path = _scratch(t, "window")
+    rows = t.spans.select("trace_id", "span_id", "start_ns", "event_date")
+    for batch_id in range(4):
+        storage.append_batch(rows.filter(f"start_ns % 4 = {batch_id}"), path, batch_id, "month")
+        if batch_id > 1:
+            storage.compact(t.spark, path, "month")
+    return in_range(storage.read_facts(t.spark, path), _LANDED).select("trace_id", "span_id", "start_ns")
+
+
+_CLOCK = clocks.parse_bound("1998-06-15T12:00:00Z")
+
+
+@query("retention_by_clock", f"SELECT trace_id, span_id, start_ns FROM spans WHERE start_ns >= {_CLOCK - _KEEP_DAYS * counters.DAY_NS}")
+def _retention_by_clock(t):
+    path = _scratch(t, "retained")
+    storage.append_batch(t.spans.select("trace_id", "span_id", "start_ns", "event_date"), path, 0, "month")
+    kept = storage.retain_by_clock(storage.read_facts(t.spark, path), _CLOCK, _KEEP_DAYS * counters.DAY_NS, "start_ns")
+    return kept.select("trace_id", "span_id", "start_ns")
+
+
+# Ids as bytes and clocks as microseconds with the nanoseconds left over, and back.
+@query(
+    "span_stored_form",
+    """SELECT trace_id, span_id, start_ns // 1000 AS start_us, CAST(start_ns % 1000 AS SMALLINT) AS start_nanos, start_ns,
+  (end_ns - start_ns) / 1e6 AS duration_ms, CAST(http_status AS DOUBLE) AS http_status FROM spans""",
+)
+def _stored_form(t):
+    start = F.col("start_ns")
+    stored = t.spans.select(
+        F.unhex("trace_id").alias("trace"), F.unhex("span_id").alias("span"), clocks.to_timestamp(start).alias("at"),
+        clocks.nanos_fraction(start).alias("start_nanos"), clocks.duration_ms(start, F.col("end_ns")).alias("duration_ms"),
+        values.any_number(F.col("attributes")["http.status_code"]).alias("http_status"),
+    )
+    return stored.select(
+        identifiers.bytes_hex(F.col("trace")).alias("trace_id"), identifiers.bytes_hex(F.col("span")).alias("span_id"),
+        F.unix_micros("at").alias("start_us"), "start_nanos", clocks.from_timestamp(F.col("at"), F.col("start_nanos")).alias("start_ns"),
+        "duration_ms", "http_status",
+    )
+
+
+_BOUNDS_SQL = ", ".join([*(f"{b}::DOUBLE" for b in spanmetrics.BUCKETS_MS), "'inf'::DOUBLE"])
+_COUNTS_SQL = ", ".join([*(f"le_{b}" for b in spanmetrics.BUCKETS_MS), "calls"])
+
+
+@query(
+    "span_metric_buckets",
+    f"""SELECT {_SERIES}, CAST(unnest([{_BOUNDS_SQL}]) AS VARCHAR) AS le_ms, CAST(unnest([{_COUNTS_SQL}]) AS BIGINT) AS cumulative_count
+FROM (SELECT {DIMENSIONS_SQL}, count(*) AS calls, {LE_SQL} FROM spans GROUP BY ALL)""",
+)
+def _metric_buckets(t):
+    rows = spanmetrics.bucket_rows(spanmetrics.span_metrics(t.spans))
+    le = F.when(F.col("le_ms") == float("inf"), "inf").otherwise(F.col("le_ms").cast("string"))
+    return rows.withColumn("le_ms", le)
+
+
 _MONTHS = "SELECT CAST(date_trunc('month', make_timestamp(start_ns // 1000)) AS DATE) AS d, count(*) AS n FROM spans GROUP BY 1"
 
 

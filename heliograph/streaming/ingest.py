@@ -14,7 +14,7 @@ from heliograph.operators import dimensions, metrics, spanmetrics
 from heliograph.operators.sides import bounded
 from heliograph.sources import envelopes, storage
 
-# Micro-batch pace of the collector pipelines: seconds between batches, and files taken per batch.
+# Micro-batch pace of the collector pipelines: seconds between batches, and items (or files) taken per batch.
 PACES = {"agent": (1, 1024), "gateway": (5, 256), "browser": (1, 100)}
 
 Sink = Callable[[DataFrame, int], None]
@@ -22,18 +22,32 @@ Sink = Callable[[DataFrame, int], None]
 
 @dataclass(frozen=True)
 class Stream:
-    """A running job's options. ``once`` drains what has landed and stops."""
+    """A running job's options. ``once`` drains what has landed and stops; ``cut``: see :func:`read_landing`."""
 
     checkpoint: str
     once: bool = True
     pace: str = "gateway"
     grain: str = "day"
+    cut: bool = False
 
 
-def read_landing(spark: SparkSession, signal: str, path: str, pace: str = "gateway") -> DataFrame:
-    """Export requests as they land, at most a pace's number of files per micro-batch."""
+def land(requests: DataFrame, signal: str, path: str, pace: str = "gateway") -> None:
+    """Land parsed requests in files of at most a pace's items, however many a request holds.
+
+    Items, not requests, are dealt into files, so one large request becomes several files and nothing has to be put
+    in one place to be counted.
+    """
+    items = envelopes.single_items(requests, signal)
+    items.write.mode("append").option("maxRecordsPerFile", PACES[pace][1]).text(path)
+
+
+def read_landing(spark: SparkSession, signal: str, path: str, pace: str = "gateway", cut: bool = False) -> DataFrame:
+    """Export requests as they land, at most a pace's number of files per micro-batch.
+
+    ``cut`` tells that files come from :func:`land`: then a micro-batch is one of them, at most the pace's items.
+    """
     reader = spark.readStream.schema(envelopes.REQUEST_SCHEMAS[signal])
-    return reader.option("maxFilesPerTrigger", PACES[pace][1]).json(path)
+    return reader.option("maxFilesPerTrigger", 1 if cut else PACES[pace][1]).json(path)
 
 
 def start(df: DataFrame, sink: Sink, options: Stream) -> StreamingQuery:
@@ -54,7 +68,7 @@ def ingest(spark: SparkSession, signal: str, landing: str, table: str, options:
     Each batch is rebalanced by its days and lands under its own id, visible as a whole and replaced
     by a replay. Read the table with ``storage.read_facts``.
     """
-    facts = envelopes.FLATTEN[signal](read_landing(spark, signal, landing, options.pace))
+    facts = envelopes.FLATTEN[signal](read_landing(spark, signal, landing, options.pace, options.cut))
     return start(facts, append_to(table, options.grain), options)
 
 

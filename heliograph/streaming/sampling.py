@@ -137,14 +137,12 @@ def land_kept(spark: SparkSession, spans: str, decided: str, kept: str, grain: s
     run = storage.last_batch(spark, kept) + 1
     reach = f"{kept}-reach"
     if storage.last_batch(spark, reach) < run:
-        row = [(storage.last_batch(spark, spans), storage.last_batch(spark, decided))]
-        planned = spark.createDataFrame(row, "spans int, decided int")
-        if run and tuple(planned.first()) == _reach(spark, reach, run - 1):
+        landed_to = storage.last_batch(spark, spans), storage.last_batch(spark, decided)
+        if min(landed_to) < 0 or landed_to == _reach(spark, reach, run - 1):
             return None
+        planned = spark.createDataFrame([landed_to], "spans int, decided int")
         planned.coalesce(1).write.mode("overwrite").parquet(f"{reach}/batch_id={run}")
     (spans_from, decided_from), (spans_to, decided_to) = (_reach(spark, reach, n) for n in (run - 1, run))
-    if spans_to < 0 or decided_to < 0:
-        return None
     landed = storage.read_facts(spark, spans).filter(F.col("batch_id") <= spans_to)
     verdicts = storage.read_facts(spark, decided, f"{_DECIDED}, is_kept boolean, event_date date, batch_id int").filter((F.col("batch_id") <= decided_to) & F.col("is_kept"))
     earlier = verdicts.filter(F.col("batch_id") <= decided_from).select("trace_id")
@@ -162,6 +160,15 @@ def land_kept(spark: SparkSession, spans: str, decided: str, kept: str, grain: s
     return run
 
 
+def compact_landed(spark: SparkSession, spans: str, decided: str, kept: str, grain: str = "day") -> None:
+    """Roll together the batches of spans and decisions that the last run of :func:`land_kept` has taken in.
+
+    Later ones must stay apart: a run tells by their numbers what is new.
+    """
+    for table, upto in zip((spans, decided), _reach(spark, f"{kept}-reach", storage.last_batch(spark, kept))):
+        storage.compact(spark, table, grain, upto=upto)
+
+
 def _reach(spark: SparkSession, path: str, run: int) -> tuple[int, int]:
     if run < 0:
         return -1, -1

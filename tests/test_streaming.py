@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import values
 from heliograph.operators import dimensions, sampling, services, spanmetrics
 from heliograph.operators.filters import TimeRange
-from heliograph.sources import storage
+from heliograph.sources import envelopes, storage
 from heliograph.streaming import catalogue, correlation, counters, ingest, live
 from heliograph.streaming import sampling as stream_sampling
 
@@ -228,6 +228,40 @@ def test_volume(spark, make_spans, tmp_path):
     assert tuple(ingest.read_volume(spark, root).first()) == ("spans", 2, 80, 20, 20, 60)
 
 
+def test_batches_are_cut_by_items(spark, tmp_path):
+    """No batch holds more than the pace's items, whatever the requests hold; nothing is lost or changed."""
+    def span(i):
+        return {"traceId": f"{i % 9:032x}", "spanId": f"{i:016x}", "name": f"op{i}", "startTimeUnixNano": str(i), "attributes": [{"key": "n", "value": {"intValue": i}}]}
+
+    groups, at = [], 0
+    for size in (1, 250, 3, 0, 90, 6):
+        groups.append({"resourceSpans": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": f"svc{size}"}}]},
+                                          "scopeSpans": [{"scope": {"name": "lib"}, "spans": [span(at + i) for i in range(size)]}]}]})
+        at += size
+    requests = spark.createDataFrame([(json.dumps(g),) for g in groups], "request string").repartition(2)
+    landing, table, volume = (str(tmp_path / n) for n in ("landing", "facts", "volume"))
+    ingest.land(envelopes.parse_requests(requests, "traces"), "traces", landing, "browser")
+    options = ingest.Stream(str(tmp_path / "checkpoint"), pace="browser", cut=True)
+    facts = envelopes.flatten_spans(ingest.read_landing(spark, "traces", landing, "browser", cut=True), 7)
+    ingest.start(facts, ingest.keep_volume(volume, "spans", ingest.append_to(table)), options).awaitTermination()
+    figures = ingest.read_volume(spark, volume).first()
+    assert figures.row_count == at == 350 and figures.largest_batch == 100 and figures.batch_count >= 4
+    whole = envelopes.flatten_spans(envelopes.parse_requests(requests, "traces"), 7)
+    assert sorted(map(str, storage.read_facts(spark, table).select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_single_points_of_every_metric_type(spark):
+    points = [{"timeUnixNano": "5", "asDouble": 1.5}, {"timeUnixNano": "6", "asInt": "3", "attributes": [{"key": "k", "value": {"stringValue": "v"}}]}]
+    metrics = [{"name": "g", "unit": "1", "gauge": {"dataPoints": points}}, {"name": "s", "sum": {"dataPoints": points, "aggregationTemporality": 2, "isMonotonic": True}},
+               {"name": "h", "histogram": {"data_points": [{"time_unix_nano": "7", "count": "3", "sum": 4.0, "bucket_counts": ["1", "2"], "explicit_bounds": [5.0]}]}}]
+    request = {"resourceMetrics": [{"resource": {"attributes": []}, "scopeMetrics": [{"scope": {"name": "lib"}, "metrics": metrics}]}]}
+    parsed = envelopes.parse_requests(spark.createDataFrame([(json.dumps(request),)], "request string"), "metrics")
+    single = envelopes.single_items(parsed, "metrics")
+    assert single.count() == 5
+    again = envelopes.flatten_metrics(envelopes.parse_requests(single, "metrics"), 1)
+    assert sorted(map(str, again.collect())) == sorted(map(str, envelopes.flatten_metrics(parsed, 1).collect()))
+
+
 def test_volume_is_observed_as_a_sink_writes(spark, make_spans, tmp_path):
     spans = some_spans(make_spans).withColumn("event_date", F.lit("1970-01-01").cast("date"))
     root, table = str(tmp_path / "volume"), str(tmp_path / "facts")
@@ -321,6 +355,7 @@ def test_kept_spans_follow_their_decision(spark, make_spans, tmp_path):
     """Spans that land before, with and after the decision are copied once, whenever runs come or are repeated."""
     policy = sampling.Policy(own_services="^own", percentage=0.0)
     spans, decided, kept = (str(tmp_path / n) for n in ("spans", "decided", "kept"))
+    assert stream_sampling.land_kept(spark, spans, decided, kept) is None
     waves = [[("bad", 0, 2), ("good", 0, 0)], [("bad", 5, 0), ("next", 40, 2)], [("bad", 50, 0), ("x", 90, 0)], [("bad", 200, 2), ("y", 300, 0)]]
     found = []
     for number, rows in enumerate(waves):
@@ -329,6 +364,8 @@ def test_kept_spans_follow_their_decision(spark, make_spans, tmp_path):
         tail_wave(spark, wave, tmp_path, policy, remember_seconds=60)
         stream_sampling.land_kept(spark, spans, decided, kept)
         assert stream_sampling.land_kept(spark, spans, decided, kept) is None
+        if number == 2:
+            stream_sampling.compact_landed(spark, spans, decided, kept)
         found.append(sorted((r.trace_id, r.start_ns // SECOND - 3600) for r in storage.read_facts(spark, kept, "trace_id string, start_ns bigint").collect()))
     assert found[0] == []
     assert found[1] == [("bad", 0), ("bad", 5)]
