@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm import folds, tables
+from heliograph.llm import tables
+from heliograph.operators.sides import broadcast_if_small
+from heliograph.sources import storage
 
 BUCKETS, DIM = 1 << 16, 16
 PER_LANGUAGE, SAMPLE, CROPS, CROP = 1000, 8000, 3, 256
@@ -161,9 +163,9 @@ def fit(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column:
     rows = docs.filter(usable & F.col(label_column).isNotNull() & F.col(text_column).isNotNull())
     narrow = rows.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"))
     # Of a frequent label only ids with a small hash compete: about four times as many as are wanted, in one task.
-    counts = narrow.groupBy("label").agg(F.count("*").alias("n")).withColumnRenamed("label", "_label")
+    counts = storage.checkpoint(narrow.groupBy("label").agg(F.count("*").alias("n")).withColumnRenamed("label", "_label"))
     share = F.xxhash64("id") / F.lit(2.0**64) + F.lit(0.5)
-    competing = narrow.join(counts, F.col("label") == F.col("_label")).filter(share * F.col("n") < 4.0 * PER_LANGUAGE)
+    competing = narrow.join(broadcast_if_small(counts), F.col("label") == F.col("_label")).filter(share * F.col("n") < 4.0 * PER_LANGUAGE)
     by_hash = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     ranked = competing.select("id", "label", F.row_number().over(by_hash).alias("rank")).filter(F.col("rank") <= PER_LANGUAGE)
     first = ranked.orderBy("rank", F.xxhash64("id")).limit(SAMPLE).select("id", "label").distinct()
