@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from heliograph.functions import values
@@ -377,3 +378,37 @@ def test_kept_spans_follow_their_decision(spark, make_spans, tmp_path):
     storage.append_batch(tail_batch(make_spans, ("next", 42, 0)), spans, 5)
     assert [stream_sampling.land_kept(spark, spans, decided, kept) for _ in range(3)] == [4, 5, None]
     assert storage.read_facts(spark, kept).count() == len(found[3]) + 2
+
+
+def test_a_trace_whose_wait_and_marker_are_over_uses_no_state():
+    class Recorder:
+        calls = []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def exists(self):
+            return False
+
+        def get(self):
+            return None
+
+        def getCurrentWatermarkInMs(self):
+            return self.watermark
+
+        def registerTimer(self, at):
+            self.calls.append(("timer", at))
+
+        def update(self, value):
+            self.calls.append(("state", value))
+
+    second = Row("second", "span_count", "is_error", "is_http_error", "is_kept_service", "has_own_service")
+    rows = [second(120, 4, True, True, True, True), second(105, 2, False, True, False, False), second(100, 1, False, False, False, True)]
+    handle, waiting = Recorder(), stream_sampling._waiting(10, 300)
+    waiting.init(handle)
+    handle.watermark = 410_001
+    (decided,) = waiting.handleInputRows(("t",), iter(rows), handle)
+    assert tuple(decided) == ("t", 100, 3, False, True, False, True) and not handle.calls
+    handle.watermark = 410_000  # the marker may still be asked for
+    assert not list(waiting.handleInputRows(("t",), iter(rows), handle))
+    assert handle.calls == [("timer", 110_000), ("state", (110, False, 3, False, True, False, True))]
