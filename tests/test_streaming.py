@@ -412,3 +412,17 @@ def test_a_trace_whose_wait_and_marker_are_over_uses_no_state():
     handle.watermark = 410_000  # the marker may still be asked for
     assert not list(waiting.handleInputRows(("t",), iter(rows), handle))
     assert handle.calls == [("timer", 110_000), ("state", (110, False, 3, False, True, False, True))]
+
+
+def test_landed_requests_are_compressed(spark, make_spans, tmp_path):
+    spans = make_spans([{"id": f"{i:016x}", "service": "checkout"} for i in range(600)])
+    text = F.format_string('{"resourceSpans":[{"scopeSpans":[{"spans":[{"spanId":"%s","name":"op"}]}]}]}', "span_id").alias("request")
+    requests = envelopes.parse_requests(spans.select(text).repartition(1), "traces")
+    ingest.land(requests, "traces", str(tmp_path / "landing"))
+    files = list((tmp_path / "landing").glob("part-*"))
+    assert len(files) == 3 and sum(f.stat().st_size for f in files) * 5 < spans.select(F.sum(F.length(text))).first()[0]
+    landed = ingest.read_landing(spark, "traces", str(tmp_path / "landing"))
+    options = ingest.Stream(str(tmp_path / "checkpoint"))
+    ingest.start(envelopes.flatten_spans(landed), ingest.append_to(str(tmp_path / "facts")), options).awaitTermination()
+    found = storage.read_facts(spark, str(tmp_path / "facts"))
+    assert sorted(r[0] for r in found.select("span_id").collect()) == [f"{i:016x}" for i in range(600)]
