@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliograph.operators import correlate, filters, genai, logs, metrics, paging, sampling, servicemap, services, spanmetrics, traces
+from heliograph.functions import values
+from heliograph.operators import attributes, correlate, filters, genai, logs, metrics, paging, sampling, servicemap, services, spanmetrics, traces
 from heliograph.operators.filters import Filter, TimeRange
 from heliograph.operators.positions import number_rows
 from heliograph.operators import quantiles
@@ -447,3 +448,15 @@ def test_genai_roles(make_spans):
     ])
     row = genai.sessions(spans).first()
     assert (row.ai_spans, row.tool_spans, row.other_spans, row.prompt_tokens, row.completion_tokens, row.total_tokens, row.models) == (2, 2, 1, 8, 4, 12, "m,n")
+
+
+def test_key_columns_share_one_pass_over_the_map(make_spans):
+    spans = make_spans([{"id": "a", "tags": {"http.method": "GET", "db.name": "d"}}, {"id": "b"}])
+    apart = spans.withColumns({key: values.attribute_value(spans, key) for key in attributes.SPAN_KEYS})
+    once = attributes.with_key_columns(spans)
+    assert once.columns == apart.columns
+    keys = ["span_id", *[f"`{key}`" for key in attributes.SPAN_KEYS]]
+    assert {r[0]: r for r in once.select(keys).collect()} == {r[0]: r for r in apart.select(keys).collect()}
+    # An expression of its own per key, a lookup per field in each, made tasks generate and compile code for seconds.
+    lookups = [df.select(keys)._jdf.queryExecution().optimizedPlan().expressions().mkString().count("string_value") for df in (once, apart)]
+    assert lookups[0] <= 1 and lookups[1] >= len(attributes.SPAN_KEYS)
