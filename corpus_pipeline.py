@@ -13,6 +13,10 @@ from heliograph.llm import exact_dedup, folds, host_rules, line_crf, near_dup, p
 from heliograph.sources import storage
 
 
+# Words that a worker remembers while it encodes: the stages before have left less memory than an operator has alone.
+MEMO = 200_000
+
+
 def stage(function):
     """Keep the tables of one stage at a time."""
 
@@ -52,7 +56,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their token ids, their sequence and place in it."""
-    return packing.pack(packing.cut(docs, pieces.vocabulary(), with_ids=True))
+    return packing.pack(packing.cut(docs, pieces.vocabulary(), with_ids=True, memo=MEMO))
 
 
 STAGES = [

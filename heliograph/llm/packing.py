@@ -37,17 +37,22 @@ PATIENCE = 32  # emptiest bins in a row that could not be emptied, after which a
 ROUNDS = 4  # passes over the other bins for one of them
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = "piece_key long, length long, sequence_id long, offset long, again boolean"
+MOST_IDS = 1 << 20  # in a batch that a task hands on
 _MOST_ROUNDS = 64  # each leaves a hundredth of the pieces open
 
 
-def _cutter(path: str, length: int, end_id: int, with_ids: bool):
+def _cutter(path: str, length: int, end_id: int, with_ids: bool, memo: int | None = None):
     types = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
     types |= {"ids": pa.list_(pa.int32())} if with_ids else {}
 
+    def handed_on(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = pieces.library_encoder(path), np.array([end_id], pieces.ID).tobytes()
+        encoder, end = pieces.library_encoder(path, memo=memo), np.array([end_id], pieces.ID).tobytes()
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.frombuffer(encoder.ids(text.as_py()) + end, pieces.ID)
                 bounds = [0, *range(len(ids) % length or length, len(ids) + 1, length)]
@@ -55,8 +60,11 @@ def _cutter(path: str, length: int, end_id: int, with_ids: bool):
                     part = ids[a:b]
                     row = (doc_id, number, a, b - a, zlib.crc32(part.tobytes()))
                     rows.append((*row, part) if with_ids else row)
-            columns = list(zip(*rows)) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+                    held += b - a
+                    if held >= MOST_IDS:
+                        yield handed_on(rows)
+                        rows, held = [], 0
+            yield handed_on(rows)
 
     return cut
 
@@ -69,11 +77,12 @@ def cut(
     with_ids: bool = False,
     id_column: str = "doc_id",
     text_column: str = "text",
+    memo: int | None = None,
 ) -> DataFrame:
-    """Pieces of all documents; with their ids on request."""
+    """Pieces of all documents; with their ids on request. ``memo`` bounds the words that a worker remembers."""
     tables.ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(_cutter(path, length, end_id, with_ids), PIECE + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(_cutter(path, length, end_id, with_ids, memo), PIECE + (", ids array<int>" if with_ids else ""))
 
 
 class Bins:

@@ -5,8 +5,10 @@ from pathlib import Path
 
 import pyarrow as pa
 
+from heliograph.llm import packing, pieces
 from heliograph.operators import traces
 from heliograph.sources import storage
+from heliograph.streaming.sampling import state_on_disk
 
 
 def shuffle_files(spark):
@@ -46,3 +48,22 @@ def test_a_tree_with_missing_ids_two_roots_and_a_cycle(spark, make_spans):
     spans = make_spans(rows)
     tree = {(r.trace_id, r.span_id): (r.depth, r.position) for r in traces.span_tree(spans).collect()}
     assert tree == {("t1", "b"): (0, 1), ("t1", "e"): (1, 2), ("t1", "a"): (0, 3), ("t1", "c"): (1, 4), ("t1", "d"): (2, 5), ("t2", "a"): (0, 1)}
+
+
+def test_pieces_are_handed_on_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_IDS", 8)
+    texts = ["one two three", None, "four five six seven eight nine ten", ""] * 5
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(20), pa.int64()), "text": texts})
+    got = list(packing._cutter(pieces.vocabulary(), 4, 2, True, memo=3)(iter([batch])))
+    assert len(got) > 5 and max(sum(b["length"].to_pylist()) for b in got) < 8 + 4  # one batch before
+    monkeypatch.undo()
+    whole = list(packing._cutter(pieces.vocabulary(), 4, 2, True)(iter([batch])))
+    assert len(whole) == 1 and [r for b in got for r in b.to_pylist()] == whole[0].to_pylist()
+
+
+def test_state_codec_is_set_inside_only(spark):
+    name = "spark.sql.streaming.stateStore.rocksdb.compression"
+    before = spark.conf.get(name, None)
+    with state_on_disk(spark):
+        assert spark.conf.get(name) == "zstd"
+    assert spark.conf.get(name, None) == before
