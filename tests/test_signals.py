@@ -3,7 +3,10 @@
 import hashlib
 from datetime import datetime
 
+from heliograph.functions import values
+from heliograph.operators.attributes import SPAN_KEYS
 from heliograph.plans import signals
+from heliograph.sources import storage
 
 DAY = datetime(1996, 5, 1)
 TABLES = {
@@ -47,3 +50,22 @@ def test_ids_and_maps_are_made_after_the_shuffle(spark, tmp_path):
     of_spans = sum(i < "8" for i in ids)
     assert maps.count({"event.type", "user.id"}) == 1 and maps.count(set()) == 1 and len(maps) == 2 + of_spans
     assert maps.count({"attributes.span.kind", "span.name", "z.last"}) == of_spans
+
+
+def test_key_columns_are_made_without_the_map(spark, tmp_path):
+    for name, (schema, rows) in TABLES.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    spans = signals._derive_spans(spark, str(tmp_path))
+    assert "transform_values" not in spans._jdf.queryExecution().optimizedPlan().toString()
+    keys = [f"`{key}`" for key in SPAN_KEYS]
+    looked_up = [values.any_text(spans["attributes"][key]).alias(key) for key in SPAN_KEYS]
+    assert spans.columns[-len(keys) :] == list(SPAN_KEYS)
+    assert sorted(map(str, spans.select("span_id", *keys).collect())) == sorted(map(str, spans.select("span_id", *looked_up).collect()))
+
+
+def test_wide_rows_are_written_by_compiled_code(spark, tmp_path, monkeypatch):
+    limit, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(limit)
+    monkeypatch.setattr(signals, "id_filters", lambda columns: seen.append(spark.conf.get(limit)) or {})
+    assert signals._stored(spark, str(tmp_path), "probe", lambda spark, _: spark.range(3)).count() == 3
+    assert seen == [storage._METHOD_LIMIT[limit]] and int(seen[0]) <= 8000 and spark.conf.get(limit) == before
