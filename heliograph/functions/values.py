@@ -49,9 +49,17 @@ def any_value(
 
 
 def attribute_map(pairs: dict[str, Column]) -> Column:
-    """Attribute map of the given values; keys whose value is NULL are left out."""
-    built = F.create_map(*[part for key, value in pairs.items() for part in (F.lit(key), value)])
-    return F.map_filter(built.cast(ATTRIBUTES), lambda _, v: any_text(v).isNotNull())
+    """Attribute map of the given values; keys whose value is NULL are left out.
+
+    Made of lists of one entry or none: a higher-order function, as a filter over the map of all keys, has everything
+    inside it interpreted row by row.
+    """
+    none = F.array().cast(f"array<struct<key:string,value:{ANY_VALUE}>>")
+    entries = [
+        F.when(any_text(value).isNotNull(), F.array(F.struct(F.lit(key).alias("key"), value.cast(ANY_VALUE).alias("value")))).otherwise(none)
+        for key, value in pairs.items()
+    ]
+    return F.map_from_entries(F.flatten(F.array(none, *entries))).cast(ATTRIBUTES)
 
 
 def any_text(value: Column) -> Column:

@@ -106,6 +106,16 @@ def test_canonical_hash_ignores_order(spark):
     assert (row.label, row.bare) == ("a=1, b=2", "default")
 
 
+def test_attribute_maps_are_made_by_compiled_code(spark):
+    rows = spark.createDataFrame([("x", 1, None), (None, None, None), ("", 2, 0.5)], "s string, i bigint, d double")
+    parts = {"s": values.any_value(string=F.col("s")), "i": values.any_value(integer=F.col("i")), "d": values.any_value(double=F.col("d"))}
+    made = rows.select(values.attribute_map({**parts, "b": values.any_value(boolean=F.lit(True)), "none": values.any_value()}).alias("m"))
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.schema["m"].dataType == rows.select(F.lit(None).cast(values.ATTRIBUTES).alias("m")).schema["m"].dataType
+    texts = made.select(F.transform_values("m", lambda _, v: values.any_text(v))).collect()
+    assert [r[0] for r in texts] == [{"s": "x", "i": "1", "b": "true"}, {"b": "true"}, {"s": "", "i": "2", "d": "0.5", "b": "true"}]
+
+
 def test_targets(make_spans):
     df = make_spans([
         {"id": "1", "tags": {"db.system": "pg", "db.name": "shop", "peer.service": "x"}},
