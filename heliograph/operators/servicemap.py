@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from heliograph.functions import enums, values, web
 from heliograph.operators import filters as flt
 from heliograph.operators import services, traces
-from heliograph.sources.storage import checkpoint
 
 # Highest wins when several spans describe the same node.
 NODE_TYPES = {3: "database", 2: "messaging", 1: "service"}
 _SELF_DESCRIBING = (enums.KIND_CLIENT, enums.KIND_PRODUCER, enums.KIND_CONSUMER)
 
 
-def span_calls(spans: DataFrame, time_range: flt.TimeRange | None = None) -> DataFrame:
+def span_calls(spans: DataFrame, time_range: flt.TimeRange | None = None, written: bool = False) -> DataFrame:
     """The latest copy of each span in the window, cut down to what the map needs.
 
     A span that is sent again counts once. Copies collapse on narrow rows, before anything is joined.
@@ -38,7 +37,7 @@ def span_calls(spans: DataFrame, time_range: flt.TimeRange | None = None) -> Dat
         values.first_attribute(spans, "db.system").alias("db_system"),
         values.first_attribute(spans, "messaging.system").alias("messaging_system"),
     )
-    return traces.dedup_spans(narrow, keep="last").filter(F.col("service_name").isNotNull())
+    return traces.dedup_spans(narrow, keep="last", written=written).filter(F.col("service_name").isNotNull())
 
 
 def _tally(source: Column, target: Column) -> list[Column]:
@@ -70,7 +69,7 @@ def parent_child(spans: DataFrame) -> DataFrame:
     parent are split by the adaptive skew join.
     """
     narrow = spans.select("trace_id", "span_id", "parent_span_id", "service_name", "kind", "start_ns", "end_ns")
-    once = checkpoint(traces.dedup_spans(narrow, keep="last"))
+    once = traces.dedup_spans(narrow, keep="last", written=True)
     children = once.filter(~F.col("kind").isin(*_SELF_DESCRIBING) & F.col("parent_span_id").isNotNull())
     parents = once.filter(F.col("kind") != enums.KIND_CLIENT).select(
         "trace_id", F.col("span_id").alias("parent_span_id"), F.col("service_name").alias("parent_service")
@@ -103,7 +102,7 @@ def _parent_child_tally(calls: DataFrame) -> DataFrame:
 
 def edges(spans: DataFrame, time_range: flt.TimeRange | None = None) -> DataFrame:
     """Calls, average non-zero duration and errors per (source, target)."""
-    return _edges(checkpoint(span_calls(spans, time_range)))
+    return _edges(span_calls(spans, time_range, written=True))
 
 
 def _edges(calls: DataFrame) -> DataFrame:
@@ -180,7 +179,7 @@ def node_metrics(spans: DataFrame, time_range: flt.TimeRange | None = None) -> D
 
     The narrow calls are written once and read by the figures, the edges and the nodes.
     """
-    calls = checkpoint(span_calls(spans, time_range))
+    calls = span_calls(spans, time_range, written=True)
     figures = services.red(calls)
     touched = (
         _edges(calls)

@@ -215,21 +215,51 @@ def span_view(spans: DataFrame) -> DataFrame:
     )
 
 
-def dedup_spans(spans: DataFrame, by: tuple[str, ...] = ("trace_id", "span_id"), keep: str = "first") -> DataFrame:
+def dedup_spans(
+    spans: DataFrame, by: tuple[str, ...] = ("trace_id", "span_id"), keep: str = "first", written: bool = False
+) -> DataFrame:
     """One row per span: of copies the first or last by (start, end, rest of the row as text).
 
     Few spans are sent again, so keys that come twice are found first, by a hash aggregate over a number made of the
     key; no other column is read for that. Only rows with such a number are collapsed, which takes a sort as rows have
     no fixed width; the others, and a table without copies, stay as they are. Copies collapse on the map side, so many
     copies of one span shuffle as few rows.
+
+    Where too many keys come twice to be broadcast, equal rows become one first. That is a hash aggregate without a
+    sort, and as a rule leaves few copies, those that differ from their original. What is left is written for that;
+    ``written`` asks for a result that is, in any case, for callers that read it more than once.
     """
+    finished = checkpoint if written else lambda rows: rows
     number = F.xxhash64(*by).alias("_number")
-    repeated = checkpoint(spans.groupBy(number).agg(F.count("*").alias("_n")).filter("_n > 1").select("_number"))
+    repeated = _repeated(spans, number)
     if repeated.isEmpty():
-        return spans
-    side, numbered = broadcast_if_small(repeated), spans.select("*", number)
+        return finished(spans)
+    side = broadcast_if_small(repeated)
+    if side is repeated and _groups_exactly(spans.schema):
+        spans = checkpoint(spans.distinct())
+        repeated = _repeated(spans, number)
+        if repeated.isEmpty():
+            return spans
+        side = broadcast_if_small(repeated)
+    numbered = spans.select("*", number)
     once, copies = (numbered.join(side, "_number", how).drop("_number") for how in ("left_anti", "left_semi"))
-    return once.unionByName(_collapsed(copies, by, keep))
+    return finished(once.unionByName(_collapsed(copies, by, keep)))
+
+
+def _repeated(spans: DataFrame, number: Column) -> DataFrame:
+    """The numbers that come twice, written."""
+    return checkpoint(spans.groupBy(number).agg(F.count("*").alias("_n")).filter("_n > 1").select("_number"))
+
+
+def _groups_exactly(kind: T.DataType) -> bool:
+    """Whether values of a type are the same to a GROUP BY only if they are; it takes 0.0 and -0.0 as one, for example."""
+    if isinstance(kind, T.StructType):
+        return all(_groups_exactly(field.dataType) for field in kind)
+    if isinstance(kind, T.ArrayType):
+        return _groups_exactly(kind.elementType)
+    if isinstance(kind, T.StringType):
+        return kind == T.StringType()
+    return not isinstance(kind, (T.MapType, T.VariantType, T.FloatType, T.DoubleType))
 
 
 def _collapsed(spans: DataFrame, by: tuple[str, ...], keep: str) -> DataFrame:

@@ -440,6 +440,26 @@ def test_dedup_keeps_one_copy(make_spans):
     assert {r.name for r in traces.dedup_spans(spans, ("span_id",), keep="last").collect()} == {"n9", "op"}
 
 
+def test_dedup_makes_equal_copies_one_without_a_sort(spark, make_spans, monkeypatch):
+    monkeypatch.setattr(traces, "broadcast_if_small", lambda side: side)
+    plans, written = [], traces.checkpoint
+    monkeypatch.setattr(traces, "checkpoint", lambda df: plans.append(df) or written(df))
+    narrow = make_spans([{"id": f"{i}", "start": i, "service": None if i % 3 else "svc"} for i in range(40)]).drop("attributes")
+    copies = narrow.unionByName(narrow).unionByName(narrow)
+    once = traces.dedup_spans(copies, keep="last")
+    assert sorted(once.collect()) == sorted(narrow.collect())
+    assert not any("SortAggregate" in df._jdf.queryExecution().executedPlan().toString() for df in (once, *plans))
+    # Copies that differ are still chosen from.
+    changed = narrow.filter("start_ns < 5").withColumn("name", F.lit("changed")).withColumn("end_ns", F.col("end_ns") + 1)
+    latest = traces.dedup_spans(copies.unionByName(changed), keep="last")
+    first = traces.dedup_spans(copies.unionByName(changed), keep="first")
+    assert (latest.count(), latest.filter("name = 'changed'").count()) == (40, 5)
+    assert sorted(first.collect()) == sorted(narrow.collect())
+    # -0.0 and 0.0 are one to a GROUP BY, so such rows are collapsed by their order.
+    zeros = spark.createDataFrame([("t", "a", 0, 0, -0.0)] * 2 + [("t", "b", 0, 0, 0.0)], "trace_id string, span_id string, start_ns bigint, end_ns bigint, x double")
+    assert {r.span_id: str(r.x) for r in traces.dedup_spans(zeros).collect()} == {"a": "-0.0", "b": "0.0"}
+
+
 def test_genai_roles(make_spans):
     spans = make_spans([
         {"id": "1", "tags": {"gen_ai.request.model": "m", "gen_ai.usage.input_tokens": "3", "gen_ai.usage.output_tokens": "4.7"}},
