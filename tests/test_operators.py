@@ -460,6 +460,17 @@ def test_dedup_makes_equal_copies_one_without_a_sort(spark, make_spans, monkeypa
     assert {r.span_id: str(r.x) for r in traces.dedup_spans(zeros).collect()} == {"a": "-0.0", "b": "0.0"}
 
 
+def test_counters_are_dealt_out_once(spark):
+    schema = ", ".join([f"{d} string" for d in spanmetrics.DIMENSIONS] + [f"{c} bigint" for c in ("flush_ns", *spanmetrics.FIGURES)])
+    figures = [1] * len(spanmetrics.FIGURES)
+    rows = [(s, None, "k", "st", None, "200", flush, *figures) for s in ("a", None) for flush in (10, 20, 20, 900)]
+    counted = spanmetrics.cumulative(spark.createDataFrame(rows, schema), 100)
+    assert counted._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+    assert counted.columns == [*spanmetrics.DIMENSIONS, "flush_ns", *spanmetrics.FIGURES]
+    found = sorted((str(r.service_name), r.flush_ns, r.calls) for r in counted.collect())
+    assert found == [(s, flush, calls) for s in ("None", "a") for flush, calls in ((10, 1), (20, 3), (900, 1))]
+
+
 def test_genai_roles(make_spans):
     spans = make_spans([
         {"id": "1", "tags": {"gen_ai.request.model": "m", "gen_ai.usage.input_tokens": "3", "gen_ai.usage.output_tokens": "4.7"}},
