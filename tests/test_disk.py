@@ -4,10 +4,13 @@ import time
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from heliograph.llm import packing, pieces
 from heliograph.operators import traces
+from heliograph.plans import signals
 from heliograph.sources import storage
+from heliograph.streaming import ingest
 from heliograph.streaming.sampling import state_on_disk
 
 
@@ -67,3 +70,39 @@ def test_state_codec_is_set_inside_only(spark):
     with state_on_disk(spark):
         assert spark.conf.get(name) == "zstd"
     assert spark.conf.get(name, None) == before
+
+
+def test_a_derived_table_leaves_only_itself(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(signals, "_WHOLE", 10)
+    before, tables, written = shuffle_files(spark), table_folders(spark), []
+
+    def finish(part):
+        written.append(part.count())
+        return part.repartitionByRange(2, "at").select("at", F.md5(F.col("i").cast("string")).alias("trace_id"))
+
+    rows = lambda spark, _: storage.checkpoint(spark.range(300).selectExpr("IF(id % 10 = 0, NULL, id) AS at", "id AS i").repartition(3, "i"))
+    stored = signals._stored(spark, str(tmp_path), "left-over", rows, finish)
+    assert len(written) == signals._SLICES and all(80 <= n <= 130 for n in written) and sum(written) == 300
+    assert sorted(r.at or -1 for r in stored.collect()) == sorted(i if i % 10 else -1 for i in range(300))
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and table_folders(spark) == tables
+    assert any("zstd" in f.name for f in Path(storage.shared_dir(spark).removeprefix("file:")).glob("signals-*/*/left-over/*.parquet"))
+
+
+def test_a_batch_is_kept_as_a_table_while_it_is_used(spark):
+    before = table_folders(spark)
+    with storage.kept(spark.range(5).withColumn("n", F.rand())) as rows:
+        assert len(table_folders(spark) - before) == 1 and rows.collect() == rows.collect()
+    assert table_folders(spark) == before
+
+
+def test_fan_out_caches_nothing(spark, tmp_path, make_spans):
+    seen = []
+
+    def sink(batch, batch_id):
+        seen.append((batch.count(), spark.sparkContext._jsc.getPersistentRDDs().size(), batch.storageLevel.useMemory))
+
+    ingest.fan_out(sink, sink)(make_spans([{"id": "a"}, {"id": "b"}]), 0)
+    assert seen == [(2, 0, False)] * 2

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import values
 from heliograph.operators import attributes, correlate, filters, genai, logs, metrics, paging, sampling, servicemap, services, spanmetrics, traces
 from heliograph.operators.filters import Filter, TimeRange
+from heliograph.operators import positions
 from heliograph.operators.positions import number_rows
 from heliograph.operators import quantiles
 from heliograph.operators.quantiles import exact_quantiles, magnitude_bucket
@@ -104,6 +105,30 @@ def test_positions_match_brute_force(spark, skewed):
     assert {r.i: r.position for r in got} == expected
 
 
+def test_positions_of_usual_and_huge_groups(spark, skewed, monkeypatch):
+    monkeypatch.setattr(positions, "USUAL", 260)
+    sizes = Counter(k for k, _ in skewed)
+    assert min(sizes.values()) <= 260 < max(sizes.values())
+    rows = [(k, v, i) for i, (k, v) in enumerate(skewed)] + [(None, 1, -1)]
+    df = spark.createDataFrame(rows, "k string, v bigint, i int").repartition(7)
+    numbered = number_rows(df, ["k"], ["v", "i"], "position")
+    assert dict(numbered.dtypes)["position"] == "bigint"
+    before = {r.i: r.before for r in positions.sum_before(df, ["k"], ["v", "i"], "v", "before").collect()}
+    expected, seen, sums = {}, Counter(), Counter()
+    for k, v, i in sorted((k, v, i) for k, v, i in rows if k is not None):
+        seen[k] += 1
+        expected[i] = seen[k]
+        assert before[i] == sums[k]
+        sums[k] += v
+    assert {r.i: r.position for r in numbered.collect()} == expected and set(before) == set(expected)
+
+
+def test_usual_groups_are_dealt_out_once(spark):
+    df = spark.range(1000).selectExpr("id % 100 AS k", "id AS v", "repeat('x', 50) AS wide")
+    counted = number_rows(df, ["k"], ["v"], "position").groupBy("k").agg(F.collect_list("wide"))
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def chain(n, trace="t1", service="svc"):
     return [{"trace": trace, "id": f"{trace}{i:05}", "parent": f"{trace}{i - 1:05}" if i else None, "start": i, "end": i + 10, "service": service} for i in range(n)]
 
