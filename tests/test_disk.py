@@ -106,3 +106,17 @@ def test_fan_out_caches_nothing(spark, tmp_path, make_spans):
 
     ingest.fan_out(sink, sink)(make_spans([{"id": "a"}, {"id": "b"}]), 0)
     assert seen == [(2, 0, False)] * 2
+
+
+def test_a_batch_of_a_stream_with_state_is_rebalanced(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id", "DATE'2024-01-01' AS event_date", "md5(string(id)) AS trace_id", "md5(string(id)) AS span_id")
+    with storage._set(spark, {"spark.sql.adaptive.enabled": "false"}):  # as in such a stream's session
+        storage.append_batch(rows.repartition(8), str(tmp_path / "t"), 0)
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "false"
+    files = list((tmp_path / "t").glob("batch_id=0/event_date=*/*.parquet"))
+    assert len(files) == 1 and files[0].stat().st_size < 400_000  # two filters had half a megabyte whatever they held
+
+
+def test_state_takes_no_space_beforehand(spark):
+    with state_on_disk(spark):
+        assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.allowFAllocate") == "false"
