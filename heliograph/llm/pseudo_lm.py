@@ -410,7 +410,8 @@ def vocabulary(counts: DataFrame, named: tuple[str, ...]) -> tuple[DataFrame, np
 
 def _by_block(rows: DataFrame) -> str:
     path = tables.scratch_dir(rows.sparkSession, "pseudo-lm")
-    rows.repartition("block").write.partitionBy("block").parquet(path)
+    with storage.without_shuffles(rows.sparkSession):
+        rows.repartition("block").write.options(**storage.WRITTEN).partitionBy("block").parquet(path)
     return path
 
 
@@ -470,22 +471,30 @@ def _fit(dealt: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> tuple[tupl
             total = sum(np.frombuffer(w, "<f4").astype(np.float64) * n for w, n in zip(rows["weights"], rows["seen"]))
             return pd.DataFrame({"seen": [int(rows["seen"].sum())], "weights": [total.astype("<f8").tobytes()]})
 
-        learned = storage.checkpoint(texts.mapInArrow(learn, _LEARNED))
-        dense = learned.filter("weights IS NOT NULL").select("part", "seen", "weights")
-        sums = dense.groupBy("part").applyInPandas(summed, "seen long, weights binary").collect()  # at most GROUPS rows
-        seen = sum(r["seen"] for r in sums)
-        if not seen:
-            continue
-        model.update(_model(sum(np.frombuffer(bytes(r["weights"]), "<f8") for r in sums) / seen))
-        trained = learned.filter("key IS NOT NULL").select("key", "seen", *_OWN)
-        if model.vectors is not None:  # words that this round did not meet keep what they have
-            met = trained.select("key").distinct()
-            trained = trained.unionByName(model.vectors.withColumnRenamed("n", "seen").join(met, "key", "left_anti"))
-        mean = [(F.sum(F.col(c) * F.col("seen")) / F.sum("seen")).cast("float").alias(c) for c in _OWN]
-        model.vectors = storage.checkpoint(trained.groupBy("key").agg(F.sum("seen").alias("n"), *mean))
+        # What the tasks learned and the vectors they were sent go with the round.
+        with storage.kept(texts.mapInArrow(learn, _LEARNED)) as learned:
+            _take(model, learned, summed)
+        if path is not None:
+            storage.remove(dealt.sparkSession, path)
     return named, model, held
 
 
+def _take(model: Model, learned: DataFrame, summed) -> None:
+    """Average what the tasks of a round learned into the model."""
+    dense = learned.filter("weights IS NOT NULL").select("part", "seen", "weights")
+    sums = dense.groupBy("part").applyInPandas(summed, "seen long, weights binary").collect()  # at most GROUPS rows
+    seen = sum(r["seen"] for r in sums)
+    if not seen:
+        return
+    model.update(_model(sum(np.frombuffer(bytes(r["weights"]), "<f8") for r in sums) / seen))
+    trained = learned.filter("key IS NOT NULL").select("key", "seen", *_OWN)
+    if model.vectors is not None:  # words that this round did not meet keep what they have
+        met = trained.select("key").distinct()
+        trained = trained.unionByName(model.vectors.withColumnRenamed("n", "seen").join(met, "key", "left_anti"))
+    mean = [(F.sum(F.col(c) * F.col("seen")) / F.sum("seen")).cast("float").alias(c) for c in _OWN]
+    model.vectors = storage.checkpoint(trained.groupBy("key").agg(F.sum("seen").alias("n"), *mean))
+
+
 _LEARNED = "part int, seen long, weights binary, key string, " + ", ".join(f"{c} float" for c in _OWN)
 
 

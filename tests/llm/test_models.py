@@ -338,3 +338,20 @@ def test_packed_pieces_carry_their_ids(spark, prose):
     for i, text in texts.items():
         held = [x for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece) for x in r.ids]
         assert held == [*np.frombuffer(encoder.ids(text), pieces.ID).tolist(), packing.END_ID]
+
+
+def test_rounds_of_training_leave_no_vectors_behind(spark):
+    from pathlib import Path
+
+    def folders():
+        top = Path(storage.shared_dir(spark).removeprefix("file:"))
+        return {f for pattern in ("pseudo-lm-*", "tables-*/*") for f in top.glob(pattern)}
+
+    texts = [" ".join(f"w{i * 7 % 1500}" for i in range(j, j + 1200)) for j in range(12)]
+    docs, before = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), folders()
+    scored = pseudo_lm.fit_and_score(docs)
+    made = folders() - before
+    sent = [f for f in made if f.name.startswith("pseudo-lm-")]
+    # The words and the vectors for scoring; texts, pairs, counts, vocabulary and two rounds' averages.
+    assert len(sent) == 2 and len(made) - len(sent) == 6
+    assert scored.count() == 12 and all("zstd" in f.name for s in sent for f in s.rglob("*.parquet"))
